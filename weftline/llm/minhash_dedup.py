@@ -8,9 +8,11 @@ shingle sets taken from the texts, and only confirmed links form groups.
 
 Rows with equal shingle sets collapse into one class before any candidate is formed, so a
 group of thousands of copies costs one representative. In a table, members are compared with
-the bucket's smallest id; buckets that still hold several groups afterwards are compared
-again, member by member across groups, so no link between different groups in a bucket is
-missed.
+the bucket's smallest id. Buckets that still hold several groups are looked at again: for their
+members, the shingles that no other such member has are counted, which bounds the similarity of
+any pair from above. Members are compared with the bucket's member that has the fewest of them,
+and at last all pairs across groups whose bound reaches the threshold, so no link between
+different groups in a bucket is missed and pairs that cannot link are never formed.
 
 Defined results: null or wordless text has the empty set and links with nothing; fewer than
 five words form one shingle; repeated rows of one ``doc_id`` appear once per row and share a
@@ -182,6 +184,37 @@ def components(links: DataFrame) -> DataFrame:
     return low.select(F.col("src").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, rep, c (its group) of the buckets that hold several groups."""
+    known = members.join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    return known.join(mixed, "key")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+
+def _common(ids: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """rep, n, common: set sizes, and how many of the shingles another one of ``ids`` has too.
+
+    Those whose common part is too small for any link are left out.
+    """
+    own = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    shingles = own.select("doc_id", "text").mapInArrow(_sets, "rep long, shingles array<long>").select("rep", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+    sized = ids.join(reps.select("rep", "n"), "rep").join(alone, "rep", "left")
+    return sized.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("n"))
+
+
+def _reaches(n: str, common: str, n2: str, common2: str, percent: int):
+    """Whether two sets can reach the threshold at all: their overlap is at most the smaller common part."""
+    most = F.least(common, common2)
+    return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     sig = staged(signatures(docs), "minhash")
@@ -189,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = (
         sig.where("set_hash is not null and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     )
     reps = staged(reps, "classes")
     keyed = reps.select("rep", F.posexplode("left").alias("i", "l"), "right").select("rep", "i", "l", F.posexplode("right").alias("j", "r"))
@@ -202,18 +235,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = texts_of(docs, members.select(F.col("rep").alias("node")), repeated)
     links = staged(confirmed(tested, texts, percent), "confirmed")
     comp = staged(components(links), "components")
-    # Buckets whose members are not all in one group: compare across their groups.
-    known = members.join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = staged(known.join(mixed, "key"), "open-buckets")
-    a = open_.select("key", F.col("rep").alias("src"), F.col("c").alias("ca"))
-    b = open_.select("key", F.col("rep").alias("dst"), F.col("c").alias("cb"))
-    more = a.join(b, "key").where("src < dst and ca <> cb").select("src", "dst").distinct().join(tested, ["src", "dst"], "left_anti")
-    more = staged(more, "cross-candidates")
-    extra = staged(confirmed(more, texts, percent), "cross-confirmed")
-    if extra.limit(1).count():
-        comp = staged(components(links.unionByName(extra)), "components")
-    for t in (members, tested, open_, more, texts):
+    # Buckets whose members are not all in one group.
+    open_ = staged(_open(members, comp), "open-buckets")
+    if open_.limit(1).count():
+        common = staged(_common(open_.select("rep").distinct(), texts, reps, percent), "common-shingles")
+        open_ = open_.join(common, "rep")  # a member too far from every other one is gone
+        best = open_.groupBy("key").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), F.col("rep").alias("src"), F.col("c").alias("cs"), F.col("n").alias("ns"), F.col("common").alias("os"))).alias("b")).select("key", "b.*")
+        star = open_.join(best, "key").where((F.col("c") != F.col("cs")) & _reaches("n", "common", "ns", "os", percent))
+        star = star.select(F.least("src", "rep").alias("src"), F.greatest("src", "rep").alias("dst")).distinct().join(tested, ["src", "dst"], "left_anti")
+        star = staged(star, "star-candidates")
+        links = links.unionByName(staged(confirmed(star, texts, percent), "star-confirmed"))
+        comp = staged(components(links), "components")
+        rest = staged(_open(members, comp).join(common, "rep"), "open-buckets")
+        a = rest.select("key", F.col("rep").alias("src"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("common").alias("oa"))
+        b = rest.select("key", F.col("rep").alias("dst"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("ob"))
+        more = a.join(b, "key").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _reaches("na", "oa", "nb", "ob", percent))
+        more = more.select("src", "dst").distinct().join(tested, ["src", "dst"], "left_anti").join(star, ["src", "dst"], "left_anti")
+        extra = staged(confirmed(staged(more, "cross-candidates"), texts, percent), "cross-confirmed")
+        if extra.limit(1).count():
+            comp = staged(components(links.unionByName(extra)), "components")
+    for t in (members, tested, open_, texts):
         drop_staged(t)
     # Back to every row: a set's class, then the class's component.
     final = reps.join(comp, reps["rep"] == comp["node"], "left").select("set_hash", "copies", F.coalesce("component", "rep").alias("component"), "rep")
