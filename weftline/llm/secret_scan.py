@@ -117,8 +117,12 @@ def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"])), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda x: x["k"] == kind))
+
+
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = secrets(docs, train(docs))
-    n = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    n = [_count(k).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *n, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
