@@ -1,6 +1,442 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries, one or more for every operator family, and their oracle SQL for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import FULL, ContextConfig
+from .functions import text as tx
+from .operators import analyse, compare, control, search
+from .operators.edges import path_index
+from .operators.select import greedy
+from .operators.traverse import ranked_neighbors
+from .plans.engine import Engine, incremental
+from .plans.evolve import SchemaEvolution
+from .sources import corpus as cv
+from .sources.files import snapshot_diff
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def wrap(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = cv.duck_view(sql)
+        return fn
+
+    return wrap
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return cv.spark_view(spark, sf, cv.DOC_FILES)
+
+
+def _code(spark: SparkSession, sf: str) -> DataFrame:
+    return cv.spark_view(spark, sf, cv.CODE_FILES)
+
+
+def engine(spark: SparkSession, sf: str) -> Engine:
+    """The engine over the generated sources, indexed once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(_code(spark, sf), ContextConfig(token_budget=2_000, max_depth=2, output_mode=FULL))
+    return _ENGINES[key]
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per brand: the brand's first part has changed."""
+    part = cv.table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
+    files = _code(spark, sf).select(F.col("file_ord").alias("k"), "path")
+    rows = part.join(files, "k")
+    return rows.select(F.col("k").alias("request_id"), F.array("path").alias("changed_files"), F.lit("").alias("diff_text"), F.lit("fix token check").alias("commit_message"), F.concat(F.lit("review part "), F.col("k").cast("string")).alias("query"))
+
+
+C1, C3 = cv.DOC_FILES, cv.CODE_FILES
+_LANG = "CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.sh' THEN 'bash' WHEN path LIKE '%.tf' THEN 'hcl' WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.java' THEN 'java' ELSE 'unknown' END"
+_TOKENS = "greatest(1, length(source) // 4)::BIGINT"
+
+# Scans and row-wise operators -------------------------------------------------------------------
+
+
+@_register("detect_language", f"SELECT path, {_LANG} AS language FROM ({C1})")
+def _(spark, sf):
+    return _docs(spark, sf).select("path", tx.detect_language(F.col("path")).alias("language"))
+
+
+@_register("token_estimate", f"SELECT path, {_TOKENS} AS tokens FROM ({C1})")
+def _(spark, sf):
+    return _docs(spark, sf).select("path", tx.token_estimate(F.col("source")).alias("tokens"))
+
+
+@_register("file_metrics", f"SELECT path, sha256(source) AS sha256, octet_length(encode(source))::BIGINT AS size_bytes, (CASE WHEN source = '' THEN 0 ELSE len(string_split(source, chr(10))) - CASE WHEN ends_with(source, chr(10)) THEN 1 ELSE 0 END END)::BIGINT AS line_count FROM ({C1})")
+def _(spark, sf):
+    s = F.col("source")
+    return _docs(spark, sf).select("path", F.sha2(s, 256).alias("sha256"), F.octet_length(s).cast("long").alias("size_bytes"), tx.line_count(s).alias("line_count"))
+
+
+@_register("exclude_filter", f"SELECT path FROM ({C1}) WHERE NOT (list_contains(string_split(lower(path), '/'), 'de') OR len(list_filter(string_split(lower(path), '/'), lambda x: ends_with(x, 'c7'))) > 0)")
+def _(spark, sf):
+    return _docs(spark, sf).where(~tx.excluded(F.col("path"), ("de", "*c7"))).select("path")
+
+
+@_register("is_test", f"SELECT path, (lower(path) LIKE '%/test%') AS is_test FROM ({C3})")
+def _(spark, sf):
+    return _code(spark, sf).select("path", tx.is_test(F.col("path")).alias("is_test"))
+
+
+@_register("lang_histogram", f"SELECT {_LANG} AS language, count(*) AS files FROM ({C1}) GROUP BY 1")
+def _(spark, sf):
+    return _docs(spark, sf).groupBy(tx.detect_language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+
+
+@_register("ext_top8", f"SELECT regexp_extract(path, '(\\.[a-z]+)$', 1) AS ext, count(*) AS files FROM ({C1}) GROUP BY 1 ORDER BY files DESC, ext LIMIT 8")
+def _(spark, sf):
+    return _docs(spark, sf).groupBy(tx.suffix(F.col("path")).alias("ext")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "ext").limit(8)
+
+
+_WORDS = "|".join(tx.SECURITY_WORDS)
+
+
+@_register("security_hits", f"SELECT path, len(regexp_extract_all(source, '(?i)\\b({_WORDS})\\b'))::BIGINT AS hits FROM ({C1})")
+def _(spark, sf):
+    return _docs(spark, sf).select("path", tx.security_hits(F.col("source")).alias("hits"))
+
+
+@_register("signature_head60", f"SELECT path, sha256(array_to_string(string_split(source, chr(10))[1:60], chr(10))) AS head FROM ({C1})")
+def _(spark, sf):
+    return _docs(spark, sf).select("path", F.sha2(tx.head(F.col("source")), 256).alias("head"))
+
+
+@_register("query_tokens", f"SELECT path, len(list_distinct(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}_]+')))::BIGINT AS tokens FROM ({C1})")
+def _(spark, sf):
+    return _docs(spark, sf).select("path", F.size(tx.query_tokens(F.col("source"))).cast("long").alias("tokens"))
+
+
+@_register("docs_section", "SELECT 'page_' || page_id AS path, left(coalesce(html, ''), 4000) AS section, false AS found FROM pages")
+def _(spark, sf):
+    pages = cv.table(spark, sf, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.coalesce("html", F.lit("")).alias("source"))
+    return analyse.doc_sections(pages, "zzz-no-such-heading")
+
+
+@_register("incremental_new_files", f"WITH f AS ({C1}) SELECT path FROM f WHERE file_ord >= (SELECT count(*) / 2 FROM f)")
+def _(spark, sf):
+    files = _docs(spark, sf)
+    half = files.agg((F.count("*") / 2).alias("h"))
+    known = files.join(F.broadcast(half), F.col("file_ord") < F.col("h")).select("path", F.sha2("source", 256).alias("sha256"))
+    return incremental(files, known).select("path")
+
+
+@_register("snapshot_diff", f"""WITH f AS ({C1}) SELECT path, CASE WHEN file_ord % 3 = 0 THEN 'added' WHEN file_ord % 3 = 1 THEN 'removed' ELSE 'changed' END AS change FROM f""")
+def _(spark, sf):
+    f = _docs(spark, sf)
+    before = f.where("file_ord % 3 <> 0").select("path", F.lit(1).alias("modified"))
+    return snapshot_diff(before, f.where("file_ord % 3 <> 1").select("path", F.lit(2).alias("modified")))
+
+
+# Parsing and edges over generated sources --------------------------------------------------------
+
+_BASE = "(SELECT p_partkey AS k, (p_partkey * 7 + 1) % n + 1 AS a, (p_partkey * 3 + 2) % n + 1 AS b, CAST(floor(p_partkey / 2) AS BIGINT) AS c, (p_partkey * 11) % n + 1 AS d, 'src/b' || p_partkey % 25 || '/p' || p_partkey % 7 || '/' || CASE WHEN p_partkey % 10 = 3 THEN 'test_' ELSE '' END || 'part_' || p_partkey || '.py' AS path FROM part CROSS JOIN (SELECT count(*) AS n FROM part))"
+_SYMBOLS = f"""SELECT path || '::__module__' AS node_id, 'module' AS kind, regexp_extract(path, '([^/]*).py$', 1) AS name, k, 0 AS s FROM {_BASE}
+UNION ALL SELECT path || '::P_' || k, 'class', 'P_' || k, k, 1 FROM {_BASE} UNION ALL SELECT path || '::P_' || k || '.m_' || k, 'method', 'm_' || k, k, 2 FROM {_BASE}
+UNION ALL SELECT path || '::f_' || k, 'function', 'f_' || k, k, 3 FROM {_BASE}"""
+_IMPORTS = f"SELECT DISTINCT k, path, name FROM (SELECT k, path, unnest(['part_' || a, 'part_' || a || '.f_' || a, 'part_' || b]) AS name FROM {_BASE})"
+_KEYS = f"""SELECT k, path, key, pos FROM (SELECT k, path, regexp_replace(path, '.py$', '') AS bare FROM {_BASE}),
+  LATERAL (SELECT unnest([regexp_extract(bare, '([^/]*)$', 1), regexp_extract(replace(bare, '/', '.'), '([^.]*\\.[^.]*\\.[^.]*)$', 1), regexp_extract(replace(bare, '/', '.'), '([^.]*\\.[^.]*)$', 1), replace(bare, '/', '.')]) AS key, unnest([0, 1, 2, 3]) AS pos)"""
+
+
+def _resolved(names: str) -> str:
+    return f"""SELECT name, target FROM (SELECT n.name, i.path AS target, min(CASE WHEN i.key = n.name THEN 0 ELSE 1 END * 1000000000000 + i.k * 10 + i.pos) AS o
+  FROM (SELECT DISTINCT name FROM ({names})) n JOIN ({_KEYS}) i ON starts_with(i.key, n.name) OR starts_with(n.name, i.key) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY name ORDER BY o) <= 3"""
+
+
+_IMPORT_SQL = f"SELECT i.path || '::__module__' AS source_id, r.target || '::__module__' AS target_id, 'imports' AS kind, CAST(1.0 AS DOUBLE) AS weight FROM ({_IMPORTS}) i JOIN ({_resolved(_IMPORTS)}) r USING (name)"
+_DYN = f"SELECT k, path, 'part_' || c AS name FROM {_BASE} WHERE k % 6 = 0"
+_DYN_SQL = f"SELECT i.path || '::__module__' AS source_id, r.target || '::__module__' AS target_id, 'dynamic_import' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM ({_DYN}) i JOIN ({_resolved(_DYN)}) r USING (name)"
+_INHERIT_SQL = f"SELECT x.path || '::P_' || x.k AS source_id, y.path || '::P_' || y.k AS target_id, 'inherits' AS kind, CAST(1.5 AS DOUBLE) AS weight FROM {_BASE} x JOIN {_BASE} y ON y.k = x.c"
+_DECORATE_SQL = f"SELECT x.path || '::P_' || x.k AS source_id, y.path || '::__module__' AS target_id, 'decorates' AS kind, CAST(0.8 AS DOUBLE) AS weight FROM {_BASE} x JOIN {_BASE} y ON y.k = x.d AND y.k % 10 <> 3"
+_EDGES_SQL = " UNION ALL ".join(f"({s})" for s in (_IMPORT_SQL, _DYN_SQL, _INHERIT_SQL, _DECORATE_SQL))
+_EDGE = ["source_id", "target_id", "kind", "weight"]
+
+
+@_register("py_symbols", f"SELECT node_id, kind, name FROM ({_SYMBOLS})")
+def _(spark, sf):
+    return engine(spark, sf).nodes.select("node_id", "kind", "name")
+
+
+@_register("py_imports", f"SELECT path, name FROM ({_IMPORTS})")
+def _(spark, sf):
+    return engine(spark, sf).files.select("path", F.explode("imports").alias("name"))
+
+
+@_register("dynamic_imports", f"SELECT path, name FROM ({_DYN})")
+def _(spark, sf):
+    return _code(spark, sf).select("path", F.explode(tx.dynamic_imports(F.col("source"))).alias("name"))
+
+
+@_register("path_index", f"SELECT key, path FROM ({_KEYS})")
+def _(spark, sf):
+    return path_index(_code(spark, sf)).select("key", "path")
+
+
+for _name, _kind, _sql in (("import_edges", "imports", _IMPORT_SQL), ("dynamic_edges", "dynamic_import", _DYN_SQL), ("inherits_edges", "inherits", _INHERIT_SQL), ("decorates_edges", "decorates", _DECORATE_SQL)):
+    _register(_name, _sql)(lambda spark, sf, kind=_kind: engine(spark, sf).edges.where(F.col("kind") == kind).select(*_EDGE))
+
+
+@_register("graph_stats", f"SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM ({_SYMBOLS})) AS nodes, (SELECT count(*) FROM ({_EDGES_SQL})) AS edges")
+def _(spark, sf):
+    e = engine(spark, sf)
+    a, b, c = (df.agg(F.count("*").alias(n)) for df, n in ((e.files, "files"), (e.nodes, "nodes"), (e.edges, "edges")))
+    return a.join(b, F.lit(True)).join(c, F.lit(True))  # three single rows
+
+
+@_register("index_stats", "SELECT count(*) AS files_indexed, 0::BIGINT AS files_skipped, 4 * count(*) AS symbols_extracted FROM part")
+def _(spark, sf):
+    return engine(spark, sf).stats().select("files_indexed", "files_skipped", "symbols_extracted")
+
+
+@_register("dead_code", f"SELECT node_id FROM ({_SYMBOLS}) WHERE kind <> 'module' AND node_id NOT IN (SELECT target_id FROM ({_EDGES_SQL}))")
+def _(spark, sf):
+    e = engine(spark, sf)
+    return analyse.dead_code(e.nodes, e.edges, limit=None).select("node_id")
+
+
+@_register("large_symbols", f"SELECT node_id, 1::INT AS lines FROM ({_SYMBOLS}) WHERE kind = 'method'")
+def _(spark, sf):
+    return analyse.large_symbols(engine(spark, sf).nodes, 1, "method", limit=None).select("node_id", "lines")
+
+
+@_register("symbol_search", f"SELECT node_id FROM ({_SYMBOLS}) WHERE lower(node_id) LIKE '%part\\_1%' ESCAPE '\\'")
+def _(spark, sf):
+    return search.search_symbols(engine(spark, sf).nodes, "PART_1").select("node_id")
+
+
+for _pattern, _near, _far, _extra in (
+    ("callers_of", "target_id", "source_id", ""), ("callees_of", "source_id", "target_id", ""), ("imports_of", "source_id", "target_id", " AND kind = 'imports'"),
+    ("importers_of", "target_id", "source_id", " AND kind = 'imports'"), ("tests_for", "target_id", "source_id", " AND source_id LIKE '%test%'"), ("inheritors_of", "target_id", "source_id", " AND kind = 'inherits'"),
+):
+    _register(_pattern, f"SELECT {_near} AS seed, {_far} AS hit, kind FROM ({_EDGES_SQL}) WHERE true{_extra}")(
+        lambda spark, sf, p=_pattern: search.edge_query(p, (e := engine(spark, sf)).nodes.select(F.col("node_id").alias("seed")), e.nodes, e.edges).select("seed", "hit", "kind")
+    )
+
+
+@_register("fts_search", f"SELECT q AS query_id, node_id FROM (SELECT 1 AS q, 'p_1' AS t UNION ALL SELECT 2, 'm_12') JOIN ({_SYMBOLS}) ON list_has_all(regexp_extract_all(lower(node_id), '[\\p{{L}}\\p{{N}}]+'), string_split(replace(t, '_', ' '), ' '))")
+def _(spark, sf):
+    n = engine(spark, sf).nodes
+    return search.full_text(search.inverted_index(n), n, spark.createDataFrame([(1, "p 1"), (2, "m 12")], "query_id int, query string"))
+
+
+@_register("rename_preview", f"SELECT node_id, 'P_7' AS old_name, 'Q_7' AS new_name FROM ({_SYMBOLS}) WHERE name = 'P_7'")
+def _(spark, sf):
+    return analyse.rename_preview(engine(spark, sf).nodes, "P_7", "Q_7").select("node_id", "old_name", "new_name")
+
+
+@_register("apply_rename", f"SELECT path, sha256(CASE WHEN file_ord = 7 THEN replace(source, 'P_7', 'Q_7') ELSE source END) AS sha256 FROM ({C3})")
+def _(spark, sf):
+    e = engine(spark, sf)
+    return analyse.apply_rename(e.corpus, analyse.rename_preview(e.nodes, "P_7", "Q_7")).select("path", F.sha2("source", 256).alias("sha256"))
+
+
+_CALLERS = f"SELECT split_part(target_id, '::', 1) AS path, count(*) AS callers FROM ({_EDGES_SQL}) GROUP BY 1"
+_HITS = f"SELECT path, len(regexp_extract_all(source, '(?i)\\b({_WORDS})\\b')) AS hits FROM ({C3})"
+_TESTED = f"SELECT DISTINCT x.path FROM (SELECT path, regexp_extract(path, '([^/]*).py$', 1) AS s FROM {_BASE}) x JOIN (SELECT path, regexp_extract(path, '([^/]*).py$', 1) AS s FROM {_BASE} WHERE k % 10 = 3) y ON x.path <> y.path AND (contains(y.s, 'test_' || x.s) OR contains(y.s, x.s || '_test'))"
+
+
+@_register("risk_index", f"""SELECT path, round(0.4 * least(1.0, coalesce(callers, 0) / 20) + 0.4 * least(1.0, hits / 5) + 0.2 * CASE WHEN t.path IS NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 4) AS risk_score, coalesce(callers, 0) AS callers, hits, t.path IS NOT NULL AS has_test
+FROM ({_HITS}) LEFT JOIN ({_CALLERS}) USING (path) LEFT JOIN (SELECT path, path AS p2 FROM ({_TESTED})) t USING (path)""".replace("t.path IS NULL", "p2 IS NULL").replace("t.path IS NOT NULL", "p2 IS NOT NULL"))
+def _(spark, sf):
+    return engine(spark, sf).risk().select("path", "risk_score", "callers", "hits", "has_test")
+
+
+_PARTS = f"SELECT node_id, t, count(*) AS tf, any_value(n) AS len FROM (SELECT node_id, len(ts) AS n, unnest(ts) AS t FROM (SELECT node_id, list_filter(list_transform(regexp_extract_all(name || ' ' || sig || ' ' || regexp_replace(node_id, '^(.*)::.*$', '\\1'), '[a-zA-Z][a-z]*|\\d+'), lambda x: lower(x)), lambda x: length(x) > 1) AS ts FROM (SELECT node_id, name, CASE kind WHEN 'module' THEN '__module__ ' WHEN 'class' THEN name || ' class ' || name WHEN 'method' THEN 'P_' || k || '.' || name || ' def ' || name || '(self, x: int) -> int' ELSE name || ' def ' || name || '(x: int) -> int' END AS sig FROM ({_SYMBOLS})))) GROUP BY node_id, t"
+
+
+@_register("tfidf", f"WITH p AS ({_PARTS}), d AS (SELECT t, count(*) AS df FROM p GROUP BY t) SELECT node_id, t AS token, round(tf / len * ln(((SELECT count(*) FROM ({_SYMBOLS})) + 1) / (df + 1)), 6) AS weight FROM p JOIN d USING (t)")
+def _(spark, sf):
+    return search.tfidf(engine(spark, sf).nodes)
+
+
+# Traversal ---------------------------------------------------------------------------------------
+
+
+def impact_sql(depth: int, dynamic: bool = True) -> str:
+    """Levels unrolled: candidates, then the next frontier, then rises of each file's score."""
+    keep = "" if dynamic else " WHERE kind <> 'dynamic_import'"
+    ctes = [
+        f"e AS (SELECT * FROM ({cv.GRAPH_EDGES}){keep})",
+        "inc AS (SELECT source_id AS node_id, target_id AS other, 0::BIGINT AS dir, kind, weight, edge_ord FROM e UNION ALL SELECT target_id, source_id, 1::BIGINT, kind, weight, edge_ord FROM e)",
+        f"r AS ({cv.REQUESTS})",
+        "f0 AS (SELECT request_id, changed || '::__module__' AS node_id, 1.0::DOUBLE AS score, []::BIGINT[] AS ord FROM r)",
+    ]
+    ups = ["SELECT request_id, changed AS path, 1.0::DOUBLE AS score, 0 AS lvl, []::BIGINT[] AS ord, 'directly changed' AS reason FROM r"]
+    for i in range(1, depth + 1):
+        ctes.append(f"c{i} AS (SELECT f.request_id, inc.other AS node_id, f.score * 0.7::DOUBLE * inc.weight AS score, list_concat(f.ord, [inc.dir, inc.edge_ord]) AS ord, CASE dir WHEN 0 THEN 'depends_on' ELSE 'caller' END || ' via ' || kind || ' (depth {i})' AS reason FROM f{i - 1} f JOIN inc USING (node_id))")
+        seen = " UNION ALL ".join(f"SELECT request_id, node_id FROM f{j}" for j in range(i))
+        ctes.append(f"f{i} AS (SELECT request_id, node_id, arg_min(score, ord) AS score, min(ord) AS ord FROM c{i} WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.request_id = c{i}.request_id AND s.node_id = c{i}.node_id) GROUP BY ALL)")
+        ups.append(f"SELECT request_id, replace(node_id, '::__module__', ''), score, {i}, ord, reason FROM c{i}")
+    ctes.append("u AS (" + " UNION ALL ".join(ups) + ")")
+    ctes.append("w AS (SELECT *, max(score) OVER (PARTITION BY request_id, path ORDER BY lvl, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u)")
+    return "WITH " + ", ".join(ctes) + " SELECT request_id::BIGINT AS request_id, path, round(max(score), 6) AS score, max(lvl)::INT AS depth, string_agg(reason, '|' ORDER BY lvl, ord) AS reasons FROM w WHERE before IS NULL OR score > before GROUP BY request_id, path"
+
+
+def _impact(depth: int, dynamic: bool = True):
+    def run(spark, sf):
+        nodes, edges = cv.spark_view(spark, sf, cv.GRAPH_NODES), cv.spark_view(spark, sf, cv.GRAPH_EDGES)
+        seeds = cv.spark_view(spark, sf, cv.REQUESTS).select(F.col("request_id").cast("long").alias("request_id"), F.col("changed").alias("path"))
+        out = ranked_neighbors(nodes, edges, seeds, depth, dynamic)
+        return out.select("request_id", "path", F.round("score", 6).alias("score"), "depth", F.array_join("reasons", "|").alias("reasons"))
+
+    return run
+
+
+for _d in (1, 2, 3):
+    _register(f"impact_radius_d{_d}", impact_sql(_d))(_impact(_d))
+_register("impact_no_dynamic", impact_sql(2, False))(_impact(2, False))
+
+
+@_register("degree", f"SELECT target_id AS node_id, kind, count(*) AS degree FROM ({cv.GRAPH_EDGES}) GROUP BY ALL")
+def _(spark, sf):
+    return cv.spark_view(spark, sf, cv.GRAPH_EDGES).groupBy(F.col("target_id").alias("node_id"), "kind").agg(F.count("*").alias("degree"))
+
+
+@_register("list_communities")
+def _(spark, sf):
+    e = engine(spark, sf)
+    return analyse.communities(e.files, e.edges).select("community_id", "label", "node_count", "dominant_language")
+
+
+@_register("flows")
+def _(spark, sf):
+    e = engine(spark, sf)
+    return analyse.flows(e.nodes, e.edges, max_depth=3)
+
+
+@_register("wiki_pages")
+def _(spark, sf):
+    return engine(spark, sf).query("generate_wiki")
+
+
+# Ranking and selection ---------------------------------------------------------------------------
+
+
+@_register("rank_files")
+def _(spark, sf):
+    return engine(spark, sf).ranked(requests(spark, sf)).select("request_id", "path", "score", "rank", F.array_join("reasons", "|").alias("reasons"), "depth", "output_mode")
+
+
+@_register("context_result")
+def _(spark, sf):
+    return engine(spark, sf).context(requests(spark, sf))[1]
+
+
+@_register("minimal_context")
+def _(spark, sf):
+    return engine(spark, sf).minimal().context(requests(spark, sf))[1]
+
+
+@_register("review_snippets")
+def _(spark, sf):
+    return engine(spark, sf).review(requests(spark, sf))
+
+
+@_register("detect_changes")
+def _(spark, sf):
+    return engine(spark, sf).query("detect_changes", requests=requests(spark, sf)).drop("reasons")
+
+
+@_register("greedy_budget", """WITH RECURSIVE o AS (
+  SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, greatest(1, length(text) // 4)::BIGINT AS tok, greatest(1, length(text) // 20)::BIGINT AS sig FROM documents
+), r AS (
+  SELECT DISTINCT g, 0::BIGINT AS pos, 0::BIGINT AS used, 0::BIGINT AS original, 0::BIGINT AS n, false AS stopped FROM o
+  UNION ALL
+  SELECT r.g, o.pos, r.used + CASE WHEN r.used + tok <= 20000 THEN tok WHEN r.used + sig <= 20000 THEN sig ELSE 0 END, r.original + tok, r.n + CASE WHEN r.used + tok <= 20000 OR r.used + sig <= 20000 THEN 1 ELSE 0 END,
+    r.used + CASE WHEN r.used + tok <= 20000 THEN tok WHEN r.used + sig <= 20000 THEN sig ELSE 0 END >= 20000 FROM r JOIN o ON o.g = r.g AND o.pos = r.pos + 1 WHERE NOT r.stopped
+) SELECT g AS request, arg_max(used, pos) AS used, arg_max(original, pos) AS original, arg_max(n, pos) AS n FROM r GROUP BY g""")
+def _(spark, sf):
+    docs = cv.table(spark, sf, "documents")
+    n = F.length("text")
+    size = lambda k: F.greatest(F.lit(1), F.floor(n / k)).cast("long")
+    rows = docs.select(F.col("source").alias("request_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("path"), size(4).alias("tok"), size(20).alias("sig_tok"), size(4).alias("orig"))
+    return greedy(rows, 20_000).select(F.col("request_id").alias("request"), "used", "original", F.size("picked").cast("long").alias("n"))
+
+
+# Comparison, control and evolution ---------------------------------------------------------------
+
+
+@_register("context_diff", "SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 THEN 'removed' ELSE 'kept' END AS state, CASE WHEN doc_id % 4 > 1 THEN 0.25::DOUBLE END AS delta FROM documents")
+def _(spark, sf):
+    d = cv.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"))
+    return compare.context_diff(d.where("doc_id % 4 <> 0").select("path", F.lit(0.25).alias("score")), d.where("doc_id % 4 <> 1").select("path", F.lit(0.5).alias("score")))
+
+
+@_register("validate_requests", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'a changed file has another extension' ELSE '' END AS messages FROM documents")
+def _(spark, sf):
+    d = cv.table(spark, sf, "documents")
+    reqs = d.select("doc_id", F.array(F.concat(F.lit("a"), F.when(F.col("source").isin("src0", "src1"), ".js").otherwise(".py"))).alias("changed_files"), F.lit("look").alias("query"))
+    rules = compare.RequestRules().require_changed_files().require_max_files(3).require_extensions({".py"}).require_no_secrets()
+    return rules.validate(reqs).select("doc_id", F.array_join(F.transform("violations", lambda v: v["message"]), "|").alias("messages"))
+
+
+_LOG = "SELECT user_id AS key, epoch_us(ts) / 1000000.0 AS t, event_id AS id, event_type = 'error' AS failed FROM events"
+
+
+def _log(spark, sf) -> DataFrame:
+    e = cv.table(spark, sf, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    return e.select(F.col("user_id").alias("key"), t.alias("t"), F.col("event_id").alias("id"), F.lit(1.0).alias("n"), (F.col("event_type") == "error").alias("failed"))
+
+
+_ORDERED = f"o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS pos FROM ({_LOG}))"
+
+
+@_register("rate_limiter_batch", f"""WITH RECURSIVE {_ORDERED}, r AS (
+  SELECT key, pos, t, 1.0::DOUBLE AS tokens, 1::BIGINT AS granted, 0::BIGINT AS denied FROM o WHERE pos = 1
+  UNION ALL SELECT o.key, o.pos, o.t, least(2.0, tokens + (o.t - r.t) * 0.0005) - CASE WHEN least(2.0, tokens + (o.t - r.t) * 0.0005) >= 1 THEN 1 ELSE 0 END, granted + CASE WHEN least(2.0, tokens + (o.t - r.t) * 0.0005) >= 1 THEN 1 ELSE 0 END, denied + CASE WHEN least(2.0, tokens + (o.t - r.t) * 0.0005) >= 1 THEN 0 ELSE 1 END
+  FROM r JOIN o ON o.key = r.key AND o.pos = r.pos + 1
+) SELECT key, arg_max(granted, pos) AS granted, arg_max(denied, pos) AS denied FROM r GROUP BY key""")
+def _(spark, sf):
+    return control.token_bucket(_log(spark, sf), 0.0005, 2.0).select("key", "granted", "denied")
+
+
+@_register("circuit_breaker_batch", f"""WITH RECURSIVE {_ORDERED}, r AS (
+  SELECT key, 0::BIGINT AS pos, 'closed' AS state, 0 AS failures, 0.0::DOUBLE AS since, 0::BIGINT AS passed, 0::BIGINT AS rejected, 0::BIGINT AS opened FROM o WHERE pos = 1
+  UNION ALL
+  SELECT key, pos, CASE WHEN st = 'open' THEN 'open' WHEN trips THEN 'open' WHEN failed THEN st ELSE 'closed' END, fl, CASE WHEN trips THEN t ELSE since END, passed + CASE WHEN st = 'open' THEN 0 ELSE 1 END, rejected + CASE WHEN st = 'open' THEN 1 ELSE 0 END, opened + CASE WHEN trips THEN 1 ELSE 0 END
+  FROM (SELECT *, st <> 'open' AND failed AND (st = 'half_open' OR fl >= 2) AS trips FROM (SELECT *, CASE WHEN st = 'open' THEN failures WHEN failed THEN failures + 1 ELSE 0 END AS fl
+    FROM (SELECT o.key, o.pos, o.t, o.failed, r.failures, r.since, r.passed, r.rejected, r.opened, CASE WHEN r.state = 'open' AND o.t - r.since >= 3600 THEN 'half_open' ELSE r.state END AS st FROM r JOIN o ON o.key = r.key AND o.pos = r.pos + 1)))
+) SELECT key, arg_max(state, pos) AS state, arg_max(passed, pos) AS passed, arg_max(rejected, pos) AS rejected, arg_max(opened, pos) AS opened FROM r GROUP BY key""")
+def _(spark, sf):
+    return control.circuit_breaker(_log(spark, sf), 2, 3600.0)
+
+
+@_register("cache_simulation", f"""WITH RECURSIVE {_ORDERED}, r AS (
+  SELECT key, pos, t AS held, 0::BIGINT AS hits, 1::BIGINT AS misses FROM o WHERE pos = 1
+  UNION ALL SELECT o.key, o.pos, CASE WHEN o.t - held <= 86400 THEN held ELSE o.t END, hits + CASE WHEN o.t - held <= 86400 THEN 1 ELSE 0 END, misses + CASE WHEN o.t - held <= 86400 THEN 0 ELSE 1 END FROM r JOIN o ON o.key = r.key AND o.pos = r.pos + 1
+) SELECT key, arg_max(hits, pos) AS hits, arg_max(misses, pos) AS misses FROM r GROUP BY key""")
+def _(spark, sf):
+    return control.cache_hits(_log(spark, sf), 86_400.0)
+
+
+@_register("retry_schedule", "SELECT r_regionkey, '0.5|1.0|2.0|3.0' AS delays FROM region")
+def _(spark, sf):
+    return cv.table(spark, sf, "region").select("r_regionkey", F.array_join(control.retry_delays(5, 0.5, 3.0).cast("array<string>"), "|").alias("delays"))
+
+
+@_register("schema_evolution", "SELECT r_regionkey, upper(r_name) AS name, length(r_name)::INT AS size, 3 AS version FROM region")
+def _(spark, sf):
+    evo = SchemaEvolution(3)
+    evo.register(1, 2, lambda d: d.withColumn("name", F.upper("r_name")).drop("r_name"), "upper-case names")
+    evo.register(2, 3, lambda d: d.withColumn("size", F.length("name")), "add sizes")
+    out, _audit = evo.migrate(cv.table(spark, sf, "region"), 1)
+    return out.withColumnRenamed("__schema_version__", "version")
+
+
+@_register("cross_repo_search", f"SELECT repo, path FROM ({C1}) WHERE path LIKE '%doc\\_1%' ESCAPE '\\' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 5")
+def _(spark, sf):
+    from pyspark.sql.window import Window
+
+    hits = _docs(spark, sf).where(F.contains("path", F.lit("doc_1")))
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("r <= 5").select("repo", "path")
