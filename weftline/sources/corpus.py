@@ -35,7 +35,7 @@ GRAPH_EDGES = """
 SELECT source_id, target_id, kind, weight, ord AS edge_ord FROM (
   SELECT 'order/' || CAST(l_orderkey AS STRING) || '::__module__' AS source_id, 'part/' || CAST(l_partkey AS STRING) || '::__module__' AS target_id,
     CASE l_returnflag WHEN 'N' THEN 'imports' WHEN 'A' THEN 'inherits' ELSE 'dynamic_import' END AS kind,
-    CASE l_returnflag WHEN 'N' THEN CAST(1.0 AS DOUBLE) WHEN 'A' THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS weight, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey % 1000000 AS ord FROM {lineitem}
+    CASE l_returnflag WHEN 'N' THEN CAST(1.0 AS DOUBLE) WHEN 'A' THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS weight, ((l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey % 1000000) * 4 + CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS ord FROM {lineitem}
   UNION ALL SELECT DISTINCT 'part/' || CAST(l_partkey AS STRING) || '::__module__', 'supp/' || CAST(l_suppkey AS STRING) || '::__module__', 'decorates', CAST(0.8 AS DOUBLE), 4000000000000000000 + l_partkey * 1000000 + l_suppkey FROM {lineitem}
 ) AS e
 """
