@@ -185,8 +185,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, rep, c (its group) of the buckets that hold several groups."""
-    known = members.join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    """key, i, j, rep, c (its group) of the buckets that hold several groups."""
+    known = members.join(comp, members["rep"] == comp["node"], "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     return known.join(mixed, "key")
 
@@ -215,6 +215,11 @@ def _reaches(n: str, common: str, n2: str, common2: str, percent: int):
     return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
 
 
+def _first_equal(a: str, b: str):
+    """Position of the first half key that two documents share (both arrays have the same length)."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     sig = staged(signatures(docs), "minhash")
@@ -226,10 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     reps = staged(reps, "classes")
     keyed = reps.select("rep", F.posexplode("left").alias("i", "l"), "right").select("rep", "i", "l", F.posexplode("right").alias("j", "r"))
-    keyed = keyed.select("rep", F.xxhash64("i", "j", "l", "r").alias("key"))
+    keyed = keyed.select("rep", "i", "j", F.xxhash64("i", "j", "l", "r").alias("key"))
     stats = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     # Members of buckets that hold several classes, with the bucket's smallest id.
-    members = staged(keyed.join(stats.select("key", "low"), "key").select("key", "rep", "low"), "buckets")
+    members = staged(keyed.join(stats.select("key", "low"), "key").select("key", "i", "j", "rep", "low"), "buckets")
     tested = staged(members.where("rep > low").select(F.col("low").alias("src"), F.col("rep").alias("dst")).distinct(), "candidates")
     repeated = bool(sig.groupBy("doc_id").count().where("count > 1").limit(1).count())
     texts = texts_of(docs, members.select(F.col("rep").alias("node")), repeated)
@@ -246,10 +251,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         star = staged(star, "star-candidates")
         links = links.unionByName(staged(confirmed(star, texts, percent), "star-confirmed"))
         comp = staged(components(links), "components")
-        rest = staged(_open(members, comp).join(common, "rep"), "open-buckets")
-        a = rest.select("key", F.col("rep").alias("src"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("common").alias("oa"))
-        b = rest.select("key", F.col("rep").alias("dst"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("ob"))
-        more = a.join(b, "key").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _reaches("na", "oa", "nb", "ob", percent))
+        rest = staged(_open(members, comp).join(common, "rep").join(reps.select("rep", "left", "right"), "rep"), "open-buckets")
+        a = rest.select("key", "i", "j", *(F.col(x).alias(y) for x, y in (("rep", "src"), ("c", "ca"), ("n", "na"), ("common", "oa"), ("left", "la"), ("right", "ra"))))
+        b = rest.select("key", *(F.col(x).alias(y) for x, y in (("rep", "dst"), ("c", "cb"), ("n", "nb"), ("common", "ob"), ("left", "lb"), ("right", "rb"))))
+        # A pair is formed in the first table that it shares, and only there.
+        first = (F.col("i") == _first_equal("la", "lb")) & (F.col("j") == _first_equal("ra", "rb"))
+        more = a.join(b, "key").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _reaches("na", "oa", "nb", "ob", percent) & first)
         more = more.select("src", "dst").distinct().join(tested, ["src", "dst"], "left_anti").join(star, ["src", "dst"], "left_anti")
         extra = staged(confirmed(staged(more, "cross-candidates"), texts, percent), "cross-confirmed")
         if extra.limit(1).count():
