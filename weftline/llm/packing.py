@@ -53,6 +53,25 @@ class Encoder:
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.cache: dict[str, bytes] = {}
         self.end = struct.pack("<I", END)
+        vocabulary = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, new: list[str]) -> None:
+        """Add words to the cache; those of letters alone are encoded together and cut at word ends."""
+        plain = [w for w in new if w.isalpha()]
+        if plain:
+            ids = np.array(self.encode([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(plain, ends.tolist(), strict=True):
+                    self.cache[w] = raw[at:end]
+                    at = end
+                new = [w for w in new if w not in self.cache]
+        if new:
+            for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
+                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -69,8 +88,7 @@ class Encoder:
             if len(cache) + len(new) > _CACHE_WORDS:
                 cache.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self._learn(new)
         return np.frombuffer(b"".join(map(cache.__getitem__, words)) + self.end, "<u4")
 
 
