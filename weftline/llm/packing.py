@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 CAPACITY, END = 4096, 2
 GROUP_TOKENS, MIN_GAP = 2_000_000, 16
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 700_000
 #: Commas and full stops that touch other punctuation; letters whose lower case depends on their place.
 _RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]"), re.compile("[\u03a3\u0130]")
-_ODD = re.compile("[\x1c-\x1f]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+_ODD, _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>"), re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
@@ -52,6 +52,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.end = struct.pack("<I", END)
         vocabulary = self.tok.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
@@ -76,19 +77,23 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([END], np.uint32)
-        if _ODD.search(text):
+        if "<|" in text and _ODD.search(text) or _CONTROL.search(text):
             return np.array([*self.tok.encode(text, add_special_tokens=False).ids, END], np.uint32)
         if not _RUN.search(text):
             text = text.replace(",", " , ").replace(".", " . ")
-        if not _CASED.search(text) and unicodedata.is_normalized("NFC", text):
+        if text.isascii() or not _CASED.search(text) and unicodedata.is_normalized("NFC", text):
             text = text.lower()  # the same as the tokenizer's own, letter by letter
         words, cache = text.split(), self.cache
         new = [w for w in set(words) if w not in cache]
         if new:
-            if len(cache) + len(new) > _CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            self._learn(new)
+            if len(cache) + len(new) > _CACHE_WORDS // 2:  # the older half goes, its frequent words come back
+                self.old, self.cache = cache, {}
+                cache, new = self.cache, list(set(words))
+            old = self.old
+            for w in new:
+                if w in old:
+                    cache[w] = old[w]
+            self._learn([w for w in new if w not in cache])
         return np.frombuffer(b"".join(map(cache.__getitem__, words)) + self.end, "<u4")
 
 
