@@ -35,8 +35,13 @@ CAPACITY, END = 4096, 2
 GROUP_TOKENS, MIN_GAP = 2_000_000, 16
 _CACHE_WORDS = 700_000
 #: Commas and full stops that touch other punctuation; letters whose lower case depends on their place.
-_RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]"), re.compile("[\u03a3\u0130]")
-_ODD, _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>"), re.compile("[\x1c-\x1f]")
+_RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))"), re.compile("[Σİ]")
+_ODD, _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>"), "\x1c\x1d\x1e\x1f"
+#: The tokenizer's own runs of a word that has no apostrophe: letters, single digits, the rest.
+_PART = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LETTER = re.compile(r"[^\W_]")
+#: Texts are encoded together up to this many characters, so that their new words are learned at once.
+_TOGETHER = 1_000_000
 
 
 class Encoder:
@@ -47,10 +52,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        # For runs that are set apart by spaces and normalised already, the same model without that work.
+        quick = Tokenizer.from_file(path)
+        quick.normalizer = None
+        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.quick = getattr(quick, "encode_batch_fast", quick.encode_batch)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.end = struct.pack("<I", END)
@@ -58,43 +68,66 @@ class Encoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
     def _learn(self, new: list[str]) -> None:
-        """Add words to the cache; those of letters alone are encoded together and cut at word ends."""
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = np.array(self.encode([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        """Add words to the cache: their runs are encoded together and the ids cut at word ends."""
+        known, counts, parts = [], [], []
+        for w in new:
+            runs = [w] if w.isalpha() else [] if "'" in w else _PART.findall(w)
+            if runs and all(x.isalpha() or x.isdecimal() or not _LETTER.search(x) for x in runs):
+                known.append(w)
+                counts.append(len(runs))
+                parts += runs
+        if parts:
+            line = " ".join(parts)
+            if (line.isascii() or unicodedata.is_normalized("NFC", line)) and line == line.lower():
+                ids = self.quick([line], add_special_tokens=False)[0].ids
+            else:
+                ids = self.encode([line], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
-            if len(ends) == len(plain):
+            if len(ends) == len(parts):
                 raw, at = ids.tobytes(), 0
-                for w, end in zip(plain, ends.tolist(), strict=True):
+                for w, end in zip(known, ends[np.cumsum(counts) - 1].tolist(), strict=True):
                     self.cache[w] = raw[at:end]
                     at = end
-                new = [w for w in new if w not in self.cache]
-        if new:
-            for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w in new:
+            if w not in self.cache:
+                self.cache[w] = self._whole(w)
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def _words(self, text: str | None) -> list[str] | None:
+        """Words whose ids make up the text's ids; None for a text that is encoded whole."""
         if not text:
-            return np.array([END], np.uint32)
-        if "<|" in text and _ODD.search(text) or _CONTROL.search(text):
-            return np.array([*self.tok.encode(text, add_special_tokens=False).ids, END], np.uint32)
+            return []
+        if "<|" in text and _ODD.search(text) or any(c in text for c in _CONTROL):
+            return None
         if not _RUN.search(text):
             text = text.replace(",", " , ").replace(".", " . ")
         if text.isascii() or not _CASED.search(text) and unicodedata.is_normalized("NFC", text):
             text = text.lower()  # the same as the tokenizer's own, letter by letter
-        words, cache = text.split(), self.cache
-        new = [w for w in set(words) if w not in cache]
+        return text.split()
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, ``END`` included."""
+        split = [self._words(t) for t in texts]
+        seen = set().union(*(w for w in split if w))
+        new = seen.difference(self.cache)
         if new:
-            if len(cache) + len(new) > _CACHE_WORDS // 2:  # the older half goes, its frequent words come back
-                self.old, self.cache = cache, {}
-                cache, new = self.cache, list(set(words))
+            if self.cache and len(self.cache) + len(new) > _CACHE_WORDS // 2:  # the older half goes, its frequent words come back
+                self.old, self.cache, new = self.cache, {}, seen
             old = self.old
-            for w in new:
-                if w in old:
-                    cache[w] = old[w]
-            self._learn([w for w in new if w not in cache])
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)) + self.end, "<u4")
+            if old:
+                back = new.intersection(old)
+                self.cache.update((w, old[w]) for w in back)
+                new = new - back
+            self._learn(list(new))
+        get = self.cache.__getitem__
+        return [np.frombuffer((self._whole(t) if w is None else b"".join(map(get, w))) + self.end, "<u4") for t, w in zip(texts, split, strict=True)]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
 
 
 class Tournament:
@@ -185,6 +218,20 @@ def pack(lengths: list[int], capacity: int = CAPACITY, min_gap: int = MIN_GAP) -
 _FIELDS = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """Ids and texts of consecutive rows, about ``_TOGETHER`` characters (or one longer text) at a time."""
+    names, texts, size = [], [], 0
+    for d, text in zip(batch.column(0), batch.column(1), strict=True):
+        names.append(d.as_py())
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= _TOGETHER:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
     schema = pa.schema([*_FIELDS, *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
@@ -214,13 +261,13 @@ def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for d, text in zip(batch.column(0), batch.column(1), strict=True):
-                x = enc.ids(text.as_py())
-                if held and held + len(x) > group_tokens:
-                    yield flush()
-                ids.append(d.as_py())
-                docs.append(x)
-                held += len(x)
+            for names, texts in _portions(batch):
+                for d, x in zip(names, enc.many(texts), strict=True):
+                    if held and held + len(x) > group_tokens:
+                        yield flush()
+                    ids.append(d)
+                    docs.append(x)
+                    held += len(x)
         if docs:
             yield flush()
 
