@@ -20,6 +20,7 @@ documents of their own; null ``doc_id`` is kept as null; other columns are ignor
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import unicodedata
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END = 4096, 2
 GROUP_TOKENS, MIN_GAP = 2_000_000, 16
-_CACHE_WORDS = 700_000
+_CACHE_WORDS = 1_000_000
 #: Commas and full stops that touch other punctuation; letters whose lower case depends on their place.
 _RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))"), re.compile("[Σİ]")
 _ODD, _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>"), "\x1c\x1d\x1e\x1f"
@@ -73,13 +74,17 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Add words to the cache: their runs are encoded together and the ids cut at word ends."""
-        known, counts, parts = [], [], []
-        for w in new:
-            runs = [w] if w.isalpha() else [] if "'" in w else _PART.findall(w)
-            if runs and all(x.isalpha() or x.isdecimal() or not _LETTER.search(x) for x in runs):
-                known.append(w)
-                counts.append(len(runs))
-                parts += runs
+        parts = known = [w for w in new if w.isalpha()]
+        counts = [1] * len(known)
+        if len(known) < len(new):
+            parts, known = parts.copy(), known.copy()
+            for w in new:
+                if not w.isalpha() and "'" not in w:
+                    runs = _PART.findall(w)
+                    if all(x.isalpha() or x.isdecimal() or not _LETTER.search(x) for x in runs):
+                        known.append(w)
+                        counts.append(len(runs))
+                        parts += runs
         if parts:
             line = " ".join(parts)
             if (line.isascii() or unicodedata.is_normalized("NFC", line)) and line == line.lower():
@@ -89,10 +94,8 @@ class Encoder:
             ids = np.array(ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(ends) == len(parts):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(known, ends[np.cumsum(counts) - 1].tolist(), strict=True):
-                    self.cache[w] = raw[at:end]
-                    at = end
+                raw, cuts = ids.tobytes(), [0, *ends[np.cumsum(counts) - 1].tolist()]
+                self.cache.update(zip(known, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
         for w in new:
             if w not in self.cache:
                 self.cache[w] = self._whole(w)
@@ -130,6 +133,12 @@ class Encoder:
         return self.many([text])[0]
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder; the next tasks of the process find its words known."""
+    return Encoder(path)
+
+
 class Tournament:
     """Bins in order of opening; finds the first with at least ``need`` free, opening one if none has."""
 
@@ -238,7 +247,7 @@ def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = Encoder(path)
+        enc = encoder(path)
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         docs: list[np.ndarray] = []
