@@ -26,6 +26,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ GROUP_TOKENS, MIN_GAP = 2_000_000, 16
 _CACHE_WORDS = 1_000_000
 #: Commas and full stops that touch other punctuation; letters whose lower case depends on their place.
 _RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))"), re.compile("[Σİ]")
-_ODD, _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>"), "\x1c\x1d\x1e\x1f"
+_ODD = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: The tokenizer's own runs of a word that has no apostrophe: letters, single digits, the rest.
 _PART = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _LETTER = re.compile(r"[^\W_]")
@@ -104,7 +105,7 @@ class Encoder:
         """Words whose ids make up the text's ids; None for a text that is encoded whole."""
         if not text:
             return []
-        if "<|" in text and _ODD.search(text) or any(c in text for c in _CONTROL):
+        if "<|" in text and _ODD.search(text) or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return None
         if not _RUN.search(text):
             text = text.replace(",", " , ").replace(".", " . ")
@@ -115,11 +116,11 @@ class Encoder:
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, ``END`` included."""
         split = [self._words(t) for t in texts]
-        seen = set().union(*(w for w in split if w))
-        new = seen.difference(self.cache)
+        new = set(filterfalse(self.cache.__contains__, chain.from_iterable(w for w in split if w)))
         if new:
             if self.cache and len(self.cache) + len(new) > _CACHE_WORDS // 2:  # the older half goes, its frequent words come back
-                self.old, self.cache, new = self.cache, {}, seen
+                self.old, self.cache = self.cache, {}
+                new = set().union(*(w for w in split if w))
             old = self.old
             if old:
                 back = new.intersection(old)
@@ -259,7 +260,7 @@ def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
             cols: list[list] = [[] for _ in schema]
             for d, at, n, seq, offset in pieces:
                 part = docs[d][at : at + n]
-                for c, v in zip(cols, (ids[d], at, n, zlib.crc32(part.astype("<u4").tobytes()), len(docs[d]), base + seq, offset), strict=False):
+                for c, v in zip(cols, (ids[d], at, n, zlib.crc32(part), len(docs[d]), base + seq, offset), strict=False):
                     c.append(v)
                 if keep_ids:
                     cols[-1].append(part.astype(np.int32))
