@@ -212,6 +212,15 @@ def test_op10_slots(spark):
     assert got.get(1) == "exact" and got.get(2) == "reparameterised" and not {4, 5} & set(got)
 
 
+def test_op10_names_and_short_items(spark):
+    item = "Tom has 5 apples. Mary gives him 3 more apples. How many apples does Tom have now?"
+    again = "Paul has 7 apples. Lucy gives him 4 more apples. How many apples does Paul have now?"
+    rows = [(1, item), (2, again), (3, "Now: what is 12 + 30 * 4? Tell me."), (4, "Tell me what is 7 + 8 * 9 please"), (5, "they said: Yes, sir"), (6, "what is that of 12"), (7, None), (8, "yes sir")]
+    bench = [(1, item), (2, "What is 12 + 30 * 4?"), (3, "Yes, sir"), (4, "12 + 5"), (5, "")]
+    out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in out} == {(1, 1, "exact"), (2, 1, "reparameterised"), (3, 2, "exact"), (4, 2, "reparameterised"), (5, 3, "exact"), (8, 3, "exact")}
+
+
 def test_awkward_tables(spark, odd):
     """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables."""
     import public_tokenizers

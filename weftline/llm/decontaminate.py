@@ -9,8 +9,18 @@ the values are equal (or there are none) the copy is ``exact``; if every value o
 replaced by one value of the document throughout, it is ``reparameterised``; if neither holds
 for ``SHARE`` of the windows or slots, the pair is no leak.
 
-Defined results: null and empty texts have no windows and match nothing, nor do texts and items
-of fewer than five tokens; repeated rows of one ``doc_id`` count as one document; repeated
+Pairs that are no leak so far are looked at again in the open form, where every capitalised word
+is a name wherever it stands, so names at sentence starts can be replaced too. Items that miss
+windows for want of ordinary words (in the open form: more than ``1 - SHARE`` of them) or tokens
+are looked for by their whole template, as one run of tokens that counts as one window; a copy
+with other values needs five tokens and an ordinary word, a shorter one must be ``exact``.
+
+Known limits: a word that starts a sentence in the item and stands in lower case in the document
+matches in the first form only, so an item with such a word and a renamed sentence start is
+found only while ``SHARE`` of the windows agree in one form. Signs such as + are no tokens.
+``OP10_SQL`` covers the first form only; it has no rows of the open form or of whole templates.
+
+Defined results: null and empty texts have no windows and match nothing; repeated rows of one ``doc_id`` count as one document; repeated
 items are reported once; null ``doc_id`` and ``item_id`` are left out; other columns are ignored.
 """
 
@@ -22,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import let, staged
 
 WIDTH, MIN_LITERAL, SHARE = 5, 3, 0.8
+#: Forms of a template, as bits: names inside sentences, or every capitalised word as a name.
+STRICT, OPEN = 1, 2
 #: Windows of a benchmark that are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 500_000
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
@@ -39,8 +51,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
 
-def _template(token: Column) -> Column:
-    return F.when(F.startswith(token, F.lit("\x01")), F.substring(token, 1, 2)).otherwise(F.lower(token))
+def _capital(token: Column) -> Column:
+    return ((token >= "A") & (token < "[")) | ((token >= "À") & (token < "ß"))
 
 
 def _codes(toks: Column) -> Column:
@@ -48,23 +60,45 @@ def _codes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.when(F.startswith(t, F.lit("\x01")), F.shiftleft(F.xxhash64(F.substring(t, 1, 2)), 1)).otherwise(F.xxhash64(F.lower(t)).bitwiseOR(F.lit(1))))
 
 
-def _windows(codes: Column) -> Column:
-    """Hash of each window, null where it has too few ordinary words."""
+def _open_codes(toks: Column, codes: Column) -> Column:
+    """The codes with every capitalised word, wherever it stands, as a name."""
+    name = F.shiftleft(F.xxhash64(F.lit("\x01p")), 1)
+    return F.zip_with(toks, codes, lambda t, c: F.when(_capital(t), name).otherwise(c))
 
-    def window(i: Column) -> Column:
-        own = [F.get(codes, i + k) for k in range(WIDTH)]
-        literal = own[0].bitwiseAND(F.lit(1))
-        for x in own[1:]:
-            literal = literal + x.bitwiseAND(F.lit(1))
-        return F.when(literal >= MIN_LITERAL, F.xxhash64(*own))
 
-    return F.transform(F.sequence(F.lit(0), F.size(codes) - WIDTH), window)
+def _both_codes(toks: Column, body) -> Column:
+    """``body(codes, open codes)`` of an array of tokens."""
+    return let(_codes(toks), lambda c: let(_open_codes(toks, c), lambda o: body(c, o)))
 
 
-def windows(toks: Column) -> Column:
-    """Window hashes of an array of tokens, by position."""
-    found = let(_codes(toks), _windows)
-    return F.when(F.size(toks) >= WIDTH, found).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _slots(toks: Column, form: int) -> Column:
+    """The values of the slots among some tokens, in order."""
+    if form == OPEN:
+        toks = F.transform(toks, lambda t: F.when(_capital(t), F.concat(F.lit("\x01p"), t)).otherwise(t))
+    return F.transform(F.filter(toks, lambda t: F.startswith(t, F.lit("\x01"))), lambda t: F.lower(F.substring(t, 2, 1_000_000)))
+
+
+def _window(codes: Column, i: Column, width: int = WIDTH) -> tuple[Column, Column]:
+    """(hash with two free low bits, number of ordinary words) of the window at ``i``."""
+    own = [F.get(codes, i + k) for k in range(width)]
+    literal = own[0].bitwiseAND(F.lit(1))
+    for x in own[1:]:
+        literal = literal + x.bitwiseAND(F.lit(1))
+    return F.shiftleft(F.xxhash64(*own), 2), literal
+
+
+def windows(toks: Column, width: int = WIDTH) -> Column:
+    """Hashes of the windows of an array of tokens, then those of the windows with capitalised words
+    in the open form; the low bits tell the forms of items that each may match."""
+
+    def found(codes: Column, opened: Column) -> Column:
+        last = F.size(codes) - width
+        spots = F.filter(F.transform(toks, lambda t, j: F.when(_capital(t), j)), lambda j: j.isNotNull())
+        near = F.array_distinct(F.flatten(F.transform(F.filter(spots, lambda j: j - (width - 1) <= last), lambda j: F.sequence(F.greatest(j - (width - 1), F.lit(0)), F.least(j, last)))))
+        hashes = lambda c, at, bits: F.transform(at, lambda i: _window(c, i, width)[0].bitwiseOR(F.lit(bits)))
+        return F.concat(hashes(codes, F.sequence(F.lit(0), last), STRICT | OPEN), hashes(opened, near, OPEN))
+
+    return F.when(F.size(toks) >= width, _both_codes(toks, found)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _tokenised(rows: DataFrame, key: str) -> DataFrame:
@@ -72,36 +106,54 @@ def _tokenised(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), tokens(F.col("text")).alias("toks"))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, win, slots: every window of every item with the values of its slots, in order."""
-    return _located(_tokenised(benchmark, "item_id"), "item_id").distinct()
+def _located(rows: DataFrame, key: str, form: int) -> DataFrame:
+    """key, win, slots: every window with enough ordinary words, and the values of its slots."""
 
+    def located(codes: Column, opened: Column) -> Column:
+        def at(i: Column) -> Column:
+            win, literal = _window(opened if form == OPEN else codes, i)
+            return F.when(literal >= MIN_LITERAL, F.struct(win.alias("win"), _slots(F.slice("toks", i + 1, WIDTH), form).alias("slots")))
 
-def _located(rows: DataFrame, key: str) -> DataFrame:
-    def located(toks: Column) -> Column:
-        slot = lambda t: F.startswith(t, F.lit("\x01"))
-        slots = lambda i: F.transform(F.filter(F.slice(toks, i + 1, WIDTH), slot), lambda t: F.lower(F.substring(t, 2, 1_000_000)))
-        return F.transform(windows(toks), lambda w, i: F.struct(w.alias("win"), F.when(w.isNotNull(), slots(i)).alias("slots")))
+        return F.transform(F.sequence(F.lit(0), F.size(codes) - WIDTH), at)
 
-    rows = rows.select(key, F.explode(let(F.col("toks"), located)).alias("x")).where("x.win is not null")
+    rows = rows.where(F.size("toks") >= WIDTH)
+    rows = rows.select(key, F.explode(_both_codes(F.col("toks"), located)).alias("x")).where("x is not null")
     return rows.select(key, "x.win", "x.slots")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, n_exact, n_slots, n_consistent, kind: a row per leak."""
-    items = staged(item_windows(benchmark), "item-windows")
+def _item_forms(benchmark: DataFrame) -> DataFrame:
+    """item_id, form, toks, codes, n_places, n_literal, at, anchor: a row per item, text and form.
+
+    ``at`` is the place of the window of the most ordinary words and ``anchor`` its hash, for
+    items of fewer than ``WIDTH`` tokens that of them all.
+    """
+    rows = _tokenised(benchmark, "item_id").where(F.size("toks") > 0)
+    rows = rows.select("item_id", "toks", F.explode(_both_codes(F.col("toks"), lambda c, o: F.array(F.struct(F.lit(STRICT).alias("form"), c.alias("codes")), F.struct(F.lit(OPEN).alias("form"), o.alias("codes"))))).alias("x"))
+    rows = rows.select("item_id", "toks", "x.form", "x.codes")
+    literal = lambda codes: F.aggregate(codes, F.lit(0), lambda n, c: n + c.bitwiseAND(F.lit(1)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("codes") - WIDTH, F.lit(0))), lambda i: literal(F.slice("codes", i + 1, WIDTH)))
+    rows = rows.withColumn("counts", counts).withColumn("n_places", F.greatest(F.size("codes") - WIDTH + 1, F.lit(0)))
+    rows = rows.withColumn("n_literal", F.when(F.col("n_places") > 0, F.size(F.filter("counts", lambda n: n >= MIN_LITERAL))).otherwise(0))
+    rows = rows.withColumn("at", (F.array_position("counts", F.array_max("counts")) - 1).cast("int"))
+    anchor = F.when(F.size("codes") >= WIDTH, _window(F.col("codes"), F.col("at"))[0])
+    for n in range(1, WIDTH):
+        anchor = anchor.when(F.size("codes") == n, _window(F.col("codes"), F.lit(0), n)[0])
+    return rows.withColumn("anchor", anchor).drop("counts")
+
+
+def _by_windows(docs: DataFrame, found: DataFrame, items: DataFrame, form: int, share: float, near, done: DataFrame | None) -> DataFrame:
+    """Leaks whose windows match in one form, without the pairs in ``done``."""
     sizes = items.groupBy("item_id").agg(F.countDistinct("win").alias("n_windows"))
-    wanted = items.select("win").distinct()
-    small = items.count() <= BROADCAST_WINDOWS
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    rows = _tokenised(docs, "doc_id").select("doc_id", F.explode(let(F.col("toks"), windows)).alias("win"))
-    found = rows.join(near(wanted), "win")
-    found = staged(found.distinct(), "matched-windows")
-    pairs = found.join(near(items.select("item_id", "win").distinct()), "win").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
-    pairs = staged(pairs.join(near(sizes), "item_id").where(F.col("n_matched") >= share * F.col("n_windows")), "leak-candidates")
+    own = found.where(F.col("form").bitwiseAND(F.lit(form)) > 0).select("doc_id", "win").distinct()
+    pairs = own.join(near(items.select("item_id", "win").distinct()), "win").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
+    pairs = pairs.join(near(sizes), "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
+    pairs = staged(pairs.join(done.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti") if done is not None else pairs, "leak-candidates")
     # Slots: only documents and items of candidate pairs are cut into windows with values again.
     again = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    own = _located(_tokenised(again, "doc_id"), "doc_id").withColumnRenamed("slots", "doc_slots").distinct()
+    again = _tokenised(again, "doc_id")
+    own = _located(again, "doc_id", STRICT)
+    own = own if form == STRICT else own.unionByName(_located(again, "doc_id", OPEN))
+    own = own.withColumnRenamed("slots", "doc_slots").distinct()
     both = own.join(pairs.select("doc_id", "item_id"), "doc_id").join(near(items), ["item_id", "win"])
     both = staged(both, "leak-windows")
     exact = both.where(F.col("slots") == F.col("doc_slots")).groupBy("doc_id", "item_id").agg(F.countDistinct("win").alias("n_exact"))
@@ -114,6 +166,57 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     return out.withColumn("kind", kind).where("kind is not null")
 
 
+def _by_whole(docs: DataFrame, found: DataFrame, items: DataFrame, share: float, near, done: DataFrame) -> DataFrame:
+    """Leaks of ``items`` whose whole template stands in a document, without the pairs in ``done``."""
+    own = found.join(near(items.select("item_id", F.col("form").alias("of"), F.col("anchor").alias("win"))), "win").where(F.col("form").bitwiseAND(F.col("of")) > 0)
+    pairs = staged(own.select("doc_id", "item_id").distinct().join(done.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"), "whole-candidates")
+    again = _tokenised(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").withColumnRenamed("toks", "doc_toks")
+    both = again.join(pairs, "doc_id").join(near(items), "item_id")
+    length = F.size("codes")
+
+    def places(codes: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(codes) - length)
+        return F.filter(at, lambda i: (F.get(codes, i + F.col("at")) == F.get("codes", "at")) & (F.slice(codes, i + 1, length) == F.col("codes")))
+
+    here = _both_codes(F.col("doc_toks"), lambda c, o: F.when(F.col("form") == OPEN, places(o)).otherwise(places(c)))
+    both = both.where(F.size("doc_toks") >= length).withColumn("place", F.explode(here))
+    part = F.slice("doc_toks", F.col("place") + 1, length)
+    values = lambda toks: F.when(F.col("form") == OPEN, _slots(toks, OPEN)).otherwise(_slots(toks, STRICT))
+    both = both.select("doc_id", "item_id", "codes", values(F.col("toks")).alias("slots"), values(part).alias("doc_slots"))
+    one = lambda s: F.size(F.array_distinct(F.transform(F.filter(F.arrays_zip("slots", "doc_slots"), lambda z: z["slots"] == s), lambda z: z["doc_slots"]))) == 1
+    both = both.select(
+        "doc_id", "item_id", (F.col("slots") == F.col("doc_slots")).cast("long").alias("n_exact"), F.size(F.array_distinct("slots")).cast("long").alias("n_slots"), F.size(F.filter(F.array_distinct("slots"), one)).cast("long").alias("n_consistent"),
+        ((F.size("codes") >= WIDTH) & F.exists("codes", lambda c: c.bitwiseAND(F.lit(1)) == 1)).alias("told"),
+    )
+    kind = F.when(F.col("n_exact") == 1, "exact").when(F.col("told") & (F.col("n_slots") > 0) & (F.col("n_consistent") >= share * F.col("n_slots")), "reparameterised")
+    both = both.withColumn("kind", kind).where("kind is not null")
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_exact", "n_consistent", "n_slots", "kind")).alias("b"))
+    count = F.lit(1).cast("long")
+    return best.select("doc_id", "item_id", count.alias("n_windows"), count.alias("n_matched"), "b.n_exact", "b.n_slots", "b.n_consistent", "b.kind")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, n_exact, n_slots, n_consistent, kind: a row per leak."""
+    forms = staged(_item_forms(benchmark).distinct(), "item-forms")
+    strict, opened = (staged(_located(forms.where(F.col("form") == f).select("item_id", "toks"), "item_id", f).distinct(), "item-windows") for f in (STRICT, OPEN))
+    # The open form makes more slots: with few windows left, an item is told by its whole template only.
+    thin = forms.where((F.col("form") == OPEN) & ((F.col("n_places") == 0) | (F.col("n_literal") < share * F.col("n_places")))).select("item_id").distinct()
+    opened = staged(opened.join(thin, "item_id", "left_anti"), "item-windows")
+    short = forms.where((F.col("form") == STRICT) & ((F.col("n_places") == 0) | (F.col("n_literal") < F.col("n_places")))).select("item_id")
+    whole = staged(forms.join(short.union(thin).distinct(), "item_id", "left_semi"), "item-whole")
+    wanted = strict.select("win").union(opened.select("win")).union(whole.select(F.col("anchor").alias("win"))).distinct()
+    small = strict.count() + opened.count() + whole.count() <= BROADCAST_WINDOWS
+    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    widths = sorted({WIDTH} | {r[0] for r in whole.where(F.size("codes") < WIDTH).select(F.size("codes")).distinct().collect()})  # WIDTH values at most
+    cut = _tokenised(docs, "doc_id").select("doc_id", F.explode(let(F.col("toks"), lambda t: F.concat(*(windows(t, w) for w in widths)))).alias("x"))
+    rows = cut.select("doc_id", F.col("x").bitwiseAND(F.lit(-4).cast("long")).alias("win"), F.col("x").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("form"))
+    found = staged(rows.join(near(wanted), "win").distinct(), "matched-windows")
+    out = staged(_by_windows(docs, found, strict, STRICT, share, near, None), "leaks")
+    for more in (lambda: _by_windows(docs, found, opened, OPEN, share, near, out), lambda: _by_whole(docs, found, whole, share, near, out)):
+        out = staged(out.unionByName(more()), "leaks")
+    return out
+
+
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
