@@ -125,6 +125,40 @@ def test_op5_rules(spark):
     assert all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.SENTENCES.values())
 
 
+def test_op5_wrapped_notices(spark):
+    import textwrap
+
+    mit = [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.',
+    ]
+    apache = [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ]
+    gpl = [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.",
+    ]
+    bsd = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ]
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."]
+    wrapped = lambda parts, mark, width: f"\n{mark}\n".join(textwrap.fill(p, width, initial_indent=mark, subsequent_indent=mark) for p in parts)
+    want, rows = {}, []
+    for name, parts in {"MIT": mit, "Apache-2.0": apache, "GPL-3.0": gpl, "BSD-2-Clause": bsd, "MPL-2.0": mpl}.items():
+        for mark in ("", "# ", " * ", "// ", ";; "):
+            for width in (40, 72, 79):
+                rows.append((len(rows), "Copyright 2020 X\n\n" + wrapped(parts, mark, width) + "\ncode"))
+                want[rows[-1][0]] = name
+    rows += [(-1, "Released under\n\nthe MIT License"), (-2, "Released under\r\nthe MIT License.\r\n"), (-3, "Released under\r\n\r\nthe MIT License")]
+    want |= {-1: "", -2: "MIT", -3: ""}
+    got = {r.doc_id: r.licenses for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(secret_scan.ASSIGN.replace("(?i)", ""), text, re.I | re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]

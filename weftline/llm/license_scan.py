@@ -1,17 +1,23 @@
 """Licence recognition by sentence rules. DataFrame functions only.
 
-Texts are cut into sentences, each is normalised (lower case, everything but a-z and 0-9 turned
-into single blanks) and looked up among known licence sentences. The numbers of the known ones,
-in text order, form the document's identifier sequence; a licence is reported when all
-identifiers of one of its rules occur in that sequence in the rule's order.
+Texts are cut into pieces at sentence ends and line breaks, and normalised (lower case,
+everything but a-z and 0-9 turned into single blanks, so comment markers go). A known licence
+sentence is found where it equals a piece or a run of pieces that only single line breaks part,
+as in wrapped text; sentence ends and blank lines are never crossed, and of known sentences that
+start together the longest counts. The numbers of those found, in text order, form the
+document's identifier sequence; a licence is reported when all identifiers of one of its rules
+occur in that sequence in the rule's order.
 
-Defined results: null text has no sentences; repeated rows each get a row; a sentence that is
+``OP5_SQL`` has the sentences of one line in ``SENTENCES`` and ``RULES`` only; neither joined
+lines nor ``NOTICES`` and ``NOTICE_RULES`` are in it, so it finds less in wrapped texts.
+
+Defined results: ``n_sentences`` counts pieces that are not empty; null text has none; repeated rows each get a row; a sentence that is
 repeated counts each time in ``sentence_ids``; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CUT = r"[.!?;:]+[ \t]+|[\r\n]+"
@@ -62,6 +68,14 @@ RULES = {
     "CC-BY-SA-4.0": ((42,),),
     "MPL-2.0": ((50,),),
 }
+#: Wording of notices as distributed, beyond ``SENTENCES``.
+NOTICES = {
+    7: "licensed under the apache license version 2 0 the license",
+    36: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    37: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    52: "this source code form is subject to the terms of the mozilla public license v",
+}
+NOTICE_RULES = {"Apache-2.0": ((7,),), "GPL-3.0": ((31, 36, 35),), "GPL-2.0": ((31, 37, 35),), "MPL-2.0": ((52,),)}
 #: Every known sentence holds one of these, so a text without any has no known sentence.
 ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "rights reserved", "version")
 
@@ -71,17 +85,39 @@ def _pattern(rule: tuple[int, ...]) -> str:
     return "," + "(?:[0-9]+,)*".join(f"{i}," for i in rule)
 
 
+KNOWN = SENTENCES | NOTICES
+#: Comment markers that start a line, before ``;;`` is taken for a sentence end.
+MARKER = r"(?m)^[ \t]*;+"
+#: A sentence end, also before a line break, or a blank line; comment markers alone are blank.
+STOP = r"[.!?;:]+(?:[ \t]+|[ \t]*(?=[\r\n]))|(?>\r\n|\r|\n)(?=[^a-zA-Z0-9\r\n]*[\r\n])"
+
+
+def _sentence_pattern() -> str:
+    """Over words parted by single blanks or ``|`` (a line break), with ``||`` for a hard end."""
+    known = sorted(KNOWN.values(), key=len, reverse=True)
+    return "(?<=[|])(?:" + "|".join(s.replace(" ", "[ |]") for s in known) + ")(?=[|])"
+
+
+def _sentence_ids(text: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for i, s in KNOWN.items() for x in (s, i)))
+    t = F.regexp_replace(F.translate(text, "|\x01\x02", "   "), MARKER, "")
+    t = F.regexp_replace(F.regexp_replace(t, STOP, "\x02"), r"[\r\n]+", "\x01")
+    t = F.regexp_replace(F.lower(t), "[^a-z0-9\x01\x02]+", " ")
+    t = F.regexp_replace(t, "[ \x01]*\x02[ \x01\x02]*", "||")
+    t = F.regexp_replace(t, " *\x01[ \x01]*", "|")
+    t = F.concat(F.lit("||"), F.trim(t), F.lit("||"))
+    return F.transform(F.regexp_extract_all(t, F.lit(_sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
+
+
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids, licenses: a row per row of ``docs``."""
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.split(text, CUT, -1), lambda s: s != "").alias("sentences"), F.lower(text).rlike("|".join(ANCHORS)).alias("maybe"))
-    norm = F.transform("sentences", lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(norm, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    rows = rows.withColumn("ids", F.when(F.col("maybe"), ids).otherwise(F.expr("cast(array() as array<int>)")))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
+    anchors = "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, CUT, -1), lambda s: s != "")).cast("long").alias("n_sentences"), text.alias("text"), F.lower(text).rlike(anchors).alias("maybe"))
+    rows = rows.withColumn("ids", F.when(F.col("maybe"), _sentence_ids(F.col("text"))).otherwise(F.expr("cast(array() as array<int>)")))
+    rows = rows.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
     seq = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    found = [F.when(seq.rlike("|".join(map(_pattern, rules))), F.lit(name)) for name, rules in sorted(RULES.items())]
+    found = [F.when(seq.rlike("|".join(map(_pattern, rules + NOTICE_RULES.get(name, ())))), F.lit(name)) for name, rules in sorted(RULES.items())]
     return rows.withColumn("licenses", F.when(F.col("n_known") > 0, F.concat_ws(",", *found)).otherwise(""))
 
 
