@@ -80,6 +80,17 @@ def test_every_tool(engine, request_):
         assert engine.query(name, **arguments.get(name, {})).count() >= 0, name
 
 
+def test_limits_hold_for_each_request(spark):
+    source = "import hub\n"
+    rows = [("hub.py", "x = 1\n", 0), *((f"u{i:02}.py", source, i + 1) for i in range(60))]
+    many = Engine(spark.createDataFrame(rows, "path string, source string, file_ord long"))
+    ask = spark.createDataFrame([(i, ["hub.py"], "", "", "q") for i in range(3)], "request_id long, changed_files array<string>, diff_text string, commit_message string, query string")
+    for name in ("detect_changes", "get_impact_radius"):
+        got = many.query(name, requests=ask)
+        assert {r.request_id: r["count"] for r in got.groupBy("request_id").count().collect()} == {0: 50, 1: 50, 2: 50}, name
+        assert {r.path for r in got.where("request_id = 2").collect()} == {"hub.py", *(f"u{i:02}.py" for i in range(49))}
+
+
 def test_languages():
     go = parse.get_parser("go")("a.go", 'import "fmt"\nfunc (m *MyStruct) DoSomething() {}\ntype Storage interface {}\n')
     assert {s["qualified_name"] for s in go["symbols"]} == {"__module__", "MyStruct.DoSomething", "Storage"} and "fmt" in go["imports"]

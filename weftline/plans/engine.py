@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import SIGNATURES, ContextConfig
 from ..errors import ValidationError, WeftlineError
@@ -19,6 +20,12 @@ from ..operators.traverse import ranked_neighbors
 from ..staging import staged
 
 
+def first_of_each(rows: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best rows of each request, by score and path."""
+    at = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "path"))
+    return rows.withColumn("at", at).where(F.col("at") <= limit).drop("at")
+
+
 class Engine:
     """A corpus (path, source, file_ord) as files, nodes and edges, each written once."""
 
@@ -116,14 +123,14 @@ class Engine:
             "get_context": lambda requests: self.context(requests)[1],
             "minimal_context": lambda requests: self.minimal().context(requests)[1],
             "get_impact": self.impact,
-            "get_impact_radius": lambda requests, max_depth=2, min_score=0.1, limit=50: self.impact(requests, max_depth, min_score).orderBy(F.desc("score"), "path").limit(limit),
+            "get_impact_radius": lambda requests, max_depth=2, min_score=0.1, limit=50: first_of_each(self.impact(requests, max_depth, min_score), limit),
             "graph_status": self.stats,
             "list_graph_stats": self.stats,
             "search_symbols": lambda needle, limit=20: search.search_symbols(n, needle, limit),
             "semantic_search_nodes": lambda query, limit=20: search.semantic_search(search.tfidf(n), query, limit),
             "list_files": lambda limit=100: f.select("path", "language", "token_estimate").orderBy(F.desc("token_estimate"), "path").limit(limit),
             "get_file_context": lambda path: self.corpus.where(F.endswith("path", F.lit(path)) | F.endswith(F.lit(path), F.col("path"))).orderBy("file_ord").limit(1),
-            "detect_changes": lambda requests, max_depth=4: self.impact(requests, max_depth).join(self.risk().select("path", "risk_score"), "path", "left").fillna(0.0, ["risk_score"]).orderBy(F.desc("score"), "path").limit(50),
+            "detect_changes": lambda requests, max_depth=4: first_of_each(self.impact(requests, max_depth), 50).join(self.risk().select("path", "risk_score"), "path", "left").fillna(0.0, ["risk_score"]),
             "query_graph": lambda pattern, target, limit=20: search.edge_query(pattern, search.search_symbols(n, target, 5).select(F.col("node_id").alias("seed")), n, e, limit),
             "get_review_context": self.review,
             "list_flows": lambda limit=50: analyse.flows(n, e).orderBy(F.desc("criticality"), "entry").limit(limit),
