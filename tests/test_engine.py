@@ -91,6 +91,15 @@ def test_limits_hold_for_each_request(spark):
         assert {r.path for r in got.where("request_id = 2").collect()} == {"hub.py", *(f"u{i:02}.py" for i in range(49))}
 
 
+def test_flows_query_goes_the_whole_depth(spark):
+    from weftline import catalog
+
+    sf = "/root/testdata/sf0.001"
+    e = catalog.engine(spark, sf)
+    got, want = catalog.QUERIES["flows"](spark, sf).collect(), analyse.flows(e.nodes, e.edges, 15).collect()
+    assert sorted(got) == sorted(want) and max(r.depth for r in got) > 3
+
+
 def test_languages():
     go = parse.get_parser("go")("a.go", 'import "fmt"\nfunc (m *MyStruct) DoSomething() {}\ntype Storage interface {}\n')
     assert {s["qualified_name"] for s in go["symbols"]} == {"__module__", "MyStruct.DoSomething", "Storage"} and "fmt" in go["imports"]

@@ -311,7 +311,7 @@ def _(spark, sf):
 @_register("flows")
 def _(spark, sf):
     e = engine(spark, sf)
-    return analyse.flows(e.nodes, e.edges, max_depth=3)
+    return analyse.flows(e.nodes, e.edges)
 
 
 @_register("wiki_pages")
