@@ -100,6 +100,21 @@ def test_flows_query_goes_the_whole_depth(spark):
     assert sorted(got) == sorted(want) and max(r.depth for r in got) > 3
 
 
+def test_wiki_has_all_members(spark):
+    risky = "import hub\n" + "# password secret token auth\n" * 3 + "def late():\n    pass\n"
+    rows = [("hub.py", "x = 1\n", 0), *((f"u{i:02}.py", "import hub\n", i + 1) for i in range(59)), ("u59.py", risky, 60)]
+    many = Engine(spark.createDataFrame(rows, "path string, source string, file_ord long"))
+    labels = propagate_labels(analyse.file_links(many.edges))
+    community = analyse.communities(many.files, many.edges, labels=labels)
+    size = community.first().node_count
+    assert size > 50 and len(community.first().members) == 20
+    risks = many.risk().withColumn("risk_score", F.when(F.col("path") == "u59.py", 0.9).otherwise(0.1))
+    page = analyse.wiki_pages(community, risks, many.nodes, labels).first().content
+    assert page.count("- `") == 50 and f"_...and {size - 50} more_" in page
+    assert page.endswith("## High risk\nu59.py\n") and "late" in page
+    assert many.query("generate_wiki").first().content.count("- `") == 50
+
+
 def test_languages():
     go = parse.get_parser("go")("a.go", 'import "fmt"\nfunc (m *MyStruct) DoSomething() {}\ntype Storage interface {}\n')
     assert {s["qualified_name"] for s in go["symbols"]} == {"__module__", "MyStruct.DoSomething", "Storage"} and "fmt" in go["imports"]

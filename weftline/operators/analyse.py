@@ -79,9 +79,9 @@ def file_links(edges: DataFrame) -> DataFrame:
     return ends.select(file_of(F.col("source_id")).alias("a"), file_of(F.col("target_id")).alias("b")).distinct()
 
 
-def communities(files: DataFrame, edges: DataFrame, min_size: int = 2, rounds: int = 10) -> DataFrame:
-    """community_id, label, node_count, dominant_language, members (first 20), key."""
-    labels = propagate_labels(file_links(edges), rounds).join(files.select(F.col("path").alias("node"), "language", "file_ord"), "node")
+def communities(files: DataFrame, edges: DataFrame, min_size: int = 2, rounds: int = 10, labels: DataFrame | None = None) -> DataFrame:
+    """community_id, label, node_count, dominant_language, members (first 20), key; ``labels`` (node, label) spares the rounds."""
+    labels = (propagate_labels(file_links(edges), rounds) if labels is None else labels).join(files.select(F.col("path").alias("node"), "language", "file_ord"), "node")
     size = labels.groupBy("label").agg(F.count("*").alias("node_count"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("file_ord").alias("first"))
     size = size.where(F.col("node_count") >= min_size)
     lang = labels.groupBy("label", "language").agg(F.count("*").alias("n"), F.min("file_ord").alias("at"))
@@ -126,9 +126,12 @@ def apply_rename(corpus: DataFrame, preview: DataFrame, root: str = "") -> DataF
     return rows.withColumn("source", F.when(F.col("old_name").isNotNull(), F.replace("source", "old_name", "new_name")).otherwise(F.col("source"))).drop("old_name", "new_name")
 
 
-def wiki_pages(community: DataFrame, risks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page_name, content: a Markdown page per community."""
-    rows = community.select("community_id", "label", "node_count", "dominant_language", F.explode("members").alias("path"))
+def wiki_pages(community: DataFrame, risks: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_name, content: a Markdown page per community, from all its files in ``labels`` (node, label).
+
+    A page shows the first 50 files and 20 symbols by name, and every file of high risk.
+    """
+    rows = community.select("community_id", "label", "node_count", "dominant_language", "key").join(labels.select(F.col("label").alias("key"), F.col("node").alias("path")), "key").drop("key")
     high = risks.where("risk_score >= 0.6").select("path", F.lit(True).alias("high"))
     rows = rows.join(high, "path", "left")
     line = F.concat(F.lit("- `"), "path", F.lit("`"), F.when(F.col("high"), " [HIGH RISK]").otherwise(""))
@@ -139,7 +142,7 @@ def wiki_pages(community: DataFrame, risks: DataFrame, nodes: DataFrame) -> Data
     title = F.when(F.col("label") == "", F.concat(F.lit("community_"), "community_id")).otherwise(F.col("label"))
     content = F.concat(
         F.lit("# "), title, F.lit("\n\n- id: "), "community_id", F.lit("\n- files: "), "node_count", F.lit("\n- language: "), "dominant_language", F.lit("\n\n## Members\n"),
-        F.array_join(F.transform(F.slice("m", 1, 50), lambda x: x["line"]), "\n"), F.lit("\n\n## Key symbols\n"), F.coalesce(F.array_join("symbols", ", "), F.lit("")),
+        F.array_join(F.transform(F.slice("m", 1, 50), lambda x: x["line"]), "\n"), F.when(F.size("m") > 50, F.format_string("\n- _...and %d more_", F.size("m") - 50)).otherwise(""), F.lit("\n\n## Key symbols\n"), F.coalesce(F.array_join("symbols", ", "), F.lit("")),
         F.lit("\n\n## High risk\n"), F.array_join("risky", "\n"), F.lit("\n"),
     )
     return out.select(F.regexp_replace(title, "[^A-Za-z0-9_-]", "_").alias("page_name"), content.alias("content"))

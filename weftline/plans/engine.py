@@ -16,7 +16,7 @@ from ..operators.edges import build_edges
 from ..operators.parse import index_stats, nodes_of, parsed
 from ..operators.rank import keyword_scores, rank_files
 from ..operators.select import review_snippets, select_files
-from ..operators.traverse import ranked_neighbors
+from ..operators.traverse import propagate_labels, ranked_neighbors
 from ..staging import staged
 
 
@@ -140,7 +140,7 @@ class Engine:
             "find_large_functions": lambda **k: analyse.large_symbols(n, **k),
             "rename_preview": lambda old, new: analyse.rename_preview(n, old, new),
             "apply_refactor": lambda old, new, root="": analyse.apply_rename(self.corpus, analyse.rename_preview(n, old, new), root),
-            "generate_wiki": lambda: analyse.wiki_pages(analyse.communities(f, e), self.risk(), n),
+            "generate_wiki": self.wiki,
             "get_docs_section": lambda keyword: analyse.doc_sections(self.corpus, keyword),
             "embed_graph": lambda: search.tfidf(n),
             "visualize": lambda: analyse.graph_html(n, e, f),
@@ -152,6 +152,11 @@ class Engine:
             raise WeftlineError(f"no query named {name}")
         return tools[name](**params)
 
+    def wiki(self) -> DataFrame:
+        """page_name, content: a page per community."""
+        labels = propagate_labels(analyse.file_links(self.edges))
+        return analyse.wiki_pages(analyse.communities(self.files, self.edges, labels=labels), self.risk(), self.nodes, labels)
+
     def overview(self) -> DataFrame:
         """metric, value: counts, risky files, large communities."""
         count = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
