@@ -3,9 +3,10 @@
 Every batch of documents becomes a run: one row per line key with its number of documents and
 largest document id, ordered by hash. Runs sit in levels; when a level holds ``FANOUT`` runs
 they are merged into one run of the next level, so a key is rewritten a logarithmic number of
-times. A new batch merge-joins the runs: keys that are absent are its new ones (anti join) and
-its own run is added. After the last batch, the lines to drop are found by the same merge join
-against the compacted run.
+times. For incremental use, ``first_seen`` anti-joins a new batch with the runs to find its new
+keys and adds its run. The query itself does not: a line is dropped by its number of documents
+over all batches, which no single batch can tell, so it adds the batches' runs, compacts them
+once and joins all keys with the common ones (a plain join, whose kind Spark chooses).
 
 Lines are keyed by their text stripped of ASCII white space with A-Z lower-cased, as two
 independent 64-bit hashes. Only keys of ``min_chars`` code points or more are considered, and
