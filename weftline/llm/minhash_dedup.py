@@ -8,11 +8,14 @@ shingle sets taken from the texts, and only confirmed links form groups.
 
 Rows with equal shingle sets collapse into one class before any candidate is formed, so a
 group of thousands of copies costs one representative. In a table, members are compared with
-the bucket's smallest id. Buckets that still hold several groups are looked at again: for their
-members, the shingles that no other such member has are counted, which bounds the similarity of
-any pair from above. Members are compared with the bucket's member that has the fewest of them,
-and at last all pairs across groups whose bound reaches the threshold, so no link between
-different groups in a bucket is missed and pairs that cannot link are never formed.
+the bucket's smallest id. Members of buckets that still hold several groups are looked at again
+by an exact prefix filter: their shingles are ordered from the rarest to the most frequent, and
+two sets can only link if they share one of the first ``n - ceil(percent * n) + 1`` of each. At
+a shared shingle, what is left of both sets bounds their overlap from above, so most places are
+ruled out before a pair is formed. Rounds compare every remaining place with the shingle's place
+nearest to the front, which joins most of a group; when a round finds nothing new, the places of
+different groups that the bound still allows are compared in full, so no link is missed and the
+pairs formed stay few.
 
 Defined results: null or wordless text has the empty set and links with nothing; fewer than
 five words form one shingle; repeated rows of one ``doc_id`` appear once per row and share a
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_staged, staged
@@ -34,6 +37,8 @@ SHINGLE = 5
 #: Minhashes in a half key, and half keys in each of the two families (49 tables from 28 minhashes).
 #: A pair at Jaccard 0.85 shares a left and a right key with probability 0.9997.
 ROWS, HALVES = 2, 7
+#: Shingles that a worker holds before it hands them on, and pairs of one document in one salt.
+_TOGETHER, HOT = 1_000_000, 4096
 _MASK = (1 << 64) - 1
 
 
@@ -103,44 +108,42 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmer(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        size = 0
-        for batch in batches:
-            src, dst = [], []
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for x, y, tx, ty in zip(*cols, strict=True):
-                s = held.get((x, hash(tx)))
-                if s is None:
-                    s = shingle_set(tx)
-                    if size + len(s) > 4_000_000:  # a cache: this bounds its memory, never the pairs
-                        held, size = {}, 0
-                    held[x, hash(tx)] = s
-                    size += len(s)
-                t = shingle_set(ty)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    src.append(x)
-                    dst.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    return confirm
-
-
-def texts_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
-    """doc_id, text of the documents in ``ids`` (node), staged: the one shuffle of whole texts."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, sets, size = [], [], 0
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(doc.as_py())
+            sets.append(shingle_set(text.as_py()).view(np.int64))
+            size += len(sets[-1])
+            if size >= _TOGETHER:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                ids, sets, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """rep, sid, n, shingles: the full sets of the documents in ``ids`` (rep), staged; texts are shuffled once, here."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    texts = texts.join(ids.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return staged(texts.dropDuplicates() if repeated else texts, "candidate-texts")
+    texts = texts.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.dropDuplicates() if repeated else texts
+    sets = texts.mapInArrow(_sets, "rep long, shingles array<long>")
+    return staged(sets.select("rep", F.xxhash64("shingles").alias("sid"), F.size("shingles").alias("n"), "shingles"), "candidate-sets")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (src, dst), those whose full shingle sets have Jaccard >= percent / 100."""
-    a = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("src_text"))
-    b = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("dst_text"))
-    both = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text")
-    return both.mapInArrow(_confirmer(percent), "src long, dst long").distinct()
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (src, dst), those whose full shingle sets have Jaccard >= percent / 100.
+
+    A document that stands in many pairs as ``src`` is read once for each ``HOT`` of them: its
+    pairs and its set are spread over that many salts.
+    """
+    hot = pairs.groupBy("src").agg(F.ceil(F.count("*") / HOT).alias("salts")).where("salts > 1")
+    salted = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    a = sets.join(hot, sets["rep"] == hot["src"], "left").select(F.col("rep").alias("src"), F.col("shingles").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    b = sets.select(F.col("rep").alias("dst"), F.col("shingles").alias("t"))
+    both = salted.join(b, "dst").join(a, ["src", "salt"])
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("src", "dst").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,33 +194,70 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return known.join(mixed, "key")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
-
-
-def _common(ids: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """rep, n, common: set sizes, and how many of the shingles another one of ``ids`` has too.
+def _prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, pos, s: places in the prefixes of the sets of ``ids``, of shingles that two sets hold or more.
 
-    Those whose common part is too small for any link are left out.
+    Shingles are ordered by the number of sets that hold them, then by hash. Those of one set
+    alone take the first positions and can tie it to no other, so they get no rows.
     """
-    own = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    shingles = own.select("doc_id", "text").mapInArrow(_sets, "rep long, shingles array<long>").select("rep", F.explode("shingles").alias("s"))
-    alone = shingles.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
-    sized = ids.join(reps.select("rep", "n"), "rep").join(alone, "rep", "left")
-    return sized.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).where(100 * F.col("common") >= percent * F.col("n"))
+    own = sets.join(ids, "rep", "left_semi").select("rep", "sid", "n", F.explode("shingles").alias("s"))
+    known = own.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = own.join(known, "s").groupBy("rep", "sid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    length = (F.floor((100 - percent) * F.col("n") / 100) + 1).cast("int")
+    alone = F.col("n") - F.size("x")
+    front = F.slice("x", F.lit(1), F.greatest(length - alone, F.lit(0)))
+    return shared.select("rep", "n", alone.alias("alone"), F.posexplode(front).alias("at", "x")).select("rep", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.s")
 
 
-def _reaches(n: str, common: str, n2: str, common2: str, percent: int):
-    """Whether two sets can reach the threshold at all: their overlap is at most the smaller common part."""
-    most = F.least(common, common2)
-    return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
+def _reaches(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
+    """Whether sets of n and n2 shingles that share those at pos and pos2 first can reach the threshold."""
+    most = F.least(n - pos, n2 - pos2)
+    return 100 * most >= percent * (n + n2 - most)
 
 
-def _first_equal(a: str, b: str):
-    """Position of the first half key that two documents share (both arrays have the same length)."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+def _undecided(places: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Places of shingles that hold several groups (c), with the shingle's place nearest to the front (p_...).
+
+    Places that could reach the threshold with no set of the shingle's least size are gone first.
+    """
+    e = places.join(comp, places["rep"] == comp["node"], "left").select("rep", "n", "pos", "s", F.coalesce("component", "rep").alias("c"))
+    least = e.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("n0")).where("c0 < c1").select("s", "n0")
+    most = F.col("n") - F.col("pos")
+    e = e.join(least, "s").where(100 * most >= percent * (F.col("n") + F.greatest("n0", most) - most)).drop("n0")
+    front = e.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("pos", "rep", "n", "c")).alias("p")).where("c0 < c1")
+    return staged(e.join(front.select("s", F.col("p.pos").alias("p_pos"), F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.c").alias("p_c")), "s"), "undecided")
+
+
+def _new_pairs(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """Distinct (src, dst) in order of their ids, without those tested before."""
+    out = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
+    for t in tested:
+        out = out.join(t, ["src", "dst"], "left_anti")
+    return staged(out, "candidates")
+
+
+def _settle(open_: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, tested: list[DataFrame], percent: int) -> DataFrame:
+    """node, component after every pair of open members that the prefix filter allows is decided."""
+    places = staged(_prefixes(open_, sets, percent), "prefixes")
+    col = F.col
+    while True:
+        left = _undecided(places, comp, percent)
+        star = left.where((col("c") != col("p_c")) & _reaches(col("n"), col("pos"), col("p_n"), col("p_pos"), percent))
+        star = _new_pairs(star.select(col("rep").alias("src"), col("p_rep").alias("dst")), tested)
+        found = staged(confirmed(star, sets, percent), "confirmed")
+        tested.append(star)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        comp = staged(components(links), "components")
+        drop_staged(left)
+    a = left.select("s", *(col(x).alias(y) for x, y in (("rep", "src"), ("c", "ca"), ("n", "na"), ("pos", "pa"))))
+    b = left.select("s", *(col(x).alias(y) for x, y in (("rep", "dst"), ("c", "cb"), ("n", "nb"), ("pos", "pb"))))
+    rest = a.join(b, "s").where((col("src") < col("dst")) & (col("ca") != col("cb")) & _reaches(col("na"), col("pa"), col("nb"), col("pb"), percent))
+    found = staged(confirmed(_new_pairs(rest, tested), sets, percent), "confirmed")
+    drop_staged(places)
+    drop_staged(left)
+    return staged(components(links.unionByName(found)), "components") if found.limit(1).count() else comp
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -231,37 +271,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     reps = staged(reps, "classes")
     keyed = reps.select("rep", F.posexplode("left").alias("i", "l"), "right").select("rep", "i", "l", F.posexplode("right").alias("j", "r"))
-    keyed = keyed.select("rep", "i", "j", F.xxhash64("i", "j", "l", "r").alias("key"))
+    keyed = keyed.select("rep", F.xxhash64("i", "j", "l", "r").alias("key"))
     stats = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     # Members of buckets that hold several classes, with the bucket's smallest id.
-    members = staged(keyed.join(stats.select("key", "low"), "key").select("key", "i", "j", "rep", "low"), "buckets")
-    tested = staged(members.where("rep > low").select(F.col("low").alias("src"), F.col("rep").alias("dst")).distinct(), "candidates")
+    members = staged(keyed.join(stats.select("key", "low"), "key").select("key", "rep", "low"), "buckets")
+    tested = _new_pairs(members.where("rep > low").select(F.col("low").alias("src"), F.col("rep").alias("dst")), [])
     repeated = bool(sig.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    texts = texts_of(docs, members.select(F.col("rep").alias("node")), repeated)
-    links = staged(confirmed(tested, texts, percent), "confirmed")
+    sets = sets_of(docs, members.select("rep"), repeated)
+    links = staged(confirmed(tested, sets, percent), "confirmed")
     comp = staged(components(links), "components")
-    # Buckets whose members are not all in one group.
-    open_ = staged(_open(members, comp), "open-buckets")
+    # Members of buckets that are not all in one group.
+    known = members.join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    open_ = staged(known.join(mixed, "key", "left_semi").select("rep").distinct(), "open-members")
     if open_.limit(1).count():
-        common = staged(_common(open_.select("rep").distinct(), texts, reps, percent), "common-shingles")
-        open_ = open_.join(common, "rep")  # a member too far from every other one is gone
-        best = open_.groupBy("key").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), F.col("rep").alias("src"), F.col("c").alias("cs"), F.col("n").alias("ns"), F.col("common").alias("os"))).alias("b")).select("key", "b.*")
-        star = open_.join(best, "key").where((F.col("c") != F.col("cs")) & _reaches("n", "common", "ns", "os", percent))
-        star = star.select(F.least("src", "rep").alias("src"), F.greatest("src", "rep").alias("dst")).distinct().join(tested, ["src", "dst"], "left_anti")
-        star = staged(star, "star-candidates")
-        links = links.unionByName(staged(confirmed(star, texts, percent), "star-confirmed"))
-        comp = staged(components(links), "components")
-        rest = staged(_open(members, comp).join(common, "rep").join(reps.select("rep", "left", "right"), "rep"), "open-buckets")
-        a = rest.select("key", "i", "j", *(F.col(x).alias(y) for x, y in (("rep", "src"), ("c", "ca"), ("n", "na"), ("common", "oa"), ("left", "la"), ("right", "ra"))))
-        b = rest.select("key", *(F.col(x).alias(y) for x, y in (("rep", "dst"), ("c", "cb"), ("n", "nb"), ("common", "ob"), ("left", "lb"), ("right", "rb"))))
-        # A pair is formed in the first table that it shares, and only there.
-        first = (F.col("i") == _first_equal("la", "lb")) & (F.col("j") == _first_equal("ra", "rb"))
-        more = a.join(b, "key").where((F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & _reaches("na", "oa", "nb", "ob", percent) & first)
-        more = more.select("src", "dst").distinct().join(tested, ["src", "dst"], "left_anti").join(star, ["src", "dst"], "left_anti")
-        extra = staged(confirmed(staged(more, "cross-candidates"), texts, percent), "cross-confirmed")
-        if extra.limit(1).count():
-            comp = staged(components(links.unionByName(extra)), "components")
-    for t in (members, tested, open_, texts):
+        comp = _settle(open_, sets, links, comp, [tested], percent)
+    for t in (members, tested, open_, sets):
         drop_staged(t)
     # Back to every row: a set's class, then the class's component.
     final = reps.join(comp, reps["rep"] == comp["node"], "left").select("set_hash", "copies", F.coalesce("component", "rep").alias("component"), "rep")
