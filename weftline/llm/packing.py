@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 CAPACITY, END = 4096, 2
 GROUP_TOKENS, MIN_GAP = 2_000_000, 16
 _CACHE_WORDS = 1_000_000
-#: Commas and full stops that touch other punctuation; letters whose lower case depends on their place.
-_RUN, _CASED = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))"), re.compile("[Σİ]")
+#: Commas and full stops that touch other punctuation.
+_RUN = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
 _ODD = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: The tokenizer's own runs of a word that has no apostrophe: letters, single digits, the rest.
 _PART = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -63,6 +63,7 @@ class Encoder:
         quick.normalizer = None
         quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.quick = getattr(quick, "encode_batch_fast", quick.encode_batch)
+        self.safe, self.odd = {chr(i) for i in range(128)}, set()  # characters that are cut as the tokenizer cuts them, and others
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.end = struct.pack("<I", END)
@@ -87,11 +88,7 @@ class Encoder:
                         counts.append(len(runs))
                         parts += runs
         if parts:
-            line = " ".join(parts)
-            if (line.isascii() or unicodedata.is_normalized("NFC", line)) and line == line.lower():
-                ids = self.quick([line], add_special_tokens=False)[0].ids
-            else:
-                ids = self.encode([line], add_special_tokens=False)[0].ids
+            ids = self.quick([" ".join(parts)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(ends) == len(parts):
@@ -101,16 +98,33 @@ class Encoder:
             if w not in self.cache:
                 self.cache[w] = self._whole(w)
 
+    def _plain(self, c: str) -> bool:
+        """Whether words around a character get the tokenizer's ids; its tables may be of another Unicode version."""
+        probes = [f"a{c}a", f"{c},a", f"a.{c}", f"1{c}1", f"_{c}", f"q\u0301{c}\u0323"]
+        self.safe.update(letters := set("".join(probes)) - self.safe)
+        split = [self._words(p) for p in probes]
+        self.safe -= letters - {"\u0301", "\u0323"}
+        self._learn([w for w in set(chain.from_iterable(split)) if w not in self.cache])
+        return all(b"".join(self.cache[w] for w in words) == self._whole(p) for p, words in zip(probes, split, strict=True))
+
     def _words(self, text: str | None) -> list[str] | None:
         """Words whose ids make up the text's ids; None for a text that is encoded whole."""
         if not text:
             return []
         if "<|" in text and _ODD.search(text) or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return None
+        if not text.isascii():
+            letters = set(text)
+            for c in letters - self.safe:
+                if c not in self.odd:
+                    (self.safe if self._plain(c) else self.odd).add(c)
+            if not letters <= self.safe:
+                return None
+            # As the tokenizer does it: composed, then lower case letter by letter.
+            text = unicodedata.normalize("NFC", text).replace("\u0130", "i\u0307").replace("Σ", "σ")
         if not _RUN.search(text):
             text = text.replace(",", " , ").replace(".", " . ")
-        if text.isascii() or not _CASED.search(text) and unicodedata.is_normalized("NFC", text):
-            text = text.lower()  # the same as the tokenizer's own, letter by letter
+        text = text.lower()
         return text.split()
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
