@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import chat_tools, decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, toxicity, warc_bundles
 
@@ -117,6 +118,46 @@ def test_op4_general(spark):
     assert out.where("call_id = 'a'").first().arguments == '{"prompt":"x","turn":1}'
 
 
+def test_op4_levels(spark):
+    rng = random.Random(3)
+    rows = [(1, f"c{k}", k, [f"c{k - 1}"] if k else []) for k in range(700)]  # a chain
+    rows += [(2, f"c{k}", 500 - k, [f"c{j}" for j in (k - 1, k - 2, k - 7) if j >= 0]) for k in range(300)]  # a ladder, told in the wrong order
+    for conv in range(3, 20):  # any graph, cycles too
+        n = rng.randrange(2, 14)
+        rows += [(conv, f"c{k}", k, [f"c{rng.randrange(n if rng.random() < 0.1 else max(k, 1))}" for _ in range(rng.randrange(4))]) for k in range(n)]
+    needs = {(c, i): [(c, x) for x in n] for c, i, _, n in rows}
+    want, left = {}, dict(needs)
+    while ready := [k for k, n in left.items() if all(x in want for x in n)]:
+        for k in ready:
+            want[k] = 1 + max((want[x] for x in left.pop(k)), default=-1)
+    got = chat_tools.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, needs array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == {k: want.get(k) for k in needs}
+
+
+def test_op4_schemas(spark):
+    schema = {
+        "type": "object", "required": ["city", "days"], "additionalProperties": False,
+        "properties": {
+            "city": {"type": "string", "pattern": "^[A-Z]", "maxLength": 9}, "days": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "integer", "minimum": 1, "maximum": 7}},
+            "unit": {"enum": ["C", "F", 3]}, "at": {"type": "object", "properties": {"lat": {"type": "number"}, "ok": {"type": "boolean"}}, "required": ["lat"]}, "none": {"type": "null"},
+        },
+    }
+    cases = {
+        '{"city":"Rome","days":[1,7]}': True, '{"city":"Rome","days":[]}': False, '{"city":"Rome","days":[1,8]}': False, '{"city":"Rome","days":[1,"2"]}': False, '{"city":"rome","days":[1]}': False, '{"days":[1]}': False,
+        '{"city":"Rome","days":[1],"more":1}': False, '{"city":"Rome","days":[1],"unit":"C"}': True, '{"city":"Rome","days":[1],"unit":3}': True, '{"city":"Rome","days":[1],"unit":"K"}': False, '{"city":"Rome","days":[1,2,3]}': False,
+        '{"city":"Rome","days":[1],"at":{"lat":1.5,"x":0}}': True, '{"city":"Rome","days":[1],"at":{"lat":"1"}}': False, '{"city":"Rome","days":[1],"at":{"ok":true}}': False, '{"city":"Rome","days":[1],"at":{"lat":2,"ok":false},"none":null}': True,
+        '{"city":"Rome","days":[1.5]}': False, '{"city":"Longer than nine","days":[1]}': False, "[]": False, "{": False, "3": False, '{"city":null,"days":[1]}': False,
+    }
+    calls = [(1, f"c{k}", k, "w", a, []) for k, a in enumerate(cases)] + [(1, "n", 1, None, "{}", None), (1, "q", 1, "w", None, ["c0"])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>").withColumn("level", F.lit("clash"))
+    empty = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in chat_tools.link(df, empty, {"w": schema}).collect()}
+    assert {a: got[f"c{k}"].valid for k, a in enumerate(cases)} == cases
+    assert not got["n"].valid and not got["q"].valid and got["q"].level == 1
+    assert got["c0"].message == '{"arguments":"{\\"city\\":\\"Rome\\",\\"days\\":[1,7]}","id":"c0","name":"w"}'
+    assert chat_tools.link(df.limit(0), empty).count() == 0
+
+
 def test_op5_rules(spark):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
     rows = [(1, bsd), (2, "\n".join(reversed(bsd.split("\n")))), (3, "Released under the MIT License."), (4, None), (5, "Licensed under the Apache License, Version 2.0. ok")]
@@ -179,15 +220,22 @@ def test_op6_spans(spark, docs):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_op7_groups(spark, docs, percent):
+def test_op7_groups(spark, percent):
     rng = random.Random(5)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(10**6 + k, t) for k, (_, t) in enumerate(ODD)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()] + [(10**6 + k, t) for k, (_, t) in enumerate(ODD)]
     base = [f"w{i}" for i in range(120)]
     for k in range(60):  # a group of near copies around a common text
         w = list(base)
         for _ in range(rng.randrange(5)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((2 * 10**6 + k, " ".join(w)))
+    family = [base]
+    for k in range(250):  # copies of copies: families whose members are far from those of other families
+        w = list(rng.choice(family))
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        family.append(w)
+        rows.append((3 * 10**6 + k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, percent).collect()}
     assert got == groups(rows, percent)
