@@ -56,49 +56,71 @@ def _capital(token: Column) -> Column:
 
 
 def _codes(toks: Column) -> Column:
-    """A hash for each token; those of slots are even and all others odd, so literals can be counted."""
-    return F.transform(toks, lambda t: F.when(F.startswith(t, F.lit("\x01")), F.shiftleft(F.xxhash64(F.substring(t, 1, 2)), 1)).otherwise(F.xxhash64(F.lower(t)).bitwiseOR(F.lit(1))))
+    """A hash for each token with two low bits: 1 for an ordinary word, 2 for a capitalised one; slots have neither."""
 
+    def code(t: Column) -> Column:
+        word = F.shiftleft(F.xxhash64(F.lower(t)), 2).bitwiseOR(F.when(_capital(t), F.lit(3).cast("long")).otherwise(F.lit(1).cast("long")))
+        return F.when(F.startswith(t, F.lit("\x01")), F.shiftleft(F.xxhash64(F.substring(t, 1, 2)), 2)).otherwise(word)
 
-def _open_codes(toks: Column, codes: Column) -> Column:
-    """The codes with every capitalised word, wherever it stands, as a name."""
-    name = F.shiftleft(F.xxhash64(F.lit("\x01p")), 1)
-    return F.zip_with(toks, codes, lambda t, c: F.when(_capital(t), name).otherwise(c))
+    return F.transform(toks, code)
+
+
+def _strict(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(-3).cast("long"))
+
+
+def _opened(code: Column) -> Column:
+    """The code in the open form: every capitalised word, wherever it stands, is a name."""
+    name = F.shiftleft(F.xxhash64(F.lit("\x01p")), 2)
+    return F.when(code.bitwiseAND(F.lit(2).cast("long")) != 0, name).otherwise(code)
 
 
 def _both_codes(toks: Column, body) -> Column:
     """``body(codes, open codes)`` of an array of tokens."""
-    return let(_codes(toks), lambda c: let(_open_codes(toks, c), lambda o: body(c, o)))
+    return let(_codes(toks), lambda c: let(F.transform(c, _strict), lambda s: let(F.transform(c, _opened), lambda o: body(s, o))))
 
 
 def _slots(toks: Column, form: int) -> Column:
     """The values of the slots among some tokens, in order."""
     if form == OPEN:
         toks = F.transform(toks, lambda t: F.when(_capital(t), F.concat(F.lit("\x01p"), t)).otherwise(t))
-    return F.transform(F.filter(toks, lambda t: F.startswith(t, F.lit("\x01"))), lambda t: F.lower(F.substring(t, 2, 1_000_000)))
+    return F.transform(F.filter(toks, lambda t: F.startswith(t, F.lit("\x01"))), lambda t: F.lower(F.substr(t, F.lit(2))))
+
+
+def _hash(own: list[Column]) -> Column:
+    """Of the codes of a window, with two free low bits."""
+    return F.shiftleft(F.xxhash64(*own), 2)
 
 
 def _window(codes: Column, i: Column, width: int = WIDTH) -> tuple[Column, Column]:
-    """(hash with two free low bits, number of ordinary words) of the window at ``i``."""
+    """(hash, number of ordinary words) of the window at ``i``."""
     own = [F.get(codes, i + k) for k in range(width)]
     literal = own[0].bitwiseAND(F.lit(1))
     for x in own[1:]:
         literal = literal + x.bitwiseAND(F.lit(1))
-    return F.shiftleft(F.xxhash64(*own), 2), literal
-
+    return _hash(own), literal
 
-def windows(toks: Column, width: int = WIDTH) -> Column:
-    """Hashes of the windows of an array of tokens, then those of the windows with capitalised words
-    in the open form; the low bits tell the forms of items that each may match."""
 
-    def found(codes: Column, opened: Column) -> Column:
-        last = F.size(codes) - width
-        spots = F.filter(F.transform(toks, lambda t, j: F.when(_capital(t), j)), lambda j: j.isNotNull())
-        near = F.array_distinct(F.flatten(F.transform(F.filter(spots, lambda j: j - (width - 1) <= last), lambda j: F.sequence(F.greatest(j - (width - 1), F.lit(0)), F.least(j, last)))))
-        hashes = lambda c, at, bits: F.transform(at, lambda i: _window(c, i, width)[0].bitwiseOR(F.lit(bits)))
-        return F.concat(hashes(codes, F.sequence(F.lit(0), last), STRICT | OPEN), hashes(opened, near, OPEN))
+def windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """key, win, form: windows of ``rows`` (key, toks); those with capitalised words also in the open form.
 
-    return F.when(F.size(toks) >= width, _both_codes(toks, found)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    ``form`` tells by its bits which forms of items a window may match. A row per place leaves with
+    its few codes, so the hashes run in generated code and not in an array function's lambda.
+    """
+    places = let(_codes(F.col("toks")), lambda c: F.transform(c, lambda _, i: F.slice(c, i + 1, max(widths))))
+    rows = rows.select(key, F.explode(places).alias("c"))
+    found = []
+    for w in widths:
+        own = [F.get("c", F.lit(k)) for k in range(w)]
+        any_ = own[0]
+        for x in own[1:]:
+            any_ = any_.bitwiseOR(x)
+        fits = F.size("c") >= w
+        named = any_.bitwiseAND(F.lit(2).cast("long")) != 0
+        found.append(F.when(fits, _hash([_strict(x) for x in own]).bitwiseOR(F.lit(STRICT | OPEN))))
+        found.append(F.when(fits & named, _hash([_opened(x) for x in own]).bitwiseOR(F.lit(OPEN))))
+    rows = rows.select(key, F.explode(F.array(*found)).alias("x")).where("x is not null")
+    return rows.select(key, F.col("x").bitwiseAND(F.lit(-4).cast("long")).alias("win"), F.col("x").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("form"))
 
 
 def _tokenised(rows: DataFrame, key: str) -> DataFrame:
@@ -109,15 +131,18 @@ def _tokenised(rows: DataFrame, key: str) -> DataFrame:
 def _located(rows: DataFrame, key: str, form: int) -> DataFrame:
     """key, win, slots: every window with enough ordinary words, and the values of its slots."""
 
-    def located(codes: Column, opened: Column) -> Column:
-        def at(i: Column) -> Column:
-            win, literal = _window(opened if form == OPEN else codes, i)
-            return F.when(literal >= MIN_LITERAL, F.struct(win.alias("win"), _slots(F.slice("toks", i + 1, WIDTH), form).alias("slots")))
+    def located(toks: Column) -> Column:
+        def at(codes: Column, i: Column) -> Column:
+            win, literal = _window(codes, i)
+            return F.when(literal >= MIN_LITERAL, F.struct(win.alias("win"), _slots(F.slice(toks, i + 1, WIDTH), form).alias("slots")))
+
+        def places(codes: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(codes) - WIDTH), lambda i: at(codes, i))
 
-        return F.transform(F.sequence(F.lit(0), F.size(codes) - WIDTH), at)
+        own = let(F.transform(_codes(toks), _opened if form == OPEN else _strict), places)
+        return F.when(F.size(toks) >= WIDTH, own)
 
-    rows = rows.where(F.size("toks") >= WIDTH)
-    rows = rows.select(key, F.explode(_both_codes(F.col("toks"), located)).alias("x")).where("x is not null")
+    rows = rows.select(key, F.explode(let(F.col("toks"), located)).alias("x")).where("x is not null")
     return rows.select(key, "x.win", "x.slots")
 
 
@@ -208,8 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     small = strict.count() + opened.count() + whole.count() <= BROADCAST_WINDOWS
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     widths = sorted({WIDTH} | {r[0] for r in whole.where(F.size("codes") < WIDTH).select(F.size("codes")).distinct().collect()})  # WIDTH values at most
-    cut = _tokenised(docs, "doc_id").select("doc_id", F.explode(let(F.col("toks"), lambda t: F.concat(*(windows(t, w) for w in widths)))).alias("x"))
-    rows = cut.select("doc_id", F.col("x").bitwiseAND(F.lit(-4).cast("long")).alias("win"), F.col("x").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("form"))
+    rows = windows(_tokenised(docs, "doc_id"), "doc_id", widths)
     found = staged(rows.join(near(wanted), "win").distinct(), "matched-windows")
     out = staged(_by_windows(docs, found, strict, STRICT, share, near, None), "leaks")
     for more in (lambda: _by_windows(docs, found, opened, OPEN, share, near, out), lambda: _by_whole(docs, found, whole, share, near, out)):
