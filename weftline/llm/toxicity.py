@@ -17,15 +17,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import drop_staged, staged
+
 #: Bounds of the training sample and of the lexicon.
 MAX_LABELLED, MAX_LEXICON = 10_000, 3_000
 STEMS = (4, 5, 6)
+FOLDS = 4
 _WORD = re.compile(r"[^\W_]+(?:[@$*0-9!]+[^\W_]+)*")
 _SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine ihr euch sie usted ustedes tus vosotros".split())
 _INSULTS = frozenset("idiot moron stupid scum trash loser clown pathetic worthless disgusting dumb filthy vermin imbecile hate kill".split())
@@ -59,30 +63,38 @@ class Features:
         return w
 
     def row(self, text: str | None) -> list[float]:
-        text = text or ""
-        words = _WORD.findall(text.lower())
+        return self.with_plain(*plain_features(text))
+
+    def with_plain(self, words: list[str], rest: list[float]) -> list[float]:
         n = len(words) or 1
         hits = [(i, w) for i, w in enumerate(map(self.weight, words)) if w]
-        seconds = [i for i, w in enumerate(words) if w in _SECOND]
+        seconds = [i for i, w in enumerate(words) if w in _SECOND] if hits else ()
         near = 0
         if hits and seconds:
             at = np.array(seconds)
             for i, _ in hits:
                 k = np.searchsorted(at, i)
                 near += any(0 <= j < len(at) and abs(int(at[j]) - i) <= 4 for j in (k - 1, k))
-        raw = text.encode("utf-8", "surrogatepass")
-        upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        plain = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-        shout = sum(w.isupper() and len(w) > 1 for w in text.split()) if upper > 4 else 0
-        punct = len(raw) - len(raw.translate(None, b"!?.,;:#*$%&|<>@"))
-        mixed = len(_MIXED.findall(text)) if len(raw) - len(raw.translate(None, b"@$*!0123456789")) else 0
         top = sorted((w for _, w in hits), reverse=True)[:3]
-        return [
-            len(hits) / n, np.log1p(len(hits)), sum(w for _, w in hits) / n, top[0] if top else 0.0, sum(top) / 3,
-            sum(w.translate(_LEET) in _INSULTS for w in set(words)) / n, near / n, len(seconds) / n,
-            upper / max(1, plain), shout / n, text.count("!") / n, text.count("?") / n, punct / n, mixed / n,
-            len(_LONG.findall(text)) / n if text else 0.0, np.log1p(len(words)),
-        ]
+        return [len(hits) / n, np.log1p(len(hits)), sum(w for _, w in hits) / n, top[0] if top else 0.0, sum(top) / 3, rest[0], near / n, *rest[1:]]
+
+
+def plain_features(text: str | None) -> tuple[list[str], list[float]]:
+    """Words of a text, and the features that no lexicon enters."""
+    text = text or ""
+    words = _WORD.findall(text.lower())
+    n = len(words) or 1
+    raw = text.encode("utf-8", "surrogatepass")
+    upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    plain = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    shout = sum(w.isupper() and len(w) > 1 for w in text.split()) if upper or not text.isascii() else 0
+    punct = len(raw) - len(raw.translate(None, b"!?.,;:#*$%&|<>@"))
+    mixed = len(_MIXED.findall(text)) if len(raw) - len(raw.translate(None, b"@$*!0123456789")) else 0
+    return words, [
+        sum(w.translate(_LEET) in _INSULTS for w in set(words)) / n, sum(w in _SECOND for w in words) / n,
+        upper / max(1, plain), shout / n, text.count("!") / n, text.count("?") / n, punct / n, mixed / n,
+        len(_LONG.findall(text)) / n if text else 0.0, np.log1p(len(words)),
+    ]
 
 
 class Boosted:
@@ -176,17 +188,23 @@ class Model:
         return np.clip(0.98 * flat + 0.02 / (1 + np.exp(-m)), 0.0, 1.0)
 
 
+def _fold(doc_id: int) -> int:
+    return ((doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % FOLDS
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class by word part, summed before any shuffle."""
+    """Documents of each fold and class by word part, summed before any shuffle."""
+    names = [f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "toxic")]
 
     def out(c: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([v[0] for v in c.values()], pa.int64()), pa.array([v[1] for v in c.values()], pa.int64())], names=["part", "clean", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *(pa.array([v[i] for v in c.values()], pa.int64()) for i in range(2 * FOLDS))], names=["part", *names])
 
     held: dict[str, list[int]] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            at = 2 * _fold(doc_id) + toxic
             for part in {p for w in set(_WORD.findall((text.as_py() or "").lower())) if len(w) > 2 for p in _parts(w)}:
-                held.setdefault(part, [0, 0])[toxic] += 1
+                held.setdefault(part, [0] * 2 * FOLDS)[at] += 1
         if len(held) > 200_000:
             yield out(held)
             held = {}
@@ -194,46 +212,67 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _feature_rows(lexicon: dict[str, float]):
+def _lexicon(parts: DataFrame, known: list[tuple[int, int]], without: int | None) -> dict[str, float]:
+    """The weights of word parts, learned without the documents of one fold."""
+    folds = [k for k in range(FOLDS) if k != without]
+    n = Counter(t for d, t in known if _fold(d) in folds)
+    clean, toxic = (reduce(lambda a, b: a + b, (F.col(f"{kind}{k}") for k in folds)) for kind in ("clean", "toxic"))
+    odds = F.log((toxic + 0.5) / (n[1] + 1)) - F.log((clean + 0.5) / (n[0] + 1))
+    found = parts.select("part", toxic.alias("toxic"), odds.alias("weight")).where("toxic >= 4 and weight >= 2.3")
+    found = found.orderBy(F.desc(F.col("toxic") * F.col("weight")), "part").limit(MAX_LEXICON).collect()
+    return {"=" + w: 3.0 for w in _INSULTS} | {r["part"]: float(r["weight"]) for r in found}
+
+
+def _feature_rows(lexicons: list[dict[str, float]]):
+    """doc_id, toxic and the features under each lexicon, one after another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(lexicon)
+        each = [Features(x) for x in lexicons]
         for batch in batches:
-            rows = [f.row(t.as_py()) for t in batch.column(1)]
+            rows = []
+            for text in batch.column(1):
+                plain = plain_features(text.as_py())
+                rows.append([v for f in each for v in f.with_plain(*plain)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     return run
 
 
-def _folds(doc_id: np.ndarray, n: int = 4) -> np.ndarray:
-    z = doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((z >> np.uint64(40)) % np.uint64(n)).astype(int)
-
-
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``max_labelled`` of the given labelled documents (rows of ``labels``: doc_id, toxic)."""
+    """Fit on at most ``max_labelled`` of the given labelled documents (rows of ``labels``: doc_id, toxic).
+
+    Margins for the calibration are out of fold altogether: neither the trees nor the lexicon
+    behind a document's features have seen it.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()  # two numbers a row, bounded by max_labelled
-    spark = docs.sparkSession
-    n = Counter(r["toxic"] for r in sample)
+    sample = [(r["doc_id"], r["toxic"]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()]  # two numbers a row, bounded by max_labelled
+    n = Counter(t for _, t in sample)
     prior = (n[1] + 0.5) / (len(sample) + 1) if sample else 0.0
-    if not n[0] or n[1] < 10:
+    if not n[0] or not n[1]:
         return Model(prior)
-    chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in sample], "doc_id long, toxic int")
+    chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    parts = texts.select("text", "toxic").mapInArrow(_counter, "part string, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    found = parts.where(F.col("toxic") >= 4).withColumn("weight", odds).where("weight >= 2.3").orderBy(F.desc(F.col("toxic") * F.col("weight")), "part").limit(MAX_LEXICON).collect()
-    lexicon = {r["part"]: float(r["weight"]) for r in found} | {"=" + w: 3.0 for w in _INSULTS if "=" + w not in {r["part"] for r in found}}
-    rows = texts.mapInArrow(_feature_rows(lexicon), "doc_id long, toxic int, x array<double>").collect()  # dense features, bounded by max_labelled
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    fold = _folds(np.array([r["doc_id"] for r in rows]))
+    # Of rows that share an id one text counts, so the sample stays within its bound.
+    texts = staged(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled-texts")
+    parts = texts.mapInArrow(_counter, "part string, " + ", ".join(f"clean{k} long, toxic{k} long" for k in range(FOLDS))).groupBy("part")
+    parts = parts.agg(*(F.sum(f"{kind}{k}").alias(f"{kind}{k}") for k in range(FOLDS) for kind in ("clean", "toxic")))
+    parts = staged(parts.where(" + ".join(f"toxic{k}" for k in range(FOLDS)) + " >= 4"), "word-parts")
+    lexicons = [_lexicon(parts, sample, k) for k in (*range(FOLDS), None)]
+    rows = texts.mapInArrow(_feature_rows(lexicons), "doc_id long, toxic int, x array<double>").collect()  # dense features, bounded by max_labelled
+    drop_staged(texts)
+    drop_staged(parts)
+    if not rows:
+        return Model(prior)
+    rows.sort(key=lambda r: r["doc_id"])
+    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), FOLDS + 1, len(FEATURES)), np.array([r["toxic"] for r in rows], float)
+    fold = np.array([_fold(r["doc_id"]) for r in rows])
+    least = int(min(10, max(1, y.sum() // 2, 1)))  # few toxic labels still make a leaf
     margins = np.zeros(len(y))
-    for k in range(4):
+    for k in range(FOLDS):
         own = fold == k
         if own.any() and 0 < y[~own].mean() < 1:
-            margins[own] = Boosted().fit(x[~own], y[~own]).margin(x[own])
-    return Model(prior, lexicon, Boosted().fit(x, y), isotonic(margins, y))
+            margins[own] = Boosted(least=least).fit(x[~own, k], y[~own]).margin(x[own, k])
+    return Model(prior, lexicons[FOLDS], Boosted(least=least).fit(x[:, FOLDS], y), isotonic(margins, y)) if 0 < y.mean() < 1 else Model(prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
