@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import let
+
 CUT = r"[.!?;:]+[ \t]+|[\r\n]+"
 #: Known sentences, normalised. Wording of public licences.
 SENTENCES = {
@@ -74,10 +76,51 @@ NOTICES = {
     36: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     37: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     52: "this source code form is subject to the terms of the mozilla public license v",
+    53: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    54: "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    55: "this is free and unencumbered software released into the public domain",
+    56: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    57: "boost software license version 1 0",
+    58: "this software is provided as is without any express or implied warranty",
+    59: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    64: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    65: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    66: "to the extent possible under law",
+    67: "has waived all copyright and related or neighboring rights to this work",
+    68: "this work is dedicated to the public domain under the cc0 1 0 universal license",
+    69: "spdx license identifier bsd 2 clause",
+    70: "spdx license identifier mpl 2 0",
+    71: "spdx license identifier isc",
+    72: "spdx license identifier gpl 2 0 only",
+    73: "spdx license identifier gpl 3 0 or later",
+    74: "spdx license identifier gpl 2 0 or later",
+    75: "spdx license identifier lgpl 2 1 or later",
+    76: "spdx license identifier agpl 3 0 or later",
+    77: "spdx license identifier cc0 1 0",
+    78: "spdx license identifier unlicense",
+    79: "spdx license identifier bsl 1 0",
+    80: "spdx license identifier epl 2 0",
+    81: "spdx license identifier zlib",
+    82: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    83: "this library is free software",
+    84: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    85: "this library is distributed in the hope that it will be useful but without any warranty",
+    86: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is",
+    87: "gnu general public license version 3 29 june 2007",
+    88: "gnu general public license version 2 june 1991",
+    89: "mozilla public license version 2 0",
+    90: "apache license version 2 0 january 2004",
+    91: "mit license",
+    92: "the mit license mit",
+    93: "creative commons attribution 4 0 international public license",
+}
+NOTICE_RULES = {
+    "Apache-2.0": ((7,), (90,)), "GPL-3.0": ((31, 36, 35), (73,), (87,)), "GPL-2.0": ((31, 37, 35), (72,), (74,), (88,)), "MPL-2.0": ((52,), (70,), (89,)), "MIT": ((91, 11), (92, 11)),
+    "ISC": ((53, 54), (71,)), "Unlicense": ((55, 56), (78,)), "BSL-1.0": ((57,), (79,)), "Zlib": ((58, 59), (81,)), "EPL-2.0": ((64,), (80,)), "CC-BY-SA-4.0": ((65,),), "CC-BY-4.0": ((93,),),
+    "CC0-1.0": ((66, 67), (68,), (77,)), "BSD-2-Clause": ((69,),), "BSD-3-Clause": ((20, 21, 22, 86),), "AGPL-3.0": ((31, 82, 35), (76,)), "LGPL-2.1": ((83, 84, 85), (75,)),
 }
-NOTICE_RULES = {"Apache-2.0": ((7,),), "GPL-3.0": ((31, 36, 35),), "GPL-2.0": ((31, 37, 35),), "MPL-2.0": ((52,),)}
-#: Every known sentence holds one of these, so a text without any has no known sentence.
-ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "rights reserved", "version")
+#: Every known sentence holds one of these.
+ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "rights reserved", "version", "public domain", "anyone is free", "extent possible under law")
 
 
 def _pattern(rule: tuple[int, ...]) -> str:
@@ -99,25 +142,30 @@ def _sentence_pattern() -> str:
 
 
 def _sentence_ids(text: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for i, s in KNOWN.items() for x in (s, i)))
     t = F.regexp_replace(F.translate(text, "|\x01\x02", "   "), MARKER, "")
     t = F.regexp_replace(F.regexp_replace(t, STOP, "\x02"), r"[\r\n]+", "\x01")
     t = F.regexp_replace(F.lower(t), "[^a-z0-9\x01\x02]+", " ")
     t = F.regexp_replace(t, "[ \x01]*\x02[ \x01\x02]*", "||")
     t = F.regexp_replace(t, " *\x01[ \x01]*", "|")
     t = F.concat(F.lit("||"), F.trim(t), F.lit("||"))
-    return F.transform(F.regexp_extract_all(t, F.lit(_sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
+    return let(t, _known_in)
+
+
+def _known_in(t: Column) -> Column:
+    """Numbers of the known sentences in a normalised text; one without any of ``ANCHORS`` has none."""
+    known = F.create_map(*(F.lit(x) for i, s in KNOWN.items() for x in (s, i)))
+    found = F.transform(F.regexp_extract_all(t, F.lit(_sentence_pattern()), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
+    return F.when(t.rlike("|".join(a.replace(" ", "[ |]") for a in ANCHORS)), found).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids, licenses: a row per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    anchors = "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, CUT, -1), lambda s: s != "")).cast("long").alias("n_sentences"), text.alias("text"), F.lower(text).rlike(anchors).alias("maybe"))
-    rows = rows.withColumn("ids", F.when(F.col("maybe"), _sentence_ids(F.col("text"))).otherwise(F.expr("cast(array() as array<int>)")))
-    rows = rows.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, CUT, -1), lambda s: s != "")).cast("long").alias("n_sentences"), _sentence_ids(text).alias("ids"))
+    rows = rows.select("doc_id", "n_sentences", let(F.col("ids"), lambda x: F.struct(F.size(x).cast("long").alias("n_known"), F.array_join(x, ",").alias("sentence_ids"))).alias("x"))
+    rows = rows.select("doc_id", "n_sentences", "x.n_known", "x.sentence_ids")
     seq = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    found = [F.when(seq.rlike("|".join(map(_pattern, rules + NOTICE_RULES.get(name, ())))), F.lit(name)) for name, rules in sorted(RULES.items())]
+    found = [F.when(seq.rlike("|".join(map(_pattern, RULES.get(name, ()) + NOTICE_RULES.get(name, ())))), F.lit(name)) for name in sorted(RULES.keys() | NOTICE_RULES.keys())]
     return rows.withColumn("licenses", F.when(F.col("n_known") > 0, F.concat_ws(",", *found)).otherwise(""))
 
 
