@@ -14,9 +14,10 @@ those found in ``min_docs`` documents or more lose every line but those in the l
 ``doc_id`` that holds them.
 
 Defined results: null or empty text is one empty line (kept text is empty; null becomes the
-empty string); a repeated row counts as a document of its own; null ``doc_id`` is smaller than
-any other; lines with equal keys in one document count once and stay or go together. Columns
-other than ``doc_id`` and ``text`` pass through untouched.
+empty string); rows of one ``doc_id`` count as one document and each get a row; rows of null
+``doc_id`` are one document, smaller than any other; lines with equal keys in one document count
+once and stay or go together. Columns other than ``doc_id`` and ``text`` pass through, but for
+columns named ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -117,9 +118,12 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """doc, gone: the key hashes that each document loses (documents that lose none are absent)."""
+    """doc, __gone: the key hashes that each document loses (documents that lose none are absent)."""
     spark = docs.sparkSession
-    keys = line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    keys = line_keys(docs, min_chars)
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one id are one document
+        keys = keys.distinct()
+    keys = keys.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
     keys = staged(keys, "line-keys")
     runs = LineRuns(spark)
     for b in range(batches):
@@ -127,7 +131,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         runs.add(batch.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc").alias("max_doc")))
     common = staged(runs.compacted().where(F.col("n_docs") >= min_docs), "common-lines")
     gone = keys.join(common, ["h1", "h2"]).where("doc <> max_doc")
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    return gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -138,12 +142,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = _lines(F.col("text"))
 
     def stays(line: Column) -> Column:
-        return ~((F.length(line) >= min_chars) & F.array_contains(F.col("gone"), _hash(line)))
+        return ~((F.length(line) >= min_chars) & F.array_contains(F.col("__gone"), _hash(line)))
 
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    n_kept = F.when(F.col("gone").isNull(), F.size(lines)).otherwise(F.size(F.filter(lines, stays)))
+    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    n_kept = F.when(F.col("__gone").isNull(), F.size(lines)).otherwise(F.size(F.filter(lines, stays)))
     out = out.withColumns({"__kept": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - n_kept).cast("long")})
-    return out.withColumn("text", F.col("__kept")).drop("__kept", "__key", "__doc", "gone")
+    return out.withColumn("text", F.col("__kept")).drop("__kept", "__key", "__doc", "__gone")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
