@@ -163,7 +163,9 @@ def test_op5_rules(spark):
     rows = [(1, bsd), (2, "\n".join(reversed(bsd.split("\n")))), (3, "Released under the MIT License."), (4, None), (5, "Licensed under the Apache License, Version 2.0. ok")]
     got = {r.doc_id: r.licenses for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "BSD-2-Clause", 2: "", 3: "MIT", 4: "", 5: "Apache-2.0"}
-    assert all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.SENTENCES.values())
+    assert all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.KNOWN.values())
+    odd = spark.createDataFrame([(1, "All rights  reserved."), (2, "This is free and unencumbered software released into the public\ndomain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")], "doc_id long, text string")
+    assert {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.licenses(odd).collect()} == {1: ("51", ""), 2: ("55,56", "Unlicense")}
 
 
 def test_op5_wrapped_notices(spark):
@@ -261,6 +263,21 @@ def test_op8_packs(spark, docs, odd):
         assert padding <= 0.01 * sum(fill.values())
 
 
+def test_op8_any_letters():
+    """Random texts of decomposed and rare letters, odd blanks and special names: ids equal the tokenizer's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(4)
+    parts = ["cafe\u0301", "u\u0308ber", "Vi\u1ec7t", "i\u0302\u0323", "BELED\u0130YES\u0130,", "\u0130.", "ΣΟΦΟΣ", "Σ,", "ς", "\u00a0", "\u2003", "\t", "\x1c", "\x85", "'s", "'LL", "’s", "...", "._.", "<|endoftext|>", "<|", "x²", "½", "नमस्ते", "한국어", "ไทย", "😀", "\U000138c3", "1,000.50", "(a)", "The end"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ","]) for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+        texts += ["".join(chr(rng.choice([rng.randrange(32, 0x600), rng.randrange(0x1E00, 0xD800), rng.randrange(0xE000, 0x1FB00)])) for _ in range(8)) for _ in range(100)]
+        for text, got, want in zip(texts, encoder.many(texts), tok.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == [*want.ids, packing.END], repr(text)
+
+
 def test_op8_first_fit():
     rng = random.Random(2)
     sizes = sorted((rng.randrange(1, 100) for _ in range(200)), reverse=True)
@@ -279,6 +296,8 @@ def test_op9_levels(spark, docs, odd):
         assert line_dedup.first_seen(batch, runs).count() == (2 if k == 0 else 1)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {(r.n_docs, r.max_doc) for r in runs.compacted().where("n_docs > 1").collect()} == {(5, 4)}
+    twice = spark.createDataFrame([(1, text, 7), (1, text, 7), (1, text, 7), (1, text, 7), (2, text, 7)], "doc_id long, text string, gone int")
+    assert {(r.n_dropped, r.gone) for r in line_dedup.dedup_lines(twice).collect()} == {(0, 7)}  # two documents only
     rows = [(k, f" {text.upper()}\t\nshort\n{k}") for k in range(6)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()} == {k: (3, 1, f"short\n{k}") if k < 5 else (3, 0, rows[5][1]) for k in range(6)}

@@ -57,7 +57,7 @@ def measure(text: str | None) -> tuple[list[int], list[float]]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n_dup = len(lines) - len(set(lines))
     repeats = repeat_words(words)
-    letters = max(1, sum(map(str.isalpha, text)) if len(raw) < 64 else len(raw) - len(raw.translate(None, _SPACES)))
+    letters = len(raw.translate(None, _SPACES))
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     bare = sum(len(w) == 1 and w in _SYMBOLS for w in words) if n_symbols else 0
     marked = sum(len(w) != len(w.translate(None, _SYMBOLS)) for w in words) if n_symbols else 0
