@@ -7,77 +7,128 @@ from weftline.config import ContextConfig
 from weftline.errors import ConfigurationError, LanguageNotSupported, ValidationError
 from weftline.operators import analyse, compare, parse, search
 from weftline.operators.traverse import propagate_labels, ranked_neighbors
-from weftline.plans.engine import Engine, incremental
+from weftline.plans.engine import Engine, incremental, index_roots
 from weftline.plans.evolve import AnalysisPipeline, PlanCache, SchemaEvolution
 from weftline.sources.files import load_sources, snapshot_diff
 from weftline.sources.store import GraphStore
 
-AUTH = '''import hashlib
-import os
-from typing import Optional
+LEDGER = """import decimal
 
 
-class AuthManager:
-    def __init__(self, secret: str) -> None:
-        self.secret = secret
+class Ledger:
+    def __init__(self, rows):
+        self.rows = list(rows)
 
-    def hash_password(self, password: str) -> str:
-        return hashlib.sha256(password.encode()).hexdigest()
+    def add_entry(self, amount: decimal.Decimal) -> None:
+        self.rows.append(amount)
 
-    def verify(self, password: str, hashed: str) -> bool:
-        return self.hash_password(password) == hashed
+    def total(self) -> decimal.Decimal:
+        return sum(self.rows)
 
 
-def create_token(user: str) -> str:
-    return os.urandom(4).hex() + user
-'''
-USER = "from auth import AuthManager, create_token\n\n\nclass UserService:\n    def __init__(self):\n        pass\n\n    def register(self):\n        pass\n\n    def login(self):\n        pass\n"
-TEST = "import pytest\nfrom auth import AuthManager, create_token\n\n\ndef test_hash_password():\n    pass\n\n\ndef test_verify():\n    pass\n\n\ndef test_create_token():\n    pass\n"
-UTILS = "def format_date(d):\n    from datetime import datetime\n    return d\n\n\ndef slugify(s):\n    return s\n"
+def open_ledger(rows=()):
+    return Ledger(rows)
+"""
+REPORT = "from ledger import open_ledger\n\n\ndef render_report(rows):\n    return str(open_ledger(rows).total())\n"
+TEST = "from ledger import Ledger, open_ledger\n\n\ndef test_total():\n    assert not open_ledger().total()\n\n\ndef test_open():\n    assert isinstance(open_ledger(), Ledger)\n"
+WORDS = "def composed(word):\n    import unicodedata\n    return unicodedata.normalize('NFC', word)\n"
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    rows = [("src/auth.py", AUTH, 0), ("src/user.py", USER, 1), ("tests/test_auth.py", TEST, 2), ("src/utils.py", UTILS, 3)]
+    rows = [("lib/ledger.py", LEDGER, 0), ("lib/report.py", REPORT, 1), ("tests/test_ledger.py", TEST, 2), ("lib/words.py", WORDS, 3)]
     return Engine(spark.createDataFrame(rows, "path string, source string, file_ord long"))
 
 
 @pytest.fixture(scope="module")
 def request_(spark):
-    row = (1, ["src/auth.py"], "", "refactor: improve auth token generation", "Review the authentication changes")
+    row = (1, ["lib/ledger.py"], "", "fix ledger rounding", "Check ledger totals")
     return spark.createDataFrame([row], "request_id long, changed_files array<string>, diff_text string, commit_message string, query string")
 
 
 def test_graph(engine):
-    assert engine.nodes.count() == 18
-    assert {(r["kind"], r["count"]) for r in engine.edges.groupBy("kind").count().collect()} == {("imports", 6)}
+    assert engine.nodes.count() == 13
+    assert {(r["kind"], r["count"]) for r in engine.edges.groupBy("kind").count().collect()} == {("imports", 5)}
+    module = engine.nodes.where("node_id = 'lib/ledger.py::__module__'").first()
+    assert (module.name, module.qualified_name) == ("ledger", "ledger")
 
 
 def test_ranking(engine, request_):
+    """Worked by hand: one of five query terms, "ledger", occurs 4 times in 13 terms of the changed file and twice in 8 of its test."""
+    bm25 = lambda tf, dl: min(1, 0.6931471805599453 * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 20)) / 5)
+    assert round(0.7 + 0.3 * bm25(4, 13), 4) == 0.7814 and round(0.49 + 0.3 * bm25(2, 8) + 0.15, 4) == 0.7136
     got = [(r.path, r.score, r.output_mode, r.reasons) for r in engine.ranked(request_).orderBy("rank").collect()]
     assert got == [
-        ("src/auth.py", 0.7646, "full", ["directly changed"]),
-        ("tests/test_auth.py", 0.7061, "full", ["caller via imports (depth 1)", "test coverage bonus"]),
-        ("src/user.py", 0.49, "signatures", ["caller via imports (depth 1)"]),
+        ("lib/ledger.py", 0.7814, "full", ["directly changed"]),
+        ("tests/test_ledger.py", 0.7136, "full", ["caller via imports (depth 1)", "test coverage bonus"]),
+        ("lib/report.py", 0.49, "signatures", ["caller via imports (depth 1)"]),
     ]
 
 
 def test_context(engine, request_):
     chosen, out = engine.context(request_)
     row = out.first()
-    assert row.files_scanned == 4 and row.files_selected == 3 and "## src/auth.py" in row.rendered_context
+    assert row.files_scanned == 4 and row.files_selected == 3 and "## lib/ledger.py" in row.rendered_context
+    broken = request_.withColumn("changed_files", F.expr("cast(array() as array<string>)"))
     with pytest.raises(ValidationError):
-        engine.context(request_.withColumn("changed_files", F.expr("cast(array() as array<string>)")))
+        engine.context(broken)
+    both = engine.contexts(request_.unionByName(broken.withColumn("request_id", F.lit(2).cast("long")))).orderBy("request_id").collect()
+    assert [(r.error, r.files_selected) for r in both] == [(None, 3), ("changed_files must not be empty", None)]
+
+
+def test_compression(spark, request_):
+    rows = [("lib/ledger.py", LEDGER, 0)]
+    small = Engine(spark.createDataFrame(rows, "path string, source string, file_ord long"), ContextConfig(output_mode="compressed"), lambda s, ratio: F.left(s, F.floor(F.length(s) * F.lit(ratio)).cast("int")))
+    text = small.context(request_)[1].first().rendered_context
+    assert LEDGER[:60] in text and LEDGER[-60:] not in text
+
+
+def test_every_tool(spark, engine, request_, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/registry")
+    store.register_repo("lib")
+    store.register_repo("tests/", "checks")
+    paths = {"lib/ledger.py", "tests/test_ledger.py", "lib/report.py"}
+    top = lambda r: {x.path for x in r}
+    want = {
+        "get_context": ({"requests": request_}, lambda r: r[0].files_selected == 3), "minimal_context": ({"requests": request_}, lambda r: r[0].files_selected == 3),
+        "get_impact": ({"requests": request_}, lambda r: top(r) == paths), "get_impact_radius": ({"requests": request_}, lambda r: top(r) == paths),
+        "graph_status": ({}, lambda r: (r[0].files_indexed, r[0].symbols_extracted, r[0].edges_created) == (4, 13, 5)), "list_graph_stats": ({}, lambda r: r[0].summary == "4 files, 13 symbols, 5 edges"),
+        "search_symbols": ({"needle": "LEDGER"}, lambda r: len(r) == 9), "semantic_search_nodes": ({"query": "open ledger", "kind": "function"}, lambda r: "lib/ledger.py::open_ledger" in {x.node_id for x in r}),
+        "similar_nodes": ({"query": "render report"}, lambda r: r[0].node_id == "lib/report.py::render_report"), "cross_repo_search": ({"repos": store.repos(), "query": "total"}, lambda r: {(x.repo, x.name) for x in r} == {("lib", "total"), ("checks", "test_total")}),
+        "list_repos": ({"store": store}, lambda r: {(x.root, x.name) for x in r} == {("lib", "lib"), ("tests", "checks")}), "list_files": ({}, lambda r: r[0].path == "lib/ledger.py"), "get_file_context": ({"path": "words.py"}, lambda r: r[0].source == WORDS),
+        "detect_changes": ({"requests": request_, "include_source": True}, lambda r: top(r) == paths and {x.source_preview for x in r} == {LEDGER + "...", TEST + "...", REPORT + "..."}),
+        "query_graph": ({"pattern": "callers_of", "target": "ledger"}, lambda r: {x.hit for x in r} == {"lib/report.py::__module__", "tests/test_ledger.py::__module__"}), "get_review_context": ({"requests": request_}, lambda r: r[0].path == "lib/ledger.py" and len(r) == 3),
+        "list_flows": ({}, lambda r: {x.entry for x in r} == {"lib/report.py::__module__", "tests/test_ledger.py::__module__"}), "get_flow": ({"flow_name": "REPORT"}, lambda r: r[0].nodes == ["lib/report.py::__module__", "lib/ledger.py::__module__"]),
+        "get_affected_flows": ({"changed": spark.createDataFrame([("lib/report.py",)], "path string")}, lambda r: [x.flow_name for x in r] == ["report"]),
+        "list_communities": ({}, lambda r: [(x.node_count, x.label, x.dominant_language) for x in r] == [(3, "", "python")]), "get_community": ({"community_id": 0, "include_members": True}, lambda r: set(r[0].members) == paths),
+        "get_wiki_page": ({"name": "community_0"}, lambda r: r[0].content.startswith("# community_0")), "generate_wiki": ({}, lambda r: [x.page_name for x in r] == ["community_0"]), "get_architecture_overview": ({}, lambda r: {x.metric: x.value for x in r}["files"] == 4),
+        "refactor": ({"mode": "suggest", "limit": 1}, lambda r: [x.suggestion for x in r] == ["Consider removing unused class 'Ledger' in lib/ledger.py:4"]), "find_dead_code": ({"kind": "function"}, lambda r: len(r) == 5), "find_large_functions": ({"min_lines": 1, "kind": "method"}, lambda r: len(r) == 3),
+        "rename_preview": ({"old": "total", "new": "balance"}, lambda r: [(x.file_path, x.line) for x in r] == [("lib/ledger.py", 11)]), "apply_refactor": ({"old": "total", "new": "balance"}, lambda r: {x.path for x in r if "balance" in x.source} == {"lib/ledger.py"}),
+        "get_docs_section": ({"keyword": "x"}, lambda r: len(r) == 4 and not any(x.found for x in r)), "embed_graph": ({}, lambda r: len(r) > 20), "visualize": ({}, lambda r: "lib/words.py" in r[0].html),
+    }
+    assert set(want) == set(engine.tools())
+    for name, (arguments, holds) in want.items():
+        got = engine.query(name, **arguments).collect()
+        assert holds(got), (name, got)
+    with pytest.raises(ValidationError):
+        engine.query("refactor", mode="rename", old_name="x")
 
 
-def test_every_tool(engine, request_):
-    arguments = {
-        "get_context": {"requests": request_}, "minimal_context": {"requests": request_}, "get_impact": {"requests": request_}, "get_impact_radius": {"requests": request_}, "search_symbols": {"needle": "auth"},
-        "semantic_search_nodes": {"query": "create token"}, "get_file_context": {"path": "auth.py"}, "detect_changes": {"requests": request_}, "query_graph": {"pattern": "callers_of", "target": "auth"},
-        "get_review_context": {"requests": request_}, "find_large_functions": {"min_lines": 1}, "rename_preview": {"old": "verify", "new": "check"}, "apply_refactor": {"old": "verify", "new": "check"}, "get_docs_section": {"keyword": "x"},
-    }
-    for name in engine.tools():
-        assert engine.query(name, **arguments.get(name, {})).count() >= 0, name
+def test_roots_share_a_graph(spark):
+    schema = "path string, source string, file_ord long"
+    both, stats = index_roots({"a": spark.createDataFrame([("a/base.py", "x = 1\n", 0)], schema), "b": spark.createDataFrame([("b/user.py", "import base\n", 0), ("b/bad.py", "def (", 1)], schema)})
+    assert [(r.source_id, r.target_id) for r in both.edges.collect()] == [("b/user.py::__module__", "a/base.py::__module__")]
+    assert {(r.root, r.files_indexed, r.files_skipped) for r in stats.collect()} == {("a", 1, 0), ("b", 1, 1)}
+
+
+def test_communities_settle(spark):
+    """A pair, a star, a path and a clique each end as one group, whatever halves their nodes fall into."""
+    links = [("pa", "pb"), *(("hub", f"leaf{i}") for i in range(9)), *((f"q{i}", f"q{i + 1}") for i in range(3)), *((f"k{i}", f"k{j}") for i in range(5) for j in range(i))]
+    labels = {r.node: r.label for r in propagate_labels(spark.createDataFrame(links, "a string, b string")).collect()}
+    for group in ("p", "k"):
+        assert len({v for k, v in labels.items() if k.startswith(group)}) == 1
+    assert len({labels["hub"], *(labels[f"leaf{i}"] for i in range(9))}) == 1
+    assert len({labels[f"q{i}"] for i in range(4)}) <= 2 and all(sum(v == labels[f"q{i}"] for v in labels.values()) > 1 for i in range(4))
 
 
 def test_limits_hold_for_each_request(spark):
@@ -116,14 +167,18 @@ def test_wiki_has_all_members(spark):
 
 
 def test_languages():
-    go = parse.get_parser("go")("a.go", 'import "fmt"\nfunc (m *MyStruct) DoSomething() {}\ntype Storage interface {}\n')
-    assert {s["qualified_name"] for s in go["symbols"]} == {"__module__", "MyStruct.DoSomething", "Storage"} and "fmt" in go["imports"]
-    sh = parse.get_parser("bash")("a.sh", 'source ./common.sh\n. helpers.sh\nexport AWS_REGION=eu\nDB_HOST=x\ndeploy() {\n}\nrollback() {\n}\n')
-    assert {"deploy", "rollback", "AWS_REGION", "DB_HOST"} <= {s["name"] for s in sh["symbols"]} and len(sh["imports"]) == 2
-    tf = parse.get_parser("hcl")("main.tf", 'resource "aws_s3_bucket" "my_bucket" {}\nvariable "instance_type" {}\nmodule "vpc" {\n  source = "./modules/vpc"\n}\n')
-    assert {"aws_s3_bucket.my_bucket", "var.instance_type", "module.vpc"} <= {s["qualified_name"] for s in tf["symbols"]} and tf["imports"] == ["./modules/vpc"]
-    js = parse.get_parser("javascript")("a.js", "export async function greet(name) {}\nimport x from './foo'\nconst b = require('./bar')\n")
-    assert js["imports"] == ["./foo", "./bar"] and any(s["name"] == "greet" and s["is_async"] for s in js["symbols"])
+    go = parse.get_parser("go")("a.go", 'import "net"\nfunc (q *Queue) Push() {}\ntype Sink interface {}\ntype Queue struct {}\nfunc Open(x int) {}\n')
+    assert {s["qualified_name"] for s in go["symbols"]} == {"a", "Queue.Push", "Sink", "Queue", "Open"} and "net" in go["imports"]
+    sh = parse.get_parser("bash")("a.sh", 'source lib/paths.sh\n. env.sh\nexport BUILD_DIR=out\nMODE=x\nclean() {\n}\nfunction pack () {\n}\neval "$CMD run"\n')
+    assert [s["name"] for s in sh["symbols"]] == ["a", "clean", "pack", "BUILD_DIR", "MODE"] and sh["imports"] == ["lib/paths.sh", "env.sh"] and sh["dynamic_imports"] == ["$CMD run"]
+    tf = parse.get_parser("hcl")("net.tf", 'variable "zone" {}\nresource "dns_record" "www" {}\nmodule "cdn" {\n  source = "./cdn"\n}\noutput "host" {}\n')
+    assert [s["qualified_name"] for s in tf["symbols"]] == ["net", "dns_record.www", "module.cdn", "var.zone", "output.host"] and tf["imports"] == ["./cdn"]
+    js = parse.get_parser("javascript")("a.js", "export async function load(url) {}\nimport x from './util'\nconst b = require('./wire')\nclass Box extends Base {}\n")
+    assert js["imports"] == ["./util", "./wire"] and [(s["name"], s["is_async"]) for s in js["symbols"][1:]] == [("load", True), ("Box", False)]
+    ts = parse.get_parser("typescript")("a.ts", "function id<T>(x: T) {}\nexport const f: Fn = (a) => a\nconst g = async (b) => b\n")
+    assert [s["name"] for s in ts["symbols"]] == ["a", "id", "f", "g"]
+    rust = parse.get_parser("rust")("a.rs", "    use std::io\npub async fn go_on(x: u8) {}\nfn two() {}\n")
+    assert [s["name"] for s in rust["symbols"]] == ["a", "go_on", "two"] and rust["imports"] == ["std::io"]
     with pytest.raises(LanguageNotSupported):
         parse.get_parser("cobol")
 
@@ -170,8 +225,8 @@ def test_communities_and_search(spark, engine):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "a string, b string")
     labels = {r.node: r.label for r in propagate_labels(links).collect()}
     assert len({labels[n] for n in "abc"}) == 1 and labels["a"] != labels["x"]
-    assert {r.hit for r in search.edge_query("callers_of", engine.nodes.where("node_id = 'src/auth.py::__module__'").selectExpr("node_id as seed"), engine.nodes, engine.edges).collect()} == {"src/user.py::__module__", "tests/test_auth.py::__module__"}
-    assert "src/auth.py" in {r.path for r in analyse.tested_files(engine.files).collect()}
+    assert {r.hit for r in search.edge_query("callers_of", engine.nodes.where("node_id = 'lib/ledger.py::__module__'").selectExpr("node_id as seed"), engine.nodes, engine.edges).collect()} == {"lib/report.py::__module__", "tests/test_ledger.py::__module__"}
+    assert "lib/ledger.py" in {r.path for r in analyse.tested_files(engine.files).collect()}
 
 
 def test_store(spark, tmp_path):
@@ -205,6 +260,9 @@ def test_watch(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/store")
     watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), "*.py").awaitTermination()
     assert store.read("files").count() == 1
+    (tmp_path / "in" / "b.py").write_text("import a\n")
+    watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), "*.py").awaitTermination()
+    assert store.read("nodes").count() == 3 and store.read("edges").count() == 1
 
 
 def test_control(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from .config import FULL, ContextConfig
 from .functions import text as tx
 from .operators import analyse, compare, control, search
 from .operators.edges import path_index
-from .operators.select import greedy
-from .operators.traverse import ranked_neighbors
-from .plans.engine import Engine, incremental
+from .operators.select import greedy, render
+from .operators.traverse import propagate_labels, ranked_neighbors
+from .plans.engine import Engine, incremental, index_roots
 from .plans.evolve import SchemaEvolution
 from .sources import corpus as cv
-from .sources.files import snapshot_diff
+from .sources.files import manifest, read_manifest, snapshot_diff, write_manifest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +69,28 @@ def _(spark, sf):
     return _docs(spark, sf).select("path", tx.detect_language(F.col("path")).alias("language"))
 
 
+_SUFFIXES = ".py .pyi .js .mjs .cjs .ts .tsx .go .rs .java .cpp .cxx .cc .c .h .rb .php .sh .bash .zsh .tf .tfvars .hcl .PY .md .yaml".split()
+_OF_SUFFIX = "python python javascript javascript javascript typescript typescript go rust java cpp cpp cpp c c ruby php bash bash bash hcl hcl hcl python unknown".split()
+
+
+@_register("languages_of_suffixes", f"""SELECT path, CASE s WHEN '.yaml' THEN CASE WHEN path LIKE '%/templates/%' THEN 'helm' ELSE 'unknown' END {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(_SUFFIXES, _OF_SUFFIX, strict=False))} END AS language
+FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'x/templates/d' ELSE 'x/y/d' END || doc_id || s AS path, s FROM (SELECT doc_id, ([{', '.join(f"'{x}'" for x in _SUFFIXES)}])[doc_id % {len(_SUFFIXES)} + 1] AS s FROM documents))""")
+def _(spark, sf):
+    d = F.col("doc_id")
+    ext = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (d % len(_SUFFIXES) + 1).cast("int"))
+    path = F.concat(F.when(d % 3 == 0, "x/templates/d").otherwise("x/y/d"), d.cast("string"), ext)
+    return cv.table(spark, sf, "documents").select(path.alias("path")).select("path", tx.detect_language(F.col("path")).alias("language"))
+
+
+@_register("dynamic_import_patterns", """SELECT doc_id, 'm' || doc_id AS name FROM documents WHERE doc_id % 6 < 4""")
+def _(spark, sf):
+    d = F.col("doc_id")
+    name = F.concat(F.lit("m"), d.cast("string"))
+    forms = ['importlib.import_module("%s")', "__import__('%s')", 'importlib.util.spec_from_file_location(a, "%s")', 'plugin = __import__("%s")', 'importlib.util.find_spec("%s")', "importlib.import_module(%s)"]
+    text = F.element_at(F.array(*(F.format_string(f"x = 1\n{f}\n", name) for f in forms)), (d % 6 + 1).cast("int"))
+    return cv.table(spark, sf, "documents").select("doc_id", F.explode(tx.dynamic_imports(text)).alias("name"))
+
+
 @_register("token_estimate", f"SELECT path, {_TOKENS} AS tokens FROM ({C1})")
 def _(spark, sf):
     return _docs(spark, sf).select("path", tx.token_estimate(F.col("source")).alias("tokens"))
@@ -98,7 +122,8 @@ def _(spark, sf):
     return _docs(spark, sf).groupBy(tx.suffix(F.col("path")).alias("ext")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "ext").limit(8)
 
 
-_WORDS = "|".join(tx.SECURITY_WORDS)
+#: Written out again, so that the oracle does not read the list under test.
+_WORDS = "password|secret|token|api_key|auth|crypt|hash|jwt|oauth|bearer|credential|private_key|sign|verify|encrypt|decrypt|sanitize|escape|sql|query|execute|inject|xss|csrf|cors|permission|sudo|root|admin"
 
 
 @_register("security_hits", f"SELECT path, len(regexp_extract_all(source, '(?i)\\b({_WORDS})\\b'))::BIGINT AS hits FROM ({C1})")
@@ -116,10 +141,12 @@ def _(spark, sf):
     return _docs(spark, sf).select("path", F.size(tx.query_tokens(F.col("source"))).cast("long").alias("tokens"))
 
 
-@_register("docs_section", "SELECT 'page_' || page_id AS path, left(coalesce(html, ''), 4000) AS section, false AS found FROM pages")
+_GUIDE = "SELECT doc_id, 'page_' || CAST(doc_id AS STRING) AS path, '# Guide ' || CAST(doc_id AS STRING) || chr(10) || 'intro' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '## Set-up' WHEN doc_id % 3 = 1 THEN '### Quick SET-UP' ELSE '## Other' END || chr(10) || replace(coalesce(text, ''), '#', ' ') || chr(10) || '### Detail' || chr(10) || 'x' || chr(10) || '## Next' || chr(10) || 'y' AS source FROM {documents}"
+
+
+@_register("docs_section", f"""SELECT path, doc_id % 3 < 2 AS found, left(CASE doc_id % 3 WHEN 0 THEN regexp_extract(source, '(?s)(## Set-up.*)' || chr(10) || '## Next', 1) WHEN 1 THEN regexp_extract(source, '(?s)(### Quick SET-UP.*)' || chr(10) || '### Detail', 1) ELSE source END, 4000) AS section FROM ({_GUIDE})""")
 def _(spark, sf):
-    pages = cv.table(spark, sf, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.coalesce("html", F.lit("")).alias("source"))
-    return analyse.doc_sections(pages, "zzz-no-such-heading")
+    return analyse.doc_sections(cv.spark_view(spark, sf, _GUIDE), "set-up").select("path", "found", "section")
 
 
 @_register("incremental_new_files", f"WITH f AS ({C1}) SELECT path FROM f WHERE file_ord >= (SELECT count(*) / 2 FROM f)")
@@ -251,7 +278,7 @@ def _(spark, sf):
     return engine(spark, sf).risk().select("path", "risk_score", "callers", "hits", "has_test")
 
 
-_PARTS = f"SELECT node_id, t, count(*) AS tf, any_value(n) AS len FROM (SELECT node_id, len(ts) AS n, unnest(ts) AS t FROM (SELECT node_id, list_filter(list_transform(regexp_extract_all(name || ' ' || sig || ' ' || regexp_replace(node_id, '^(.*)::.*$', '\\1'), '[a-zA-Z][a-z]*|\\d+'), lambda x: lower(x)), lambda x: length(x) > 1) AS ts FROM (SELECT node_id, name, CASE kind WHEN 'module' THEN '__module__ ' WHEN 'class' THEN name || ' class ' || name WHEN 'method' THEN 'P_' || k || '.' || name || ' def ' || name || '(self, x: int) -> int' ELSE name || ' def ' || name || '(x: int) -> int' END AS sig FROM ({_SYMBOLS})))) GROUP BY node_id, t"
+_PARTS = f"SELECT node_id, t, count(*) AS tf, any_value(n) AS len FROM (SELECT node_id, len(ts) AS n, unnest(ts) AS t FROM (SELECT node_id, list_filter(list_transform(regexp_extract_all(name || ' ' || sig || ' ' || regexp_replace(node_id, '^(.*)::.*$', '\\1'), '[a-zA-Z][a-z]*|\\d+'), lambda x: lower(x)), lambda x: length(x) > 1) AS ts FROM (SELECT node_id, name, CASE kind WHEN 'module' THEN name || ' ' WHEN 'class' THEN name || ' class ' || name WHEN 'method' THEN 'P_' || k || '.' || name || ' def ' || name || '(self, x: int) -> int' ELSE name || ' def ' || name || '(x: int) -> int' END AS sig FROM ({_SYMBOLS})))) GROUP BY node_id, t"
 
 
 @_register("tfidf", f"WITH p AS ({_PARTS}), d AS (SELECT t, count(*) AS df FROM p GROUP BY t) SELECT node_id, t AS token, round(tf / len * ln(((SELECT count(*) FROM ({_SYMBOLS})) + 1) / (df + 1)), 6) AS weight FROM p JOIN d USING (t)")
@@ -302,18 +329,133 @@ def _(spark, sf):
     return cv.spark_view(spark, sf, cv.GRAPH_EDGES).groupBy(F.col("target_id").alias("node_id"), "kind").agg(F.count("*").alias("degree"))
 
 
-@_register("list_communities")
+def labels_sql(links: str, rounds: int = 10) -> str:
+    """CTEs up to ``labels``: rounds unrolled, each half of the nodes after the other."""
+    ctes = [
+        f"both_ways AS MATERIALIZED (SELECT DISTINCT a, b, CASE WHEN md5(a)[1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE 0 END AS half FROM (SELECT a, b FROM ({links}) UNION ALL SELECT b, a FROM ({links})) WHERE a <> b)",
+        "l0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM both_ways)",
+    ]
+    for i in range(2 * rounds):
+        votes = f"SELECT a, label, count(*) AS n FROM (SELECT a, label FROM both_ways JOIN l{i} ON b = node WHERE half = {i % 2} UNION ALL SELECT node, label FROM l{i} WHERE node IN (SELECT a FROM both_ways WHERE half = {i % 2})) GROUP BY ALL"
+        ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT node, coalesce(won, label) AS label FROM l{i} LEFT JOIN (SELECT a, arg_min(label, (-n, label)) AS won FROM ({votes}) GROUP BY a) ON a = node)")
+    return ", ".join([*ctes, f"labels AS (SELECT * FROM l{2 * rounds})"])
+
+
+#: Trees of forty parts, pairs and stars of suppliers.
+TREES = """
+SELECT 'p' || CAST(p_partkey AS STRING) AS a, 'p' || CAST(p_partkey - p_partkey % 40 + CAST(floor((p_partkey % 40) / 3) AS BIGINT) AS STRING) AS b FROM {part}
+UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 's' || CAST(s_suppkey - s_suppkey % CASE WHEN s_suppkey % 60 < 30 THEN 2 ELSE 10 END AS STRING) FROM {supplier}
+"""
+
+
+@_register("label_propagation", f"WITH {labels_sql(TREES)} SELECT * FROM labels")
+def _(spark, sf):
+    return propagate_labels(cv.spark_view(spark, sf, TREES))
+
+
+_FILE_LINKS = f"SELECT DISTINCT split_part(source_id, '::', 1) AS a, split_part(target_id, '::', 1) AS b FROM ({_EDGES_SQL}) WHERE ends_with(source_id, '::__module__') AND ends_with(target_id, '::__module__')"
+_COMMUNITIES = f"""WITH {labels_sql(_FILE_LINKS)}, g AS (SELECT label AS key, count(*) AS node_count, min(node) AS low, max(node) AS high, min(k) AS first FROM labels JOIN {_BASE} ON path = node GROUP BY 1 HAVING count(*) >= 2),
+c AS (SELECT *, string_split(low, '/')[:-2] AS l, string_split(high, '/')[:-2] AS h FROM g)
+SELECT row_number() OVER (ORDER BY node_count DESC, first) - 1 AS community_id, array_to_string(l[1:len(list_filter(range(1, least(len(l), len(h)) + 1), lambda i: l[1:i] = h[1:i]))], '/') AS label, node_count, 'python' AS dominant_language FROM c"""
+
+
+@_register("list_communities", _COMMUNITIES)
 def _(spark, sf):
     e = engine(spark, sf)
     return analyse.communities(e.files, e.edges).select("community_id", "label", "node_count", "dominant_language")
 
 
-@_register("flows")
+@_register("get_community", f"SELECT community_id, label, node_count FROM ({_COMMUNITIES}) WHERE community_id = 0")
+def _(spark, sf):
+    return engine(spark, sf).query("get_community", community_id=0)
+
+
+def flows_sql(depth: int = 15) -> str:
+    """CTEs up to ``flow``: levels unrolled, each without what an entry has reached before."""
+    ctes = [
+        f"sym AS MATERIALIZED ({_SYMBOLS})", f"edge AS MATERIALIZED ({_EDGES_SQL})", "go AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM edge WHERE kind IN ('imports', 'inherits') AND target_id IN (SELECT node_id FROM sym))",
+        "start AS MATERIALIZED (SELECT node_id AS entry, name FROM sym WHERE kind IN ('function', 'method', 'module') ORDER BY k, s, node_id LIMIT 500)", "v0 AS MATERIALIZED (SELECT entry, entry AS node FROM start)", "f0 AS (SELECT * FROM v0)",
+    ]
+    for i in range(1, depth + 1):
+        ctes.append(f"f{i} AS MATERIALIZED (SELECT DISTINCT entry, target_id AS node FROM f{i - 1} JOIN go ON source_id = node WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.entry = f{i - 1}.entry AND v.node = target_id))")
+        ctes.append(f"v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM f{i})")
+    ctes.append(f"""flow AS (SELECT entry, any_value(name) AS flow_name, count(*) AS node_count, count(DISTINCT split_part(node, '::', 1)) AS file_count, least({depth}, count(*)) AS depth,
+      round(ln(1 + any_value(coalesce(d, 0)) + 1) * ln(1 + count(*)), 4) AS criticality FROM v{depth} JOIN start USING (entry) LEFT JOIN (SELECT target_id AS entry, count(*) AS d FROM edge GROUP BY 1) USING (entry) GROUP BY entry HAVING count(*) >= 2)""")
+    return ", ".join(ctes)
+
+
+@_register("flows", f"WITH {flows_sql()} SELECT * FROM flow")
 def _(spark, sf):
     e = engine(spark, sf)
     return analyse.flows(e.nodes, e.edges)
 
 
+@_register("get_flow", f"WITH {flows_sql()}, one AS (SELECT *, row_number() OVER (ORDER BY criticality DESC, entry) AS flow_id FROM flow QUALIFY flow_id = 1) SELECT flow_id, flow_name, entry AS entry_point, node_count, criticality FROM one")
+def _(spark, sf):
+    return analyse.compact(engine(spark, sf).query("get_flow", flow_id=1), "minimal")
+
+
+@_register("affected_flows", f"WITH {flows_sql()} SELECT * FROM flow WHERE entry IN (SELECT entry FROM v15 JOIN {_BASE} ON split_part(node, '::', 1) = path WHERE k = 3)")
+def _(spark, sf):
+    changed = _code(spark, sf).where("file_ord = 3").select("path")
+    return engine(spark, sf).query("get_affected_flows", changed=changed)
+
+
+@_register("refactor_suggest", f"SELECT 'Consider removing unused ' || kind || ' ' || chr(39) || name || chr(39) || ' in ' || split_part(node_id, '::', 1) || ':' || line AS suggestion FROM (SELECT *, CASE s WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 9 END + CASE WHEN k % 6 = 0 THEN 2 ELSE 0 END AS line FROM ({_SYMBOLS}) WHERE kind <> 'module' AND node_id NOT IN (SELECT target_id FROM ({_EDGES_SQL})) ORDER BY k, s LIMIT 10)")
+def _(spark, sf):
+    return engine(spark, sf).query("refactor", mode="suggest")
+
+
+_REPOS = "SELECT DISTINCT 'src/b' || CAST(p_partkey % 25 AS STRING) AS root, 'b' || CAST(p_partkey % 25 AS STRING) AS name, 'src/b' || CAST(p_partkey % 25 AS STRING) || '/.weftline' AS db_path FROM {part}"
+
+
+@_register("list_repos", _REPOS)
+def _(spark, sf):
+    from .sources.store import GraphStore
+    from .staging import shared_dir
+
+    store = GraphStore(spark, f"{shared_dir(spark)}/weftline/registry-{uuid.uuid4().hex}")
+    store.upsert("repos", cv.spark_view(spark, sf, _REPOS))
+    return engine(spark, sf).query("list_repos", store=store)
+
+
+@_register("index_roots", "SELECT CASE p_partkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS root, count(*) AS files_indexed, 0::BIGINT AS files_skipped, 4 * count(*) AS symbols_extracted FROM part GROUP BY 1")
+def _(spark, sf):
+    code = _code(spark, sf)
+    _, stats = index_roots({"even": code.where("file_ord % 2 = 0"), "odd": code.where("file_ord % 2 = 1")})
+    return stats
+
+
+@_register("manifest", f"SELECT path, 'repo' AS root, (SELECT count(*) FROM part) AS files_indexed, (SELECT 4 * count(*) FROM part) AS symbols_extracted, (SELECT count(*) FROM ({_EDGES_SQL})) AS edges_created FROM ({C3})")
+def _(spark, sf):
+    from .staging import shared_dir
+
+    e = engine(spark, sf)
+    folder = f"{shared_dir(spark)}/weftline/manifest-{uuid.uuid4().hex}"
+    write_manifest(manifest("repo", e.stats(), e.corpus), folder)
+    return read_manifest(spark, folder)
+
+
+@_register("compressed_sections", f"SELECT path, sha256('## ' || path || chr(10) || '<!-- score=0.250 rank=1 depth=0 reasons=x -->' || chr(10) || '```md' || chr(10) || left(source, CAST(floor(length(source) * 0.35::DOUBLE) AS BIGINT)) || chr(10) || '```') AS section FROM ({C1})")
+def _(spark, sf):
+    ratio = ContextConfig().compression_ratio
+    rows = _docs(spark, sf).select("path", "source", F.lit("compressed").alias("output_mode"), F.lit(0.25).alias("score"), F.lit(1).alias("rank"), F.lit(0).alias("depth"), F.array(F.lit("x")).alias("reasons"), F.lit("md").alias("language"), F.lit("").alias("signatures"))
+    shorter = F.left("source", F.floor(F.length("source") * F.lit(ratio)).cast("int"))
+    return rows.select("path", F.sha2(render(shorter), 256).alias("section"))
+
+
+@_register("source_previews", f"SELECT path, CASE WHEN source = '' THEN '' ELSE left(source, 500) || '...' END AS source_preview FROM ({C1})")
+def _(spark, sf):
+    d = _docs(spark, sf)
+    return analyse.with_preview(d.select("path"), d)
+
+
+@_register("score_changes", "SELECT 'd' || doc_id AS path, 'kept' AS state, round(doc_id % 7 / 100.0, 4)::DOUBLE AS delta FROM documents WHERE doc_id % 7 / 100.0 > 0.01 ORDER BY delta DESC, path")
+def _(spark, sf):
+    d = cv.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"))
+    return compare.score_changes(compare.context_diff(d.select("path", F.lit(0.25).alias("score")), d.select("path", (F.lit(0.25) + F.col("doc_id") % 7 / 100).alias("score"))))
+
+
 @_register("wiki_pages")
 def _(spark, sf):
     return engine(spark, sf).query("generate_wiki")
@@ -347,6 +489,21 @@ def _(spark, sf):
     return engine(spark, sf).query("detect_changes", requests=requests(spark, sf)).drop("reasons")
 
 
+_REQUEST_KEYS = "SELECT min(p_partkey) AS k FROM part GROUP BY p_brand"
+
+
+@_register("max_risk", f"SELECT k AS request_id, round(risk_score, 3) AS max_risk_score FROM ({_REQUEST_KEYS}) JOIN {_BASE} USING (k) JOIN ({ORACLES['risk_index']}) USING (path)")
+def _(spark, sf):
+    return analyse.max_risk(requests(spark, sf), engine(spark, sf).risk())
+
+
+@_register("request_errors", f"SELECT k AS request_id, CASE WHEN k % 2 = 0 THEN 'changed_files must not be empty' END AS error, k % 2 = 1 AS has_context FROM ({_REQUEST_KEYS})")
+def _(spark, sf):
+    none = F.expr("cast(array() as array<string>)")
+    asked = requests(spark, sf).withColumn("changed_files", F.when(F.col("request_id") % 2 == 0, none).otherwise(F.col("changed_files")))
+    return engine(spark, sf).contexts(asked).select("request_id", "error", F.col("rendered_context").isNotNull().alias("has_context"))
+
+
 @_register("greedy_budget", """WITH RECURSIVE o AS (
   SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, greatest(1, length(text) // 4)::BIGINT AS tok, greatest(1, length(text) // 20)::BIGINT AS sig FROM documents
 ), r AS (
@@ -434,9 +591,7 @@ def _(spark, sf):
     return out.withColumnRenamed("__schema_version__", "version")
 
 
-@_register("cross_repo_search", f"SELECT repo, path FROM ({C1}) WHERE path LIKE '%doc\\_1%' ESCAPE '\\' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 5")
+@_register("cross_repo_search", f"SELECT 'b' || k % 25 AS repo, 'src/b' || k % 25 AS root, name, split_part(node_id, '::', 1) AS file, kind FROM ({_SYMBOLS}) WHERE kind = 'method' AND lower(node_id) LIKE '%m\\_1%' ESCAPE '\\' QUALIFY row_number() OVER (PARTITION BY k % 25 ORDER BY node_id) <= 5")
 def _(spark, sf):
-    from pyspark.sql.window import Window
-
-    hits = _docs(spark, sf).where(F.contains("path", F.lit("doc_1")))
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("r <= 5").select("repo", "path")
+    out = engine(spark, sf).query("cross_repo_search", repos=cv.spark_view(spark, sf, _REPOS), query="m_1", kind="method", limit=5)
+    return out.select("repo", "root", "name", "file", "kind")

@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 #: Language of a file by its suffix.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
     ".go": "go", ".rs": "rust", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c": "c", ".h": "c", ".rb": "ruby", ".php": "php",
     ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".tf": "hcl", ".hcl": "hcl", ".tfvars": "hcl",
 }
 #: Words that make a file security relevant.
 SECURITY_WORDS = (
-    "password", "passwd", "secret", "token", "auth", "login", "crypto", "encrypt", "decrypt", "hash", "jwt", "oauth", "session", "cookie",
-    "csrf", "xss", "sql", "injection", "sanitize", "validate", "permission", "role", "admin", "sudo", "exec", "eval", "subprocess", "shell", "pickle",
+    "password", "secret", "token", "api_key", "auth", "crypt", "hash", "jwt", "oauth", "bearer", "credential", "private_key", "sign", "verify", "encrypt", "decrypt",
+    "sanitize", "escape", "sql", "query", "execute", "inject", "xss", "csrf", "cors", "permission", "sudo", "root", "admin",
 )
 #: Dynamic imports of Python, in order of their patterns.
 DYNAMIC_IMPORTS = (
-    r"""importlib\.import_module\(\s*['"]([^'"]+)['"]""",
-    r"""__import__\(\s*['"]([^'"]+)['"]""",
-    r"""importlib\.util\.find_spec\(\s*['"]([^'"]+)['"]""",
-    r"""pkg_resources\.load_entry_point\(\s*['"]([^'"]+)['"]""",
+    r"""importlib\.import_module\(["']([^"']+)["']\)""",
+    r"""__import__\(["']([^"']+)["']\)""",
+    r"""importlib\.util\.spec_from_file_location\([^,]+,\s*["']([^"']+)["']\)""",
+    r"""plugin\s*=\s*__import__\(["']([^"']+)["']\)""",
 )
 
 

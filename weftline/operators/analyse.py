@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import ValidationError
 from ..functions.text import file_of, security_hits, stem
+from ..staging import numbered, staged
 from .traverse import propagate_labels, reachable
 
 
@@ -50,7 +52,7 @@ def risk(files: DataFrame, nodes: DataFrame, edges: DataFrame, corpus: DataFrame
 
 #: Names and decorators that mark entry points.
 ENTRY_NAMES = r"(?i)^(main|run|execute|handle|dispatch|start|serve|__call__|__main__)$|^test_"
-ENTRY_DECORATORS = r"(?i)(command|route|get|post|put|delete|patch|task|celery|event|listener|handler|hook)"
+ENTRY_DECORATORS = r"(?i)(command|route|get|post|put|delete|patch|task|celery|handler|endpoint)"
 
 
 def flows(nodes: DataFrame, edges: DataFrame, max_depth: int = 15, max_flows: int = 500) -> DataFrame:
@@ -67,6 +69,76 @@ def flows(nodes: DataFrame, edges: DataFrame, max_depth: int = 15, max_flows: in
     return named.select("entry", "flow_name", "node_count", "file_count", F.least(F.lit(max_depth).cast("long"), "node_count").alias("depth"), F.round(weight, 4).alias("criticality"))
 
 
+def flow_nodes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int = 15) -> DataFrame:
+    """entry, node_id, depth: what the flows of ``entries`` (entry) pass through."""
+    known = edges.where("kind in ('calls', 'imports', 'inherits')").join(nodes.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
+    return reachable(known, entries.select("entry").distinct(), max_depth)
+
+
+def numbered_flows(flow_table: DataFrame) -> DataFrame:
+    """Flows with flow_id from 1, most critical first."""
+    return numbered(flow_table, "__n", F.desc("criticality"), "entry").withColumn("flow_id", F.col("__n") + 1).drop("__n")
+
+
+def get_flow(flow_table: DataFrame, nodes: DataFrame, edges: DataFrame, flow_id: int | None = None, flow_name: str = "", most: int = 50) -> DataFrame:
+    """At most one row: a flow by its number, or the first whose name holds a text, with its first nodes by depth and id."""
+    rows = numbered_flows(flow_table)
+    rows = rows.where(F.col("flow_id") == flow_id) if flow_id is not None else rows.where(F.contains(F.lower("flow_name"), F.lit(flow_name.lower()))).orderBy("flow_id").limit(1)
+    rows = staged(rows, "flow")
+    first = flow_nodes(nodes, edges, rows).orderBy("depth", "node_id").limit(most)
+    listed = first.groupBy("entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    return rows.join(listed, "entry").select("flow_id", "flow_name", F.col("entry").alias("entry_point"), "node_count", "criticality", "nodes")
+
+
+def get_community(community: DataFrame, community_id: int | None = None, name: str = "", include_members: bool = False) -> DataFrame:
+    """At most one row: a community by its number, or the first whose label holds a text."""
+    rows = community.where(F.col("community_id") == community_id) if community_id is not None else community.where(F.contains(F.lower("label"), F.lit(name.lower()))).orderBy("community_id").limit(1)
+    return rows.select("community_id", "label", "node_count", *(["members"] if include_members else []))
+
+
+def wiki_page(pages: DataFrame, name: str) -> DataFrame:
+    """page_name, content of one page, by the community's name."""
+    return pages.where(F.col("page_name") == F.regexp_replace(F.lit(name), "[^A-Za-z0-9_-]", "_"))
+
+
+def suggestions(dead: DataFrame) -> DataFrame:
+    """suggestion: a line per unused symbol."""
+    return dead.select(F.format_string("Consider removing unused %s '%s' in %s:%d", "kind", "name", "file_path", "line_start").alias("suggestion"))
+
+
+def refactor(nodes: DataFrame, edges: DataFrame, mode: str = "rename", **params) -> DataFrame:
+    """rename (old_name, new_name), dead_code (kind, file_pattern, limit) or suggest."""
+    if mode == "rename":
+        if not params.get("old_name") or not params.get("new_name"):
+            raise ValidationError("old_name and new_name are required", {"mode": ["rename needs both names"]})
+        return rename_preview(nodes, params["old_name"], params["new_name"])
+    if mode == "dead_code":
+        return dead_code(nodes, edges, **params)
+    if mode == "suggest":
+        return suggestions(dead_code(nodes, edges, limit=params.get("limit", 10)))
+    raise ValidationError(f"unknown mode {mode}", {"mode": ["rename, dead_code or suggest"]})
+
+
+def max_risk(requests: DataFrame, risks: DataFrame) -> DataFrame:
+    """request_id, max_risk_score: of the changed files; 0 where none is indexed."""
+    rows = requests.select("request_id", F.explode_outer("changed_files").alias("path")).join(risks.select("path", "risk_score"), "path", "left")
+    return rows.groupBy("request_id").agg(F.round(F.coalesce(F.max("risk_score"), F.lit(0.0)), 3).alias("max_risk_score"))
+
+
+#: Columns that a short answer leaves out.
+VERBOSE = ("source_preview", "source", "rendered_context", "nodes", "metadata")
+
+
+def compact(rows: DataFrame, detail_level: str) -> DataFrame:
+    return rows.drop(*VERBOSE) if detail_level == "minimal" else rows
+
+
+def with_preview(rows: DataFrame, corpus: DataFrame, most: int = 500) -> DataFrame:
+    """Rows (path, ...) with source_preview: the beginning of each file, empty for unknown or empty ones."""
+    text = F.concat(F.substring("source", 1, most), F.lit("..."))
+    return rows.join(corpus.select("path", F.when(F.length("source") > 0, text).otherwise("").alias("source_preview")), "path", "left").fillna("", ["source_preview"])
+
+
 def affected_flows(flow_nodes: DataFrame, flow_table: DataFrame, changed: DataFrame) -> DataFrame:
     """Flows that touch a changed file, most critical first."""
     hit = flow_nodes.join(changed.select(F.col("path").alias("file")), file_of(F.col("node_id")) == F.col("file"), "left_semi").select("entry").distinct()
@@ -93,7 +165,7 @@ def communities(files: DataFrame, edges: DataFrame, min_size: int = 2, rounds: i
     shared = F.filter(F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: F.when(a == b, a)), lambda x: F.lit(True))
     stop = F.array_position(F.transform(shared, lambda x: x.isNull()), True)
     prefix = F.array_join(F.when(stop > 0, F.slice(shared, 1, F.greatest(F.lit(0), (stop - 1).cast("int")))).otherwise(shared), "/")
-    out = size.join(lang, "label").join(members, "label").withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("node_count"), "first")) - 1)
+    out = numbered(size.join(lang, "label").join(members, "label"), "community_id", F.desc("node_count"), "first")
     return out.select("community_id", prefix.alias("label"), "node_count", "dominant_language", "members", F.col("label").alias("key"))
 
 

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +20,11 @@ from ..errors import LanguageNotSupported
 from ..functions import text as tx
 
 SYMBOL = "struct<kind:string,name:string,qualified_name:string,line_start:int,line_end:int,signature:string,decorators:array<string>,bases:array<string>,is_async:boolean,meta:map<string,string>>"
-PARSED = f"path string, symbols array<{SYMBOL}>, imports array<string>, dynamic_imports array<string>, signatures string, error string"
+PARSED = f"symbols array<{SYMBOL}>, imports array<string>, dynamic_imports array<string>, signatures string, error string"
+PARSED_COLUMNS = ["symbols", "imports", "dynamic_imports", "signatures", "error"]
 
 
-def _symbol(kind, name, qual=None, line=1, end=0, signature="", decorators=(), bases=(), is_async=False, **meta):
+def _symbol(kind, name, qual=None, line=0, end=0, signature="", decorators=(), bases=(), is_async=False, **meta):
     return {"kind": kind, "name": name, "qualified_name": qual or name, "line_start": line, "line_end": end, "signature": signature, "decorators": list(decorators), "bases": list(bases), "is_async": is_async, "meta": meta}
 
 
@@ -55,7 +56,8 @@ def _signature(fn) -> str:
 
 def parse_python(path: str, source: str) -> dict:
     tree = ast.parse(source)
-    symbols, imports = [_symbol("module", _stem(path), "__module__", line=1, end=len(source.splitlines()))], []
+    symbols, imports = [_symbol("module", _stem(path), line=1, end=len(source.splitlines()))], []
+
     def visit(parent, prefix):
         for node in ast.iter_child_nodes(parent):
             if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
@@ -99,81 +101,99 @@ def python_signatures(source: str) -> str:
 #: Definitions and imports of the languages read by pattern; group 1 is the name.
 PATTERNS = {
     "javascript": (
-        ("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("),
-        ("function", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"),
-        ("class", r"class\s+(\w+)"),
-        ("import", r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]"""),
-        ("import", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""),
-        ("dynamic", r"""import\(\s*['"]([^'"]+)['"]\s*\)"""),
+        ("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"),
+        ("function", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*=>"),
+        ("class", r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+(\w+))?"),
+        ("import", r"""import\s+.*?\s+from\s+["']([^"']+)["']"""),
+        ("import", r"""require\(["']([^"']+)["']\)"""),
+        ("dynamic", r"""import\(["']([^"']+)["']\)"""),
+    ),
+    "typescript": (
+        ("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"),
+        ("function", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?\(([^)]*)\)\s*=>"),
+        ("class", r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+(\w+))?"),
+        ("import", r"""import\s+.*?\s+from\s+["']([^"']+)["']"""),
+        ("import", r"""require\(["']([^"']+)["']\)"""),
+        ("dynamic", r"""import\(["']([^"']+)["']\)"""),
     ),
     "go": (
         ("function", r"^func\s+(\w+)\s*\("),
-        ("receiver", r"^func\s+\(\s*\w+\s+\*?(\w+)\s*\)\s+(\w+)\s*\("),
-        ("class", r"^type\s+(\w+)\s+struct"),
-        ("interface", r"^type\s+(\w+)\s+interface"),
-        ("import", r'"([^"\n]+)"'),
-        ("dynamic", r'plugin\.Open\(\s*"([^"]+)"'),
+        ("receiver", r"^func\s+\(\w+\s+\*?(\w+)\)\s+(\w+)\s*\("),
+        ("class", r"^type\s+(\w+)\s+struct\s*\{"),
+        ("interface", r"^type\s+(\w+)\s+interface\s*\{"),
+        ("import", r'"([^"]+)"'),
+        ("dynamic", r"""plugin\.Open\(["']([^"']+)["']\)"""),
     ),
     "rust": (
-        ("function", r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
-        ("import", r"^use\s+([\w:]+)"),
-        ("dynamic", r'libloading::Library::new\(\s*"([^"]+)"'),
+        ("function", r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(([^)]*)\)"),
+        ("import", r"use\s+([\w:]+)"),
+        ("dynamic", r"""libloading::Library::new\(["']([^"']+)["']\)"""),
     ),
     "bash": (
-        ("function", r"^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*\{"),
-        ("import", r"""^\s*(?:source|\.)\s+['"]?([^\s'";]+)"""),
-        ("variable", r"^\s*(?:export\s+|readonly\s+)?([A-Z_][A-Z0-9_]{2,})="),
-        ("dynamic", r"eval\s+([^\n]{1,80})"),
+        ("shell", r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{"),
+        ("import", r"^(?:source|\.)\s+([\w./\-]+)"),
+        ("variable", r"^(?:export\s+)?([A-Z_][A-Z0-9_]{2,})\s*="),
+        ("eval", r"""\beval\s+["'`]([^"'`]+)["'`]"""),
     ),
     "hcl": (
-        ("block", r'^\s*(resource|data)\s+"([^"]+)"\s+"([^"]+)"'),
-        ("var", r'^\s*variable\s+"([^"]+)"'),
-        ("mod", r'^\s*module\s+"([^"]+)"'),
-        ("output", r'^\s*output\s+"([^"]+)"'),
-        ("import", r'source\s*=\s*"([^"]+)"'),
+        ("resource", r'^resource\s+"([^"]+)"\s+"([^"]+)"\s*\{'),
+        ("data", r'^data\s+"([^"]+)"\s+"([^"]+)"\s*\{'),
+        ("module", r'^module\s+"([^"]+)"\s*\{'),
+        ("setting", r'^variable\s+"([^"]+)"\s*\{'),
+        ("output", r'^output\s+"([^"]+)"\s*\{'),
+        ("import", r'^\s*source\s*=\s*"([^"]+)"'),
     ),
 }
-PATTERNS["typescript"] = PATTERNS["javascript"]
 _COMPILED = {lang: [(k, re.compile(p, re.MULTILINE)) for k, p in ps] for lang, ps in PATTERNS.items()}
 
 
+def _found(kind: str, m: re.Match, line: int) -> dict:
+    """The symbol of a match."""
+    signature = m[0][:120]
+    if kind == "receiver":
+        return _symbol("method", m[2], f"{m[1]}.{m[2]}", line, signature=signature, receiver_type=m[1])
+    if kind == "interface":
+        return _symbol("class", m[1], line=line, signature=signature, is_interface="true")
+    if kind in ("resource", "data"):
+        return _symbol("class", m[2], f"{m[1]}.{m[2]}", line, signature=signature, hcl_block=kind, resource_type=m[1])
+    if kind in ("module", "output"):
+        return _symbol("function" if kind == "output" else "module", m[1], f"{kind}.{m[1]}", line, signature=signature, hcl_block=kind)
+    if kind == "setting":
+        return _symbol("variable", m[1], f"var.{m[1]}", line, hcl_block="variable")
+    if kind == "variable":
+        return _symbol("variable", m[1], line=line)
+    if kind == "shell":
+        return _symbol("function", m[1], line=line, signature=f"function {m[1]}()")
+    return _symbol(kind, m[1], line=line, signature=signature, is_async="async" in signature)
+
+
 def parse_patterns(language: str) -> Callable[[str, str], dict]:
     def parse(path: str, source: str) -> dict:
-        symbols, imports, dynamic = [_symbol("module", _stem(path), "__module__", line=1, end=len(source.splitlines()))], [], []
+        symbols, imports, dynamic = [_symbol("module", _stem(path))], [], []
         for kind, pattern in _COMPILED.get(language, ()):
             for m in pattern.finditer(source):
-                at = {"line": source.count("\n", 0, m.start()) + 1, "signature": m[0][:120], "is_async": "async" in m[0]}
                 if kind == "import":
                     imports.append(m[1])
-                elif kind == "dynamic":
-                    dynamic.append(m[1])
-                elif kind == "receiver":
-                    symbols.append(_symbol("method", m[2], f"{m[1]}.{m[2]}", receiver_type=m[1], **at))
-                elif kind == "interface":
-                    symbols.append(_symbol("class", m[1], is_interface="true", **at))
-                elif kind == "block":
-                    symbols.append(_symbol("class", m[3], f"{m[2]}.{m[3]}", hcl_block=m[1], resource_type=m[2], **at))
-                elif kind in ("var", "mod", "output"):
-                    name = {"var": "var", "mod": "module", "output": "output"}[kind]
-                    symbols.append(_symbol({"var": "variable", "mod": "module", "output": "function"}[kind], m[1], f"{name}.{m[1]}", **at))
+                elif kind in ("dynamic", "eval"):
+                    dynamic.append(m[1][:80] if kind == "eval" else m[1])
                 else:
-                    symbols.append(_symbol(kind, m[1], **at))
+                    symbols.append(_found(kind, m, source.count("\n", 0, m.start()) + 1))
         return {"symbols": symbols, "imports": _unique(imports), "dynamic_imports": _unique(dynamic)}
 
     return parse
 
 
-def _lines_matching(pattern: str, head: int) -> Callable[[str], str]:
-    rx = re.compile(pattern, re.MULTILINE)
-    return lambda source: "\n".join(m[0].strip() for m in rx.finditer(source)) or source[:head]
+def _bash_signatures(source: str) -> str:
+    return "\n".join(f"function {m[1]}()" for m in _COMPILED["bash"][0][1].finditer(source)) or source[:200]
+
+
+def _hcl_signatures(source: str) -> str:
+    """Headers of blocks, kind by kind."""
+    return "\n".join(m[0].rstrip("{").strip() for _, pattern in _COMPILED["hcl"][:5] for m in pattern.finditer(source)) or source[:200]
 
 
 _PARSERS: dict[str, Callable[[str, str], dict]] = {"python": parse_python, **{lang: parse_patterns(lang) for lang in PATTERNS}}
-_SIGNATURES: dict[str, Callable[[str], str]] = {
-    "python": python_signatures,
-    "bash": lambda s: "\n".join(f"function {m[1]}()" for m in _COMPILED["bash"][0][1].finditer(s)) or s[:200],
-    "hcl": _lines_matching(r'^\s*(?:resource|data|module|variable|output)\s+"[^\n{]*', 200),
-}
+_SIGNATURES: dict[str, Callable[[str], str]] = {"python": python_signatures, "bash": _bash_signatures, "hcl": _hcl_signatures}
 
 
 def get_parser(language: str) -> Callable[[str, str], dict]:
@@ -190,46 +210,73 @@ def register_parser(language: str, parser: Callable[[str, str], dict], signature
 
 
 def _module_only(path: str, source: str) -> dict:
-    return {"symbols": [_symbol("module", _stem(path), "__module__", line=1, end=len(source.splitlines()))], "imports": [], "dynamic_imports": []}
+    return {"symbols": [_symbol("module", _stem(path))], "imports": [], "dynamic_imports": []}
 
 
 def _head(source: str) -> str:
-    return "\n".join(source.split("\n")[:60])
+    return "\n".join(source.splitlines()[:60])
+
+
+_ARROW = pa.struct([
+    *((n, pa.string()) for n in ("kind", "name", "qualified_name")), ("line_start", pa.int32()), ("line_end", pa.int32()), ("signature", pa.string()), ("decorators", pa.list_(pa.string())),
+    ("bases", pa.list_(pa.string())), ("is_async", pa.bool_()), ("meta", pa.map_(pa.string(), pa.string())),
+])
+#: Rows of a batch that are handed on together, and characters of source after which they are handed on anyway.
+_ROWS, _CHARS = 500, 4_000_000
 
 
 def parsed(corpus: DataFrame) -> DataFrame:
-    """files: path, file_ord, language, metrics, symbols, imports, dynamic_imports, signatures, error."""
+    """files: path, file_ord, language, metrics, symbols, imports, dynamic_imports, signatures, error.
+
+    One pass without a shuffle: metrics are columns beside the source, which leaves after parsing.
+    """
     parsers, signers = dict(_PARSERS), dict(_SIGNATURES)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for path, language, source in zip(f["path"], f["language"], f["source"], strict=True):
-                try:
-                    row = parsers.get(language, _module_only)(path, source) | {"error": None}
-                except Exception as e:  # one file never fails the job
-                    row = {"symbols": [], "imports": [], "dynamic_imports": [], "error": f"{type(e).__name__}: {e}"}
-                try:
-                    signatures = signers.get(language, _head)(source)
-                except Exception as e:
-                    signatures, row["error"] = source[:500], row["error"] or f"{type(e).__name__}: {e}"
-                out.append(row | {"path": path, "signatures": signatures})
-            names = ["path", "symbols", "imports", "dynamic_imports", "signatures", "error"]
-            yield pd.DataFrame(out, columns=names)
-
-    rows = corpus.withColumn("language", tx.detect_language(F.col("path")))
-    got = rows.select("path", "language", "source").mapInPandas(run, PARSED)
-    s = F.col("source")
-    metrics = rows.select(
-        "path", "file_ord", "language", F.octet_length(s).cast("long").alias("size_bytes"), tx.line_count(s).alias("line_count"), F.sha2(s, 256).alias("sha256"), tx.token_estimate(s).alias("token_estimate")
+    def one(path: str, language: str, source: str) -> tuple:
+        try:
+            row = parsers.get(language, _module_only)(path, source) | {"error": None}
+        except Exception as e:  # one file never fails the job
+            row = {"symbols": [], "imports": [], "dynamic_imports": [], "error": f"{type(e).__name__}: {e}"}
+        try:
+            signatures = signers.get(language, _head)(source)
+        except Exception as e:
+            signatures, row["error"] = source[:500], row["error"] or f"{type(e).__name__}: {e}"
+        symbols = [x | {"meta": list(x["meta"].items())} for x in row["symbols"]]
+        return symbols, row["imports"], row["dynamic_imports"], signatures, row["error"]
+
+    kinds = [pa.list_(_ARROW), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = batch.drop_columns(["source"])
+            at, size, rows = 0, 0, []
+            for i, (path, language, source) in enumerate(zip(*(batch.column(n) for n in ("path", "language", "source")), strict=True)):
+                text = source.as_py() or ""
+                rows.append(one(path.as_py(), language.as_py(), text))
+                size += len(text)
+                if len(rows) == _ROWS or size > _CHARS or i + 1 == batch.num_rows:
+                    part = plain.slice(at, len(rows))
+                    new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *PARSED_COLUMNS])
+                    at, size, rows = i + 1, 0, []
+
+    s = F.coalesce("source", F.lit(""))
+    rows = corpus.select(
+        "path", F.col("file_ord").cast("long").alias("file_ord"), tx.detect_language(F.col("path")).alias("language"), F.octet_length(s).cast("long").alias("size_bytes"), tx.line_count(s).alias("line_count"),
+        F.sha2(s, 256).alias("sha256"), tx.token_estimate(s).alias("token_estimate"), s.alias("source"),
     )
-    return metrics.join(got, "path")
+    head = "path string, file_ord long, language string, size_bytes long, line_count long, sha256 string, token_estimate long"
+    return rows.mapInArrow(run, f"{head}, {PARSED}")
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
-    """A row per symbol: node_id and its order; repeated names in a file keep the first place, last value."""
+    """A row per symbol: node_id and its order; repeated names in a file keep the first place, last value.
+
+    A file's own module is ``__module__`` in node ids; its qualified name is the file's stem.
+    """
     rows = files.where("error is null").select("path", "file_ord", "language", F.posexplode("symbols").alias("sym_ord", "s"))
-    rows = rows.select(F.concat("path", F.lit("::"), "s.qualified_name").alias("node_id"), F.col("path").alias("file_path"), "language", "s.*", "file_ord", "sym_ord")
+    own = (F.col("s.kind") == "module") & (F.col("s.name") == F.col("s.qualified_name"))
+    rows = rows.select(F.concat("path", F.lit("::"), F.when(own, "__module__").otherwise(F.col("s.qualified_name"))).alias("node_id"), F.col("path").alias("file_path"), "language", "s.*", "file_ord", "sym_ord")
     value = F.struct(*[c for c in rows.columns if c not in ("node_id", "sym_ord")])
     grouped = rows.groupBy("node_id").agg(F.max_by(value, "sym_ord").alias("v"), F.min("sym_ord").alias("sym_ord"))
     return grouped.select("node_id", "v.*", "sym_ord")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,11 +47,14 @@ def greedy(rows: DataFrame, budget: int) -> DataFrame:
     return out.select("request_id", "a.used", "a.original", "a.picked")
 
 
-def select_files(ranked: DataFrame, files: DataFrame, corpus: DataFrame, config: ContextConfig) -> tuple[DataFrame, DataFrame]:
-    """(selected rows with their rendered text, totals per request)."""
+def select_files(ranked: DataFrame, files: DataFrame, corpus: DataFrame, config: ContextConfig, compress: Callable[[Column, float], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selected rows with their rendered text, totals per request).
+
+    ``compress`` takes a source and the configured ratio, and renders files of mode compressed.
+    """
     rows = ranked.join(files.select("path", "language", "signatures"), "path").join(corpus.select("path", "source"), "path").where("source <> ''")
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("changed"), "rank")))
-    rows = rows.withColumn("rendered", render())
+    rows = rows.withColumn("rendered", render(compress(F.col("source"), config.compression_ratio) if compress else None))
     sizes = rows.select("request_id", "pos", "path", token_estimate(F.col("rendered")).alias("tok"), token_estimate(F.col("signatures")).alias("sig_tok"), token_estimate(F.col("source")).alias("orig"))
     totals = greedy(sizes, config.token_budget)
     picked = totals.select("request_id", F.explode("picked").alias("p")).select("request_id", "p.pos", "p.path", "p.sig")

@@ -84,20 +84,25 @@ def reachable(edges: DataFrame, entries: DataFrame, max_depth: int = 15) -> Data
 
 
 def propagate_labels(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, label after synchronous label propagation over links (a, b); ties go to the smallest label.
+    """node, label after label propagation over links (a, b); ties go to the smallest label.
 
-    A node's most frequent neighbour label wins; rounds end early when no label changes.
+    A node takes the most frequent label among its neighbours and itself. In each round nodes of
+    one half (by the first digit of the MD5 of their name) move first and the others see it, so
+    pairs and stars settle instead of trading labels; rounds end early when no label changes.
     """
-    both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = staged(both.withColumn("half", F.substring(F.md5("a"), 1, 1).isin(*"13579bdf").cast("int")), "links")
     labels = staged(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for i in range(rounds):
-        votes = both.join(labels, both["b"] == labels["node"]).groupBy("a", "label").count()
-        best = votes.groupBy("a").agg(F.max(F.struct(F.col("count"))).alias("c")).select("a", F.col("c.count").alias("count"))
-        new = votes.join(best, ["a", "count"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-        new = staged(new, f"labels-{i}")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not moved:
+    for _ in range(rounds):
+        before = labels
+        for half in (0, 1):
+            own = both.where(F.col("half") == half)
+            near = own.join(labels, own["b"] == labels["node"]).select("a", "label")
+            itself = labels.join(own.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), "label")
+            votes = near.unionByName(itself).groupBy("a", "label").count()
+            new = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("new"))
+            labels = staged(labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        if not labels.join(before.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count():
             break
     return labels
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +29,8 @@ def first_of_each(rows: DataFrame, limit: int) -> DataFrame:
 class Engine:
     """A corpus (path, source, file_ord) as files, nodes and edges, each written once."""
 
-    def __init__(self, corpus: DataFrame, config: ContextConfig | None = None):
-        self.config = config or ContextConfig()
+    def __init__(self, corpus: DataFrame, config: ContextConfig | None = None, compress: Callable[[Column, float], Column] | None = None):
+        self.config, self.compress = config or ContextConfig(), compress
         self.corpus = corpus.where(~excluded(F.col("path"), self.config.exclude_patterns)) if self.config.exclude_patterns else corpus
         self.files = staged(parsed(self.corpus), "files")
         self.nodes = staged(nodes_of(self.files), "nodes")
@@ -56,7 +56,7 @@ class Engine:
         if requests.where(F.size("changed_files") == 0).limit(1).count():
             raise ValidationError("changed_files must not be empty", {"changed_files": ["must not be empty"]})
         ranked = staged(self.ranked(requests), "ranked")
-        chosen, totals = select_files(ranked, self.files, self.corpus, self.config)
+        chosen, totals = select_files(ranked, self.files, self.corpus, self.config, self.compress)
         chosen = staged(chosen, "selected")
         texts = chosen.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "path", "rendered"))).alias("s"))  # within the budget
         scanned = self.files.agg(F.count_if(F.col("error").isNull()).alias("files_scanned"))
@@ -69,6 +69,13 @@ class Engine:
             F.round(saving * 100, 2).alias("token_savings_pct"), F.round((1 - saving) * 100, 2).alias("token_kept_pct"),
         )
 
+    def contexts(self, requests: DataFrame) -> DataFrame:
+        """The result row of each request, and ``error``: a request that breaks a rule gets no result, the others do."""
+        bad = F.coalesce(F.size("changed_files") <= 0, F.lit(True))
+        rows = staged(requests.withColumn("error", F.when(bad, "changed_files must not be empty")), "requests")
+        good = self.context(rows.where("error is null").drop("error"))[1].withColumn("error", F.lit(None).cast("string"))
+        return good.unionByName(rows.where("error is not null").select("request_id", "error"), allowMissingColumns=True)
+
     def prompts(self, requests: DataFrame) -> DataFrame:
         """request_id, prompt: what a reviewing model would be sent."""
         _, out = self.context(requests)
@@ -112,7 +119,19 @@ class Engine:
         old = self.corpus.join(changed.select("path"), "path", "left_anti")
         if removed is not None:
             old = old.join(removed.select("path"), "path", "left_anti")
-        return Engine(old.unionByName(changed.select(*old.columns)), self.config)
+        return Engine(old.unionByName(changed.select(*old.columns)), self.config, self.compress)
+
+    def detect_changes(self, requests: DataFrame, max_depth: int = 4, include_source: bool = False, limit: int = 50) -> DataFrame:
+        """Affected files of each request, the best ``limit``, with their risk and the largest of its changed files."""
+        risks = staged(self.risk().select("path", "risk_score"), "risk")
+        out = first_of_each(self.impact(requests, max_depth), limit).join(risks, "path", "left").fillna(0.0, ["risk_score"])
+        out = out.join(analyse.max_risk(requests, risks), "request_id")
+        return analyse.with_preview(out, self.corpus) if include_source else out
+
+    def index_summary(self) -> DataFrame:
+        """One row: the counts and a sentence."""
+        line = F.format_string("%d files, %d symbols, %d edges", "files_indexed", "symbols_extracted", "edges_created")
+        return self.stats().withColumn("summary", line)
 
     # Named queries -----------------------------------------------------------------------------
 
@@ -125,16 +144,24 @@ class Engine:
             "get_impact": self.impact,
             "get_impact_radius": lambda requests, max_depth=2, min_score=0.1, limit=50: first_of_each(self.impact(requests, max_depth, min_score), limit),
             "graph_status": self.stats,
-            "list_graph_stats": self.stats,
+            "list_graph_stats": self.index_summary,
             "search_symbols": lambda needle, limit=20: search.search_symbols(n, needle, limit),
-            "semantic_search_nodes": lambda query, limit=20: search.semantic_search(search.tfidf(n), query, limit),
+            "semantic_search_nodes": lambda query, kind=None, limit=20: search.search_index(n, query, kind, limit),
+            "similar_nodes": lambda query, limit=20: search.semantic_search(search.tfidf(n), query, limit),
+            "cross_repo_search": lambda repos, query, kind=None, limit=20: search.cross_repo(n, repos, query, kind, limit),
+            "list_repos": lambda store: store.repos(),
             "list_files": lambda limit=100: f.select("path", "language", "token_estimate").orderBy(F.desc("token_estimate"), "path").limit(limit),
             "get_file_context": lambda path: self.corpus.where(F.endswith("path", F.lit(path)) | F.endswith(F.lit(path), F.col("path"))).orderBy("file_ord").limit(1),
-            "detect_changes": lambda requests, max_depth=4: first_of_each(self.impact(requests, max_depth), 50).join(self.risk().select("path", "risk_score"), "path", "left").fillna(0.0, ["risk_score"]),
+            "detect_changes": self.detect_changes,
             "query_graph": lambda pattern, target, limit=20: search.edge_query(pattern, search.search_symbols(n, target, 5).select(F.col("node_id").alias("seed")), n, e, limit),
             "get_review_context": self.review,
             "list_flows": lambda limit=50: analyse.flows(n, e).orderBy(F.desc("criticality"), "entry").limit(limit),
             "list_communities": lambda min_size=2: analyse.communities(f, e, min_size),
+            "get_flow": lambda **k: analyse.get_flow(analyse.flows(n, e), n, e, **k),
+            "get_affected_flows": lambda changed: analyse.affected_flows(analyse.flow_nodes(n, e, (t := staged(analyse.flows(n, e), "flows"))), t, changed),
+            "get_community": lambda **k: analyse.get_community(analyse.communities(f, e), **k),
+            "get_wiki_page": lambda name: analyse.wiki_page(self.wiki(), name),
+            "refactor": lambda mode="rename", **k: analyse.refactor(n, e, mode, **k),
             "get_architecture_overview": self.overview,
             "find_dead_code": lambda **k: analyse.dead_code(n, e, **k),
             "find_large_functions": lambda **k: analyse.large_symbols(n, **k),
@@ -146,7 +173,7 @@ class Engine:
             "visualize": lambda: analyse.graph_html(n, e, f),
         }
 
-    def query(self, name: str, **params) -> DataFrame:
+    def query(self, name: str, /, **params) -> DataFrame:
         tools = self.tools()
         if name not in tools:
             raise WeftlineError(f"no query named {name}")
@@ -167,6 +194,19 @@ class Engine:
         return out
 
 
+def index_roots(roots: dict[str, DataFrame], config: ContextConfig | None = None) -> tuple[Engine, DataFrame]:
+    """(one engine over all roots, stats per root): imports resolve across roots."""
+    rows = None
+    for i, (name, corpus) in enumerate(roots.items()):
+        part = corpus.select("path", "source", (F.col("file_ord") + F.lit(i << 40)).alias("file_ord"), F.lit(name).alias("root"))
+        rows = part if rows is None else rows.unionByName(part)
+    engine = Engine(rows, config)
+    which = F.element_at(F.array(*map(F.lit, roots)), F.shiftright("file_ord", 40).cast("int") + 1)
+    ok = F.col("error").isNull()
+    stats = engine.files.groupBy(which.alias("root")).agg(F.count_if(ok).alias("files_indexed"), F.count_if(~ok).alias("files_skipped"), F.sum(F.when(ok, F.size("symbols")).otherwise(0)).alias("symbols_extracted"))
+    return engine, stats
+
+
 def incremental(corpus: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of the corpus whose (path, sha256) is not among the indexed files."""
     hashed = corpus.withColumn("sha256", F.sha2("source", 256))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import suffix
 
 #: Suffixes that are read and folders that are left out unless a caller says otherwise.
-EXTENSIONS = (".py", ".js", ".mjs", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java", ".cpp", ".c", ".h", ".rb", ".php")
-EXCLUDED = ("venv", ".venv", "node_modules", "dist", "build", "__pycache__", ".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", "*.egg-info")
+EXTENSIONS = (".py", ".pyi", ".js", ".mjs", ".ts", ".tsx", ".go", ".rs", ".java", ".cpp", ".c", ".h", ".rb", ".php")
+EXCLUDED = ("venv", ".venv", "node_modules", "dist", "build", "__pycache__", ".git", ".tox", ".mypy_cache", ".pytest_cache", "*.egg-info")
 
 
 def _listed(spark: SparkSession, root: str, extensions, exclude) -> DataFrame:
@@ -18,10 +18,11 @@ def _listed(spark: SparkSession, root: str, extensions, exclude) -> DataFrame:
     return files.where(F.lower(suffix(F.col("path"))).isin(*extensions) & ~F.arrays_overlap(parts, F.array(*map(F.lit, exclude))))
 
 
-def load_sources(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXCLUDED, max_bytes: int = 500_000) -> DataFrame:
+def load_sources(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXCLUDED, max_bytes: int = 500_000, encoding: str = "utf-8") -> DataFrame:
     """path, source, modified, file_ord. Suffix, folder and size are tested before contents are read."""
     files = _listed(spark, root, extensions, exclude).where(F.col("length") <= max_bytes)
-    out = files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"), F.col("modificationTime").alias("modified"))
+    text = F.make_valid_utf8(F.col("content").cast("string")) if encoding.lower().replace("-", "") == "utf8" else F.decode("content", encoding)
+    out = files.select("path", text.alias("source"), F.col("modificationTime").alias("modified"))
     return with_order(out)
 
 
@@ -51,3 +52,20 @@ def snapshot_diff(before: DataFrame, after: DataFrame, stamp: str = "modified")
 def write_pages(pages: DataFrame, folder: str) -> None:
     """Text sink: one row per page, partitioned by name (page_name, content)."""
     pages.select("content", "page_name").write.mode("overwrite").partitionBy("page_name").text(folder)
+
+
+def manifest(root: str, stats: DataFrame, corpus: DataFrame) -> DataFrame:
+    """path, files_indexed, symbols_extracted, edges_created and root: a row per indexed file under one root.
+
+    Written as JSON lines it is the manifest of a scan; a row per file keeps it splittable.
+    """
+    facts = stats.select(F.lit(root).alias("root"), "files_indexed", "symbols_extracted", "edges_created")  # one row
+    return corpus.select("path").join(F.broadcast(facts), F.lit(True))
+
+
+def write_manifest(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").json(folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("path string, root string, files_indexed long, symbols_extracted long, edges_created long").json(folder)

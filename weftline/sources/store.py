@@ -64,6 +64,16 @@ class GraphStore:
     def risk_index(self, min_score: float = 0.0) -> DataFrame:
         return self.read("risk_index").where(F.col("risk_score") >= min_score).orderBy(F.desc("risk_score"), "path")
 
+    def register_repo(self, root: str, name: str | None = None, db_path: str = "") -> DataFrame:
+        """Adds a repository to the registry, or replaces its row."""
+        root = root.rstrip("/")
+        row = [(root, name or root.rsplit("/", 1)[-1], db_path or f"{root}/.weftline")]
+        return self.upsert("repos", self.spark.createDataFrame(row, "root string, name string, db_path string"))
+
+    def repos(self) -> DataFrame:
+        """root, name, db_path of registered repositories."""
+        return self.read("repos") if self.exists("repos") else self.spark.createDataFrame([], "root string, name string, db_path string")
+
     def stats(self) -> DataFrame:
         """table, rows."""
         out = None

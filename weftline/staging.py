@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with its rows numbered from 0 in an order: a range sort, then the counts of earlier partitions.
+
+    Only one row a partition meets in a task.
+    """
+    at = staged(df.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    sizes = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
+    before = sizes.select("__part", "__first", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return at.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__part", "__id", "__first", "__before")

@@ -1,4 +1,4 @@
-"""Streams: live indexing of a folder, token buckets and breakers per key."""
+"""Streams: live indexing of a folder, token buckets per key."""
 
 from __future__ import annotations
 
@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.parse import parsed
+from ..operators.edges import build_edges
+from ..operators.parse import nodes_of, parsed
 from ..sources.store import GraphStore
+from ..staging import staged
 
 
 def watch(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, glob: str = "*"):
-    """Index files as they arrive: each micro-batch replaces its files in the store. Returns the query."""
+    """Index files as they arrive: each micro-batch replaces its files and their nodes, then the edges. Returns the query."""
     source = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     rows = source.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"), F.col("_metadata.file_modification_time").cast("long").alias("file_ord"))
 
     def index(batch: DataFrame, _: int) -> None:
         latest = batch.groupBy("path").agg(F.max_by(F.struct("source", "file_ord"), "file_ord").alias("r")).select("path", "r.*")
-        store.upsert("files", parsed(latest))
+        files = staged(parsed(latest), "watched")
+        fresh = nodes_of(files)
+        kept = store.read("nodes").join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti") if store.exists("nodes") else None
+        store.upsert("files", files)
+        nodes = store.write("nodes", fresh if kept is None else kept.unionByName(fresh))
+        store.write("edges", build_edges(store.read("files"), nodes))  # an edge depends on all files
 
     return rows.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
