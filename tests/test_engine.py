@@ -278,6 +278,11 @@ def test_control(spark):
     for k in "abcd":
         cache.set(k, k)
     assert cache.get("a") is None and cache.get("d") == "d" and cache.evictions == 1
+    calls = []
+    nothing = cache.memoize(lambda x: calls.append(x))
+    assert nothing(1) is None and nothing(1) is None and calls == [1]
+    cache.invalidate()
+    assert cache.stats()["size"] == 0
     tries = []
     pipe = AnalysisPipeline().add_step("flaky", lambda d: d if tries.append(1) or len(tries) > 2 else 1 / 0).with_retry(3, 0)
     pipe.run(spark.range(1))

@@ -84,6 +84,9 @@ class AnalysisPipeline:
         return df
 
 
+_MISSING = object()
+
+
 class PlanCache:
     """Least recently used DataFrames by key with a time to live, kept on the driver as plans."""
 
@@ -91,7 +94,7 @@ class PlanCache:
         self.most, self.ttl, self.clock, self.held = most, ttl, clock, OrderedDict()
         self.hits = self.misses = self.evictions = 0
 
-    def get(self, key: str):
+    def get(self, key: str, missing=None):
         if key in self.held:
             value, until = self.held[key]
             if until is None or self.clock() <= until:
@@ -101,7 +104,14 @@ class PlanCache:
             del self.held[key]
             self.evictions += 1
         self.misses += 1
-        return None
+        return missing
+
+    def invalidate(self, key: str | None = None) -> None:
+        """Forgets one key, or all."""
+        self.held.clear() if key is None else self.held.pop(key, None)
+
+    def stats(self) -> dict[str, int]:
+        return {"size": len(self.held), "hits": self.hits, "misses": self.misses, "evictions": self.evictions}
 
     def set(self, key: str, value) -> None:
         self.held.pop(key, None)
@@ -113,8 +123,8 @@ class PlanCache:
     def memoize(self, fn):
         def wrap(*args, **kwargs):
             key = repr((fn.__qualname__, args, sorted(kwargs.items())))
-            value = self.get(key)
-            if value is None:
+            value = self.get(key, _MISSING)
+            if value is _MISSING:
                 self.set(key, value := fn(*args, **kwargs))
             return value
 
