@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import FULL, ContextConfig
+from .config import ContextConfig
 from .functions import text as tx
 from .operators import analyse, compare, control, search
 from .operators.edges import path_index
@@ -45,7 +45,7 @@ def engine(spark: SparkSession, sf: str) -> Engine:
     """The engine over the generated sources, indexed once a session and folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _ENGINES:
-        _ENGINES[key] = Engine(_code(spark, sf), ContextConfig(token_budget=2_000, max_depth=2, output_mode=FULL))
+        _ENGINES[key] = Engine(_code(spark, sf))
     return _ENGINES[key]
 
 
@@ -289,24 +289,33 @@ def _(spark, sf):
 # Traversal ---------------------------------------------------------------------------------------
 
 
-def impact_sql(depth: int, dynamic: bool = True) -> str:
-    """Levels unrolled: candidates, then the next frontier, then rises of each file's score."""
-    keep = "" if dynamic else " WHERE kind <> 'dynamic_import'"
+def impact_ctes(depth: int, edges: str, requests: str) -> str:
+    """CTEs up to ``g``: levels unrolled as candidates and the next frontier, then the rises of each file's score.
+
+    ``edges`` has source_id, target_id, kind, weight, edge_ord (a list), ``requests`` request_id, changed.
+    """
     ctes = [
-        f"e AS (SELECT * FROM ({cv.GRAPH_EDGES}){keep})",
-        "inc AS (SELECT source_id AS node_id, target_id AS other, 0::BIGINT AS dir, kind, weight, edge_ord FROM e UNION ALL SELECT target_id, source_id, 1::BIGINT, kind, weight, edge_ord FROM e)",
-        f"r AS ({cv.REQUESTS})",
+        f"e AS MATERIALIZED ({edges})",
+        "inc AS MATERIALIZED (SELECT source_id AS node_id, target_id AS other, 0::BIGINT AS dir, kind, weight, edge_ord FROM e UNION ALL SELECT target_id, source_id, 1::BIGINT, kind, weight, edge_ord FROM e)",
+        f"r AS MATERIALIZED ({requests})",
         "f0 AS (SELECT request_id, changed || '::__module__' AS node_id, 1.0::DOUBLE AS score, []::BIGINT[] AS ord FROM r)",
     ]
     ups = ["SELECT request_id, changed AS path, 1.0::DOUBLE AS score, 0 AS lvl, []::BIGINT[] AS ord, 'directly changed' AS reason FROM r"]
     for i in range(1, depth + 1):
-        ctes.append(f"c{i} AS (SELECT f.request_id, inc.other AS node_id, f.score * 0.7::DOUBLE * inc.weight AS score, list_concat(f.ord, [inc.dir, inc.edge_ord]) AS ord, CASE dir WHEN 0 THEN 'depends_on' ELSE 'caller' END || ' via ' || kind || ' (depth {i})' AS reason FROM f{i - 1} f JOIN inc USING (node_id))")
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT f.request_id, inc.other AS node_id, f.score * 0.7::DOUBLE * inc.weight AS score, list_concat(list_concat(f.ord, [inc.dir]), inc.edge_ord) AS ord, CASE dir WHEN 0 THEN 'depends_on' ELSE 'caller' END || ' via ' || kind || ' (depth {i})' AS reason FROM f{i - 1} f JOIN inc ON inc.node_id = f.node_id)")
         seen = " UNION ALL ".join(f"SELECT request_id, node_id FROM f{j}" for j in range(i))
-        ctes.append(f"f{i} AS (SELECT request_id, node_id, arg_min(score, ord) AS score, min(ord) AS ord FROM c{i} WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.request_id = c{i}.request_id AND s.node_id = c{i}.node_id) GROUP BY ALL)")
-        ups.append(f"SELECT request_id, replace(node_id, '::__module__', ''), score, {i}, ord, reason FROM c{i}")
+        ctes.append(f"f{i} AS MATERIALIZED (SELECT request_id, node_id, arg_min(score, ord) AS score, min(ord) AS ord FROM c{i} WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.request_id = c{i}.request_id AND s.node_id = c{i}.node_id) GROUP BY ALL)")
+        ups.append(f"SELECT request_id, split_part(node_id, '::', 1), score, {i}, ord, reason FROM c{i}")
     ctes.append("u AS (" + " UNION ALL ".join(ups) + ")")
     ctes.append("w AS (SELECT *, max(score) OVER (PARTITION BY request_id, path ORDER BY lvl, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u)")
-    return "WITH " + ", ".join(ctes) + " SELECT request_id::BIGINT AS request_id, path, round(max(score), 6) AS score, max(lvl)::INT AS depth, string_agg(reason, '|' ORDER BY lvl, ord) AS reasons FROM w WHERE before IS NULL OR score > before GROUP BY request_id, path"
+    ctes.append("g AS MATERIALIZED (SELECT request_id::BIGINT AS request_id, path, max(score) AS score, max(lvl)::INT AS depth, list(reason ORDER BY lvl, ord) AS reasons FROM w WHERE before IS NULL OR score > before GROUP BY request_id, path)")
+    return ", ".join(ctes)
+
+
+def impact_sql(depth: int, dynamic: bool = True) -> str:
+    keep = "" if dynamic else " WHERE kind <> 'dynamic_import'"
+    ctes = impact_ctes(depth, f"SELECT source_id, target_id, kind, weight, [edge_ord] AS edge_ord FROM ({cv.GRAPH_EDGES}){keep}", cv.REQUESTS)
+    return f"WITH {ctes} SELECT request_id, path, round(score, 6) AS score, depth, array_to_string(reasons, '|') AS reasons FROM g"
 
 
 def _impact(depth: int, dynamic: bool = True):
@@ -464,32 +473,100 @@ def _(spark, sf):
 # Ranking and selection ---------------------------------------------------------------------------
 
 
-@_register("rank_files")
+def _places(names: str) -> str:
+    return _resolved(names).replace("SELECT name, target FROM", "SELECT name, target, o FROM", 1)
+
+
+_REQUEST_KEYS = "SELECT min(p_partkey) AS k FROM part GROUP BY p_brand"
+_ASKED = f"SELECT k AS request_id, path AS changed FROM ({_REQUEST_KEYS}) JOIN {_BASE} USING (k)"
+_IMPORTS_AT = f"SELECT k, path, name, min(i) AS i FROM (SELECT k, path, unnest(['part_' || a, 'part_' || a || '.f_' || a, 'part_' || b]) AS name, unnest([0, 1, 2]) AS i FROM {_BASE}) GROUP BY ALL"
+#: The generated sources' edges in their order of creation.
+_ORDERED_EDGES = f"""SELECT i.path || '::__module__' AS source_id, r.target || '::__module__' AS target_id, 'imports' AS kind, 1e0 AS weight, [0, k, 0, i, o]::BIGINT[] AS edge_ord FROM ({_IMPORTS_AT}) i JOIN ({_places(_IMPORTS)}) r USING (name)
+UNION ALL SELECT i.path || '::__module__', r.target || '::__module__', 'dynamic_import', 0.6e0, [0, k, 1, 0, o]::BIGINT[] FROM ({_DYN}) i JOIN ({_places(_DYN)}) r USING (name)
+UNION ALL SELECT x.path || '::P_' || x.k, y.path || '::P_' || y.k, 'inherits', 1.5e0, [1, x.k, 1, 0, 0]::BIGINT[] FROM {_BASE} x JOIN {_BASE} y ON y.k = x.c
+UNION ALL SELECT x.path || '::P_' || x.k, y.path || '::__module__', 'decorates', 0.8e0, [2, x.k, 1, 0, 0]::BIGINT[] FROM {_BASE} x JOIN {_BASE} y ON y.k = x.d AND y.k % 10 <> 3"""
+_NEAR = impact_ctes(4, _ORDERED_EDGES, _ASKED)
+_SIGNATURES = "'class P_' || k || '(P_' || c || '):' || chr(10) || '    def f_' || k || '(x: int) -> int: ...' || chr(10) || '    def m_' || k || '(self, x: int) -> int: ...'"
+#: Terms of a file: "part" twice, its number five times, of ten (a test: twelve); of a query: six, two of which can occur.
+_TERM = "0.6931471805599453e0 * ({0} * 2.5e0 / ({0} + 1.5e0 * (0.25e0 + 0.75e0 * (10 + CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END) / 20e0)))"
+_RANKED = f"""{_NEAR}, file AS MATERIALIZED (SELECT k, path, source, {_SIGNATURES} AS sig FROM {_BASE} JOIN (SELECT path, source FROM ({C3})) USING (path)),
+s0 AS (SELECT request_id, path, k, path = changed AS changed, CASE WHEN path = changed THEN 1e0 ELSE score END AS g, CASE WHEN path = changed THEN 0 ELSE depth END AS depth, CASE WHEN path = changed THEN ['directly changed'] ELSE reasons END AS reasons,
+  least(1e0, ({_TERM.format('2e0')} + CASE WHEN k = request_id THEN {_TERM.format('5e0')} ELSE 0e0 END) / 6) AS bm25 FROM g JOIN r USING (request_id) JOIN file USING (path) WHERE score >= 0.1e0 OR path = changed),
+s1 AS (SELECT *, CASE WHEN k % 10 = 3 THEN least(1e0, 0.7e0 * g + 0.3e0 * bm25 + 0.15e0) ELSE 0.7e0 * g + 0.3e0 * bm25 END * CASE WHEN len(list_filter(reasons, lambda x: contains(x, 'dynamic_import'))) > 0 THEN 0.8e0 ELSE 1e0 END AS s FROM s0),
+ranked AS MATERIALIZED (SELECT request_id, path, k, changed, depth, round(least(1e0, greatest(0e0, s)), 4) AS score, CASE WHEN k % 10 = 3 THEN list_append(reasons, 'test coverage bonus') ELSE reasons END AS reasons,
+  CASE WHEN s >= 0.5e0 THEN 'full' ELSE 'signatures' END AS output_mode, row_number() OVER (PARTITION BY request_id ORDER BY round(least(1e0, greatest(0e0, s)), 4) DESC, k) AS rank FROM s1)"""
+
+
+@_register("rank_files", f"WITH {_RANKED} SELECT request_id, path, score, rank, array_to_string(reasons, '|') AS reasons, depth, output_mode FROM ranked")
 def _(spark, sf):
     return engine(spark, sf).ranked(requests(spark, sf)).select("request_id", "path", "score", "rank", F.array_join("reasons", "|").alias("reasons"), "depth", "output_mode")
 
 
-@_register("context_result")
+def context_sql(budget: int, mode: str = "output_mode") -> str:
+    """Sections of the ranked files, the fold under the budget a position at a time, then the texts."""
+    return f"""WITH RECURSIVE {_RANKED},
+h AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY changed DESC, rank) AS pos, round(score * 10000)::BIGINT AS s4 FROM ranked JOIN file USING (k, path)),
+o AS MATERIALIZED (SELECT request_id, pos, path, greatest(1, length(section) // 4) AS tok, greatest(1, length(sig) // 4) AS sig_tok, greatest(1, length(source) // 4) AS orig, section, brief FROM (SELECT *,
+  '## ' || path || chr(10) || '<!-- score=' || printf('%d.%03d', (s4 + 5) // 10 // 1000, (s4 + 5) // 10 % 1000) || ' rank=' || rank || ' depth=' || depth || ' reasons=' || array_to_string(reasons[1:2], ',') || ' -->' || chr(10) || '```python' || chr(10)
+    || CASE WHEN {mode} = 'signatures' THEN sig ELSE source END || chr(10) || '```' AS section,
+  '# ' || path || ' [signatures only, score=' || printf('%d.%02d', (s4 + 50) // 100 // 100, (s4 + 50) // 100 % 100) || ']' || chr(10) || sig AS brief FROM h)),
+z AS MATERIALIZED (SELECT request_id, pos, tok, sig_tok, orig FROM o),
+t AS (SELECT DISTINCT request_id, 0::BIGINT AS pos, 0::BIGINT AS used, 0::BIGINT AS original, 0::BIGINT AS n, 0 AS took FROM z UNION ALL
+  SELECT request_id, pos, used + CASE took WHEN 1 THEN tok WHEN 2 THEN sig_tok ELSE 0 END, original, n + CASE took WHEN 0 THEN 0 ELSE 1 END, took FROM (SELECT t.request_id, z.pos, t.used, t.original + z.orig AS original, t.n, z.tok, z.sig_tok,
+    CASE WHEN t.used + z.tok <= {budget} THEN 1 WHEN t.used + z.sig_tok <= {budget} THEN 2 ELSE 0 END AS took FROM t JOIN z ON z.request_id = t.request_id AND z.pos = t.pos + 1 WHERE t.used < {budget})),
+total AS (SELECT request_id, max(used) AS used, max(original) AS original, max(n) AS n FROM t GROUP BY 1),
+body AS (SELECT request_id, string_agg(path, '|' ORDER BY pos) AS selected_files, string_agg(CASE took WHEN 1 THEN section ELSE brief END, chr(10) || chr(10) ORDER BY pos) AS texts FROM (SELECT request_id, pos, took FROM t WHERE took > 0) JOIN o USING (request_id, pos) GROUP BY 1)
+SELECT request_id, selected_files, '# Context' || chr(10) || 'Commit: fix token check' || chr(10) || 'Query: review part ' || request_id || chr(10) || 'Changed: ' || changed || chr(10) || chr(10) || texts AS rendered_context, original AS total_original_tokens, used AS total_rendered_tokens,
+  round(1 - used / original, 4) AS reduction_ratio, (SELECT count(*) FROM part) AS files_scanned, n AS files_selected, round(round(1 - used / original, 4) * 100, 2) AS token_savings_pct, round((1 - round(1 - used / original, 4)) * 100, 2) AS token_kept_pct
+FROM total JOIN body USING (request_id) JOIN r USING (request_id)"""
+
+
+@_register("context_result", context_sql(80_000))
 def _(spark, sf):
-    return engine(spark, sf).context(requests(spark, sf))[1]
+    return engine(spark, sf).context(requests(spark, sf))[1].withColumn("selected_files", F.array_join("selected_files", "|"))
 
 
-@_register("minimal_context")
+@_register("minimal_context", context_sql(8_000, "'signatures'"))
 def _(spark, sf):
-    return engine(spark, sf).minimal().context(requests(spark, sf))[1]
+    return engine(spark, sf).minimal().context(requests(spark, sf))[1].withColumn("selected_files", F.array_join("selected_files", "|"))
 
 
-@_register("review_snippets")
+@_register("review_snippets", f"""WITH {_RANKED} SELECT request_id, place, path, changed, source AS snippet, 'class P_' || k || '(P_' || c || '):|    def m_' || k || '(self, x: int) -> int:|def f_' || k || '(x: int) -> int:' AS signature_lines, greatest(1, length(source) // 4) AS tokens
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY changed DESC, score DESC, k)::INT AS place FROM ranked WHERE depth <= 2 OR changed QUALIFY place <= 30) JOIN file USING (k, path) JOIN (SELECT k, c FROM {_BASE}) USING (k)""")
 def _(spark, sf):
-    return engine(spark, sf).review(requests(spark, sf))
+    return engine(spark, sf).review(requests(spark, sf)).withColumn("signature_lines", F.array_join("signature_lines", "|"))
 
 
-@_register("detect_changes")
+@_register("detect_changes", f"""WITH {_NEAR}, risk AS MATERIALIZED ({ORACLES['risk_index']}), worst AS (SELECT request_id, round(risk_score, 3) AS max_risk_score FROM r JOIN risk ON path = changed)
+SELECT request_id, path, round(score, 6) AS score, depth, risk_score, max_risk_score FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) <= 50) JOIN risk USING (path) JOIN worst USING (request_id)""")
 def _(spark, sf):
-    return engine(spark, sf).query("detect_changes", requests=requests(spark, sf)).drop("reasons")
+    return engine(spark, sf).query("detect_changes", requests=requests(spark, sf)).drop("reasons").withColumn("score", F.round("score", 6))
 
 
-_REQUEST_KEYS = "SELECT min(p_partkey) AS k FROM part GROUP BY p_brand"
+@_register("file_summary", f"SELECT path || '::__module__' AS seed, path AS file, 'python' AS language, 4::INT AS symbols, greatest(1, length(source) // 4)::BIGINT AS token_estimate FROM ({C3})")
+def _(spark, sf):
+    e = engine(spark, sf)
+    return e._summaries(e.nodes.where("kind = 'module'").select(F.col("node_id").alias("seed"), F.col("file_path").alias("path")))
+
+
+for _by, _key in (("node_count", "node_count DESC"), ("file_count", "file_count DESC"), ("name", "flow_name")):
+    _register(f"list_flows_by_{_by}", f"WITH {flows_sql()} SELECT * FROM flow ORDER BY {_key}, entry LIMIT 50")(lambda spark, sf, by=_by: engine(spark, sf).query("list_flows", sort_by=by))
+
+
+@_register("list_communities_by_name", f"SELECT * FROM ({_COMMUNITIES}) ORDER BY label, community_id LIMIT 50")
+def _(spark, sf):
+    return engine(spark, sf).query("list_communities", sort_by="name").select("community_id", "label", "node_count", "dominant_language")
+
+
+@_register("result_diff", """WITH d AS (SELECT doc_id, doc_id // 20 AS request_id, 'd' || doc_id AS path, doc_id % 4 <> 0 AS b, doc_id % 4 <> 1 AS a, doc_id % 4 > 1 AND 0.25e0 + doc_id % 7 / 100e0 - 0.25e0 > 0.01e0 AS c FROM documents)
+SELECT request_id, count_if(b)::BIGINT AS files_before, count_if(a)::BIGINT AS files_after, (90 * count_if(a) - 100 * count_if(b))::BIGINT AS token_delta, 0.25e0 AS reduction_delta, coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE NOT b), '') AS added,
+  coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE NOT a), '') AS removed, count_if(c)::INT AS scores_changed, coalesce(array_to_string(list(path ORDER BY doc_id % 7 DESC, path) FILTER (WHERE c)[1:10], ','), '') AS changes FROM d GROUP BY 1 HAVING count_if(a) > 0 AND count_if(b) > 0""")
+def _(spark, sf):
+    d = cv.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("request_id"), "doc_id", F.concat(F.lit("d"), "doc_id").alias("path"))
+    sides = [(d.where("doc_id % 4 <> 0").withColumn("score", F.lit(0.25)), 100, 0.5), (d.where("doc_id % 4 <> 1").withColumn("score", F.lit(0.25) + F.col("doc_id") % 7 / 100), 90, 0.75)]
+    rows = [s.groupBy("request_id").agg(F.count("*").alias("files_selected"), (F.count("*") * n).alias("total_rendered_tokens"), F.lit(q).alias("reduction_ratio")) for s, n, q in sides]
+    out = compare.result_diff(*rows, sides[0][0], sides[1][0])
+    return out.select("request_id", "files_before", "files_after", "token_delta", "reduction_delta", F.array_join("files_added", ",").alias("added"), F.array_join("files_removed", ",").alias("removed"), "scores_changed", F.array_join("score_changes.path", ",").alias("changes"))
 
 
 @_register("max_risk", f"SELECT k AS request_id, round(risk_score, 3) AS max_risk_score FROM ({_REQUEST_KEYS}) JOIN {_BASE} USING (k) JOIN ({ORACLES['risk_index']}) USING (path)")
@@ -517,7 +594,7 @@ def _(spark, sf):
     n = F.length("text")
     size = lambda k: F.greatest(F.lit(1), F.floor(n / k)).cast("long")
     rows = docs.select(F.col("source").alias("request_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("path"), size(4).alias("tok"), size(20).alias("sig_tok"), size(4).alias("orig"))
-    return greedy(rows, 20_000).select(F.col("request_id").alias("request"), "used", "original", F.size("picked").cast("long").alias("n"))
+    return greedy(rows, 20_000)[1].withColumnRenamed("request_id", "request")
 
 
 # Comparison, control and evolution ---------------------------------------------------------------
@@ -582,6 +659,28 @@ def _(spark, sf):
     return cv.table(spark, sf, "region").select("r_regionkey", F.array_join(control.retry_delays(5, 0.5, 3.0).cast("array<string>"), "|").alias("delays"))
 
 
+@_register("retry_outcomes", """SELECT doc_id, outcome, attempts::INT AS attempts, CASE attempts WHEN 1 THEN 0e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 1.5e0 ELSE 2.5e0 END AS waited, CASE WHEN outcome IN ('ok', 'refused') THEN attempts - 1 ELSE attempts END::INT AS audited FROM (
+  SELECT doc_id, CASE WHEN f > 0 AND doc_id % 7 = 3 THEN 'refused' WHEN f < least_stop THEN 'ok' WHEN least_stop = 4 THEN 'exhausted' ELSE 'deadline' END AS outcome, CASE WHEN f > 0 AND doc_id % 7 = 3 THEN 1 ELSE least(f + 1, least_stop) END AS attempts
+  FROM (SELECT doc_id, doc_id % 5 AS f, CASE doc_id % 3 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS least_stop FROM documents))""")
+def _(spark, sf):
+    """Up to four failures, then success; a try takes 0, 0.5 or 1 s; waits of 0.5, 1 and 1 s must end by 3 s."""
+    d, seconds = F.col("doc_id"), (F.col("doc_id") % 3) * 0.5
+    fails = F.sequence(F.lit(0), F.lit(3))
+    tries = F.transform(F.concat(fails, F.array(F.lit(4))), lambda i: F.struct(F.when(i < d % 5, F.when((d % 7 == 3) & (i == 0), "ValueError").otherwise("TimeoutError")).alias("error"), seconds.alias("seconds")))
+    calls = cv.table(spark, sf, "documents").select("doc_id", tries.alias("tries"))
+    return control.retry_outcomes(calls, 4, 0.5, 1.0, 3.0, ("TimeoutError",)).select("doc_id", "outcome", "attempts", "waited", F.size("audit").alias("audited"))
+
+
+@_register("store_migrations", "SELECT * FROM (VALUES (1, 'files, nodes and edges'), (2, 'flows'), (3, 'communities'), (4, 'risk'), (5, 'facts and repositories')) AS t(version, description)")
+def _(spark, sf):
+    from .sources.store import GraphStore
+    from .staging import shared_dir
+
+    store = GraphStore(spark, f"{shared_dir(spark)}/weftline/migrated-{uuid.uuid4().hex}")
+    store.migrate()
+    return store.migrations()
+
+
 @_register("schema_evolution", "SELECT r_regionkey, upper(r_name) AS name, length(r_name)::INT AS size, 3 AS version FROM region")
 def _(spark, sf):
     evo = SchemaEvolution(3)

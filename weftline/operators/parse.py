@@ -263,9 +263,9 @@ def parsed(corpus: DataFrame) -> DataFrame:
     s = F.coalesce("source", F.lit(""))
     rows = corpus.select(
         "path", F.col("file_ord").cast("long").alias("file_ord"), tx.detect_language(F.col("path")).alias("language"), F.octet_length(s).cast("long").alias("size_bytes"), tx.line_count(s).alias("line_count"),
-        F.sha2(s, 256).alias("sha256"), tx.token_estimate(s).alias("token_estimate"), s.alias("source"),
+        F.sha2(s, 256).alias("sha256"), tx.token_estimate(s).alias("token_estimate"), F.length(s).cast("long").alias("chars"), s.alias("source"),
     )
-    head = "path string, file_ord long, language string, size_bytes long, line_count long, sha256 string, token_estimate long"
+    head = "path string, file_ord long, language string, size_bytes long, line_count long, sha256 string, token_estimate long, chars long"
     return rows.mapInArrow(run, f"{head}, {PARSED}")
 
 

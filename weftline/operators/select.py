@@ -10,6 +10,14 @@ from pyspark.sql.window import Window
 
 from ..config import COMPRESSED, SIGNATURES, ContextConfig
 from ..functions.text import signature_lines, token_estimate
+from ..staging import staged
+from .control import fold_sorted
+
+
+def heading() -> Column:
+    """What stands before a file's body: its path, facts and the opening fence."""
+    facts = F.format_string("<!-- score=%.3f rank=%d depth=%d reasons=%s -->", "score", "rank", "depth", F.array_join(F.slice("reasons", 1, 2), ","))
+    return F.concat(F.lit("## "), "path", F.lit("\n"), facts, F.lit("\n```"), "language", F.lit("\n"))
 
 
 def render(compress: Column | None = None) -> Column:
@@ -17,49 +25,56 @@ def render(compress: Column | None = None) -> Column:
     body = F.when(F.col("output_mode") == SIGNATURES, F.col("signatures"))
     if compress is not None:
         body = body.when(F.col("output_mode") == COMPRESSED, compress)
-    body = body.otherwise(F.col("source"))
-    facts = F.format_string("<!-- score=%.3f rank=%d depth=%d reasons=%s -->", "score", "rank", "depth", F.array_join(F.slice("reasons", 1, 2), ","))
-    return F.concat(F.lit("## "), "path", F.lit("\n"), facts, F.lit("\n```"), "language", F.lit("\n"), body, F.lit("\n```"))
+    return F.concat(heading(), body.otherwise(F.col("source")), F.lit("\n```"))
 
 
-def greedy(rows: DataFrame, budget: int) -> DataFrame:
-    """request_id, used, original, picked (array of pos, sig, path) from rows
+def greedy(rows: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(picked: request_id, pos, path, sig; totals: request_id, used, original, n) from rows
     (request_id, pos, path, tok, sig_tok, orig).
 
     First fit with a fallback: a file whose section is too large enters with its signatures if
-    these fit, or is passed over; the fold ends when the budget is used up. Only positions and
-    token counts are gathered for a request, never texts.
+    these fit, or is passed over; the fold ends when the budget is used up. A task holds one
+    request's counters, never its files.
     """
-    item = F.struct("pos", "path", F.col("tok").cast("long").alias("tok"), F.col("sig_tok").cast("long").alias("sig_tok"), F.col("orig").cast("long").alias("orig"))
-    lists = rows.groupBy("request_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    none = F.expr("cast(array() as array<struct<pos:int,path:string,sig:boolean>>)")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("original"), F.lit(False).alias("stopped"), none.alias("picked"))
+    kinds = dict(rows.dtypes)
 
-    def step(acc: Column, x: Column) -> Column:
-        full, sig = acc["used"] + x["tok"] <= budget, acc["used"] + x["sig_tok"] <= budget
-        take = full | sig
-        used = acc["used"] + F.when(full, x["tok"]).when(sig, x["sig_tok"]).otherwise(F.lit(0).cast("long"))
-        one = F.struct(x["pos"].cast("int").alias("pos"), x["path"].alias("path"), (~full).alias("sig"))
-        moved = F.struct(used.alias("used"), (acc["original"] + x["orig"]).alias("original"), (take & (used >= budget)).alias("stopped"), F.when(take, F.concat(acc["picked"], F.array(one))).otherwise(acc["picked"]).alias("picked"))
-        return F.when(acc["stopped"], acc).otherwise(moved)
+    def step(s, request, pos, path, tok, sig_tok, orig):
+        used, original, n, stopped = s
+        if stopped:
+            return s, []
+        full = used + tok <= budget
+        if not full and used + sig_tok > budget:
+            return (used, original + orig, n, False), []
+        used += tok if full else sig_tok
+        return (used, original + orig, n + 1, used >= budget), [(request, pos, path, not full, None, None, None)]
 
-    out = lists.select("request_id", F.aggregate("items", start, step).alias("a"))
-    return out.select("request_id", "a.used", "a.original", "a.picked")
+    schema = f"request_id {kinds['request_id']}, pos {kinds['pos']}, path string, sig boolean, used long, original long, n long"
+    long = [F.col(c).cast("long").alias(c) for c in ("tok", "sig_tok", "orig")]
+    out = fold_sorted(rows.select("request_id", "pos", "path", *long), "request_id", ["pos"], schema, lambda: (0, 0, 0, False), step, lambda s, k: [(k, None, None, None, *s[:3])])
+    out = staged(out, "greedy")  # read twice
+    return out.where("pos is not null").select("request_id", "pos", "path", "sig"), out.where("pos is null").select("request_id", "used", "original", "n")
 
 
 def select_files(ranked: DataFrame, files: DataFrame, corpus: DataFrame, config: ContextConfig, compress: Callable[[Column, float], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected rows with their rendered text, totals per request).
 
-    ``compress`` takes a source and the configured ratio, and renders files of mode compressed.
+    The choice needs sizes only, which the index holds; sources are read for the files chosen.
+    ``compress`` takes a source and the configured ratio, and renders files of mode compressed,
+    whose sizes are then taken from the texts.
     """
-    rows = ranked.join(files.select("path", "language", "signatures"), "path").join(corpus.select("path", "source"), "path").where("source <> ''")
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("changed"), "rank")))
-    rows = rows.withColumn("rendered", render(compress(F.col("source"), config.compression_ratio) if compress else None))
-    sizes = rows.select("request_id", "pos", "path", token_estimate(F.col("rendered")).alias("tok"), token_estimate(F.col("signatures")).alias("sig_tok"), token_estimate(F.col("source")).alias("orig"))
-    totals = greedy(sizes, config.token_budget)
-    picked = totals.select("request_id", F.explode("picked").alias("p")).select("request_id", "p.pos", "p.path", "p.sig")
-    short = F.concat(F.format_string("# %s [signatures only, score=%.2f]\n", "path", "score"), "signatures")
-    chosen = rows.join(picked, ["request_id", "pos", "path"]).withColumn("rendered", F.when(F.col("sig"), short).otherwise(F.col("rendered")))
+    facts = files.where("chars > 0").select("path", "language", "chars", F.length("signatures").alias("sig_chars"), F.col("token_estimate").alias("orig"))
+    rows = ranked.join(facts, "path").withColumn("pos", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("changed"), "rank")))
+    body = F.when(F.col("output_mode") == SIGNATURES, F.col("sig_chars"))
+    sized, short = rows, compress(F.col("source"), config.compression_ratio) if compress else None
+    if compress:
+        sized = rows.join(corpus.select("path", "source"), "path")
+        body = body.when(F.col("output_mode") == COMPRESSED, F.length(short))
+    tokens = lambda n: F.greatest(F.lit(1), F.floor(n / 4))
+    sizes = sized.select("request_id", "pos", "path", tokens(F.length(heading()) + body.otherwise(F.col("chars")) + 4).alias("tok"), tokens(F.col("sig_chars")).alias("sig_tok"), "orig")
+    picked, totals = greedy(sizes, config.token_budget)
+    chosen = rows.join(picked, ["request_id", "pos", "path"]).drop("chars", "sig_chars", "orig").join(files.select("path", "signatures"), "path").join(corpus.select("path", "source"), "path")
+    brief = F.concat(F.format_string("# %s [signatures only, score=%.2f]\n", "path", "score"), "signatures")
+    chosen = chosen.withColumn("rendered", F.when(F.col("sig"), brief).otherwise(render(short)))
     return chosen.drop("source", "signatures"), totals
 
 

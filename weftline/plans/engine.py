@@ -65,7 +65,7 @@ class Engine:
         header = F.concat(F.lit("# Context\n"), F.lit("Commit: "), F.coalesce("commit_message", F.lit("")), F.lit("\nQuery: "), F.coalesce("query", F.lit("")), F.lit("\nChanged: "), F.array_join("changed_files", ", "), F.lit("\n\n"))
         return chosen, out.select(
             "request_id", F.transform("s", lambda x: x["path"]).alias("selected_files"), F.concat(header, F.array_join(F.transform("s", lambda x: x["rendered"]), "\n\n")).alias("rendered_context"),
-            F.col("original").alias("total_original_tokens"), F.col("used").alias("total_rendered_tokens"), saving.alias("reduction_ratio"), "files_scanned", F.size("picked").cast("long").alias("files_selected"),
+            F.col("original").alias("total_original_tokens"), F.col("used").alias("total_rendered_tokens"), saving.alias("reduction_ratio"), "files_scanned", F.col("n").alias("files_selected"),
             F.round(saving * 100, 2).alias("token_savings_pct"), F.round((1 - saving) * 100, 2).alias("token_kept_pct"),
         )
 
@@ -128,6 +128,30 @@ class Engine:
         out = out.join(analyse.max_risk(requests, risks), "request_id")
         return analyse.with_preview(out, self.corpus) if include_source else out
 
+    def file_summary(self, target: str, limit: int = 5) -> DataFrame:
+        """seed, file, language, symbols, token_estimate: the files of the first symbols that match."""
+        seeds = search.search_symbols(self.nodes, target, limit).select(F.col("node_id").alias("seed"), F.col("file_path").alias("path"))
+        return self._summaries(seeds)
+
+    def _summaries(self, seeds: DataFrame) -> DataFrame:
+        return seeds.join(self.files, "path").select("seed", F.col("path").alias("file"), "language", F.size("symbols").alias("symbols"), "token_estimate")
+
+    def list_flows(self, sort_by: str = "criticality", limit: int = 50) -> DataFrame:
+        """Flows by criticality, node_count, file_count (largest first) or name."""
+        key = {"node_count": F.desc("node_count"), "file_count": F.desc("file_count"), "name": F.asc("flow_name")}.get(sort_by, F.desc("criticality"))
+        return analyse.flows(self.nodes, self.edges).orderBy(key, "entry").limit(limit)
+
+    def list_communities(self, sort_by: str = "size", min_size: int = 2, limit: int = 50) -> DataFrame:
+        """Communities by size (largest first) or name."""
+        key = F.asc("label") if sort_by == "name" else F.desc("node_count")
+        return analyse.communities(self.files, self.edges, min_size).orderBy(key, "community_id").limit(limit)
+
+    def query_graph(self, pattern: str, target: str, limit: int = 20) -> DataFrame:
+        if pattern == "file_summary":
+            return self.file_summary(target)
+        seeds = search.search_symbols(self.nodes, target, 5).select(F.col("node_id").alias("seed"))
+        return search.edge_query(pattern, seeds, self.nodes, self.edges, limit)
+
     def index_summary(self) -> DataFrame:
         """One row: the counts and a sentence."""
         line = F.format_string("%d files, %d symbols, %d edges", "files_indexed", "symbols_extracted", "edges_created")
@@ -153,10 +177,10 @@ class Engine:
             "list_files": lambda limit=100: f.select("path", "language", "token_estimate").orderBy(F.desc("token_estimate"), "path").limit(limit),
             "get_file_context": lambda path: self.corpus.where(F.endswith("path", F.lit(path)) | F.endswith(F.lit(path), F.col("path"))).orderBy("file_ord").limit(1),
             "detect_changes": self.detect_changes,
-            "query_graph": lambda pattern, target, limit=20: search.edge_query(pattern, search.search_symbols(n, target, 5).select(F.col("node_id").alias("seed")), n, e, limit),
+            "query_graph": self.query_graph,
             "get_review_context": self.review,
-            "list_flows": lambda limit=50: analyse.flows(n, e).orderBy(F.desc("criticality"), "entry").limit(limit),
-            "list_communities": lambda min_size=2: analyse.communities(f, e, min_size),
+            "list_flows": self.list_flows,
+            "list_communities": self.list_communities,
             "get_flow": lambda **k: analyse.get_flow(analyse.flows(n, e), n, e, **k),
             "get_affected_flows": lambda changed: analyse.affected_flows(analyse.flow_nodes(n, e, (t := staged(analyse.flows(n, e), "flows"))), t, changed),
             "get_community": lambda **k: analyse.get_community(analyse.communities(f, e), **k),

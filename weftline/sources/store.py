@@ -15,6 +15,19 @@ KEYS = {
     "flows": ["entry"], "risk_index": ["path"], "graph_meta": ["key"], "repos": ["root"],
 }
 
+#: Versions of the store: what each adds, as empty tables or as columns of tables there are.
+MIGRATIONS: list[tuple[int, str, dict[str, str]]] = [
+    (1, "files, nodes and edges", {
+        "files": "path string, file_ord long, language string, token_estimate long, sha256 string",
+        "nodes": "node_id string, kind string, name string, qualified_name string, file_path string, line_start int, line_end int",
+        "edges": "source_id string, target_id string, kind string, weight double",
+    }),
+    (2, "flows", {"flows": "entry string, flow_name string, node_count long, file_count long, depth long, criticality double"}),
+    (3, "communities", {"nodes": "community_id long", "communities": "community_id long, label string, node_count long, dominant_language string"}),
+    (4, "risk", {"risk_index": "path string, risk_score double, reasons array<string>, callers long, hits long, has_test boolean"}),
+    (5, "facts and repositories", {"graph_meta": "key string, value string", "repos": "root string, name string, db_path string"}),
+]
+
 
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -54,6 +67,33 @@ class GraphStore:
             return self.write(name, df)
         return self.write(name, df.unionByName(self.read(name).join(df.select(*keys), keys, "left_anti"), allowMissingColumns=True))
 
+    def migrations(self) -> DataFrame:
+        """version, description of the migrations applied."""
+        return self.read("schema_migrations") if self.exists("schema_migrations") else self.spark.createDataFrame([], "version int, description string")
+
+    def schema_version(self) -> int:
+        return self.migrations().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def migrate(self, migrations: list[tuple[int, str, dict[str, str]]] = MIGRATIONS) -> list[int]:
+        """Applies what is newer than the store's version, in order; each is recorded once it is complete.
+
+        A table that is missing is made empty; columns that a table lacks are added as nulls, so a
+        migration cut short can be run again. Returns the versions applied.
+        """
+        now, done = self.schema_version(), []
+        for version, description, tables in sorted(migrations, key=lambda m: m[0]):
+            if version <= now:
+                continue
+            for name, schema in tables.items():
+                empty = self.spark.createDataFrame([], schema)
+                if not self.exists(name):
+                    self.write(name, empty)
+                elif set(empty.columns) - set(self.read(name).columns):
+                    self.append(name, empty)
+            self.append("schema_migrations", self.spark.createDataFrame([(version, description)], "version int, description string"))
+            done.append(version)
+        return done
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
         return self.write(name, self.read(name).unionByName(df, allowMissingColumns=True) if self.exists(name) else df)
 
@@ -75,8 +115,8 @@ class GraphStore:
         return self.read("repos") if self.exists("repos") else self.spark.createDataFrame([], "root string, name string, db_path string")
 
     def stats(self) -> DataFrame:
-        """table, rows."""
-        out = None
+        """table, rows; schema_version stands among the tables once the store has been migrated."""
+        out = self.migrations().agg(F.lit("schema_version").alias("table"), F.max("version").cast("long").alias("rows")).select("table", "rows") if self.exists("schema_migrations") else None
         for name in KEYS:
             if self.exists(name):
                 one = self.read(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")

@@ -1,4 +1,4 @@
-"""Streams: live indexing of a folder, token buckets per key."""
+"""Streams: live indexing of a folder, token buckets and circuit breakers per key."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.control import BREAKER_START, breaker_step
 from ..operators.edges import build_edges
 from ..operators.parse import nodes_of, parsed
 from ..sources.store import GraphStore
@@ -56,3 +57,27 @@ def rate_limited(events: DataFrame, rate: float = 5.0, capacity: float = 5.0, la
 
     keyed = events.withWatermark("ts", late).groupBy("key")
     return keyed.applyInPandasWithState(step, "key long, granted long, denied long", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def circuit_broken(events: DataFrame, threshold: int = 5, reset: float = 60.0, late: str = "10 minutes", idle: float = 86_400.0) -> DataFrame:
+    """key, state, passed, rejected, opened (totals so far) per micro-batch for a stream of (key, ts, failed).
+
+    Events within a batch are taken in order of time, failures after successes of the same instant;
+    a key's breaker is forgotten ``idle`` seconds of event time after its last event.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = tuple(state.get) if state.exists else BREAKER_START
+        log = sorted((t.timestamp(), bool(failed)) for f in frames for t, failed in zip(f["ts"], f["failed"], strict=True))
+        for t, failed in log:
+            s = breaker_step(s, t, failed, threshold, reset)
+        state.update(s)
+        state.setTimeoutTimestamp(max(int((log[-1][0] + idle) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [key[0]], "state": [s[0]], "passed": [s[3]], "rejected": [s[4]], "opened": [s[5]]})
+
+    keyed = events.withWatermark("ts", late).groupBy("key")
+    schema = "state string, failures long, since double, passed long, rejected long, opened long"
+    return keyed.applyInPandasWithState(step, "key long, state string, passed long, rejected long, opened long", schema, "append", GroupStateTimeout.EventTimeTimeout)
