@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tools, decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, toxicity, warc_bundles
+from . import alignment, centroids, chat_tools, decontaminate, license_scan, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_files, toxicity, warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,16 +22,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_token_files": token_files.op13_token_files,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    """Trained models, MinHash groups and packings are not SQL; tests hold them to brute force."""
+    """Trained models, MinHash groups, packings and tokenizers are not SQL; tests hold them to brute force."""
     return {
         "op3_warc": warc_bundles.OP3_SQL,
         "op4_tool_calls": chat_tools.OP4_SQL,
         "op5_licenses": license_scan.OP5_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "op12_centroids": centroids.OP12_SQL,
     }
