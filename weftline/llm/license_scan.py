@@ -17,12 +17,17 @@ repeated counts each time in ``sentence_ids``; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import let
 
 CUT = r"[.!?;:]+[ \t]+|[\r\n]+"
+#: A run of sentence ends for Java: taken whole and from its beginning only, so that a long run is read once.
+ENDS = r"(?<![.!?;:])[.!?;:]++"
+CUT_ONCE = CUT.replace("[.!?;:]+", ENDS)
 #: Known sentences, normalised. Wording of public licences.
 SENTENCES = {
     1: "licensed under the apache license version 2 0",
@@ -124,7 +129,7 @@ ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free s
 
 
 def _pattern(rule: tuple[int, ...]) -> str:
-    """Of a rule, over ',1,2,3,'. Identifiers between those of the rule are skipped."""
+    """Of a rule for ``OP5_SQL``, over ',1,2,3,'. Identifiers between those of the rule are skipped."""
     return "," + "(?:[0-9]+,)*".join(f"{i}," for i in rule)
 
 
@@ -132,7 +137,7 @@ KNOWN = SENTENCES | NOTICES
 #: Comment markers that start a line, before ``;;`` is taken for a sentence end.
 MARKER = r"(?m)^[ \t]*;+"
 #: A sentence end, also before a line break, or a blank line; comment markers alone are blank.
-STOP = r"[.!?;:]+(?:[ \t]+|[ \t]*(?=[\r\n]))|(?>\r\n|\r|\n)(?=[^a-zA-Z0-9\r\n]*[\r\n])"
+STOP = ENDS + r"(?:[ \t]+|[ \t]*(?=[\r\n]))|(?>\r\n|\r|\n)(?=[^a-zA-Z0-9\r\n]*[\r\n])"
 
 
 def _sentence_pattern() -> str:
@@ -145,7 +150,7 @@ def _sentence_ids(text: Column) -> Column:
     t = F.regexp_replace(F.translate(text, "|\x01\x02", "   "), MARKER, "")
     t = F.regexp_replace(F.regexp_replace(t, STOP, "\x02"), r"[\r\n]+", "\x01")
     t = F.regexp_replace(F.lower(t), "[^a-z0-9\x01\x02]+", " ")
-    t = F.regexp_replace(t, "[ \x01]*\x02[ \x01\x02]*", "||")
+    t = F.regexp_replace(t, "(?<![ \x01])[ \x01]*+\x02[ \x01\x02]*", "||")
     t = F.regexp_replace(t, " *\x01[ \x01]*", "|")
     t = F.concat(F.lit("||"), F.trim(t), F.lit("||"))
     return let(t, _known_in)
@@ -158,15 +163,35 @@ def _known_in(t: Column) -> Column:
     return F.when(t.rlike("|".join(a.replace(" ", "[ |]") for a in ANCHORS)), found).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def _in_order(ids: Column, rule: tuple[int, ...]) -> Column:
+    """Whether a rule's identifiers occur in this order among ``ids``, others between them or not: each is looked for
+    behind the place of the one before, so the sequence is read once a rule."""
+    if len(rule) == 1:
+        return F.array_contains(ids, rule[0])
+
+    def next_place(at: Column, i: Column) -> Column:
+        step = F.array_position(F.slice(ids, at + 1, F.size(ids)), i).cast("int")
+        return let(step, lambda p: F.when((at < 0) | (p == 0), -1).otherwise(at + p))
+
+    return F.aggregate(F.array(*map(F.lit, rule)), F.lit(0), lambda at, i: F.when(at < 0, -1).otherwise(next_place(at, i))) > 0
+
+
+def _licences_of(ids: Column) -> Column:
+    """Licences of which a rule fits, by name."""
+    fits = lambda name: reduce(lambda a, b: a | b, [_in_order(ids, r) for r in RULES.get(name, ()) + NOTICE_RULES.get(name, ())])
+    return F.concat_ws(",", *(F.when(fits(name), F.lit(name)) for name in sorted(RULES.keys() | NOTICE_RULES.keys())))
+
+
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids, licenses: a row per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, CUT, -1), lambda s: s != "")).cast("long").alias("n_sentences"), _sentence_ids(text).alias("ids"))
-    rows = rows.select("doc_id", "n_sentences", let(F.col("ids"), lambda x: F.struct(F.size(x).cast("long").alias("n_known"), F.array_join(x, ",").alias("sentence_ids"))).alias("x"))
-    rows = rows.select("doc_id", "n_sentences", "x.n_known", "x.sentence_ids")
-    seq = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    found = [F.when(seq.rlike("|".join(map(_pattern, RULES.get(name, ()) + NOTICE_RULES.get(name, ())))), F.lit(name)) for name in sorted(RULES.keys() | NOTICE_RULES.keys())]
-    return rows.withColumn("licenses", F.when(F.col("n_known") > 0, F.concat_ws(",", *found)).otherwise(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, CUT_ONCE, -1), lambda s: s != "")).cast("long").alias("n_sentences"), _sentence_ids(text).alias("ids"))
+
+    def told(ids: Column) -> Column:
+        names = F.when(F.size(ids) > 0, _licences_of(ids)).otherwise("")
+        return F.struct(F.size(ids).cast("long").alias("n_known"), F.array_join(ids, ",").alias("sentence_ids"), names.alias("licenses"))
+
+    return rows.select("doc_id", "n_sentences", let(F.col("ids"), told).alias("x")).select("doc_id", "n_sentences", "x.n_known", "x.sentence_ids", "x.licenses")
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
