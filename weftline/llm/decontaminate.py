@@ -37,6 +37,8 @@ STRICT, OPEN = 1, 2
 #: Windows of a benchmark that are broadcast; beyond, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 500_000
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: The same for Java, as a loop: without the last sign it goes one call deeper for each part of a long list of numbers.
+NUMBER_LOOP = NUMBER + "+"
 UNIT = r"(\x01n[^ ]* +)(kilometres|kilometers|metres|meters|miles|feet|inches|grams|pounds|ounces|litres|liters|hours|minutes|seconds|days|weeks|months|years|dollars|euros|cents|percent|degrees|kg|km|cm|mm|mg|ml|mph|hrs|min|sec|usd|eur|lbs|oz|m|g|l|h|s|%|€|\$)( |$)"
 NAME = r"([a-zß-öø-ÿ][,;:]? )([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)"
 TOKEN = r"\x01[nup][^ ]*|[\p{L}]+"
@@ -46,7 +48,7 @@ def tokens(text: Column) -> Column:
     """Words of a text; a slot starts with U+0001 and its type (n, u or p), then its own text."""
     t = F.translate(F.coalesce(text, F.lit("")), "\x01\n\r\t", "    ")
     t = F.regexp_replace(t, NAME, "$1\x01p$2 ")
-    t = F.regexp_replace(t, NUMBER, " \x01n$0 ")
+    t = F.regexp_replace(t, NUMBER_LOOP, " \x01n$0 ")
     t = F.when(F.contains(t, F.lit("\x01n")), F.regexp_replace(t, UNIT, "$1\x01u$2$3")).otherwise(t)
     return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
