@@ -112,7 +112,8 @@ def first_seen(docs: DataFrame, runs: LineRuns, min_chars: int = MIN_CHARS) -> D
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, h1, h2: each document's distinct keys of at least ``min_chars`` code points."""
     long_lines = F.filter(_lines(F.col("text")), lambda x: F.length(x) >= min_chars)
-    keys = F.array_distinct(F.transform(F.filter(F.transform(long_lines, _key), lambda k: F.length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("weftline"), k).alias("h2"))))
+    # Distinct as strings, which Spark does by a hash set; structures it would compare pair by pair.
+    keys = F.transform(F.array_distinct(F.filter(F.transform(long_lines, _key), lambda k: F.length(k) >= min_chars)), lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("weftline"), k).alias("h2")))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc")
     return docs.where(F.length("text") >= min_chars).select(doc, F.explode(keys).alias("k")).select("doc", "k.h1", "k.h2")
 
