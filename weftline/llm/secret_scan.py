@@ -32,23 +32,46 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 
+_SPAN = "struct<s:int,k:int,e:int,v:string>"
+
+
 def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
     """Array of (s, k, e, v): start, kind's number, end and value of each match, in order."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
     sized = F.zip_with(matches, values, lambda m, v: F.struct(F.length(m).alias("len"), v.alias("v")))
     steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), sized, lambda p, m: F.struct(F.length(p).alias("gap"), m["len"].alias("len"), m["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)").alias("out"))
+    found = let(steps, lambda x: _placed(x, kind))
+    if least:
+        found = F.filter(found, lambda x: F.length(x["v"]) >= least)
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+
+
+def _placed(steps: Column, kind: int) -> Column:
+    """Spans of steps (gap before a match, its length, its value).
+
+    Adding to an array copies it, so steps are added up in groups of about the square root of
+    their number, and the groups' lengths then.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(steps))).cast("int"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["len"]).alias("e"), x["v"].alias("v")))
         return F.struct((s + x["len"]).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    if least:
-        found = F.filter(found, lambda x: F.length(x["v"]) >= least)
-    return F.when(text.rlike(pattern), found).otherwise(start["out"])
+    def in_groups(n: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(steps)), n)
+        own = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, n), own, step))
+
+    def shifted(groups: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("bases"))
+        bases = F.aggregate(groups, begin, lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
+        moved = lambda g, base: F.transform(g["out"], lambda x: F.struct((x["s"] + base).alias("s"), x["k"].alias("k"), (x["e"] + base).alias("e"), x["v"].alias("v")))
+        return F.flatten(F.zip_with(groups, bases, moved))
+
+    return let(let(size, in_groups), shifted)
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
@@ -102,11 +125,13 @@ def secrets(docs: DataFrame, ratios: list[float], per_char: float = PER_CHAR) ->
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, 2, 8), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    more = F.filter(spans(text, TOKEN, 3), lambda x: mean_ratio(x["v"], ratios) >= per_char)
+    # Spans that the method adds never touch a base span. Access and hex spans lie within one token, so a token shows them.
+    more = F.filter(spans(text, TOKEN, 3), lambda x: ~x["v"].rlike(f"{ACCESS}|{HEX}"))
+    more = F.filter(more, lambda x: mean_ratio(x["v"], ratios) >= per_char)
 
     def joined(base: Column) -> Column:
-        # Spans that the method adds never touch a base span.
-        apart = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+        assigned = F.filter(base, lambda b: b["k"] == 0)
+        apart = let(assigned, lambda own: F.filter(more, lambda m: ~F.exists(own, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))))
         return F.struct(base.alias("base"), F.array_sort(F.concat(base, apart)).alias("found"))
 
     return rows.select("doc_id", let(base, joined).alias("x")).select("doc_id", "x.base", "x.found")
