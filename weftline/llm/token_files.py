@@ -134,10 +134,8 @@ class IdFile:
 
 @functools.lru_cache(1)
 def _encoder(path: str) -> UnitIds:
-    """The worker process's encoder; ids take two bytes where the vocabulary allows it."""
-    enc = UnitIds(path, "<u4")
-    enc.dtype = np.dtype("<u2" if enc.model.size <= 1 << 16 else "<u4")
-    return enc
+    """The worker process's encoder; the next tasks of the process find its words known."""
+    return UnitIds(path)
 
 
 def _writer(tokenizer: str, folder: str, file_tokens: int):

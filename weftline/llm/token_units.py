@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain, filterfalse
+import re
+import struct
 
 import numpy as np
 
-#: Units a worker keeps; beyond it all are forgotten and the frequent ones learned again.
+#: Units after which a worker's newer half becomes the older one; what is not asked for again goes with the next turn.
 CACHE_UNITS = 500_000
 #: Characters that are encoded together when new units are learned.
 _TOGETHER = 500_000
+#: A unit of letters, digits and marks whose classes every Unicode version agrees on, without apostrophes, and its
+#: runs, which are what the pre-tokenizer cuts it into.
+_SIMPLE = re.compile("[!-&(-~ªµºÀ-ÖØ-öø-ÿ]+").fullmatch
+_RUNS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+").findall
 #: At the start of a key: the unit opens its text and has nothing before it.
 FIRST = "\x00"
 
@@ -68,40 +73,72 @@ class ByteLevel:
         for t, i in vocabulary.items():
             self.bytes[i] = t.encode() if t in added else bytes(to_byte[c] for c in t)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.letters = {b: c for c, b in to_byte.items()}  # for str.translate
+        self.core, self.space = self.tok.model, self.letters[32]
+        self.line = self.whole("\n").tolist() if self.by_units else []
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, np.int64)
 
+    def unit(self, key: str) -> list[int]:
+        """Ids of a unit: by the model alone where its runs are plain, else by the whole tokenizer."""
+        if key.isascii() and key.isalpha():  # most of them
+            return [t.id for t in self.core.tokenize(self.space + key)]
+        head, word = (key[0], key[1:]) if key[:1] in ("\n", FIRST) else (" ", key)
+        if not _SIMPLE(word):
+            # An opening unit stands behind a line break, whose id is then taken off.
+            ids = self.whole((head if head == " " else "\n") + word).tolist()
+            return ids[len(self.line) :] if head == FIRST else ids
+        ids = self.line.copy() if head == "\n" else []
+        for run in [word] if word.isalpha() else _RUNS(word):
+            run = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.core.tokenize(self.space + run if head == " " else run)]
+            head = ""
+        return ids
+
     def units(self, text: str) -> list[str] | None:
         return None if not self.by_units or any(x in text for x in self.named) else units(text)
 
 
+class _Learned(dict):
+    """Units' ids as little-endian bytes, learned when they are first asked for; frequent ones stay."""
+
+    def __init__(self, unit, code: str):
+        super().__init__()
+        self.unit, self.older = unit, {}
+        self.pack = [struct.Struct(f"<{n}{code}").pack for n in range(64)]
+        self.long = lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            ids = self.unit(key)
+            out = self.pack[len(ids)](*ids) if len(ids) < 64 else self.long(ids)
+        self[key] = out
+        return out
+
+    def turn(self) -> None:
+        if len(self) > CACHE_UNITS:
+            self.older = dict(self)
+            self.clear()
+
+
 class UnitIds:
     """Ids of texts as bytes of one integer type, by cached units."""
 
-    def __init__(self, path: str, dtype: str):
-        self.model, self.dtype, self.cache = ByteLevel(path), np.dtype(dtype), {}
-
-    def _learn(self, new: list[str]) -> None:
-        for keys in portions(new):
-            # An opening unit is learned behind a line break, whose id is then taken off.
-            plain = ["\n" + k[1:] if k[0] == FIRST else k if k[0] == "\n" else " " + k for k in keys]
-            ids = self.model.whole("".join(plain))
-            ends = np.cumsum([len(p.encode()) for p in plain])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.model.lengths[ids]), ends) + 1).tolist()]
-            raw, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            self.cache |= {k: raw[(i + (k[0] == FIRST)) * w : j * w] for k, i, j in zip(keys, cuts[:-1], cuts[1:], strict=True)}
+    def __init__(self, path: str, dtype: str | None = None):
+        """``dtype`` is <u4 or <u2, by default the smaller one that the vocabulary allows."""
+        self.model = ByteLevel(path)
+        self.dtype = np.dtype(dtype or ("<u2" if self.model.size <= 1 << 16 else "<u4"))
+        self.cache = _Learned(self.model.unit, {2: "H", 4: "I"}[self.dtype.itemsize])
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none)."""
-        split = [self.model.units(t) if t else [] for t in texts]
-        for s in split:
+        self.cache.turn()
+        get, out = self.cache.__getitem__, []
+        for t in texts:
+            s = self.model.units(t) if t else []
             if s:
                 s[0] = FIRST + s[0]
-        new = set(filterfalse(self.cache.__contains__, chain.from_iterable(s for s in split if s)))
-        if self.cache and len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache = {}
-            new = set(chain.from_iterable(s for s in split if s))
-        self._learn(list(new))
-        get = self.cache.__getitem__
-        return [self.model.whole(t).astype(self.dtype).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+            out.append(self.model.whole(t).astype(self.dtype).tobytes() if s is None else b"".join(map(get, s)))
+        return out
