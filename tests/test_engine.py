@@ -254,19 +254,6 @@ def test_files_and_snapshots(spark, tmp_path):
     assert {(r.path, r.change) for r in snapshot_diff(before, after).collect()} == {("a", "removed"), ("b", "changed"), ("c", "added")}
 
 
-def test_watch(spark, tmp_path):
-    from weftline.streaming.live import watch
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.py").write_text("def f():\n    pass\n")
-    store = GraphStore(spark, f"file://{tmp_path}/store")
-    watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), "*.py").awaitTermination()
-    assert store.read("files").count() == 1
-    (tmp_path / "in" / "b.py").write_text("import a\n")
-    watch(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), "*.py").awaitTermination()
-    assert store.read("nodes").count() == 3 and store.read("edges").count() == 1
-
-
 def test_control(spark):
     rules = compare.RequestRules().require_changed_files().require_max_files(1).require_extensions({".py"}).require_no_secrets()
     rows = spark.createDataFrame([(["a.js", "b.py"], "sk-" + "a" * 24)], "changed_files array<string>, query string")

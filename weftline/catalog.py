@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .config import ContextConfig
 from .functions import text as tx
-from .operators import analyse, compare, control, search
+from .operators import analyse, compare, control, fulltext, parse, search
 from .operators.edges import path_index
 from .operators.select import greedy, render
-from .operators.traverse import propagate_labels, ranked_neighbors
+from .operators.traverse import propagate_labels, ranked_neighbors, sweep_labels
 from .plans.engine import Engine, incremental, index_roots
 from .plans.evolve import SchemaEvolution
 from .sources import corpus as cv
@@ -213,6 +213,37 @@ for _name, _kind, _sql in (("import_edges", "imports", _IMPORT_SQL), ("dynamic_e
     _register(_name, _sql)(lambda spark, sf, kind=_kind: engine(spark, sf).edges.where(F.col("kind") == kind).select(*_EDGE))
 
 
+#: The sources after an update: every fiftieth imports another file, every fortieth (from the seventh on) has gone.
+_OTHER = "((p_partkey * 7 + 1) % n + 1) % n + 1"
+_AFTER = _BASE.replace("(p_partkey * 7 + 1) % n + 1 AS a", f"CASE WHEN p_partkey % 50 = 0 THEN {_OTHER} ELSE (p_partkey * 7 + 1) % n + 1 END AS a").removesuffix(")") + " WHERE p_partkey % 40 <> 7)"
+
+
+def updated_engine(spark: SparkSession, sf: str) -> Engine:
+    """An engine without every thirtieth source, updated: changed, removed and new files."""
+    key = (spark.sparkContext.applicationId, sf + "#updated")
+    if key not in _ENGINES:
+        code = _code(spark, sf)
+        changed = cv.spark_view(spark, sf, cv.CODE_FILES.replace("(p_partkey * 7 + 1) % n + 1 AS a", f"{_OTHER} AS a")).where("file_ord % 50 = 0")
+        new = code.where("file_ord % 30 = 4 AND file_ord % 50 <> 0")
+        _ENGINES[key] = Engine(code.where("file_ord % 30 <> 4")).update(changed.unionByName(new).where("file_ord % 40 <> 7"), code.where("file_ord % 40 = 7").select("path"))
+    return _ENGINES[key]
+
+
+@_register("incremental_update", _EDGES_SQL.replace(_BASE, _AFTER))
+def _(spark, sf):
+    return updated_engine(spark, sf).edges.select(*_EDGE)
+
+
+@_register("incremental_symbols", f"SELECT node_id, kind, name FROM ({_SYMBOLS.replace(_BASE, _AFTER)})")
+def _(spark, sf):
+    return updated_engine(spark, sf).nodes.select("node_id", "kind", "name")
+
+
+@_register("incremental_parsed", f"SELECT path FROM {_BASE} WHERE (k % 50 = 0 OR k % 30 = 4) AND k % 40 <> 7")
+def _(spark, sf):
+    return updated_engine(spark, sf).delta.files.select("path")
+
+
 @_register("graph_stats", f"SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM ({_SYMBOLS})) AS nodes, (SELECT count(*) FROM ({_EDGES_SQL})) AS edges")
 def _(spark, sf):
     e = engine(spark, sf)
@@ -250,10 +281,59 @@ for _pattern, _near, _far, _extra in (
     )
 
 
-@_register("fts_search", f"SELECT q AS query_id, node_id FROM (SELECT 1 AS q, 'p_1' AS t UNION ALL SELECT 2, 'm_12') JOIN ({_SYMBOLS}) ON list_has_all(regexp_extract_all(lower(node_id), '[\\p{{L}}\\p{{N}}]+'), string_split(replace(t, '_', ' '), ' '))")
+#: Words of the five searched fields of a generated symbol, a space around each, fields apart.
+_FIELDS = f"""SELECT node_id, k, s, list_transform([node_id, name, CASE kind WHEN 'method' THEN 'P_' || k || '.' || name ELSE name END, CASE kind WHEN 'module' THEN '' WHEN 'class' THEN 'class ' || name WHEN 'method' THEN 'def ' || name || '(self, x: int) -> int' ELSE 'def ' || name || '(x: int) -> int' END, regexp_replace(node_id, '::.*', '')],
+  lambda f: ' ' || array_to_string(regexp_extract_all(lower(f), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ') AS f FROM ({_SYMBOLS})"""
+_HOLDS = "len(list_filter(f, lambda x: contains(x, ' {} '))) > 0"
+
+
+def _asked(spark, sf, *forms: str) -> DataFrame:
+    """query_id, query: each form for the first part of every brand; its number takes the place of ``%d``."""
+    keys = cv.table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
+    texts = [F.replace(F.lit(f), F.lit("%d"), F.col("k").cast("string")) for f in forms]
+    return keys.select("k", F.posexplode(F.array(*texts)).alias("i", "query")).select((F.col("k") * 10 + F.col("i")).alias("query_id"), "query")
+
+
+def _found(spark, sf, *forms: str) -> DataFrame:
+    e = engine(spark, sf)
+    return fulltext.find(e.search_index(), e.nodes, _asked(spark, sf, *forms)).select("query_id", "node_id")
+
+
+def _found_sql(*conditions: str) -> str:
+    """``q`` is the number asked for, ``f`` the fields; a condition for each form."""
+    parts = [f"SELECT q * 10 + {i} AS query_id, node_id FROM (SELECT min(p_partkey) AS q FROM part GROUP BY p_brand) JOIN w ON {c}" for i, c in enumerate(conditions)]
+    return f"WITH w AS MATERIALIZED ({_FIELDS}) " + " UNION ALL ".join(parts)
+
+
+_NUMBER = "' || q || '"
+_REGISTERED = {
+    "fts_search": (("p %d", "m_%d"), (f"{_HOLDS.format('p')} AND {_HOLDS.format(_NUMBER)}", _HOLDS.format(f"m {_NUMBER}"))),
+    "fts_phrase": (('"def f %d"', "part + _%d", "name : P_%d", "^ class P_%d", "no_such_name_%d"), (
+        _HOLDS.format(f"def f {_NUMBER}"), _HOLDS.format(f"part {_NUMBER}"), f"contains(f[2], ' p {_NUMBER} ')", f"len(list_filter(f, lambda x: starts_with(x, ' class '))) > 0 AND {_HOLDS.format(f'p {_NUMBER}')}", "false")),
+    "fts_prefix": (("m_%d*", "pa* f_%d"), (f"len(list_filter(f, lambda x: contains(x, ' m {_NUMBER}'))) > 0", f"len(list_filter(f, lambda x: contains(x, ' pa'))) > 0 AND {_HOLDS.format(f'f {_NUMBER}')}")),
+    "fts_boolean": (("P_%d NOT m", "m_%d OR f_%d NOT test", "part_%d AND (self OR class)", "part_%d NOT (x OR class)"), (
+        f"{_HOLDS.format(f'p {_NUMBER}')} AND NOT ({_HOLDS.format('m')})", f"({_HOLDS.format(f'm {_NUMBER}')} OR ({_HOLDS.format(f'f {_NUMBER}')} AND NOT ({_HOLDS.format('test')})))",
+        f"{_HOLDS.format(f'part {_NUMBER}')} AND ({_HOLDS.format('self')} OR {_HOLDS.format('class')})", f"{_HOLDS.format(f'part {_NUMBER}')} AND NOT ({_HOLDS.format('x')}) AND NOT ({_HOLDS.format('class')})")),
+    # A full stop breaks the rules, so the text is looked for in names.
+    "fts_broken": (("P_%d.m",), (f"k::VARCHAR LIKE q || '%' AND s = 2 AND ('P_' || k || '.m_' || k) LIKE '%P_{_NUMBER}.m%'",)),
+}
+for _name, (_forms, _conditions) in _REGISTERED.items():
+    _register(_name, _found_sql(*_conditions))(lambda spark, sf, forms=_forms: _found(spark, sf, *forms))
+
+
+@_register("semantic_search_nodes", f"SELECT node_id FROM ({_FIELDS}) WHERE s = 3 AND {_HOLDS.format('f 7')}")
 def _(spark, sf):
-    n = engine(spark, sf).nodes
-    return search.full_text(search.inverted_index(n), n, spark.createDataFrame([(1, "p 1"), (2, "m 12")], "query_id int, query string"))
+    return engine(spark, sf).query("semantic_search_nodes", query="f_7", kind="function").select("node_id")
+
+
+_SIGNED = "SELECT doc_id, 'class C_' || doc_id || ':' || chr(10) || '    \"\"\"About ' || doc_id || '\"\"\"' || chr(10) || '    def m(self, *rest, key: int = 1, **more) -> str:' || chr(10) || '        \"\"\"Say.\"\"\"' || chr(10) || '        return key' || chr(10) || '@a_' || doc_id || '().b' || chr(10) || 'async def g(x, /, y: int):' || chr(10) || '    pass' || chr(10) || 'class D(C_' || doc_id || ', m.E, f().G): pass' || chr(10) AS source FROM {documents}"
+
+
+@_register("py_signatures", """SELECT doc_id, 'class C_' || doc_id || '():' || chr(10) || '    \"\"\"About ' || doc_id || '\"\"\"' || chr(10) || '    async def g(y: int, x)' || chr(10) || 'class D(C_' || doc_id || ', m.E, .G):' || chr(10)
+  || '    def m(self, key: int, *rest, **more) -> str' || chr(10) || '        \"\"\"Say.\"\"\"' AS signatures, 'a_' || doc_id || '.b' AS decorator FROM documents""")
+def _(spark, sf):
+    rows = cv.spark_view(spark, sf, _SIGNED).select(F.concat(F.lit("d/f"), "doc_id", F.lit(".py")).alias("path"), "source", F.col("doc_id").alias("file_ord"))
+    return parse.parsed(rows).select(F.col("file_ord").alias("doc_id"), "signatures", F.array_join(F.flatten("symbols.decorators"), "|").alias("decorator"))
 
 
 @_register("rename_preview", f"SELECT node_id, 'P_7' AS old_name, 'Q_7' AS new_name FROM ({_SYMBOLS}) WHERE name = 'P_7'")
@@ -362,6 +442,54 @@ def _(spark, sf):
     return propagate_labels(cv.spark_view(spark, sf, TREES))
 
 
+def sweep_sql(links: str, order: str, rounds: int = 10, steps: int = 6) -> str:
+    """CTEs up to ``labels`` (node, label): rounds of ``steps`` repetitions, enough where no ascending chain is longer."""
+    ctes = [f"place AS MATERIALIZED ({order})", f"pair AS (SELECT x.pos AS i, y.pos AS j FROM ({links}) l JOIN place x ON l.a = x.node JOIN place y ON l.b = y.node)", "near AS MATERIALIZED (SELECT i, j FROM pair UNION SELECT j, i FROM pair)", "r0 AS MATERIALIZED (SELECT DISTINCT i, i AS label FROM near)"]
+    for r in range(rounds):
+        for t in range(steps):
+            now = f"r{r}" if t == 0 else f"r{r}_{t}"
+            votes = f"SELECT i, label, count(*) AS n, min(j) AS first FROM (SELECT near.i, near.j, CASE WHEN near.j < near.i THEN new.label ELSE old.label END AS label FROM near JOIN {now} new ON new.i = near.j JOIN r{r} old ON old.i = near.j) GROUP BY i, label"
+            ctes.append(f"{f'r{r}_{t + 1}' if t + 1 < steps else f'r{r + 1}'} AS MATERIALIZED (SELECT i, arg_max(label, (n, -first)) AS label FROM ({votes}) GROUP BY i)")
+    return ", ".join([*ctes, f"labels AS (SELECT node, label FROM r{rounds} JOIN place ON i = pos)"])
+
+
+_TREE_ORDER = "SELECT DISTINCT a AS node, CAST(substr(a, 2) AS BIGINT) + CASE WHEN a LIKE 'p%' THEN 0 ELSE 1000000000 END AS pos FROM (SELECT a FROM ({0}) AS x UNION ALL SELECT b FROM ({0}) AS y) AS z".format(TREES)
+
+
+@_register("label_sweep", f"WITH {sweep_sql(TREES, _TREE_ORDER)} SELECT * FROM labels")
+def _(spark, sf):
+    return sweep_labels(cv.spark_view(spark, sf, TREES), cv.spark_view(spark, sf, _TREE_ORDER))
+
+
+_GROUP_LINKS = "SELECT f.path AS a, t.path AS b FROM ({0}) AS f JOIN ({0}) AS t ON f.target = t.file_ord".format(cv.GROUP_FILES)
+_GROUPS = f"""WITH {sweep_sql(_GROUP_LINKS, f"SELECT path AS node, file_ord AS pos FROM ({cv.GROUP_FILES})", 10, 12)}, f AS MATERIALIZED ({cv.GROUP_FILES}), m AS MATERIALIZED (SELECT label AS key, path, file_ord AS k, CASE WHEN ends_with(path, '.ts') THEN 'typescript' ELSE 'python' END AS language FROM labels JOIN f ON path = node),
+c AS (SELECT key, count(*) AS node_count, min(k) AS first, string_split(min(path), '/')[:-2] AS l, string_split(max(path), '/')[:-2] AS h, array_to_string(list(path ORDER BY k)[1:20], '|') AS members, CASE WHEN count_if(language = 'python') > count_if(language = 'typescript') THEN 'python' ELSE 'typescript' END AS dominant_language FROM m GROUP BY key HAVING count(*) >= 2),
+g AS (SELECT row_number() OVER (ORDER BY node_count DESC, first) - 1 AS community_id, array_to_string(l[1:len(list_filter(range(1, least(len(l), len(h)) + 1), lambda i: l[1:i] = h[1:i]))], '/') AS label, node_count, dominant_language, members FROM c)"""
+
+
+def grouped_engine(spark: SparkSession, sf: str) -> Engine:
+    """The engine over customers as sources, whose communities are their groups."""
+    key = (spark.sparkContext.applicationId, sf + "#groups")
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(cv.spark_view(spark, sf, cv.GROUP_FILES).select("path", "source", "file_ord"))
+    return _ENGINES[key]
+
+
+def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+    e = grouped_engine(spark, sf)
+    return analyse.communities(e.files, e.edges, labels=analyse.file_labels(e.files, e.edges, in_order=True))
+
+
+@_register("communities_in_order", f"{_GROUPS} SELECT * FROM g")
+def _(spark, sf):
+    return _grouped(spark, sf).drop("key").withColumn("members", F.array_join("members", "|"))
+
+
+@_register("get_community_with_members", f"{_GROUPS} SELECT community_id, label, node_count, members FROM g WHERE community_id = 3")
+def _(spark, sf):
+    return analyse.get_community(_grouped(spark, sf), 3, include_members=True).withColumn("members", F.array_join("members", "|"))
+
+
 _FILE_LINKS = f"SELECT DISTINCT split_part(source_id, '::', 1) AS a, split_part(target_id, '::', 1) AS b FROM ({_EDGES_SQL}) WHERE ends_with(source_id, '::__module__') AND ends_with(target_id, '::__module__')"
 _COMMUNITIES = f"""WITH {labels_sql(_FILE_LINKS)}, g AS (SELECT label AS key, count(*) AS node_count, min(node) AS low, max(node) AS high, min(k) AS first FROM labels JOIN {_BASE} ON path = node GROUP BY 1 HAVING count(*) >= 2),
 c AS (SELECT *, string_split(low, '/')[:-2] AS l, string_split(high, '/')[:-2] AS h FROM g)
@@ -486,7 +614,7 @@ UNION ALL SELECT i.path || '::__module__', r.target || '::__module__', 'dynamic_
 UNION ALL SELECT x.path || '::P_' || x.k, y.path || '::P_' || y.k, 'inherits', 1.5e0, [1, x.k, 1, 0, 0]::BIGINT[] FROM {_BASE} x JOIN {_BASE} y ON y.k = x.c
 UNION ALL SELECT x.path || '::P_' || x.k, y.path || '::__module__', 'decorates', 0.8e0, [2, x.k, 1, 0, 0]::BIGINT[] FROM {_BASE} x JOIN {_BASE} y ON y.k = x.d AND y.k % 10 <> 3"""
 _NEAR = impact_ctes(4, _ORDERED_EDGES, _ASKED)
-_SIGNATURES = "'class P_' || k || '(P_' || c || '):' || chr(10) || '    def f_' || k || '(x: int) -> int: ...' || chr(10) || '    def m_' || k || '(self, x: int) -> int: ...'"
+_SIGNATURES = "'class P_' || k || '(P_' || c || '):' || chr(10) || '    def f_' || k || '(x: int) -> int' || chr(10) || '    def m_' || k || '(self, x: int) -> int'"
 #: Terms of a file: "part" twice, its number five times, of ten (a test: twelve); of a query: six, two of which can occur.
 _TERM = "0.6931471805599453e0 * ({0} * 2.5e0 / ({0} + 1.5e0 * (0.25e0 + 0.75e0 * (10 + CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END) / 20e0)))"
 _RANKED = f"""{_NEAR}, file AS MATERIALIZED (SELECT k, path, source, {_SIGNATURES} AS sig FROM {_BASE} JOIN (SELECT path, source FROM ({C3})) USING (path)),
@@ -692,5 +820,5 @@ def _(spark, sf):
 
 @_register("cross_repo_search", f"SELECT 'b' || k % 25 AS repo, 'src/b' || k % 25 AS root, name, split_part(node_id, '::', 1) AS file, kind FROM ({_SYMBOLS}) WHERE kind = 'method' AND lower(node_id) LIKE '%m\\_1%' ESCAPE '\\' QUALIFY row_number() OVER (PARTITION BY k % 25 ORDER BY node_id) <= 5")
 def _(spark, sf):
-    out = engine(spark, sf).query("cross_repo_search", repos=cv.spark_view(spark, sf, _REPOS), query="m_1", kind="method", limit=5)
+    out = engine(spark, sf).query("cross_repo_search", repos=cv.spark_view(spark, sf, _REPOS), query="m_1*", kind="method", limit=5)
     return out.select("repo", "root", "name", "file", "kind")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..errors import ValidationError
 from ..functions.text import file_of, security_hits, stem
 from ..staging import numbered, staged
-from .traverse import propagate_labels, reachable
+from .traverse import propagate_labels, reachable, sweep_labels
 
 
 def caller_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,9 +151,16 @@ def file_links(edges: DataFrame) -> DataFrame:
     return ends.select(file_of(F.col("source_id")).alias("a"), file_of(F.col("target_id")).alias("b")).distinct()
 
 
+def file_labels(files: DataFrame, edges: DataFrame, rounds: int = 10, in_order: bool = False) -> DataFrame:
+    """node, label of files: by halves that settle soon, or ``in_order``, as a sweep over the files one by one gives them."""
+    if not in_order:
+        return propagate_labels(file_links(edges), rounds)
+    return sweep_labels(file_links(edges), files.select(F.col("path").alias("node"), F.col("file_ord").alias("pos")), rounds)
+
+
 def communities(files: DataFrame, edges: DataFrame, min_size: int = 2, rounds: int = 10, labels: DataFrame | None = None) -> DataFrame:
     """community_id, label, node_count, dominant_language, members (first 20), key; ``labels`` (node, label) spares the rounds."""
-    labels = (propagate_labels(file_links(edges), rounds) if labels is None else labels).join(files.select(F.col("path").alias("node"), "language", "file_ord"), "node")
+    labels = (file_labels(files, edges, rounds) if labels is None else labels).join(files.select(F.col("path").alias("node"), "language", "file_ord"), "node")
     size = labels.groupBy("label").agg(F.count("*").alias("node_count"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("file_ord").alias("first"))
     size = size.where(F.col("node_count") >= min_size)
     lang = labels.groupBy("label", "language").agg(F.count("*").alias("n"), F.min("file_ord").alias("at"))

@@ -12,36 +12,56 @@ IMPORTS, DYNAMIC_IMPORT, INHERITS, DECORATES = "imports", "dynamic_import", "inh
 WEIGHTS = {IMPORTS: 1.0, DYNAMIC_IMPORT: 0.6, INHERITS: 1.5, DECORATES: 0.8}
 
 
-def path_index(files: DataFrame) -> DataFrame:
-    """key, path, key_ord: four module names a file; the last file wins, the first place stays."""
+def path_keys(files: DataFrame) -> DataFrame:
+    """path, file_ord, k, key: four module names a file."""
     bare = F.regexp_replace("path", r"(?<=[^/])\.[^./]+$", "")
     parts = F.filter(F.split(bare, "/"), lambda x: x != "")
     last = lambda n: F.array_join(F.when(F.size(parts) > n, F.slice(parts, -n, n)).otherwise(parts), ".")
     full = F.when(F.startswith("path", F.lit("/")), F.concat(F.lit("/."), F.array_join(parts, "."))).otherwise(F.array_join(parts, "."))
-    keys = files.select("path", "file_ord", F.posexplode(F.array(stem(F.col("path")), last(3), last(2), full)).alias("k", "key"))
-    return keys.groupBy("key").agg(F.max_by("path", F.struct("file_ord", "k")).alias("path"), F.min(F.struct("file_ord", "k")).alias("key_ord"))
+    return files.select("path", "file_ord", F.posexplode(F.array(stem(F.col("path")), last(3), last(2), full)).alias("k", "key"))
+
+
+def path_index(files: DataFrame) -> DataFrame:
+    """key, path, key_ord: module names; the last file wins, the first place stays."""
+    return path_keys(files).groupBy("key").agg(F.max_by("path", F.struct("file_ord", "k")).alias("path"), F.min(F.struct("file_ord", "k")).alias("key_ord"))
 
 
-def _prefixes(df: DataFrame, column: str) -> DataFrame:
-    """Each row with every prefix of a column: what a prefix join needs to become an equi join."""
-    ends = F.sequence(F.lit(1), F.length(column))
-    return df.where(F.length(column) > 0).withColumn("prefix", F.explode(F.transform(ends, lambda n: F.substring(F.col(column), F.lit(1), n))))
+def prefix_pairs(left: DataFrame, column: str, right: DataFrame, prefix: str) -> DataFrame:
+    """Rows of ``left`` joined with those of ``right`` whose text is a prefix of the column's: an equi join
+    on the prefixes that have a length which occurs on the right."""
+    lengths = right.select(F.length(prefix).alias("n")).where("n > 0").distinct().agg(F.collect_set("n").alias("__n"))  # one row of lengths
+    cut = F.transform(F.filter("__n", lambda n: n <= F.length(column)), lambda n: F.substring(F.col(column), F.lit(1), n))
+    return left.join(F.broadcast(lengths), F.lit(True)).withColumn(prefix, F.explode(cut)).drop("__n").join(right, prefix)
 
 
 def resolve_imports(names: DataFrame, index: DataFrame, cap: int = 3) -> DataFrame:
     """name, target, rank (1 to cap) for distinct import names: exact key first, then keys of which
-    one is the other's prefix, in index order, different targets only."""
+    one is the other's prefix, in index order, different targets only.
+
+    The window keeps ``cap`` rows a name on the map side, so a short name that many keys begin
+    with sends few rows to its task.
+    """
     names = names.select("name").where("name is not null and name <> ''").distinct()
-    under = _prefixes(names, "name").join(index.withColumnRenamed("key", "prefix"), "prefix").select("name", F.col("prefix").alias("key"), "path", "key_ord")
-    over = _prefixes(index, "key").join(names.withColumnRenamed("name", "prefix"), "prefix").select(F.col("prefix").alias("name"), "key", "path", "key_ord")
+    under = prefix_pairs(names, "name", index, "key").select("name", "key", "path", "key_ord")
+    over = prefix_pairs(index, "key", names, "name").select("name", "key", "path", "key_ord")
     hits = under.unionByName(over).groupBy("name", "path").agg(F.min(F.struct((F.col("key") != F.col("name")).alias("loose"), "key_ord")).alias("o"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("o")))
     return ranked.where(F.col("rank") <= cap).select("name", F.col("path").alias("target"), "rank")
 
 
-def _import_edges(files: DataFrame, index: DataFrame, column: str, kind: str) -> DataFrame:
+def import_names(files: DataFrame) -> DataFrame:
+    """path, name: what files import, at run time too."""
+    return files.where("error is null").select("path", F.explode(F.array_distinct(F.concat("imports", "dynamic_imports"))).alias("name"))
+
+
+def import_edges(files: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of files' imports by resolved names (``links``: name, target, rank)."""
+    return _import_edges(files, links, "imports", IMPORTS).unionByName(_import_edges(files, links, "dynamic_imports", DYNAMIC_IMPORT))
+
+
+def _import_edges(files: DataFrame, links: DataFrame, column: str, kind: str) -> DataFrame:
     rows = files.where("error is null").select("path", "file_ord", F.posexplode(column).alias("i", "name"))
-    found = rows.join(resolve_imports(rows, index), "name")
+    found = rows.join(links, "name")
     order = F.array(F.lit(0), F.col("file_ord"), F.lit({IMPORTS: 0, DYNAMIC_IMPORT: 1}[kind]), F.col("i"), F.col("rank")).cast("array<bigint>")
     return _edge(found, F.concat("path", F.lit("::__module__")), F.concat("target", F.lit("::__module__")), kind, order)
 
@@ -50,29 +70,35 @@ def _edge(df: DataFrame, source, target, kind: str, order) -> DataFrame:
     return df.select(source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("kind"), F.lit(WEIGHTS[kind]).alias("weight"), order.alias("edge_ord"))
 
 
-def name_index(nodes: DataFrame) -> DataFrame:
-    """name, node_id: short and qualified names; the last node wins."""
+def name_index(nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """name, target_id: short and qualified names (of ``among``, if given); the last node wins."""
     names = nodes.select("node_id", F.struct("file_ord", "sym_ord").alias("o"), F.explode(F.array("name", "qualified_name")).alias("name"))
+    names = names if among is None else names.join(among.select("name").distinct(), "name", "left_semi")
     return names.where("name <> '__module__'").groupBy("name").agg(F.max_by("node_id", F.struct("o", "node_id")).alias("target_id"))
 
 
-def _named_edges(nodes: DataFrame, index: DataFrame, column: str, kind: str, step: int) -> DataFrame:
-    rows = nodes.select("node_id", "file_ord", "sym_ord", F.posexplode(column).alias("i", "ref"))
-    rows = rows.withColumn("name", F.split_part("ref", F.lit("."), F.lit(1)) if kind == DECORATES else F.col("ref"))
-    order = F.array(F.lit(step), F.col("file_ord"), F.col("sym_ord"), F.col("i"), F.lit(0)).cast("array<bigint>")
-    return _edge(rows.join(index, "name"), F.col("node_id"), F.col("target_id"), kind, order)
-
-
-def build_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """source_id, target_id, kind, weight, edge_ord (comparable array, in order of creation)."""
-    paths, names = path_index(files.where("error is null")), name_index(nodes)
-    parts = [
-        _import_edges(files, paths, "imports", IMPORTS),
-        _import_edges(files, paths, "dynamic_imports", DYNAMIC_IMPORT),
-        _named_edges(nodes, names, "bases", INHERITS, 1),
-        _named_edges(nodes, names, "decorators", DECORATES, 2),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def references(nodes: DataFrame) -> DataFrame:
+    """node_id, file_ord, sym_ord, step, i, name: bases (step 1) and decorators (step 2) by the name they are looked up by."""
+    rows = lambda column, step, name: nodes.select("node_id", "file_ord", "sym_ord", F.lit(step).alias("step"), F.posexplode(column).alias("i", "ref")).withColumn("name", name).drop("ref")
+    return rows("bases", 1, F.col("ref")).unionByName(rows("decorators", 2, F.split_part("ref", F.lit("."), F.lit(1))))
+
+
+def named_edges(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """Edges from references to the nodes that bear their names."""
+    found = refs.join(index, "name")
+    parts = []
+    for step, kind in ((1, INHERITS), (2, DECORATES)):
+        order = F.array(F.lit(step), F.col("file_ord"), F.col("sym_ord"), F.col("i"), F.lit(0)).cast("array<bigint>")
+        parts.append(_edge(found.where(F.col("step") == step), F.col("node_id"), F.col("target_id"), kind, order))
+    return parts[0].unionByName(parts[1])
+
+
+def resolved_names(files: DataFrame) -> DataFrame:
+    """name, target, rank of every name that files import."""
+    return resolve_imports(import_names(files), path_index(files.where("error is null")))
+
+
+def build_edges(files: DataFrame, nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """source_id, target_id, kind, weight, edge_ord (comparable array, in order of creation); ``links`` spares resolving the names."""
+    links = resolved_names(files) if links is None else links
+    return import_edges(files, links).unionByName(named_edges(references(nodes), name_index(nodes)))

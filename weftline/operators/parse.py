@@ -37,13 +37,15 @@ def _unique(items) -> list[str]:
 
 
 def _dotted(node: ast.expr, calls: bool = False) -> str:
-    if calls and isinstance(node, ast.Call):
-        node = node.func
+    """A name with its attributes, through calls if ``calls``; what has no name counts as an empty one."""
     names: list[str] = []
-    while isinstance(node, ast.Attribute):
-        names.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else ""
+    while isinstance(node, ast.Attribute) or calls and isinstance(node, ast.Call):
+        if isinstance(node, ast.Call):
+            node = node.func
+        else:
+            names.append(node.attr)
+            node = node.value
+    return ".".join([node.id if isinstance(node, ast.Name) else "", *reversed(names)])
 
 
 def _signature(fn) -> str:
@@ -89,11 +91,10 @@ def python_signatures(source: str) -> str:
     for node in ast.walk(tree):
         doc = (ast.get_docstring(node) or "") if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) else ""
         if isinstance(node, ast.ClassDef):
-            bases = ", ".join(b for b in map(_dotted, node.bases) if b)
-            out.append(f"class {node.name}({bases}):" if bases else f"class {node.name}:")
+            out.append(f"class {node.name}({', '.join(map(_dotted, node.bases))}):")
             out += [f'    """{doc[:120]}"""'] * bool(doc)
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            out.append(f"    {_signature(node)}: ...")
+            out.append(f"    {_signature(node)}")
             out += [f'        """{doc[:80]}"""'] * bool(doc)
     return "\n".join(out)
 

@@ -1,11 +1,12 @@
-"""Symbol search: substring, inverted index, TF-IDF."""
+"""Symbol search: substring, across repositories, TF-IDF, named edge patterns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import query_tokens, symbol_tokens
+from ..functions.text import symbol_tokens
+from .fulltext import find_nodes
 
 
 def search_symbols(nodes: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
@@ -15,38 +16,16 @@ def search_symbols(nodes: DataFrame, needle: str, limit: int | None = None) -> D
     return hits.orderBy("node_id").limit(limit) if limit else hits
 
 
-def inverted_index(nodes: DataFrame) -> DataFrame:
-    """token, node_id over names, signatures and paths."""
-    text = F.concat_ws(" ", "node_id", "name", "qualified_name", "signature", "file_path")
-    return nodes.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
-
-
-def full_text(index: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, node_id of nodes that hold every token of a query (query_id, query)."""
-    tokens = queries.select("query_id", query_tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    hits = index.join(tokens, "token").groupBy("query_id", "node_id").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k = n")
-    return hits.select("query_id", "node_id")
-
-
-def search_index(nodes: DataFrame, query: str, kind: str | None = None, limit: int | None = 20) -> DataFrame:
-    """Nodes that hold every token of a query, else those whose name or path holds the query; then of one kind."""
-    asked = nodes.sparkSession.createDataFrame([(1, query)], "query_id int, query string")
-    hits = nodes.join(full_text(inverted_index(nodes), nodes, asked).select("node_id"), "node_id", "left_semi")
-    hits = hits if hits.limit(1).count() else search_symbols(nodes, query)
-    hits = hits.where(F.col("kind") == kind.lower()) if kind else hits
-    return hits.orderBy("node_id").limit(limit) if limit else hits
-
-
-def cross_repo(nodes: DataFrame, repos: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """repo, root, name, qualified_name, kind, file, line: hits below the roots of ``repos`` (root, name), ``limit`` for each."""
+def cross_repo(index: DataFrame, nodes: DataFrame, repos: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+    """repo, root, name, qualified_name, kind, file, line by name: hits below the roots of ``repos`` (root, name), ``limit`` for each."""
     from pyspark.sql.window import Window
 
-    hits = search_index(nodes, query, kind, None).withColumn("parts", F.split("file_path", "/"))
+    hits = find_nodes(index, nodes, query, kind, None).withColumn("parts", F.split("file_path", "/"))
     # Every folder above a hit is a key, so roots of any depth are found by an equi join.
     above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"))
     rows = hits.withColumn("root", F.explode(above)).join(repos.select("root", F.col("name").alias("repo")), "root")
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy("node_id"))).where(F.col("r") <= limit)
-    return rows.select("repo", "root", "name", "qualified_name", "kind", F.col("file_path").alias("file"), F.col("line_start").alias("line"))
+    return rows.select("repo", "root", "name", "qualified_name", "kind", F.col("file_path").alias("file"), F.col("line_start").alias("line")).orderBy("name", "root", "file")
 
 
 def tfidf(nodes: DataFrame) -> DataFrame:

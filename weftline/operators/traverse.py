@@ -107,5 +107,45 @@ def propagate_labels(links: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
+def sweep_labels(links: DataFrame, order: DataFrame, rounds: int = 10) -> DataFrame:
+    """node, label after label propagation in file order, as one node after the other would do it.
+
+    ``order`` (node, pos) has every node's place; a label is a place. In a round each node takes
+    the most frequent label among its neighbours (a link to itself counts), ties going to the label
+    of the neighbour that comes first. Neighbours before it have moved already, those after it have
+    not, which makes the round's result the only solution of
+
+        new(i) = most frequent of new(j) for j < i and old(j) for j >= i.
+
+    It is found by repetition: starting from the old labels, nodes behind a neighbour whose label has
+    just changed are computed again, until none is. A wave of changes passes over all nodes at
+    once, so a round takes as many joins as its longest ascending chain of changes, not nodes.
+    Nodes without links keep their own label and are left out.
+    """
+    at = order.select("node", F.col("pos").cast("long").alias("pos"))
+    ends = links.select("a", "b").distinct().join(at.select(F.col("node").alias("a"), F.col("pos").alias("i")), "a").join(at.select(F.col("node").alias("b"), F.col("pos").alias("j")), "b").select("i", "j")
+    near = staged(ends.unionByName(ends.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "near")
+    labels = staged(near.select("i").distinct().withColumn("label", F.col("i")), "labels")
+    for _ in range(rounds):
+        old, new, active = labels, labels, None
+        while True:
+            now = old.withColumnRenamed("label", "before").join(new.withColumnRenamed("label", "after"), "i").select(F.col("i").alias("j"), "before", "after")
+            rows = near if active is None else near.join(active, "i", "left_semi")
+            votes = rows.join(now, "j").select("i", "j", F.when(F.col("j") < F.col("i"), F.col("after")).otherwise(F.col("before")).alias("label"))
+            votes = votes.groupBy("i", "label").agg(F.count("*").alias("n"), F.min("j").alias("first"))
+            best = votes.groupBy("i").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("best"))
+            moved = staged(new.join(best, "i").where("best <> label").select("i", F.col("best").alias("label")), "moved")
+            if not moved.limit(1).count():
+                break
+            new = staged(new.join(moved, "i", "left_anti").unionByName(moved), "labels")
+            active = staged(near.where("j < i").join(moved.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct(), "active")
+            if not active.limit(1).count():
+                break
+        if new is old:
+            break
+        labels = new
+    return labels.join(at.withColumnRenamed("pos", "i"), "i").select("node", "label")
+
+
 def running_rank(df: DataFrame, by: str, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from ..config import SIGNATURES, ContextConfig
 from ..errors import ValidationError, WeftlineError
 from ..functions.text import excluded, token_estimate
-from ..operators import analyse, search
-from ..operators.edges import build_edges
+from ..operators import analyse, fulltext, search
+from ..operators.delta import Delta, change
+from ..operators.edges import build_edges, resolved_names
 from ..operators.parse import index_stats, nodes_of, parsed
 from ..operators.rank import keyword_scores, rank_files
 from ..operators.select import review_snippets, select_files
@@ -27,14 +28,25 @@ def first_of_each(rows: DataFrame, limit: int) -> DataFrame:
 
 
 class Engine:
-    """A corpus (path, source, file_ord) as files, nodes and edges, each written once."""
+    """A corpus (path, source, file_ord) as files, nodes, resolved import names (links) and edges, each written once."""
 
     def __init__(self, corpus: DataFrame, config: ContextConfig | None = None, compress: Callable[[Column, float], Column] | None = None):
         self.config, self.compress = config or ContextConfig(), compress
-        self.corpus = corpus.where(~excluded(F.col("path"), self.config.exclude_patterns)) if self.config.exclude_patterns else corpus
+        self.corpus = self._shown(corpus)
         self.files = staged(parsed(self.corpus), "files")
         self.nodes = staged(nodes_of(self.files), "nodes")
-        self.edges = staged(build_edges(self.files, self.nodes), "edges")
+        self.links = staged(resolved_names(self.files), "links")
+        self.edges = staged(build_edges(self.files, self.nodes, self.links), "edges")
+        self._index: DataFrame | None = None
+        self.delta: Delta | None = None
+
+    @classmethod
+    def of_tables(cls, corpus: DataFrame, files: DataFrame, nodes: DataFrame, links: DataFrame, edges: DataFrame, config: ContextConfig | None = None, compress: Callable[[Column, float], Column] | None = None) -> Engine:
+        """An engine over tables that are there already, as in a store; nothing is parsed."""
+        self = object.__new__(cls)
+        self.corpus, self.config, self.compress = corpus, config or ContextConfig(), compress
+        self.files, self.nodes, self.links, self.edges, self._index, self.delta = files, nodes, links, edges, None, None
+        return self
 
     def stats(self) -> DataFrame:
         edges = self.edges.agg(F.count("*").alias("edges_created"))
@@ -103,23 +115,45 @@ class Engine:
         if risk:
             out["risk_index"] = self.risk()
         if fts:
-            out["search_index"] = search.inverted_index(self.nodes)
+            out["search_index"] = fulltext.by_token(fulltext.postings(self.nodes))
         if store is not None:
             for name in out:
                 out[name] = store.write(name, out[name])
+        if fts:
+            self._index = out["search_index"]
         return out
 
+    def search_index(self) -> DataFrame:
+        """The postings of all symbols: those of the last ``postprocess``, else written once."""
+        if self._index is None:
+            self._index = staged(fulltext.by_token(fulltext.postings(self.nodes)), "postings")
+        return self._index
+
     def save(self, store) -> None:
-        store.upsert("files", self.files.drop("symbols"))
-        store.upsert("nodes", self.nodes)
-        store.upsert("edges", self.edges, "edge_ord")
+        """Replaces the store's tables by this graph."""
+        for name, rows in (("files", self.files), ("nodes", self.nodes), ("links", self.links), ("edges", self.edges)):
+            store.write(name, rows)
+
+    @classmethod
+    def load(cls, store, corpus: DataFrame, config: ContextConfig | None = None) -> Engine:
+        """The engine of a stored graph; ``corpus`` has the sources, which a store does not keep."""
+        return cls.of_tables(corpus, *(store.read(n) for n in ("files", "nodes", "links", "edges")), config)
+
+    def _shown(self, corpus: DataFrame) -> DataFrame:
+        return corpus.where(~excluded(F.col("path"), self.config.exclude_patterns)) if self.config.exclude_patterns else corpus
 
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> Engine:
-        """A new engine with changed files in place of old ones; edges are a function of all files."""
-        old = self.corpus.join(changed.select("path"), "path", "left_anti")
-        if removed is not None:
-            old = old.join(removed.select("path"), "path", "left_anti")
-        return Engine(old.unionByName(changed.select(*old.columns)), self.config, self.compress)
+        """A new engine with changed files in place of old ones and without removed ones. Only changed files are
+        parsed, and only edges that depend on them are made anew (``operators/delta.py``)."""
+        rows = self._shown(changed)
+        fresh = staged(parsed(rows), "fresh")
+        delta = change(self.files, self.nodes, self.links, fresh, removed)
+        names = ("files", "nodes", "links", "edges")
+        files, nodes, links, edges = (staged(t, n) for n, t in zip(names, delta.merged(self.files, self.nodes, self.links, self.edges), strict=True))
+        corpus = self.corpus.join(delta.paths, "path", "left_anti").unionByName(rows.select(*self.corpus.columns))
+        out = Engine.of_tables(corpus, files, nodes, links, edges, self.config, self.compress)
+        out.delta = delta
+        return out
 
     def detect_changes(self, requests: DataFrame, max_depth: int = 4, include_source: bool = False, limit: int = 50) -> DataFrame:
         """Affected files of each request, the best ``limit``, with their risk and the largest of its changed files."""
@@ -170,9 +204,9 @@ class Engine:
             "graph_status": self.stats,
             "list_graph_stats": self.index_summary,
             "search_symbols": lambda needle, limit=20: search.search_symbols(n, needle, limit),
-            "semantic_search_nodes": lambda query, kind=None, limit=20: search.search_index(n, query, kind, limit),
+            "semantic_search_nodes": lambda query, kind=None, limit=20: fulltext.find_nodes(self.search_index(), n, query, kind, limit),
             "similar_nodes": lambda query, limit=20: search.semantic_search(search.tfidf(n), query, limit),
-            "cross_repo_search": lambda repos, query, kind=None, limit=20: search.cross_repo(n, repos, query, kind, limit),
+            "cross_repo_search": lambda repos, query, kind=None, limit=20: search.cross_repo(self.search_index(), n, repos, query, kind, limit),
             "list_repos": lambda store: store.repos(),
             "list_files": lambda limit=100: f.select("path", "language", "token_estimate").orderBy(F.desc("token_estimate"), "path").limit(limit),
             "get_file_context": lambda path: self.corpus.where(F.endswith("path", F.lit(path)) | F.endswith(F.lit(path), F.col("path"))).orderBy("file_ord").limit(1),
@@ -239,3 +273,19 @@ def incremental(corpus: DataFrame, known: DataFrame) -> DataFrame:
 
 def token_total(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.sum(token_estimate(F.col("source"))).alias("tokens"))
+
+
+def update_store(store, changed: DataFrame, removed: DataFrame | None = None, config: ContextConfig | None = None) -> Delta:
+    """The same on a stored graph: buckets of the tables that hold a changed row are rewritten, no others.
+
+    Edges come first and files last, so an update that broke off can be run again: until files
+    and nodes are replaced, the same delta follows from them.
+    """
+    old = Engine.load(store, changed, config)
+    fresh = staged(parsed(old._shown(changed)), "fresh")
+    delta = change(old.files, old.nodes, old.links, fresh, removed)
+    store.merge("edges", delta.sources, ["source_id", "step"], delta.edges)
+    store.merge("links", delta.names, ["name"], delta.links)
+    store.merge("nodes", delta.paths.withColumnRenamed("path", "file_path"), ["file_path"], delta.nodes)
+    store.merge("files", delta.paths, ["path"], delta.files)
+    return delta

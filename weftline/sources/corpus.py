@@ -25,6 +25,12 @@ SELECT k AS file_ord, 'src/b' || CAST(k % 25 AS STRING) || '/p' || CAST(k % 7 AS
 FROM (SELECT p_partkey AS k, (p_partkey * 7 + 1) % n + 1 AS a, (p_partkey * 3 + 2) % n + 1 AS b, CAST(floor(p_partkey / 2) AS BIGINT) AS c, (p_partkey * 11) % n + 1 AS d
   FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {part}) AS t)
 """
+#: Customers as sources in groups of twelve, Python and TypeScript, each importing the one before it or the group's first.
+GROUP_FILES = """
+SELECT k AS file_ord, 'team' || CAST(g % 25 AS STRING) || '/unit' || CAST(g AS STRING) || CASE WHEN g % 3 = 0 THEN '/sub' || CAST(k % 2 AS STRING) ELSE '' END || '/cust_' || lpad(CAST(k AS STRING), 9, '0') || CASE WHEN k % 5 = 0 THEN '.ts' ELSE '.py' END AS path,
+  CASE WHEN k % 12 = 0 THEN '' WHEN k % 5 = 0 THEN 'import x from "cust_' || t || '"' || chr(10) ELSE 'import cust_' || t || chr(10) END AS source, g, CASE WHEN k % 12 > 0 THEN m END AS target
+FROM (SELECT c_custkey AS k, CAST(floor(c_custkey / 12) AS BIGINT) AS g, m, lpad(CAST(m AS STRING), 9, '0') AS t FROM (SELECT c_custkey, CASE WHEN CAST(floor(c_custkey / 12) AS BIGINT) % 2 = 0 THEN c_custkey - 1 ELSE c_custkey - c_custkey % 12 END AS m FROM {customer}) AS x) AS y
+"""
 #: Orders, parts and suppliers as modules; what an order holds and who supplies it as edges.
 GRAPH_NODES = """
 SELECT 'order/' || CAST(o_orderkey AS STRING) || '::__module__' AS node_id, 'order/' || CAST(o_orderkey AS STRING) AS file_path, o_orderkey AS node_ord FROM {orders}

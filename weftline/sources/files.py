@@ -27,7 +27,7 @@ def load_sources(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=
 
 
 def with_order(files: DataFrame) -> DataFrame:
-    """Adds file_ord in order of path: a range sort, then partition offsets; no single task sees all rows."""
+    """Adds file_ord, increasing in order of path and with gaps: a range sort, whose partitions number their rows apart."""
     ranged = files.sort("path").withColumn("__id", F.monotonically_increasing_id())
     return ranged.withColumnRenamed("__id", "file_ord")
 
@@ -37,6 +37,28 @@ def list_paths(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EX
     return _listed(spark, root, extensions, exclude).select("path")
 
 
+def listing(spark: SparkSession, root: str, extensions=EXTENSIONS, exclude=EXCLUDED, max_bytes: int = 500_000) -> DataFrame:
+    """path, modified, length: contents are pruned from the scan."""
+    files = _listed(spark, root, extensions, exclude).where(F.col("length") <= max_bytes)
+    return files.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+#: Paths that the driver hands to a scan; more are found by a scan of the whole folder.
+_PATHS = 10_000
+
+
+def sources_of(spark: SparkSession, root: str, paths: DataFrame, count: int) -> DataFrame:
+    """path, source of ``count`` files below a root."""
+    if count > _PATHS:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).join(paths, "path", "left_semi")
+    else:
+        named = [r.path for r in paths.collect()]
+        if not named:
+            return spark.createDataFrame([], "path string, source string")
+        files = spark.read.format("binaryFile").load(named)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
+
+
 def load_changed(corpus: DataFrame, paths: DataFrame) -> DataFrame:
     """Rows of the corpus that ``paths`` (path) names; missing ones are left out."""
     return corpus.join(paths.select("path").distinct(), "path", "left_semi")

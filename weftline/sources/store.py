@@ -1,20 +1,39 @@
-"""Parquet tables with versions: every write makes a new version, then a pointer names it.
-
-A table is never overwritten while it is read; a failed write leaves the old version in place.
-The root may be any path Spark can write.
+"""Parquet tables: versions for whole writes, buckets of keys for updates.
+
+Every whole write makes a new version, and the newest complete one is read, so a failed write
+leaves the old one in place. Large tables are also divided into buckets by a hash of the file (or
+name) that their rows belong to: ``merge`` and ``upsert`` rewrite those buckets of the newest
+version that hold a changed row, by dynamic partition overwrite, and leave the files of all other
+buckets alone. A reader that was opened before a merge has to be opened again after it. The root
+may be any path Spark can write.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import file_of
+from ..staging import staged
+
 #: Keys of the tables.
 KEYS = {
-    "nodes": ["node_id"], "edges": ["source_id", "target_id", "kind"], "files": ["path"], "communities": ["community_id"], "community_summaries": ["community_id"],
+    "nodes": ["node_id"], "edges": ["source_id", "target_id", "kind"], "files": ["path"], "links": ["name", "target"], "communities": ["community_id"], "community_summaries": ["community_id"],
     "flows": ["entry"], "risk_index": ["path"], "graph_meta": ["key"], "repos": ["root"],
 }
 
+#: Tables that are divided into buckets.
+DIVIDED = ("files", "nodes", "edges", "links")
+BUCKETS = 64
+
+
+def owner(name: str, columns: list[str]) -> Column:
+    """What the rows of a divided table belong to: a file, or an import name."""
+    if name == "links":
+        return F.col("name")
+    return next(F.col(c) if c.endswith("path") else file_of(F.col(c)) for c in ("path", "node_id", "source_id", "file_path") if c in columns)
+
+
 #: Versions of the store: what each adds, as empty tables or as columns of tables there are.
 MIGRATIONS: list[tuple[int, str, dict[str, str]]] = [
     (1, "files, nodes and edges", {
@@ -30,8 +49,9 @@ MIGRATIONS: list[tuple[int, str, dict[str, str]]] = [
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        """``buckets`` belongs to the store: the same number has to be given whenever it is opened."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -42,19 +62,60 @@ class GraphStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max((int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.root}/{name}/{n}/_SUCCESS"))), default=0)
 
+    def _newest(self, name: str) -> str:
+        return f"{self.root}/{name}/v{self._version(name)}"
+
     def exists(self, name: str) -> bool:
         return self._version(name) > 0
 
+    def _read(self, name: str) -> DataFrame:
+        if name not in DIVIDED:
+            return self.spark.read.parquet(self._newest(name))
+        path = self._newest(name)
+        if not any(s.getPath().getName().startswith("__bucket=") for s in self._fs.listStatus(self._path(path))):  # empty: only its schema is there
+            return self.spark.read.parquet(f"{path}/_schema").withColumn("__bucket", F.lit(0))
+        return self.spark.read.option("mergeSchema", True).parquet(path)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self._version(name)}")
+        return self._read(name).drop("__bucket")
+
+    def _divided(self, name: str, df: DataFrame) -> DataFrame:
+        return df.withColumn("__bucket", F.pmod(F.xxhash64(owner(name, df.columns)), F.lit(self.buckets)).cast("int"))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """A new version; the one before the last is removed."""
         v = self._version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
+        path = f"{self.root}/{name}/v{v}"
+        if name in DIVIDED:
+            df.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
+            self._divided(name, df).repartition("__bucket").write.mode("append").partitionBy("__bucket").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         self._fs.delete(self._path(f"{self.root}/{name}/v{v - 2}"), True)
         return self.read(name)
 
+    def merge(self, name: str, gone: DataFrame, keys: list[str], new: DataFrame) -> None:
+        """Rows whose ``keys`` are among ``gone`` go, ``new`` ones come; only buckets with such rows are rewritten.
+
+        ``gone`` needs the column that a row's bucket follows from. A key ``step`` of edges is
+        computed and not kept.
+        """
+        if not self.exists(name):
+            self.write(name, new.drop("step"))
+            return
+        gone, new = staged(gone.select(*keys).distinct(), "gone"), staged(self._divided(name, new), "new")
+        hit = [r[0] for r in self._divided(name, gone).select("__bucket").unionByName(new.select("__bucket")).distinct().collect()]  # bucket numbers
+        if not hit:
+            return
+        old = self._read(name).where(F.col("__bucket").isin(hit))
+        if "step" in keys:
+            old = old.withColumn("step", F.when(F.col("kind").isin("imports", "dynamic_import"), 0).otherwise(1))
+        rows = staged(old.join(gone, keys, "left_anti").unionByName(new, allowMissingColumns=True).drop("step"), "merged")
+        path = self._newest(name)
+        rows.repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(path)
+        for b in set(hit) - {r[0] for r in rows.select("__bucket").distinct().collect()}:  # nothing is left there
+            self._fs.delete(self._path(f"{path}/__bucket={b}"), True)
+
     def upsert(self, name: str, df: DataFrame, order: str | None = None) -> DataFrame:
         """Merge by key: new rows replace old ones; of repeated keys the row with the largest ``order`` stays."""
         keys = KEYS[name]
@@ -65,6 +126,9 @@ class GraphStore:
             df = df.dropDuplicates(keys)
         if not self.exists(name):
             return self.write(name, df)
+        if name in DIVIDED:
+            self.merge(name, df, keys, df)
+            return self.read(name)
         return self.write(name, df.unionByName(self.read(name).join(df.select(*keys), keys, "left_anti"), allowMissingColumns=True))
 
     def migrations(self) -> DataFrame:

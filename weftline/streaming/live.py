@@ -5,32 +5,60 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import ContextConfig
 from ..operators.control import BREAKER_START, breaker_step
-from ..operators.edges import build_edges
-from ..operators.parse import nodes_of, parsed
+from ..plans.engine import Engine, update_store
+from ..sources.files import EXCLUDED, EXTENSIONS, listing, snapshot_diff, sources_of
 from ..sources.store import GraphStore
-from ..staging import staged
+from ..staging import numbered, staged
 
 
-def watch(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, glob: str = "*"):
-    """Index files as they arrive: each micro-batch replaces its files and their nodes, then the edges. Returns the query."""
-    source = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    rows = source.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"), F.col("_metadata.file_modification_time").cast("long").alias("file_ord"))
+def _known(store: GraphStore) -> DataFrame:
+    return store.read("listing") if store.exists("listing") else store.spark.createDataFrame([], "path string, modified timestamp, length long")
 
-    def index(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("path").agg(F.max_by(F.struct("source", "file_ord"), "file_ord").alias("r")).select("path", "r.*")
-        files = staged(parsed(latest), "watched")
-        fresh = nodes_of(files)
-        kept = store.read("nodes").join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti") if store.exists("nodes") else None
-        store.upsert("files", files)
-        nodes = store.write("nodes", fresh if kept is None else kept.unionByName(fresh))
-        store.write("edges", build_edges(store.read("files"), nodes))  # an edge depends on all files
 
-    return rows.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def refresh(store: GraphStore, folder: str, extensions=EXTENSIONS, exclude=EXCLUDED, config: ContextConfig | None = None) -> tuple[int, int]:
+    """Brings a stored graph up to date with a folder; how many files were read, and how many had gone.
+
+    The folder's listing (no contents) is compared with that of the last time, so changes and
+    deletions show. Only files that are new or have another time or length are read and parsed,
+    and only buckets with rows that follow from them are rewritten. The new listing is stored
+    last: an update that broke off is found again.
+    """
+    spark = store.spark
+    now = staged(listing(spark, folder, extensions, exclude), "listing")
+    moved = staged(snapshot_diff(_known(store).withColumn("stamp", F.struct("modified", "length")), now.withColumn("stamp", F.struct("modified", "length")), "stamp"), "moved")
+    counts = {r["change"]: r["count"] for r in moved.groupBy("change").count().collect()}
+    if not counts:
+        return 0, 0
+    read = moved.where("change <> 'removed'").select("path")
+    sources = staged(sources_of(spark, folder, read, counts.get("added", 0) + counts.get("changed", 0)), "sources")
+    if store.exists("files"):
+        # A file that stays keeps its place; new ones follow in the order of their paths.
+        places = store.read("files").select("path", "file_ord")
+        last = places.agg((F.coalesce(F.max("file_ord"), F.lit(-1)) + 1).alias("next"))
+        new = numbered(sources.join(places, "path", "left_anti"), "n", "path").join(F.broadcast(last), F.lit(True))  # last: one row
+        rows = new.select("path", "source", (F.col("n") + F.col("next")).alias("file_ord")).unionByName(sources.join(places, "path").select("path", "source", "file_ord"))
+        update_store(store, rows, moved.where("change = 'removed'").select("path"), config)
+    else:
+        Engine(numbered(sources, "file_ord", "path").select("path", "source", "file_ord"), config).save(store)
+    store.write("listing", now)
+    return counts.get("added", 0) + counts.get("changed", 0), counts.get("removed", 0)
+
+
+def watch(store: GraphStore, folder: str, checkpoint: str, every: str = "2 seconds", extensions=EXTENSIONS, exclude=EXCLUDED, config: ContextConfig | None = None):
+    """A stream that refreshes a stored graph ``every`` so often, until it is stopped. Returns the query.
+
+    The stream's rows are the ticks of a clock; a tick that is run again after a failure finds
+    what the first try left to do.
+    """
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    step = lambda _batch, _number: refresh(store, folder, extensions, exclude, config)
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def rate_limited(events: DataFrame, rate: float = 5.0, capacity: float = 5.0, late: str = "10 minutes") -> DataFrame:
