@@ -66,14 +66,23 @@ class Groups:
 
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteLevel(a, plain=True), Pieces(b)
-        self.forget()
-
-    def forget(self) -> None:
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.number: dict[str, int] = {}
         self.names: list[str] = []
         self.sides: list[tuple[list[int], list[int]]] = []
 
+    def turn(self) -> None:
+        """Once the newer units are many they become the older ones, and groups of none of them are forgotten."""
+        if len(self.cache) <= CACHE_UNITS and len(self.names) <= 2 * CACHE_UNITS:
+            return
+        kept = {k: v for k, v in self.cache.items() if v is not None}
+        used, new = np.unique(np.frombuffer(b"".join(kept.values()), np.int32), return_inverse=True)
+        raw, ends = new.astype(np.int32).tobytes(), np.cumsum([0, *map(len, kept.values())]).tolist()
+        self.older = {k: raw[i:j] for k, i, j in zip(kept, ends[:-1], ends[1:], strict=True)}
+        self.cache, self.names, self.sides = {}, [self.names[g] for g in used.tolist()], [self.sides[g] for g in used.tolist()]
+        self.number = {n: k for k, n in enumerate(self.names)}
+
     def _cut(self, a: list[int], b: list[int], data: bytes) -> np.ndarray | None:
         """Group numbers of ids; None where the ids do not give the bytes back."""
         raw_a, raw_b = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
@@ -119,7 +128,9 @@ class Groups:
         by_units = self.a.by_units and self.b.by_units
         split = [self.a.units(t) if t and by_units else None for t in texts]
         new = set(filterfalse(self.cache.__contains__, chain.from_iterable(s for s in split if s)))
-        self._learn(list(new))
+        back = new & self.older.keys()
+        self.cache.update((k, self.older[k]) for k in back)
+        self._learn(list(new - back))
         out, get = [], self.cache.__getitem__
         for t, s in zip(texts, split, strict=True):
             if not t:
@@ -179,8 +190,7 @@ def _count_pairs(model: Groups, docs: np.ndarray, held: np.ndarray) -> Iterator[
 
 
 def _block(model: Groups, block: int, names: list[int | None], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-    if len(model.cache) > CACHE_UNITS or len(model.names) > CACHE_UNITS:
-        model.forget()
+    model.turn()
     groups = model.many(texts)
     sizes = np.array([len(g) for g in groups], np.int64)
     everything, doc = np.concatenate(groups).astype(np.int64), np.repeat(np.arange(len(groups)), sizes)
