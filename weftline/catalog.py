@@ -14,7 +14,7 @@ from .operators.edges import path_index
 from .operators.select import greedy, render
 from .operators.traverse import propagate_labels, ranked_neighbors, sweep_labels
 from .plans.engine import Engine, incremental, index_roots
-from .plans.evolve import SchemaEvolution
+from .plans.evolve import AnalysisPipeline, SchemaEvolution
 from .sources import corpus as cv
 from .sources.files import manifest, read_manifest, snapshot_diff, write_manifest
 
@@ -532,6 +532,69 @@ def _(spark, sf):
     return analyse.compact(engine(spark, sf).query("get_flow", flow_id=1), "minimal")
 
 
+#: Nodes of the first flow in order of depth, and its first ten nodes' files.
+_ONE = f"one AS MATERIALIZED (SELECT * FROM flow ORDER BY criticality DESC, entry LIMIT 1), reached AS MATERIALIZED (SELECT node, lvl FROM ({' UNION ALL '.join(f'SELECT entry, node, {i} AS lvl FROM f{i}' for i in range(16))}) JOIN one USING (entry))"
+
+
+@_register("get_flow_nodes", f"""WITH {flows_sql()}, {_ONE}, ten AS (SELECT split_part(node, '::', 1) AS path, min((lvl, node)) AS o FROM (SELECT * FROM reached ORDER BY lvl, node LIMIT 10) GROUP BY 1)
+SELECT 1::BIGINT AS flow_id, entry AS entry_point, (SELECT string_agg(node, '|' ORDER BY lvl, node) FROM (SELECT * FROM reached ORDER BY lvl, node LIMIT 50)) AS nodes,
+  (SELECT string_agg(path || ':' || sha256(left(source, 300)), '|' ORDER BY o) FROM ten JOIN ({C3}) USING (path)) AS snippets FROM one""")
+def _(spark, sf):
+    out = engine(spark, sf).query("get_flow", flow_id=1, include_source=True)
+    snippets = F.transform("source_snippets", lambda x: F.concat(x["file"], F.lit(":"), F.sha2(x["source"], 256)))
+    return out.select("flow_id", "entry_point", F.array_join("nodes", "|").alias("nodes"), F.array_join(snippets, "|").alias("snippets"))
+
+
+@_register("flow_history", f"""WITH {flows_sql()}, h AS (SELECT *, row_number() OVER (ORDER BY a, criticality DESC, entry) AS id FROM flow JOIN (VALUES (0), (1), (2)) AS t(a) ON a = 0 OR a = 1 AND node_count % 2 = 0 OR a = 2 AND file_count % 2 = 1)
+SELECT id, entry, flow_name, node_count, file_count, criticality FROM (SELECT * FROM h ORDER BY id DESC LIMIT 200) ORDER BY criticality DESC, id DESC LIMIT 100""")
+def _(spark, sf):
+    from .sources.store import GraphStore
+    from .staging import shared_dir, staged
+
+    e = engine(spark, sf)
+    found = staged(analyse.flows(e.nodes, e.edges), "flows")
+    store = GraphStore(spark, f"{shared_dir(spark)}/weftline/history-{uuid.uuid4().hex}")
+    for part in ("true", "node_count % 2 = 0", "file_count % 2 = 1"):
+        store.save_flows(found.where(part))
+    return store.list_flows("criticality", 100).select("id", "entry", "flow_name", "node_count", "file_count", "criticality")
+
+
+@_register("architecture_overview", f"""WITH c AS MATERIALIZED ({_COMMUNITIES}) SELECT 'total' AS section, 1 AS position, 'nodes' AS name, count(*)::DOUBLE AS value FROM ({_SYMBOLS}) UNION ALL SELECT 'total', 2, 'edges', count(*) FROM ({_EDGES_SQL})
+UNION ALL SELECT 'total', 3, 'files', count(*) FROM part UNION ALL SELECT 'total', 4, 'communities', count(*) FROM c UNION ALL SELECT 'total', 5, 'schema_version', 0 UNION ALL SELECT 'community', community_id + 1, label, node_count FROM c WHERE community_id < 20
+UNION ALL SELECT 'high_risk_file', row_number() OVER (ORDER BY risk_score DESC, path), path, risk_score FROM (SELECT path, risk_score FROM ({ORACLES['risk_index']}) WHERE risk_score >= 0.5 ORDER BY risk_score DESC, path LIMIT 10)""")
+def _(spark, sf):
+    return engine(spark, sf).query("get_architecture_overview")
+
+
+@_register("wiki_of_groups", f"""{_GROUPS}, p AS (SELECT key, string_agg('- `' || path || '`', chr(10) ORDER BY path) AS listed FROM m GROUP BY key)
+SELECT regexp_replace(label, '[^A-Za-z0-9_-]', '_', 'g') AS page_name, '# ' || label || chr(10) || chr(10) || '- id: ' || community_id || chr(10) || '- files: ' || node_count || chr(10) || '- language: ' || dominant_language || chr(10) || chr(10) || '## Members' || chr(10) || listed
+  || chr(10) || chr(10) || '## Key symbols' || chr(10) || chr(10) || chr(10) || '## High risk' || chr(10) || chr(10) AS content FROM g JOIN p ON list_contains(string_split(g.members, '|'), split_part(p.listed, '`', 2))""")
+def _(spark, sf):
+    e = grouped_engine(spark, sf)
+    labels = analyse.file_labels(e.files, e.edges, in_order=True)
+    return analyse.wiki_pages(analyse.communities(e.files, e.edges, labels=labels), e.risk(), e.nodes, labels)
+
+
+@_register("custom_parser_sql", f"SELECT path, left(line, 40) AS name, i::INT AS line_start FROM (SELECT path, unnest(string_split(source, chr(10))) AS line, unnest(range(1, len(string_split(source, chr(10))) + 1)) AS i FROM ({C1}) WHERE path LIKE '%.md') WHERE length(line) >= 20")
+def _(spark, sf):
+    """Long lines of notes as symbols, by a parser that SQL calls."""
+
+    def notes(path: str, source: str) -> dict:
+        return {"symbols": [{"kind": "note", "name": x[:40], "qualified_name": x[:40], "line_start": i, "line_end": i, "signature": x} for i, x in enumerate(source.split("\n"), 1) if len(x) >= 20]}
+
+    parse.register_table_function(spark, "weftline_notes", notes)
+    return spark.sql("SELECT f.path, s.name, s.line_start FROM {files} f, LATERAL weftline_notes(f.path, f.source) s WHERE f.path LIKE '%.md'", files=_docs(spark, sf))
+
+
+@_register("pipeline_audit", """SELECT step, attempt, rows_in::BIGINT AS rows_in, rows_out::BIGINT AS rows_out, failed::BIGINT AS failed FROM (SELECT 'languages' AS step, 0 AS attempt, count(*) AS rows_in, count(*) AS rows_out, 0::BIGINT AS failed FROM documents UNION ALL SELECT 'python', 0, count(*), count_if(doc_id % 8 = 0), 0 FROM documents
+UNION ALL SELECT 'checked', 0, count_if(doc_id % 8 = 0), count_if(doc_id % 8 = 0), count_if(doc_id % 16 = 0) FROM documents)""")
+def _(spark, sf):
+    pipe = AnalysisPipeline().add_step("languages", lambda d: d.select("path", "file_ord", tx.detect_language(F.col("path")).alias("language"))).add_step("python", lambda d: d.where("language = 'python'"))
+    pipe.add_step("checked", lambda d: d.withColumn("error", F.when(F.col("file_ord") % 16 == 0, "refused")))
+    pipe.run(_docs(spark, sf))
+    return spark.createDataFrame([(a[0], a[1], *a[4:]) for a in pipe.audit], "step string, attempt int, rows_in long, rows_out long, failed long")
+
+
 @_register("affected_flows", f"WITH {flows_sql()} SELECT * FROM flow WHERE entry IN (SELECT entry FROM v15 JOIN {_BASE} ON split_part(node, '::', 1) = path WHERE k = 3)")
 def _(spark, sf):
     changed = _code(spark, sf).where("file_ord = 3").select("path")

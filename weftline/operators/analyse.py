@@ -80,14 +80,32 @@ def numbered_flows(flow_table: DataFrame) -> DataFrame:
     return numbered(flow_table, "__n", F.desc("criticality"), "entry").withColumn("flow_id", F.col("__n") + 1).drop("__n")
 
 
-def get_flow(flow_table: DataFrame, nodes: DataFrame, edges: DataFrame, flow_id: int | None = None, flow_name: str = "", most: int = 50) -> DataFrame:
-    """At most one row: a flow by its number, or the first whose name holds a text, with its first nodes by depth and id."""
+def get_flow(flow_table: DataFrame, nodes: DataFrame, edges: DataFrame, flow_id: int | None = None, flow_name: str = "", most: int = 50, corpus: DataFrame | None = None) -> DataFrame:
+    """At most one row: a flow by its number, or the first whose name holds a text, with its first nodes by depth and id;
+    with ``corpus`` also source_snippets (file, source), the beginnings of the files of its first ten nodes."""
     rows = numbered_flows(flow_table)
     rows = rows.where(F.col("flow_id") == flow_id) if flow_id is not None else rows.where(F.contains(F.lower("flow_name"), F.lit(flow_name.lower()))).orderBy("flow_id").limit(1)
     rows = staged(rows, "flow")
-    first = flow_nodes(nodes, edges, rows).orderBy("depth", "node_id").limit(most)
+    first = staged(flow_nodes(nodes, edges, rows).orderBy("depth", "node_id").limit(most), "flow-nodes")
     listed = first.groupBy("entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
-    return rows.join(listed, "entry").select("flow_id", "flow_name", F.col("entry").alias("entry_point"), "node_count", "criticality", "nodes")
+    out = rows.join(listed, "entry").select("flow_id", "flow_name", F.col("entry").alias("entry_point"), "node_count", "criticality", "nodes")
+    if corpus is None:
+        return out
+    ten = first.orderBy("depth", "node_id").limit(10).groupBy(file_of(F.col("node_id")).alias("path")).agg(F.min(F.struct("depth", "node_id")).alias("at"))
+    texts = corpus.join(F.broadcast(ten), "path").select("at", F.struct(F.col("path").alias("file"), F.substring("source", 1, 300).alias("source")).alias("snippet"))  # ten: ten rows
+    gathered = texts.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "snippet"))), lambda x: x["snippet"]).alias("source_snippets"))
+    return out.join(F.broadcast(gathered), F.lit(True))  # one row
+
+
+def overview(files: DataFrame, nodes: DataFrame, edges: DataFrame, risks: DataFrame, community: DataFrame, schema_version: int = 0) -> DataFrame:
+    """section, position, name, value: totals, the 20 largest communities by number, and the ten riskiest files from 0.5 on."""
+    count = lambda df, k, name: df.agg(F.lit("total").alias("section"), F.lit(k).alias("position"), F.lit(name).alias("name"), F.count("*").cast("double").alias("value"))
+    out = count(nodes, 1, "nodes").unionByName(count(edges, 2, "edges")).unionByName(count(files, 3, "files")).unionByName(count(community, 4, "communities"))
+    out = out.unionByName(files.sparkSession.createDataFrame([("total", 5, "schema_version", float(schema_version))], "section string, position int, name string, value double"))
+    large = community.orderBy("community_id").limit(20).select(F.lit("community").alias("section"), (F.col("community_id") + 1).cast("int").alias("position"), F.col("label").alias("name"), F.col("node_count").cast("double").alias("value"))
+    top = risks.where("risk_score >= 0.5").orderBy(F.desc("risk_score"), "path").limit(10)
+    place = F.row_number().over(Window.orderBy(F.desc("risk_score"), "path"))  # ten rows
+    return out.unionByName(large).unionByName(top.select(F.lit("high_risk_file").alias("section"), place.alias("position"), F.col("path").alias("name"), F.col("risk_score").alias("value")))
 
 
 def get_community(community: DataFrame, community_id: int | None = None, name: str = "", include_members: bool = False) -> DataFrame:
@@ -97,8 +115,9 @@ def get_community(community: DataFrame, community_id: int | None = None, name: s
 
 
 def wiki_page(pages: DataFrame, name: str) -> DataFrame:
-    """page_name, content of one page, by the community's name."""
-    return pages.where(F.col("page_name") == F.regexp_replace(F.lit(name), "[^A-Za-z0-9_-]", "_"))
+    """page_name, content of one page: the first by name whose name holds a text, whatever its case."""
+    part = F.regexp_replace(F.lit(name.lower()), "[^a-z0-9_-]", "_")
+    return pages.where(F.contains(F.lower("page_name"), part)).orderBy("page_name").limit(1)
 
 
 def suggestions(dead: DataFrame) -> DataFrame:
@@ -214,15 +233,19 @@ def wiki_pages(community: DataFrame, risks: DataFrame, nodes: DataFrame, labels:
     high = risks.where("risk_score >= 0.6").select("path", F.lit(True).alias("high"))
     rows = rows.join(high, "path", "left")
     line = F.concat(F.lit("- `"), "path", F.lit("`"), F.when(F.col("high"), " [HIGH RISK]").otherwise(""))
-    body = rows.groupBy("community_id", "label", "node_count", "dominant_language").agg(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))).alias("m"), F.sort_array(F.collect_list(F.when(F.col("high"), F.col("path")))).alias("risky"))
+    # What a page shows is kept before it is gathered: the first files by path, and those of high risk.
+    place = F.row_number().over(Window.partitionBy("community_id").orderBy("path"))
+    shown = rows.withColumn("line", line).withColumn("r", place).where("r <= 50").groupBy("community_id").agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("m"))
+    risky = rows.where("high").groupBy("community_id").agg(F.sort_array(F.collect_list("path")).alias("risky"))
+    body = community.select("community_id", "label", "node_count", "dominant_language").join(shown, "community_id").join(risky, "community_id", "left")
     keys = rows.join(nodes.where("kind <> 'module'").select(F.col("file_path").alias("path"), "name"), "path").select("community_id", "name").distinct()
     keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy("name"))).where("r <= 20").groupBy("community_id").agg(F.sort_array(F.collect_list("name")).alias("symbols"))
     out = body.join(keys, "community_id", "left")
     title = F.when(F.col("label") == "", F.concat(F.lit("community_"), "community_id")).otherwise(F.col("label"))
     content = F.concat(
         F.lit("# "), title, F.lit("\n\n- id: "), "community_id", F.lit("\n- files: "), "node_count", F.lit("\n- language: "), "dominant_language", F.lit("\n\n## Members\n"),
-        F.array_join(F.transform(F.slice("m", 1, 50), lambda x: x["line"]), "\n"), F.when(F.size("m") > 50, F.format_string("\n- _...and %d more_", F.size("m") - 50)).otherwise(""), F.lit("\n\n## Key symbols\n"), F.coalesce(F.array_join("symbols", ", "), F.lit("")),
-        F.lit("\n\n## High risk\n"), F.array_join("risky", "\n"), F.lit("\n"),
+        F.array_join(F.transform("m", lambda x: x["line"]), "\n"), F.when(F.col("node_count") > 50, F.format_string("\n- _...and %d more_", F.col("node_count") - 50)).otherwise(""), F.lit("\n\n## Key symbols\n"), F.coalesce(F.array_join("symbols", ", "), F.lit("")),
+        F.lit("\n\n## High risk\n"), F.coalesce(F.array_join("risky", "\n"), F.lit("")), F.lit("\n"),
     )
     return out.select(F.regexp_replace(title, "[^A-Za-z0-9_-]", "_").alias("page_name"), content.alias("content"))
 

@@ -210,6 +210,28 @@ def register_parser(language: str, parser: Callable[[str, str], dict], signature
         _SIGNATURES[language] = signatures
 
 
+def register_table_function(spark, name: str, parser: Callable[[str, str], dict]) -> None:
+    """A parser as a table function of SQL: a row per symbol.
+
+    ``SELECT f.path, s.* FROM files f, LATERAL name(f.path, f.source) s``; a source that the parser
+    refuses gives one row whose ``error`` says why.
+    """
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="kind string, name string, qualified_name string, line_start int, line_end int, signature string, error string")
+    class Symbols:
+        def eval(self, path: str, source: str):
+            try:
+                found = parser(path, source or "")["symbols"]
+            except Exception as e:  # one source never fails the query
+                yield None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+                return
+            for x in found:
+                yield x["kind"], x["name"], x["qualified_name"], x["line_start"], x["line_end"], x["signature"], None
+
+    spark.udtf.register(name, Symbols)
+
+
 def _module_only(path: str, source: str) -> dict:
     return {"symbols": [_symbol("module", _stem(path))], "imports": [], "dynamic_imports": []}
 

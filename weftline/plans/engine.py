@@ -215,7 +215,7 @@ class Engine:
             "get_review_context": self.review,
             "list_flows": self.list_flows,
             "list_communities": self.list_communities,
-            "get_flow": lambda **k: analyse.get_flow(analyse.flows(n, e), n, e, **k),
+            "get_flow": lambda include_source=False, **k: analyse.get_flow(analyse.flows(n, e), n, e, corpus=self.corpus if include_source else None, **k),
             "get_affected_flows": lambda changed: analyse.affected_flows(analyse.flow_nodes(n, e, (t := staged(analyse.flows(n, e), "flows"))), t, changed),
             "get_community": lambda **k: analyse.get_community(analyse.communities(f, e), **k),
             "get_wiki_page": lambda name: analyse.wiki_page(self.wiki(), name),
@@ -242,14 +242,9 @@ class Engine:
         labels = propagate_labels(analyse.file_links(self.edges))
         return analyse.wiki_pages(analyse.communities(self.files, self.edges, labels=labels), self.risk(), self.nodes, labels)
 
-    def overview(self) -> DataFrame:
-        """metric, value: counts, risky files, large communities."""
-        count = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
-        risky = self.risk().where("risk_score >= 0.5").orderBy(F.desc("risk_score"), "path").limit(10)
-        out = count(self.files, "files")
-        for df, name in ((self.nodes, "nodes"), (self.edges, "edges"), (risky, "risky_files")):
-            out = out.unionByName(count(df, name))
-        return out
+    def overview(self, store=None) -> DataFrame:
+        """section, position, name, value: totals, large communities, risky files; ``store`` gives the schema's version."""
+        return analyse.overview(self.files, self.nodes, self.edges, self.risk(), analyse.communities(self.files, self.edges), store.schema_version() if store else 0)
 
 
 def index_roots(roots: dict[str, DataFrame], config: ContextConfig | None = None) -> tuple[Engine, DataFrame]:

@@ -6,10 +6,11 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import WeftlineError
+from ..staging import staged
 
 VERSION = "__schema_version__"
 
@@ -54,7 +55,12 @@ class SchemaEvolution:
 
 
 class AnalysisPipeline:
-    """Named steps over a DataFrame with retries; the audit has a row per attempt."""
+    """Named steps over a DataFrame, each run as a job of its own whose result is written; a job that fails is run again.
+
+    ``audit`` has a row for each attempt: step, attempt, milliseconds of the job, error, rows_in,
+    rows_out and failed (rows whose ``error`` column is set). The counts of an attempt that
+    succeeded are observed while its job runs, not by another one.
+    """
 
     def __init__(self) -> None:
         self.steps: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
@@ -69,15 +75,22 @@ class AnalysisPipeline:
         return self
 
     def run(self, df: DataFrame) -> DataFrame:
+        rows_in = None
         for name, fn in self.steps:
             for attempt in range(self.retries + 1):
                 began = time.monotonic()
+                spent = lambda began=began: round((time.monotonic() - began) * 1000, 3)
                 try:
-                    df = fn(df)
-                    self.audit.append((name, attempt, round((time.monotonic() - began) * 1000, 3), None))
+                    if rows_in is None:
+                        rows_in = df.count()
+                    out, seen = fn(df), Observation()
+                    failed = F.count_if(F.col("error").isNotNull()) if "error" in out.columns else F.count_if(F.lit(False))
+                    out = staged(out.observe(seen, F.count(F.lit(1)).alias("rows"), failed.alias("failed")), "step")
+                    self.audit.append((name, attempt, spent(), None, rows_in, seen.get["rows"], seen.get["failed"]))
+                    df, rows_in = out, seen.get["rows"]
                     break
                 except Exception as e:
-                    self.audit.append((name, attempt, round((time.monotonic() - began) * 1000, 3), str(e)))
+                    self.audit.append((name, attempt, spent(), str(e), rows_in, None, None))
                     if attempt == self.retries:
                         raise
                     time.sleep(self.backoff * 2**attempt)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_of
-from ..staging import staged
+from ..staging import numbered, staged
 
 #: Keys of the tables.
 KEYS = {
@@ -159,6 +159,10 @@ class GraphStore:
         return done
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows; files that are there stay unless the columns differ."""
+        if self.exists(name) and name not in DIVIDED and set(df.columns) == set(self.read(name).columns):
+            df.write.mode("append").parquet(self._newest(name))
+            return self.read(name)
         return self.write(name, self.read(name).unionByName(df, allowMissingColumns=True) if self.exists(name) else df)
 
     def assign_communities(self, assigned: DataFrame) -> DataFrame:
@@ -168,6 +172,37 @@ class GraphStore:
     def risk_index(self, min_score: float = 0.0) -> DataFrame:
         return self.read("risk_index").where(F.col("risk_score") >= min_score).orderBy(F.desc("risk_score"), "path")
 
+    def save_flows(self, flows: DataFrame) -> DataFrame:
+        """Adds a snapshot (flow_name, entry, node_count, file_count, criticality and more); ids go on from the largest
+        stored one, most critical first. Returns the rows with their ``id``."""
+        last = self.read("flow_snapshots").agg(F.max("id")).first()[0] if self.exists("flow_snapshots") else 0
+        rows = staged(numbered(flows, "id", F.desc("criticality"), "entry").withColumn("id", F.col("id") + F.lit((last or 0) + 1)), "snapshot")
+        self.append("flow_snapshots", rows)
+        return rows
+
+    def list_flows(self, sort_by: str = "criticality", limit: int = 50) -> DataFrame:
+        """Of the newest ``2 * limit`` snapshots, the first ``limit`` by criticality, node_count, file_count (largest
+        first) or name; equal ones newest first."""
+        newest = self.read("flow_snapshots").orderBy(F.desc("id")).limit(2 * limit)
+        key = {"node_count": F.desc("node_count"), "file_count": F.desc("file_count"), "name": F.asc("flow_name")}.get(sort_by, F.desc("criticality"))
+        return newest.orderBy(key, F.desc("id")).limit(limit)
+
+    def save_summaries(self, summaries: DataFrame) -> DataFrame:
+        """Replaces summaries of communities: community_id, summary_text, key_symbols and more."""
+        return self.upsert("community_summaries", summaries)
+
+    def communities(self, min_size: int = 0) -> DataFrame:
+        """Stored communities, largest first."""
+        return self.read("communities").where(F.col("node_count") >= min_size).orderBy(F.desc("node_count"), "community_id")
+
+    def unregister_repo(self, root: str) -> bool:
+        """Takes a repository out of the registry; whether it was there."""
+        root, rows = root.rstrip("/"), self.repos()
+        if not rows.where(F.col("root") == root).limit(1).count():
+            return False
+        self.write("repos", staged(rows.where(F.col("root") != root), "repos"))
+        return True
+
     def register_repo(self, root: str, name: str | None = None, db_path: str = "") -> DataFrame:
         """Adds a repository to the registry, or replaces its row."""
         root = root.rstrip("/")
