@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on every document its predecessor kept. All
 but the last return the columns of ``documents``; ``run`` writes each stage's result to the
 shared folder and reads it back as the next one's documents.
+
+Defined results, for every stage: null or empty texts are documents like others, which no stage
+but line dedup changes (null becomes empty there) and none drops; rows of one ``doc_id`` go or
+stay together; columns beyond those of ``documents`` are left out; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -57,7 +61,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A trained classifier and a tokenizer are not SQL; tests hold every stage to brute force.
+#: A trained classifier and a tokenizer are not SQL; tests hold line dedup, near-duplicates and packing to brute force,
+#: and toxicity and decontamination to labels and benchmark texts.
 ORACLE_SQL = None
 
 
