@@ -143,3 +143,15 @@ def test_refresh_and_watch(spark, tmp_path):
     finally:
         query.stop()
     assert loaded() == _names(_batch(spark, str(folder))) and loaded()[1] == {("a.py::__module__", "c.py::__module__", "imports"), ("d.py::__module__", "a.py::__module__", "imports"), ("a.py::A", "a.py::A", "inherits")}
+
+
+def test_stored_weights_and_malformed_nodes(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/store", 4)
+    engine = Engine(spark.createDataFrame([("a.py", "class OpenLedger: pass\n", 0)], SCHEMA))
+    engine.save(store)
+    first = engine.query("embed_graph", store=store).first()
+    assert (first.status, first.nodes_embedded, first.embed_version) == ("embedded", 2, "1") and engine.query("embed_graph", store=store).first().status == "already_embedded"
+    assert engine.query("embed_graph", store=store, force=True).first().status == "embedded"
+    assert [r.node_id for r in engine.query("similar_nodes", query="ledger", store=store).collect()] == ["a.py::OpenLedger"]
+    store.upsert("nodes", store.read("nodes").limit(1).withColumn("node_id", F.lit("a.py::bad")).withColumn("name", F.lit(None).cast("string")))
+    assert store.read("nodes").count() == 3 and Engine.load(store, engine.corpus).nodes.count() == 2

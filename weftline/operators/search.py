@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import symbol_tokens
 from .fulltext import find_nodes
 
+#: Fixed value: version of stored term weights.
+EMBED_VERSION = "1"
+
 
 def search_symbols(nodes: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
     """Nodes whose name or path holds a text, whatever its case."""

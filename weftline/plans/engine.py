@@ -137,7 +137,7 @@ class Engine:
     @classmethod
     def load(cls, store, corpus: DataFrame, config: ContextConfig | None = None) -> Engine:
         """The engine of a stored graph; ``corpus`` has the sources, which a store does not keep."""
-        return cls.of_tables(corpus, *(store.read(n) for n in ("files", "nodes", "links", "edges")), config)
+        return cls.of_tables(corpus, store.read("files"), store.nodes(), store.read("links"), store.read("edges"), config)
 
     def _shown(self, corpus: DataFrame) -> DataFrame:
         return corpus.where(~excluded(F.col("path"), self.config.exclude_patterns)) if self.config.exclude_patterns else corpus
@@ -155,6 +155,17 @@ class Engine:
         out.delta = delta
         return out
 
+    def embed(self, store, force: bool = False) -> DataFrame:
+        """One row: status, nodes_embedded, vocab_size, embed_version. Term weights are written to the store's
+        ``embeddings`` once; a store that has them is left alone unless ``force``."""
+        row = "status string, nodes_embedded long, vocab_size long, embed_version string"
+        if store.exists("embeddings") and store.fact("embed_version") and not force:
+            return store.spark.createDataFrame([("already_embedded", None, None, store.fact("embed_version"))], row)
+        weights = store.write("embeddings", search.tfidf(self.nodes))
+        store.upsert("graph_meta", store.spark.createDataFrame([("embed_version", search.EMBED_VERSION)], "key string, value string"))
+        counts = weights.agg(F.countDistinct("node_id").alias("nodes_embedded"), F.countDistinct("token").alias("vocab_size"))
+        return counts.select(F.lit("embedded").alias("status"), "nodes_embedded", "vocab_size", F.lit(search.EMBED_VERSION).alias("embed_version"))
+
     def detect_changes(self, requests: DataFrame, max_depth: int = 4, include_source: bool = False, limit: int = 50) -> DataFrame:
         """Affected files of each request, the best ``limit``, with their risk and the largest of its changed files."""
         risks = staged(self.risk().select("path", "risk_score"), "risk")
@@ -205,7 +216,7 @@ class Engine:
             "list_graph_stats": self.index_summary,
             "search_symbols": lambda needle, limit=20: search.search_symbols(n, needle, limit),
             "semantic_search_nodes": lambda query, kind=None, limit=20: fulltext.find_nodes(self.search_index(), n, query, kind, limit),
-            "similar_nodes": lambda query, limit=20: search.semantic_search(search.tfidf(n), query, limit),
+            "similar_nodes": lambda query, limit=20, store=None: search.semantic_search(store.read("embeddings") if store else search.tfidf(n), query, limit),
             "cross_repo_search": lambda repos, query, kind=None, limit=20: search.cross_repo(self.search_index(), n, repos, query, kind, limit),
             "list_repos": lambda store: store.repos(),
             "list_files": lambda limit=100: f.select("path", "language", "token_estimate").orderBy(F.desc("token_estimate"), "path").limit(limit),
@@ -227,7 +238,7 @@ class Engine:
             "apply_refactor": lambda old, new, root="": analyse.apply_rename(self.corpus, analyse.rename_preview(n, old, new), root),
             "generate_wiki": self.wiki,
             "get_docs_section": lambda keyword: analyse.doc_sections(self.corpus, keyword),
-            "embed_graph": lambda: search.tfidf(n),
+            "embed_graph": lambda store=None, force=False: search.tfidf(n) if store is None else self.embed(store, force),
             "visualize": lambda: analyse.graph_html(n, e, f),
         }
 

@@ -11,6 +11,10 @@ from ..functions.text import suffix
 EXTENSIONS = (".py", ".pyi", ".js", ".mjs", ".ts", ".tsx", ".go", ".rs", ".java", ".cpp", ".c", ".h", ".rb", ".php")
 EXCLUDED = ("venv", ".venv", "node_modules", "dist", "build", "__pycache__", ".git", ".tox", ".mypy_cache", ".pytest_cache", "*.egg-info")
 
+#: The same for building a graph from a folder.
+BUILD_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java")
+BUILD_EXCLUDED = ("venv", ".venv", "node_modules", ".git", "__pycache__", "dist", "build", ".mypy_cache", ".pytest_cache")
+
 
 def _listed(spark: SparkSession, root: str, extensions, exclude) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -79,6 +79,15 @@ class GraphStore:
     def read(self, name: str) -> DataFrame:
         return self._read(name).drop("__bucket")
 
+    def nodes(self) -> DataFrame:
+        """Stored symbols; malformed rows, without an id, a file, a kind or a name, are left out."""
+        return self.read("nodes").where("node_id IS NOT NULL AND file_path IS NOT NULL AND kind IS NOT NULL AND name IS NOT NULL")
+
+    def fact(self, key: str) -> str | None:
+        """A value of ``graph_meta``."""
+        row = self.read("graph_meta").where(F.col("key") == key).first() if self.exists("graph_meta") else None
+        return row.value if row else None
+
     def _divided(self, name: str, df: DataFrame) -> DataFrame:
         return df.withColumn("__bucket", F.pmod(F.xxhash64(owner(name, df.columns)), F.lit(self.buckets)).cast("int"))
 
