@@ -61,6 +61,14 @@ def test_op9_many_lines(spark):
     assert (rows[0].n_lines, rows[0].n_dropped, rows[0].text) == (60_000, 0, text)
 
 
+def test_op9_many_shared_lines(spark):
+    text = "\n".join(f"line number {k} of a text with a great many long lines" for k in range(20_000))
+    rows = spark.createDataFrame([(k, text + f"\nthe last line of text {k} is found nowhere else") for k in range(5)], SCHEMA).coalesce(1)
+    got = {r.doc_id: r for r in _timed(line_dedup.dedup_lines(rows))}
+    assert [(got[k].n_lines, got[k].n_dropped) for k in range(5)] == [(20_001, 20_000)] * 4 + [(20_001, 0)]
+    assert got[2].text == "the last line of text 2 is found nowhere else"
+
+
 def test_op10_long_lists_of_numbers(spark):
     text = ",".join(str(k) for k in range(50_000)) + " metres and more words here"
     items = spark.createDataFrame([(1, "how far is it from here to the end of 12 roads in all")], "item_id long, text string")

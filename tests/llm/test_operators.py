@@ -303,6 +303,27 @@ def test_op9_levels(spark, docs, odd):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()} == {k: (3, 1, f"short\n{k}") if k < 5 else (3, 0, rows[5][1]) for k in range(6)}
 
 
+def test_op9_batches(spark):
+    """Totals over runs of every level equal those of all rows at once; the runs are never shuffled."""
+    rng = random.Random(6)
+    rows = [(b, rng.randrange(40), rng.randrange(10**6)) for b in range(8) for _ in range(60)]
+    runs, seen = line_dedup.LineRuns(spark, fanout=3), set()
+    for b in range(8):
+        batch = spark.createDataFrame([(h, -h, 1, d) for x, h, d in rows if x == b], "h1 long, h2 long, n_docs long, max_doc long")
+        now = {h for x, h, _ in rows if x == b}
+        assert {r.h1 for r in runs.unseen(batch).select("h1").distinct().collect()} == now - seen
+        plan = runs.totals(batch)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == len(runs.runs()) and plan.count("Exchange") == 1  # the batch's own sums
+        runs.add(batch)
+        seen |= now
+    assert [len(x) for x in runs.levels] == [2, 2]
+    want = {h: (sum(x == h for _, x, _ in rows), max(d for _, x, d in rows if x == h)) for h in seen}
+    assert {r.h1: (r.n_docs, r.max_doc) for r in runs.compacted().collect()} == want
+    assert {r.h1: (r.n_docs, r.max_doc) for r in runs.compacted(13).collect()} == {h: w for h, w in want.items() if w[0] >= 13}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weftline_run")]
+    runs.drop()
+
+
 def test_op10_slots(spark):
     item = "Anna has 12 apples and gives 5 apples to her brother while he keeps 12 pears at home"
     again = "so today Maria has 30 apples and gives 7 apples to her brother while he keeps 30 pears at home ok"

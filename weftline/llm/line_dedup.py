@@ -1,12 +1,12 @@
 """Line de-duplication over levelled sorted runs of line hashes. DataFrame functions only.
 
-Every batch of documents becomes a run: one row per line key with its number of documents and
-largest document id, ordered by hash. Runs sit in levels; when a level holds ``FANOUT`` runs
-they are merged into one run of the next level, so a key is rewritten a logarithmic number of
-times. For incremental use, ``first_seen`` anti-joins a new batch with the runs to find its new
-keys and adds its run. The query itself does not: a line is dropped by its number of documents
-over all batches, which no single batch can tell, so it adds the batches' runs, compacts them
-once and joins all keys with the common ones (a plain join, whose kind Spark chooses).
+A run has one row per line key with its number of documents and largest document id, in sorted
+buckets of the key's hashes. Every batch of documents is summed up by key and merge-joined with the
+runs: a key that no run holds (the anti join) is new and enters the batch's run as it is, a known
+one enters it with its totals so far. Totals only grow, so a key's state is its largest row. When a
+level holds ``FANOUT`` runs they are merged into one run of the next level, so a key is rewritten a
+logarithmic number of times. The runs are bucketed tables: only a batch's sums are shuffled to meet
+them, never the runs. ``first_seen`` is the incremental form that returns a batch's new keys.
 
 Lines are keyed by their text stripped of ASCII white space with A-Z lower-cased, as two
 independent 64-bit hashes. Only keys of ``min_chars`` code points or more are considered, and
@@ -22,13 +22,15 @@ columns named ``n_lines`` and ``n_dropped``, which are replaced.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, drop_staged, staged, strip_ascii
+from .shared import ascii_lower, drop_staged, let, new_path, staged, strip_ascii
 
 MIN_CHARS, MIN_DOCS = 40, 5
-BATCHES, FANOUT = 4, 4
+BATCHES, FANOUT = 4, 3
 _LEAST = -(2**63)
 
 
@@ -46,37 +48,45 @@ def _hash(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, n_docs, max_doc), each staged in order of its hashes."""
+    """Levelled runs (h1, h2, n_docs, max_doc), each in sorted buckets; a row holds its key's totals so far."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(self) -> DataFrame | None:
-        """All runs as one view, a row per key and run."""
-        parts = [r for level in self.levels for r in level]
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
-    @staticmethod
-    def _merge(df: DataFrame) -> DataFrame:
-        return df.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _written(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as a run in the shared folder. The catalogue's entry goes at once: only its buckets are wanted."""
+        name = f"weftline_run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").option("path", new_path(self.spark, "line-run")).saveAsTable(name)
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        return run
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` (h1, h2, ...) that no run holds: merge anti join."""
-        out = keys
-        for level in self.levels:
-            for r in level:
-                out = out.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        return out
+        for r in self.runs():
+            keys = keys.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
+
+    def totals(self, keys: DataFrame) -> DataFrame:
+        """A batch's (h1, h2, n_docs, max_doc) by key, with what the runs hold of known keys added.
+
+        Every run is one left merge join: keys without a partner are those of the anti join.
+        """
+        out = keys.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        runs = self.runs()
+        for k, r in enumerate(runs):
+            out = out.join(r.select("h1", "h2", F.col("n_docs").alias(f"n{k}"), F.col("max_doc").alias(f"m{k}")).hint("merge"), ["h1", "h2"], "left")
+        before = [F.coalesce(f"n{k}", F.lit(0)) for k in range(len(runs))]
+        n_before = F.greatest(F.lit(0).cast("long"), *before) if before else F.lit(0)
+        return out.select("h1", "h2", (F.col("n_docs") + n_before).alias("n_docs"), F.greatest("max_doc", F.lit(_LEAST).cast("long"), *(f"m{k}" for k in range(len(runs)))).alias("max_doc"))
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch's (h1, h2, n_docs, max_doc) as a run of level 0 and compact full levels."""
-        fresh = staged(self._merge(keys).sortWithinPartitions("h1", "h2"), "run-0")
-        level = 0
+        fresh, level = self._written(self.totals(keys)), 0
         while True:
             if len(self.levels) <= level:
                 self.levels.append([])
@@ -84,21 +94,29 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old = self.levels[level]
-            self.levels[level] = []
-            union = old[0]
-            for r in old[1:]:
-                union = union.unionByName(r)
+            fresh, self.levels[level] = self._written(self._latest(old)), []
             level += 1
-            fresh = staged(self._merge(union).sortWithinPartitions("h1", "h2"), f"run-{level}")
             for r in old:
                 drop_staged(r)
 
-    def compacted(self) -> DataFrame | None:
-        """One row per key over all runs."""
-        parts = [r for level in self.levels for r in level]
-        if not parts:
-            return None
-        return parts[0] if len(parts) == 1 else self._merge(self.run())
+    @staticmethod
+    def _latest(runs: list[DataFrame], least: int = 0) -> DataFrame:
+        """The last totals of every key of at least ``least`` documents."""
+        parts = [r.where(F.col("n_docs") >= least) for r in runs]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out if len(parts) == 1 else out.groupBy("h1", "h2").agg(F.max("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
+    def compacted(self, least: int = 0) -> DataFrame | None:
+        """One row per key over all runs, of keys found in ``least`` documents or more."""
+        return self._latest(self.runs(), least) if self.runs() else None
+
+    def drop(self) -> None:
+        """Delete the runs' files."""
+        for r in self.runs():
+            drop_staged(r)
+        self.levels = []
 
 
 def first_seen(docs: DataFrame, runs: LineRuns, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,9 +148,16 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     for b in range(batches):
         batch = keys.where(F.col("batch") == b)
         runs.add(batch.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc").alias("max_doc")))
-    common = staged(runs.compacted().where(F.col("n_docs") >= min_docs), "common-lines")
+    common = staged(runs.compacted(min_docs), "common-lines")
+    runs.drop()
     gone = keys.join(common, ["h1", "h2"]).where("doc <> max_doc")
-    return gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+    return gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("__gone"))
+
+
+def _among(x: Column, ordered: Column, strides: Column) -> Column:
+    """Whether ``x`` is in a sorted array: a binary search by strides, the greatest power of two first."""
+    place = F.aggregate(strides, F.lit(-1), lambda at, by: F.when(F.get(ordered, at + by) <= x, at + by).otherwise(at))
+    return F.coalesce(let(place, lambda at: (at >= 0) & (F.get(ordered, at) == x)), F.lit(False))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -141,14 +166,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
     out = rows.join(gone, rows["__key"] == gone["__doc"], "left")
     lines = _lines(F.col("text"))
+    strides = F.transform(F.sequence(F.floor(F.log2(F.size("__gone"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    out = out.withColumn("__strides", F.when(F.col("__gone").isNotNull(), strides))
 
     def stays(line: Column) -> Column:
-        return ~((F.length(line) >= min_chars) & F.array_contains(F.col("__gone"), _hash(line)))
+        return ~((F.length(line) >= min_chars) & let(_hash(line), lambda h: _among(h, F.col("__gone"), F.col("__strides"))))
 
-    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    n_kept = F.when(F.col("__gone").isNull(), F.size(lines)).otherwise(F.size(F.filter(lines, stays)))
-    out = out.withColumns({"__kept": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - n_kept).cast("long")})
-    return out.withColumn("text", F.col("__kept")).drop("__kept", "__key", "__doc", "__gone")
+    out = out.withColumn("__left", F.when(F.col("__gone").isNotNull(), F.filter(lines, stays)))
+    n_dropped = F.when(F.col("__gone").isNotNull(), F.size(lines) - F.size("__left")).otherwise(0)
+    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__left", "\n"))
+    out = out.withColumns({"__kept": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped.cast("long")})
+    return out.withColumn("text", F.col("__kept")).drop("__kept", "__key", "__doc", "__gone", "__strides", "__left")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
