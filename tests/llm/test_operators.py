@@ -88,6 +88,35 @@ def test_op2_held_out(spark):
     pos, neg = [s for t, s in held if t], [s for t, s in held if not t]
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.75
     assert sum(s >= 0.5 for s in neg) <= 0.03 * len(neg)
+    assert sum(s >= 0.5 for s in pos) >= 0.5 * len(pos)  # of 6 held-out toxic documents
+    known = [r.toxic for r in labels if r.doc_id in out and not out[r.doc_id].held_out and out[r.doc_id].predicted]
+    assert len(known) >= 20 and sum(known) >= 0.9 * len(known)  # what is called toxic is
+    assert all(abs(r.score - r.calibrated) <= 0.02 for r in out.values())
+
+
+def test_op2_one_tree():
+    """The first split of a tree is the best of all splits, and leaves are Newton steps."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = (rng.random(300) < np.where(x[:, 1] > 6, 0.8, 0.2)).astype(float)
+    trees = toxicity.Boosted(trees=1, depth=1, rate=1.0, bins=48, least=1).fit(x, y)
+    p = y.mean()
+    step = lambda rows: (y[rows] - p).sum() / (rows.sum() * p * (1 - p) + 1)
+    gain = lambda rows: (y[rows] - p).sum() ** 2 / (rows.sum() * p * (1 - p) + 1)
+    splits = [(gain(x[:, f] < v) + gain(x[:, f] >= v), f, v) for f in range(3) for v in range(1, 12)]
+    _, f, v = max(splits)
+    want = np.where(x[:, f] < v, step(x[:, f] < v), step(x[:, f] >= v))
+    assert np.allclose(trees.margin(x) - trees.start, want, atol=1e-4)
+
+
+def test_op2_pooling():
+    """Isotonic fit against the min-max formula over all intervals."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        y = rng.integers(0, 2, 15).astype(float)
+        x, fit = toxicity.isotonic(np.arange(15.0), y)
+        want = [max(min(y[a : b + 1].mean() for b in range(i, 15)) for a in range(i + 1)) for i in range(15)]
+        assert np.allclose(np.interp(np.arange(15.0), x, fit), want)
 
 
 def test_op2_isotonic():
@@ -107,6 +136,24 @@ def test_op3_round_trip(spark):
     assert got == sorted(want, key=str)
     bodies = {r.page_id: r.body for r in warc_bundles.read_bundles(index, folder, body=True).where("record_type = 'response'").collect()}
     assert bodies == {1: "same", 2: "", 5: "é" * 300_000, 6: "\r\n\r\nWARC/1.1"}
+    clash = pages.withColumns({"digest": F.lit(1), "salt": F.lit(2), "first": F.lit("x"), "refers_to": F.lit(3), "bundle": F.lit("b")})
+    other = warc_bundles.new_path(spark, "t")
+    assert sorted(map(str, warc_bundles.read_bundles(warc_bundles.write_bundles(clash, other), other).collect())) == sorted(map(str, warc_bundles.read_bundles(index, folder).collect()))
+    none = warc_bundles.new_path(spark, "t")
+    assert warc_bundles.read_bundles(warc_bundles.write_bundles(pages.limit(0), none), none).count() == 0
+
+
+def test_op3_records():
+    """Every record has the fields that WARC/1.1 asks for, an HTTP block and a length that holds."""
+    for args in ((7, "http://x/\ny", b"a\r\n\r\nb", None), (8, None, b"abc", 7), (None, None, b"", None), (None, "u", b"", 3)):
+        data = warc_bundles.warc_record(*args, date="2020-02-03T04:05:06Z")
+        head, _, rest = data.partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert first == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(fields)
+        assert fields["WARC-Date"] == "2020-02-03T04:05:06Z" and re.fullmatch(r"<urn:[^<> ]+>", fields["WARC-Record-ID"])
+        assert len(rest) == int(fields["Content-Length"]) + 4 and rest.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert warc_bundles.parse_record(data)[1:] == (len(args[2]), b"" if args[3] is not None else args[2])
 
 
 def test_op4_general(spark):

@@ -2,9 +2,12 @@
 
 Training uses a documented bounded sample: of the labelled documents, the ``MAX_LABELLED`` with
 the smallest hash. From those texts a lexicon is learned (words and word beginnings that occur
-mostly in toxic documents), then dense features are taken, boosted trees are fitted, and the
+mostly in toxic documents: ``MAX_LEXICON`` of them at most, by documents times weight, so the model
+that every task holds stays bounded; what is cut are the rarest or weakest parts), then dense features are taken, boosted trees are fitted, and the
 out-of-fold margins are calibrated to probabilities by pooling adjacent violators. Scoring is
-one pass over all documents; whole texts are read and only the text feeds the score.
+one pass over all documents; whole texts are read and only the text feeds the score. The
+calibrated probability is flat over each pooled block, so ``score`` is 0.98 of it plus 0.02 of the
+trees' own probability, which keeps their order within a block; ``calibrated`` is the plain one.
 
 Defined results: null text scores as an empty one; where labels are missing or of one class
 every document gets the (smoothed) share of toxic labels; labels without a document are
@@ -179,13 +182,16 @@ class Model:
     def __init__(self, prior: float, lexicon: dict[str, float] | None = None, trees: Boosted | None = None, knots=None):
         self.prior, self.lexicon, self.trees, self.knots = prior, lexicon or {}, trees, knots
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def both(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the calibrated probabilities they are made from."""
         if self.trees is None:
-            return np.full(len(x), self.prior)
+            return np.full(len(x), self.prior), np.full(len(x), self.prior)
         m = self.trees.margin(x)
         flat = np.interp(m, *self.knots)
-        # A little of the margin itself keeps an order inside the flat steps of the calibration.
-        return np.clip(0.98 * flat + 0.02 / (1 + np.exp(-m)), 0.0, 1.0)
+        return np.clip(0.98 * flat + 0.02 / (1 + np.exp(-m)), 0.0, 1.0), flat
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.both(x)[0]
 
 
 def _fold(doc_id: int) -> int:
@@ -212,14 +218,14 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _lexicon(parts: DataFrame, known: list[tuple[int, int]], without: int | None) -> dict[str, float]:
+def _lexicon(parts: DataFrame, known: list[tuple[int, int]], without: int | None, most: int) -> dict[str, float]:
     """The weights of word parts, learned without the documents of one fold."""
     folds = [k for k in range(FOLDS) if k != without]
     n = Counter(t for d, t in known if _fold(d) in folds)
     clean, toxic = (reduce(lambda a, b: a + b, (F.col(f"{kind}{k}") for k in folds)) for kind in ("clean", "toxic"))
     odds = F.log((toxic + 0.5) / (n[1] + 1)) - F.log((clean + 0.5) / (n[0] + 1))
     found = parts.select("part", toxic.alias("toxic"), odds.alias("weight")).where("toxic >= 4 and weight >= 2.3")
-    found = found.orderBy(F.desc(F.col("toxic") * F.col("weight")), "part").limit(MAX_LEXICON).collect()
+    found = found.orderBy(F.desc(F.col("toxic") * F.col("weight")), "part").limit(most).collect()
     return {"=" + w: 3.0 for w in _INSULTS} | {r["part"]: float(r["weight"]) for r in found}
 
 
@@ -238,8 +244,9 @@ def _feature_rows(lexicons: list[dict[str, float]]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``max_labelled`` of the given labelled documents (rows of ``labels``: doc_id, toxic).
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+    """Fit on at most ``max_labelled`` of the given labelled documents (rows of ``labels``: doc_id, toxic),
+    with at most ``max_lexicon`` learned word parts.
 
     Margins for the calibration are out of fold altogether: neither the trees nor the lexicon
     behind a document's features have seen it.
@@ -257,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     parts = texts.mapInArrow(_counter, "part string, " + ", ".join(f"clean{k} long, toxic{k} long" for k in range(FOLDS))).groupBy("part")
     parts = parts.agg(*(F.sum(f"{kind}{k}").alias(f"{kind}{k}") for k in range(FOLDS) for kind in ("clean", "toxic")))
     parts = staged(parts.where(" + ".join(f"toxic{k}" for k in range(FOLDS)) + " >= 4"), "word-parts")
-    lexicons = [_lexicon(parts, sample, k) for k in (*range(FOLDS), None)]
+    lexicons = [_lexicon(parts, sample, k, max_lexicon) for k in (*range(FOLDS), None)]
     rows = texts.mapInArrow(_feature_rows(lexicons), "doc_id long, toxic int, x array<double>").collect()  # dense features, bounded by max_labelled
     drop_staged(texts)
     drop_staged(parts)
@@ -276,15 +283,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for every row of ``docs``."""
+    """doc_id, score, calibrated for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(model.lexicon)
         for batch in batches:
             rows = np.array([f.row(t.as_py()) for t in batch.column(1)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(rows), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.float64()) for v in model.both(rows))], names=["doc_id", "score", "calibrated"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, calibrated double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -309,4 +316,4 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "calibrated")

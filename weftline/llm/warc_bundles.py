@@ -11,12 +11,16 @@ Of records with equal payloads of at least ``min_revisit_bytes`` bytes, those wi
 ``page_id`` are ``response`` records and the others ``revisit`` records without a body that
 name the response's id; smaller ones are all responses.
 
+A response's block is an HTTP message (a fixed head, then the payload), a revisit's the head alone,
+as WARC/1.1 has it; digests and lengths of payloads are those of the HTML. ``WARC-Date`` is a
+parameter, since pages carry no time. Rows of one id share a record id.
+
 Bundles go to a folder that all executors share (any store pyarrow can reach). Their names hold
 the task's attempt, so a task that is run again writes new files and the index names only files
 of attempts that succeeded.
 
-Defined results: null html is an empty payload; a null ``page_id`` is written without an id and
-read back as null, and is a revisit where a page with an id has its payload; repeated rows of
+Defined results: null html is an empty payload; a null ``page_id`` gets a record id
+derived from its url and payload and is read back as null, and is a revisit where a page with an id has its payload; repeated rows of
 the smallest id are all responses; other columns are ignored.
 """
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,35 +41,40 @@ from .shared import new_path, staged
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 19, 1 << 26, 3
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _SALTS = 16
+#: Time of the records where the caller gives none.
+DATE = "1970-01-01T00:00:00Z"
+_PAGE_ID = "<urn:page:"
 
 
 def _payload_digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit (refers_to given) carries no body."""
-    body = b"" if refers_to is not None else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}"]
-    if page_id is not None:
-        head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
+def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+    """One WARC/1.1 record; a revisit (refers_to given) carries no payload."""
+    digest = _payload_digest(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + payload
+    own = f"{_PAGE_ID}{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url or ""} {digest}'.encode('utf-8', 'replace').decode())}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head.append(f"WARC-Payload-Digest: sha1:{_payload_digest(payload)}")
-    head.append(f"X-Payload-Length: {len(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {_PAGE_ID}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(data: bytes) -> tuple[dict[str, str], int, bytes]:
+    """Fields, length of the payload (a revisit's too) and the stored payload of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     n = int(fields["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length and its block differ")
-    return fields, rest[:n]
+    http, _, payload = rest[:n].partition(b"\r\n\r\n")
+    return fields, int(http.rpartition(b"Content-Length: ")[2]), payload
 
 
 class BundleWriter:
@@ -135,7 +145,7 @@ def _roles(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
 
-def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
+def _writer(folder: str, frame_bytes: int, bundle_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -150,7 +160,7 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
                 if writer is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{k:04d}.warc.zst"
                     writer, k = BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None), frame_bytes), k + 1
-                rows.append((page_id, name, *writer.add(warc_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to))))
+                rows.append((page_id, name, *writer.add(warc_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, date))))
                 if writer.written >= bundle_bytes:
                     writer.close()
                     writer = None
@@ -163,9 +173,9 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
     return run
 
 
-def write_bundles(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE) -> DataFrame:
     """Write the archives to ``folder`` (a URI) and return their index, staged."""
-    index = _roles(pages, min_revisit_bytes).mapInArrow(_writer(folder, frame_bytes, bundle_bytes), "page_id long, bundle string, frame long, frame_offset long, record_bytes long")
+    index = _roles(pages, min_revisit_bytes).mapInArrow(_writer(folder, frame_bytes, bundle_bytes, date), "page_id long, bundle string, frame long, frame_offset long, record_bytes long")
     return staged(index, "warc-index")
 
 
@@ -174,34 +184,36 @@ def _reader(folder: str):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        opened, reader, at, plain = None, None, -1, b""
+        opened, source, reader, at, plain = None, None, None, -1, b""
         for batch in batches:
             rows = []
             for bundle, frame, offset, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bundle != opened:
+                    if source is not None:
+                        source.close()
                     path = f"{root}/{bundle}"
-                    reader, opened, at = BundleReader(store.open_input_file(path), store.get_file_info(path).size), bundle, -1
+                    source = store.open_input_file(path)
+                    reader, opened, at = BundleReader(source, store.get_file_info(path).size), bundle, -1
                 if frame != at:
                     plain, at = reader.frame(frame), frame
-                head, body = parse_record(plain[offset : offset + n])
-                number = lambda k, head=head: int(head[k][10:-1]) if k in head else None
-                if head["WARC-Type"] == "response":
-                    size, digest = len(body), _payload_digest(body)
-                    if head["WARC-Payload-Digest"] != "sha1:" + digest:
-                        raise ValueError(f"damaged payload in {bundle}")
-                else:
-                    size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:]
+                head, size, body = parse_record(plain[offset : offset + n])
+                number = lambda k, head=head: int(head[k][len(_PAGE_ID) : -1]) if head.get(k, "").startswith(_PAGE_ID) else None
+                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                if head["WARC-Type"] == "response" and (len(body), _payload_digest(body)) != (size, digest):
+                    raise ValueError(f"damaged payload in {bundle}")
                 rows.append((number("WARC-Record-ID"), size, digest, head["WARC-Type"], number("WARC-Refers-To"), head.get("WARC-Target-URI"), body.decode("utf-8", "surrogatepass")))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "body"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        if source is not None:
+            source.close()
 
     return run
 
 
 def read_bundles(index: DataFrame, folder: str, body: bool = False) -> DataFrame:
-    """Records of the index, opened at their frames; ``body`` adds url and the stored block."""
+    """Records of the index, opened at their frames; ``body`` adds url and the stored payload."""
     rows = index.select("bundle", "frame", "frame_offset", "record_bytes").sortWithinPartitions("bundle", "frame", "frame_offset")
     out = rows.mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, body string")
     return out if body else out.drop("url", "body")
