@@ -36,6 +36,7 @@ def ranked_neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_d
     seeds = staged(seeds.select("request_id", "path").distinct().join(known, "path", "left_semi"), "seeds")
     inc = incident(edges if include_dynamic else edges.where("kind <> 'dynamic_import'"))
     inc = inc.join(nodes.select(F.col("node_id").alias("other_id"), F.col("file_path").alias("other_path")), "other_id")
+    inc = staged(inc, "incident")  # every level reads it
     empty = F.expr("cast(array() as array<bigint>)")
     front = seeds.select("request_id", F.concat("path", F.lit("::__module__")).alias("node_id"), F.lit(1.0).alias("score"), F.array(F.xxhash64("path")).alias("ord"))
     front = front.join(nodes.select("node_id"), "node_id", "left_semi")
