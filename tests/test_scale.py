@@ -3,9 +3,41 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators import parse, traverse
 
 
 def test_security_words_end_where_sql_ends_them(spark):
     texts = {"éauth": 1, "authé": 1, "٣auth": 1, "auth_": 0, "aſecret": 1, "ſecret": 0, "toKen": 1, "SQL x": 1, "xſs": 1}
     rows = spark.createDataFrame(list(texts.items()), "t string, n long")
     assert not rows.where(tx.security_hits(F.col("t")) != F.col("n")).collect()
+
+
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
+    corpus = spark.createDataFrame([(f"a/f{i}.py", f"import f{i + 1}\n", i) for i in range(40)], "path string, source string, file_ord long").coalesce(1)
+    files = parse.parsed(corpus)
+    assert files.select(F.spark_partition_id()).distinct().count() > 1
+    assert files.count() == 40
+
+
+def test_entries_go_through_the_graph_together(spark):
+    """130 entries (three blocks) against a breadth-first search; a level holds a row a node and block, not an entry."""
+    n, depth = 150, 4
+    links = {i: {(3 * i + 1) % n, (i * i) % n} for i in range(n)}
+    edges = spark.createDataFrame([(str(i), str(j)) for i, js in links.items() for j in js], "source_id string, target_id string")
+    entries = [str(i) for i in range(130)] + ["alone"]
+    want = set()
+    for e in entries:
+        front, seen = {e}, {e}
+        want |= {(e, e, 0)}
+        for level in range(1, depth + 1):
+            front = {str(j) for i in front if i != "alone" for j in links[int(i)]} - seen
+            seen |= front
+            want |= {(e, x, level) for x in front}
+    reach = traverse.reach_sets(edges, spark.createDataFrame([(e,) for e in entries], "entry string"), depth)
+    rows = [tuple(r) for r in traverse.reached(reach).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert reach.sets.count() < len(want) / 4
+    counts = dict(traverse.count_by_entry(reach.sets, reach.places, "n").collect())
+    assert counts == {e: sum(x[0] == e for x in want) for e in entries}
+    some = spark.createDataFrame([("7",), ("alone",)], "entry string")
+    assert {tuple(r) for r in traverse.reached(reach, some).collect()} == {x for x in want if x[0] in ("7", "alone")}
