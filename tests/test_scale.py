@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import parse, traverse
+from weftline.operators import fulltext, parse, traverse
 
 
 def test_security_words_end_where_sql_ends_them(spark):
@@ -41,3 +41,46 @@ def test_entries_go_through_the_graph_together(spark):
     assert counts == {e: sum(x[0] == e for x in want) for e in entries}
     some = spark.createDataFrame([("7",), ("alone",)], "entry string")
     assert {tuple(r) for r in traverse.reached(reach, some).collect()} == {x for x in want if x[0] in ("7", "alone")}
+
+
+def _written(monkeypatch, module):
+    """Tables that a module writes, by label."""
+    tables, write = {}, module.staged
+
+    def keep(df, label):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(module, "staged", keep)
+    return tables
+
+
+def test_candidates_of_one_score_are_combined_before_they_are_written(spark, monkeypatch):
+    """Sixty files between a changed one and a hub: the hub is one row of the second level, with the first file's place."""
+    names = ["a", "hub", *(f"m{i:02d}" for i in range(60))]
+    nodes = spark.createDataFrame([(f"{x}::__module__", x) for x in names], "node_id string, file_path string")
+    pairs = [(x, y) for m in names[2:] for x, y in (("a", m), (m, "hub"))]
+    edges = spark.createDataFrame([(f"{x}::__module__", f"{y}::__module__", "imports", 1.0, i) for i, (x, y) in enumerate(pairs)], "source_id string, target_id string, kind string, weight double, edge_ord long")
+    tables = _written(monkeypatch, traverse)
+    rows = traverse.ranked_neighbors(nodes, edges, spark.createDataFrame([(1, "a")], "request_id long, path string"), 2)
+    got = {r.path: (round(r.score, 6), r.depth, r.reasons) for r in rows.collect()}
+    assert got["hub"] == (0.49, 2, ["depends_on via imports (depth 2)"]) and got["m07"] == (0.7, 1, ["depends_on via imports (depth 1)"]) and len(got) == 62
+    assert tables["level-2"].count() == 2  # the hub and the changed file
+    assert all(k != "array<bigint>" for _, k in tables["level-2"].dtypes)
+
+
+def test_frequent_words_are_read_for_candidates_only(spark, monkeypatch):
+    rows = [(f"a/x.py::f_{i}", f"f_{i}", f"f_{i}", f"def f_{i}(x)", "a/x.py") for i in range(50)]
+    nodes = spark.createDataFrame(rows, "node_id string, name string, qualified_name string, signature string, file_path string")
+    index, tables = fulltext.postings(nodes), _written(monkeypatch, fulltext)
+    asked = spark.createDataFrame([(1, '"def f 7"'), (2, "f_8 OR (x f_9)"), (3, "f_1* NOT x"), (4, 'f_3 NOT "..."')], "query_id long, query string")
+    got = {(r.query_id, r.node_id.split("_")[1]) for r in fulltext.find(index, nodes, asked).collect()}
+    assert got == {(1, "7"), (2, "8"), (2, "9"), (4, "3")}
+    assert tables["candidates"].count() == 1 + 2 + 11 + 1
+
+
+def test_labels_travel_as_numbers_in_the_order_of_names(spark, monkeypatch):
+    tables = _written(monkeypatch, traverse)
+    got = {r.node: r.label for r in traverse.propagate_labels(spark.createDataFrame([("n10", "n2"), ("n9", "n30")], "a string, b string")).collect()}
+    assert got["n10"] == got["n2"] and got["n9"] == got["n30"] and set(got) == {"n10", "n2", "n9", "n30"}
+    assert dict(tables["links"].dtypes) == {"i": "bigint", "j": "bigint", "half": "int"}
