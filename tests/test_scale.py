@@ -69,6 +69,20 @@ def test_candidates_of_one_score_are_combined_before_they_are_written(spark, mon
     assert all(k != "array<bigint>" for _, k in tables["level-2"].dtypes)
 
 
+def test_only_rises_go_on_to_the_result(spark, monkeypatch):
+    """a-b-c-d in a chain, a inherits d: depth 2 leads back to a and to d by a lower score, and neither is passed on."""
+    nodes = spark.createDataFrame([(f"{x}::__module__", x) for x in "abcd"], "node_id string, file_path string")
+    pairs = [("a", "b", "imports", 1.0), ("b", "c", "imports", 1.0), ("c", "d", "imports", 1.0), ("a", "d", "inherits", 1.5)]
+    edges = spark.createDataFrame([(f"{x}::__module__", f"{y}::__module__", k, w, i) for i, (x, y, k, w) in enumerate(pairs)], "source_id string, target_id string, kind string, weight double, edge_ord long")
+    tables = _written(monkeypatch, traverse)
+    rows = traverse.ranked_neighbors(nodes, edges, spark.createDataFrame([(1, "a")], "request_id long, path string"), 3)
+    got = {r.path: (round(r.score, 6), r.depth, r.reasons) for r in rows.collect()}
+    via_b, via_d = "depends_on via imports (depth 2)", "caller via imports (depth 2)"
+    assert got["a"] == (1.1025, 2, ["directly changed", "caller via inherits (depth 2)"])
+    assert got["c"] == (0.735, 2, [via_b, via_d]) and got["d"] == (1.05, 1, ["depends_on via inherits (depth 1)"]) and got["b"][2] == ["depends_on via imports (depth 1)"]
+    assert {k: t.count() for k, t in tables.items() if k.startswith("rises")} == {"rises-1": 2, "rises-2": 3, "rises-3": 0}
+
+
 def test_frequent_words_are_read_for_candidates_only(spark, monkeypatch):
     rows = [(f"a/x.py::f_{i}", f"f_{i}", f"f_{i}", f"def f_{i}(x)", "a/x.py") for i in range(50)]
     nodes = spark.createDataFrame(rows, "node_id string, name string, qualified_name string, signature string, file_path string")
