@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators import edges as ed
 from weftline.operators import fulltext, parse, traverse
 
 
@@ -83,6 +84,23 @@ def test_only_rises_go_on_to_the_result(spark, monkeypatch):
     assert {k: t.count() for k, t in tables.items() if k.startswith("rises")} == {"rises-1": 2, "rises-2": 3, "rises-3": 0}
 
 
+def test_prefixes_are_cut_out_of_texts_that_begin_like_one(spark, monkeypatch):
+    names = ["p", "part_1", "part_12", "part_1.f", "pa", "", None, "part_12.f_1"]
+    keys = ["part_1", "part_12", "part_123", "src.part_1", "p", "q", "par", "part_1.f", "part_12.f_1.g"]
+    tables = _written(monkeypatch, ed)
+    left, right = (spark.createDataFrame([(x,) for x in rows], f"{n} string") for rows, n in ((keys, "key"), (names, "name")))
+    got = {(r.key, r.name) for r in ed.prefix_pairs(left, "key", right, "name").collect()}
+    assert got == {(k, n) for k in keys for n in names if n and k.startswith(n)}
+    assert {r["__head"]: sorted(r["__n"]) for r in tables["prefix-heads"].collect()} == {"p": [1], "pa": [2], "part_1": [6, 7, 8, 11]}
+
+
+def test_plain_annotations_need_no_unparser(monkeypatch):
+    source = "def f(x: int, *y: str) -> int:\n    return x\n"
+    want = parse.parse_python("a.py", source)["symbols"][1]["signature"]
+    monkeypatch.setattr(parse.ast, "unparse", None)
+    assert want == "def f(x: int, *y) -> int" == parse.parse_python("a.py", source + "\n")["symbols"][1]["signature"]
+
+
 def test_frequent_words_are_read_for_candidates_only(spark, monkeypatch):
     rows = [(f"a/x.py::f_{i}", f"f_{i}", f"f_{i}", f"def f_{i}(x)", "a/x.py") for i in range(50)]
     nodes = spark.createDataFrame(rows, "node_id string, name string, qualified_name string, signature string, file_path string")
