@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 from test_operators import groups, words_of
 
+from weftline.llm import packing
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -88,3 +90,20 @@ def test_packing(stages):
     for own in rooms.values():
         own.sort(key=lambda p: p.offset)
         assert [p.offset for p in own] == [0, *np.cumsum([p.length for p in own]).tolist()][:-1] and sum(p.length for p in own) <= 4096
+
+
+def test_packing_keeps_few_words_and_packs_the_same(spark, monkeypatch):
+    """A worker's words stay within the bound it is given, here below those of the texts, and ids and pieces are the same."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect()]
+    few, many = packing.Encoder(path, 400), packing.Encoder(path)
+    for t in texts:
+        assert few.ids(t).tolist() == many.ids(t).tolist()
+        assert len(few.cache) <= max(200, len(set(many._words(t) or []))) + 200
+    rows = lambda **k: sorted(map(tuple, packing.pack_documents(docs, path, **k).collect()))
+    assert rows(words=400) == rows()
+    given = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda *a, **k: given.update(k))
+    corpus_pipeline.pack(spark, docs, SF)
+    assert given["words"] < packing._CACHE_WORDS

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END = 4096, 2
 GROUP_TOKENS, MIN_GAP = 2_000_000, 16
+#: Words that a worker knows, in two halves, some 200 bytes each.
 _CACHE_WORDS = 1_000_000
 #: Commas and full stops that touch other punctuation.
 _RUN = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
@@ -53,7 +54,7 @@ class Encoder:
     are set apart first, which the tokenizer does too unless they touch other punctuation.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = _CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
@@ -64,6 +65,7 @@ class Encoder:
         quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.quick = getattr(quick, "encode_batch_fast", quick.encode_batch)
         self.safe, self.odd = {chr(i) for i in range(128)}, set()  # characters that are cut as the tokenizer cuts them, and others
+        self.words = words
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.end = struct.pack("<I", END)
@@ -132,7 +134,7 @@ class Encoder:
         split = [self._words(t) for t in texts]
         new = set(filterfalse(self.cache.__contains__, chain.from_iterable(w for w in split if w)))
         if new:
-            if self.cache and len(self.cache) + len(new) > _CACHE_WORDS // 2:  # the older half goes, its frequent words come back
+            if self.cache and len(self.cache) + len(new) > self.words // 2:  # the older half goes, its frequent words come back
                 self.old, self.cache = self.cache, {}
                 new = set().union(*(w for w in split if w))
             old = self.old
@@ -149,9 +151,9 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = _CACHE_WORDS) -> Encoder:
     """The worker process's encoder; the next tasks of the process find its words known."""
-    return Encoder(path)
+    return Encoder(path, words)
 
 
 class Tournament:
@@ -242,27 +244,27 @@ def pack(lengths: list[int], capacity: int = CAPACITY, min_gap: int = MIN_GAP) -
 _FIELDS = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    """Ids and texts of consecutive rows, about ``_TOGETHER`` characters (or one longer text) at a time."""
+def _portions(batch: pa.RecordBatch, together: int = _TOGETHER) -> Iterator[tuple[list, list]]:
+    """Ids and texts of consecutive rows, about ``together`` characters (or one longer text) at a time."""
     names, texts, size = [], [], 0
     for d, text in zip(batch.column(0), batch.column(1), strict=True):
         names.append(d.as_py())
         texts.append(text.as_py())
         size += len(texts[-1] or "")
-        if size >= _TOGETHER:
+        if size >= together:
             yield names, texts
             names, texts, size = [], [], 0
     if names:
         yield names, texts
 
 
-def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
+def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool, words: int):
     schema = pa.schema([*_FIELDS, *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, words)
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         docs: list[np.ndarray] = []
@@ -285,7 +287,7 @@ def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for names, texts in _portions(batch):
+            for names, texts in _portions(batch, min(_TOGETHER, words)):
                 for d, x in zip(names, enc.many(texts), strict=True):
                     if held and held + len(x) > group_tokens:
                         yield flush()
@@ -298,13 +300,16 @@ def _packer(path: str, capacity: int, group_tokens: int, keep_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, keep_ids: bool = False) -> DataFrame:
-    """A row per piece; with ``keep_ids`` also its token ids, which make the training sequences."""
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, keep_ids: bool = False, words: int = _CACHE_WORDS) -> DataFrame:
+    """A row per piece; with ``keep_ids`` also its token ids, which make the training sequences.
+
+    ``words`` bounds what a worker keeps and encodes at once; fewer take less memory and more time, with the same pieces.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("doc_id", F.length("text"))).alias("h"))
     # By hash, in order: a task that is run again packs the same groups.
     rows = rows.repartition("h").sortWithinPartitions("h", "doc_id").select("doc_id", "text")
     ddl = ", ".join(f"{n} long" for n, _ in _FIELDS) + (", ids array<int>" if keep_ids else "")
-    return rows.mapInArrow(_packer(tokenizer, capacity, group_tokens, keep_ids), ddl)
+    return rows.mapInArrow(_packer(tokenizer, capacity, group_tokens, keep_ids, words), ddl)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
