@@ -116,3 +116,57 @@ def test_labels_travel_as_numbers_in_the_order_of_names(spark, monkeypatch):
     got = {r.node: r.label for r in traverse.propagate_labels(spark.createDataFrame([("n10", "n2"), ("n9", "n30")], "a string, b string")).collect()}
     assert got["n10"] == got["n2"] and got["n9"] == got["n30"] and set(got) == {"n10", "n2", "n9", "n30"}
     assert dict(tables["links"].dtypes) == {"i": "bigint", "j": "bigint", "half": "int"}
+
+
+def test_sources_are_dealt_before_anything_is_read_from_them(spark):
+    corpus = spark.createDataFrame([("a/f.py", "import g\n", 0)], "path string, source string, file_ord long")
+    plan = parse.parsed(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("sha2") < plan.index("RepartitionByExpression")
+
+
+def test_only_ids_that_may_be_shared_are_grouped(spark, monkeypatch):
+    """Files apart are no rows of the grouping; a repeated path, a repeated symbol and colons are, and give one row an id."""
+    tables = _written(monkeypatch, parse)
+    rows = [
+        ("a.py", "class C: pass\ndef f(): pass\n", 0), ("b.py", "def f(): pass\nx = 1\ndef f(y): pass\n", 1), ("c.py", "def g(): pass\n", 2), ("c.py", "def h(): pass\ndef g(z): pass\n", 3),
+        ("d.tf", 'resource "x::y" "z" {\n', 4), ("d.tf::x", 'resource "y" "z" {\n', 5), ("e.py", "", 6), ("bad.py", "def (", 7),
+    ]
+    nodes = parse.nodes_of(parse.parsed(spark.createDataFrame(rows, "path string, source string, file_ord long")))
+    got = sorted((r.node_id, r.file_ord, r.sym_ord, r.line_start) for r in nodes.where("file_path not like 'd%' and file_path <> 'c.py'").collect())
+    assert got == [("a.py::C", 0, 1, 1), ("a.py::__module__", 0, 0, 1), ("a.py::f", 0, 2, 2), ("b.py::__module__", 1, 0, 1), ("b.py::f", 1, 1, 3), ("e.py::__module__", 6, 0, 1)]
+    ids = [r.node_id for r in nodes.collect()]
+    assert len(ids) == len(set(ids)) and {"c.py::g", "c.py::h", "c.py::__module__", "d.tf::__module__"} <= set(ids)
+    assert {r.path for r in tables["shared-ids"].collect()} == {"b.py", "c.py", "d.tf", "d.tf::x"}
+
+
+def test_names_are_resolved_from_the_best_keys_of_a_prefix(spark, monkeypatch):
+    tables = _written(monkeypatch, ed)
+    paths = [*(f"src/p{i % 3}/part_{i}.py" for i in range(130)), "p.py", "src/part.py", "src/p1/part.py"]
+    index = ed.path_index(spark.createDataFrame([(p, (7 * i) % 131) for i, p in enumerate(paths)], "path string, file_ord long"))
+    names = ["p", "part", "part_1", "part_1.f_1", "part_12", "part_129.f", "p1.part_1", "src.p1.p", "q", "", None]
+    keys = [(r.key, r.path, tuple(r.key_ord)) for r in index.collect()]
+    want = set()
+    for name in filter(None, names):
+        best: dict = {}
+        for key, path, at in keys:
+            if key.startswith(name) or name.startswith(key) and key:
+                best[path] = min(best.get(path, (True, (1 << 40,))), (key != name, at))
+        want |= {(name, path, i + 1) for i, path in enumerate(sorted(best, key=best.get)[:3])}
+    rows = ed.resolve_imports(spark.createDataFrame([(n,) for n in names] * 2, "name string"), index)
+    assert {tuple(r) for r in rows.collect()} == want
+    assert tables["import-names"].count() == 9 and tables["path-index"].count() == len(keys)  # written once, read thrice
+
+
+def test_definitions_come_in_the_order_of_a_walk():
+    block = "\n".join(["if x:", "    def a(): pass", "else:", "    class B:", "        def c(self): pass", "try:", "    def d(): pass", "except E:", "    def e(): pass", "else:", "    def g(): pass", "finally:", "    def h(): pass"])
+    source = f"def z():\n    \"\"\"Text\"\"\"\n    def y(): pass\n{block}\nmatch x:\n    case 1:\n        def i(): pass\nwith q:\n    async def j(): pass\n"
+    tree = parse.ast.parse(source)
+    want = [n for n in parse.ast.walk(tree) if isinstance(n, parse.ast.ClassDef | parse.ast.FunctionDef | parse.ast.AsyncFunctionDef)]
+    assert list(parse._definitions(tree)) == want and len(want) == 11
+
+
+def test_lines_end_where_an_editor_ends_them(spark):
+    texts = ["", "a", "a\n", "\r\n", "\n\r", "a\r\r\n\nb", "\x1c\x1d\x1e\x1f", "\x85x\u2028", "é\u2029\x0b\x0c", "\r\n\r\n "]
+    rows = spark.createDataFrame([(t, len(t.splitlines())) for t in texts], "t string, n long")
+    assert not rows.where(tx.line_count(F.col("t")) != F.col("n")).collect()
+    assert "regexp" not in str(tx.line_count(F.col("t")))
