@@ -170,3 +170,22 @@ def test_lines_end_where_an_editor_ends_them(spark):
     rows = spark.createDataFrame([(t, len(t.splitlines())) for t in texts], "t string, n long")
     assert not rows.where(tx.line_count(F.col("t")) != F.col("n")).collect()
     assert "regexp" not in str(tx.line_count(F.col("t")))
+
+
+def test_edges_follow_when_they_are_asked_for(spark, monkeypatch):
+    """Symbols after an update need no edges; edges asked for later are those of the delta."""
+    from weftline.plans import engine as en
+
+    tables, schema = _written(monkeypatch, en), "path string, source string, file_ord long"
+    rows = [(f"m{k}.py", f"import m{k + 1}\nclass C{k}(C{k // 2}): pass\n", k) for k in range(5)]
+    edit = spark.createDataFrame([("m2.py", "import m4\nclass D: pass\n", 2)], schema)
+    old = en.Engine(spark.createDataFrame(rows, schema))
+    new = old.update(edit, spark.createDataFrame([("m0.py",)], "path string"))
+    names = {r.name for r in new.nodes.where("kind = 'class'").collect()}
+    assert names == {"C1", "D", "C3", "C4"} and not {"links", "edges"} & tables.keys()
+    found = {(r.source_id, r.target_id) for r in new.edges.collect()}
+    module = lambda a, b: (f"m{a}.py::__module__", f"m{b}.py::__module__")
+    assert found == {module(1, 2), module(2, 4), module(3, 4), ("m3.py::C3", "m1.py::C1")}
+    assert {r.name for r in new.delta.names.collect()} >= {"m4"} and new.links.count() == 2
+    again = new.update(spark.createDataFrame([("m9.py", "import m1\n", 9)], schema))
+    assert {"links", "edges"} <= again.__dict__.keys()  # a graph with edges keeps them up at once
