@@ -105,6 +105,24 @@ def test_op13_awkward(spark, odd, monkeypatch, file_tokens):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.ids[-1] == 2 for r in got)
 
 
+def test_op13_few_files_and_shared_reading(spark, odd, monkeypatch):
+    """The index is one file however many tasks write ids, and reading is dealt out by ids, not by the index's bytes."""
+    monkeypatch.setattr(token_files, "READ_TOKENS", 2000, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = new_path(spark, "ids-few")
+        index = token_files.write_ids(odd, A, folder, 50)
+        assert len({r.file[:10] for r in index.select("file").collect()}) > 1  # several tasks wrote
+        assert len(index.inputFiles()) == 1
+        total = sum(w[2] for w in _ids_by_hand([(r.doc_id, r.text) for r in odd.collect()]))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        got = token_files.read_ids(index, folder)
+        assert got.rdd.getNumPartitions() == 1 + total // 2000 > 1
+        assert got.count() == odd.count() and got.agg(F.sum("n_tokens")).first()[0] == total
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_op13_empty(spark, odd):
     folder = new_path(spark, "ids-empty")
     assert token_files.read_ids(token_files.write_ids(odd.limit(0), A, folder), folder).count() == 0

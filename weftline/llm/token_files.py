@@ -13,9 +13,11 @@ of every value packed one after another, the high bits as a bit vector in which
 one at high(i) + i, and the place of every ``SAMPLE``-th one (32 bits), from which ``select``
 finds any value by reading a few bytes. No table of 64-bit offsets is kept.
 
-The returned index has a row a file; ``read_ids`` opens the files at runs of ``RUN`` documents
-and adds the ids of all earlier files, a running sum over the index alone. Files carry the task's
-attempt in their name and the index is staged, so a task that is run again leaves no trace.
+The returned index has a row a file, with the ids of all earlier files, a running sum over the index
+alone; ``read_ids`` opens the files at runs of ``RUN`` documents, ``READ_TOKENS`` ids or so a task.
+Files carry the task's attempt in their name and the index is staged, so a task that is run again
+leaves no trace. Hadoop's local file system starts processes for each file that Spark writes, which
+share the executor's memory until they run: so the index is one file, and a task of reading has work.
 
 Defined results: null or empty text is ``END`` alone; null ``doc_id`` comes first; repeated
 ``doc_id`` are documents of their own, in the order of their texts' hash; texts of any length
@@ -40,7 +42,7 @@ from .shared import new_path, staged
 from .token_units import UnitIds
 
 END = 2
-FILE_TOKENS, RUN, SAMPLE = 16_000_000, 2048, 256
+FILE_TOKENS, READ_TOKENS, RUN, SAMPLE = 16_000_000, 64_000_000, 2048, 256
 MAGIC = b"WEFTIDS1"
 #: Documents, of them without doc_id, tokens, bytes an id, smallest doc_id, then for ends and names: low bits a value, bytes of lows, highs, samples.
 FOOTER = "<QQQBqBQQQBQQQ8s"
@@ -203,9 +205,9 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int = F
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     # The hash splits a repeated doc_id over partitions and orders its rows.
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h").select("doc_id", "text")
-    index = staged(rows.mapInArrow(_writer(tokenizer, folder, file_tokens), "part long, k long, file string, n_docs long, n_tokens long"), "ids-index")
+    index = rows.mapInArrow(_writer(tokenizer, folder, file_tokens), "part long, k long, file string, n_docs long, n_tokens long")
     earlier = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    return index.select("file", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
+    return staged(index.select("file", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base")), "ids-index")
 
 
 def _reader(folder: str, keep_ids: bool):
@@ -233,7 +235,9 @@ def read_ids(index: DataFrame, folder: str, keep_ids: bool = False) -> DataFrame
     """doc_id, start, n_tokens, ids_crc32 of every document, and its ids on demand, read from the files."""
     runs = index.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(RUN).cast("long"))).alias("first"))
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return runs.repartition("file", "first").mapInArrow(_reader(folder, keep_ids), ddl)
+    # Told by number: by the index's few bytes, Spark would give all files to one task.
+    tasks = 1 + (index.agg(F.sum("n_tokens")).first()[0] or 0) // READ_TOKENS
+    return runs.repartition(tasks).mapInArrow(_reader(folder, keep_ids), ddl)
 
 
 def op13_token_files(spark, sf_dir: str) -> DataFrame:
