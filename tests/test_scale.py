@@ -189,3 +189,90 @@ def test_edges_follow_when_they_are_asked_for(spark, monkeypatch):
     assert {r.name for r in new.delta.names.collect()} >= {"m4"} and new.links.count() == 2
     again = new.update(spark.createDataFrame([("m9.py", "import m1\n", 9)], schema))
     assert {"links", "edges"} <= again.__dict__.keys()  # a graph with edges keeps them up at once
+
+
+def test_requests_go_through_the_graph_together(spark, monkeypatch):
+    """70 requests (two blocks) against a queue a request; a level has a row a file and block, whatever the requests, also
+    where a file's rows come in many batches."""
+    import random
+    from collections import deque
+
+    rng, n = random.Random(7), 24
+    ids = [f"{f:02d}::{x}" for f in range(n) for x in ("__module__", "A", "B")]
+    pairs = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(150)} | {(f"{f:02d}::__module__", "00::__module__") for f in range(1, n, 2)})
+    links = [(a, b, *rng.choice([("imports", 1.0), ("inherits", 1.5), ("dynamic_import", 0.6), ("decorates", 0.8)]), i) for i, (a, b) in enumerate(rng.sample(pairs, len(pairs)))]
+    seeds = [(100 + r, f"{(r + k) % n:02d}") for r in range(70) for k in range(1 + r % 2)]
+    nodes = spark.createDataFrame([(x, x[:2]) for x in ids], "node_id string, file_path string")
+    edges = spark.createDataFrame(links, "source_id string, target_id string, kind string, weight double, edge_ord long")
+    tables = _written(monkeypatch, traverse)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = traverse.ranked_neighbors(nodes, edges, spark.createDataFrame(seeds, "request_id long, path string"), 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {(r.request_id, r.path): (r.score, r.depth, r.reasons) for r in rows}
+    assert len(got) == len(rows)
+    hashed = {r.path: r.h for r in nodes.select(F.col("file_path").alias("path"), F.xxhash64("file_path").alias("h")).distinct().collect()}
+    want = {}
+    for request in {r for r, _ in seeds}:
+        first = sorted((p for r, p in seeds if r == request), key=hashed.get)
+        score = {p: (1.0, 0, ["directly changed"]) for p in first}
+        queue = deque((f"{p}::__module__", 1.0, 0) for p in first)
+        visited = {x for x, *_ in queue}
+        while queue:
+            node, s, depth = queue.popleft()
+            if depth == 3:
+                continue
+            out = [(b, k, w, "depends_on") for a, b, k, w, _ in links if a == node] + [(a, k, w, "caller") for a, b, k, w, _ in links if b == node]
+            for other, kind, weight, side in out:
+                new, known = s * 0.7 * weight, score.get(other[:2], (-1.0, 0, []))
+                if new > known[0]:
+                    score[other[:2]] = (new, depth + 1, [*known[2], f"{side} via {kind} (depth {depth + 1})"])
+                if other not in visited:
+                    visited.add(other)
+                    queue.append((other, new, depth + 1))
+        want |= {(request, p): v for p, v in score.items()}
+    assert got == want
+    assert tables["level-3"].count() <= 2 * n < len(want) / 10
+
+
+def test_a_step_of_the_selection_is_a_file_that_fits(spark, monkeypatch):
+    """Against the plain fold, in small batches and small looks ahead; nothing but sizes goes through it."""
+    import random
+
+    from weftline.operators import select
+
+    rng, rows = random.Random(3), []
+    for request in range(9):
+        rows += [(request, i, f"f{i}", t := rng.choice([3, 9, 40, 200, 900]), max(1, t // rng.choice([1, 2, 5])), rng.randint(1, 9), f"k{i}") for i in range(1, 120)]
+    rows += [(9, 1, "a", 500, 100, 7, "x"), (9, 2, "b", 1, 1, 8, "y"), (10, 1, "a", 501, 501, 7, "x"), (11, 1, "a", 1, 600, 7, "x")]
+    want, ends = set(), set()
+    for request in range(12):
+        used = original = n = 0
+        for r, pos, path, tok, sig, orig, tag in rows:
+            if r != request or used >= 500:
+                continue
+            original += orig
+            if used + tok <= 500 or used + sig <= 500:
+                want.add((r, pos, path, tag, used + tok > 500))
+                used, n = used + (tok if used + tok <= 500 else sig), n + 1
+        ends.add((request, used, original, n))
+    monkeypatch.setattr(select, "_STEP", 2)
+    table = spark.createDataFrame(rows, "request_id long, pos int, path string, tok long, sig_tok long, orig long, tag string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        picked, totals = select.greedy(table, 500)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {tuple(r) for r in picked.select("request_id", "pos", "path", "tag", "sig").collect()} == want
+    assert {tuple(r) for r in totals.collect()} == ends
+
+
+def test_the_length_of_a_heading_is_known_before_it(spark):
+    from weftline.operators import select
+
+    rows = [("é/a.py", s, r, d, w, "python") for s in (0.0, 0.0004, 0.9996, 1.0, 9.9989, 9.9996, 12.5, -0.25) for r, d, w in ((1, 0, ["directly changed"]), (12345, 10, ["a", "b", "c"]), (10, 2, []))]
+    table = spark.createDataFrame(rows, "path string, score double, rank int, depth int, reasons array<string>, language string")
+    assert not table.where(F.length(select.heading()) != select.heading_length()).collect()
