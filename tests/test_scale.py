@@ -276,3 +276,33 @@ def test_the_length_of_a_heading_is_known_before_it(spark):
     rows = [("é/a.py", s, r, d, w, "python") for s in (0.0, 0.0004, 0.9996, 1.0, 9.9989, 9.9996, 12.5, -0.25) for r, d, w in ((1, 0, ["directly changed"]), (12345, 10, ["a", "b", "c"]), (10, 2, []))]
     table = spark.createDataFrame(rows, "path string, score double, rank int, depth int, reasons array<string>, language string")
     assert not table.where(F.length(select.heading()) != select.heading_length()).collect()
+
+
+def test_files_that_nothing_reads_are_deleted(spark, monkeypatch):
+    """Of the traversal's tables, those between two others go; what others wrote stays, and so does the session's setting."""
+    import os
+    from urllib.parse import urlparse
+
+    from weftline import staging
+
+    folder = lambda df: os.path.dirname(urlparse(df.inputFiles()[0]).path)
+    table = staging.staged(spark.range(10).repartition(3), "mine")
+    other = spark.range(3)
+    at = folder(table)
+    assert os.path.isdir(at)
+    staging.released(table, other)
+    assert not os.path.exists(at)
+    tables, at = {}, {}
+
+    def keep(df, label):
+        tables[label] = staging.staged(df, label)
+        at[label] = folder(tables[label])
+        return tables[label]
+
+    monkeypatch.setattr(traverse, "staged", keep)
+    nodes = spark.createDataFrame([(f"{x}::__module__", x) for x in "abc"], "node_id string, file_path string")
+    edges = spark.createDataFrame([(f"{x}::__module__", f"{y}::__module__", "imports", 1.0, i) for i, (x, y) in enumerate(["ab", "bc"])], "source_id string, target_id string, kind string, weight double, edge_ord long")
+    rows = traverse.ranked_neighbors(nodes, edges, spark.createDataFrame([(1, "a")], "request_id long, path string"), 3)
+    assert {r.path: r.depth for r in rows.collect()} == {"a": 0, "b": 1, "c": 2}
+    assert not os.path.exists(at["known-edges"]) and os.path.exists(at["incident"])
+    assert spark.conf.get(staging._CLEANUP, "false") == "false"
