@@ -306,3 +306,22 @@ def test_files_that_nothing_reads_are_deleted(spark, monkeypatch):
     assert {r.path: r.depth for r in rows.collect()} == {"a": 0, "b": 1, "c": 2}
     assert not os.path.exists(at["known-edges"]) and os.path.exists(at["incident"])
     assert spark.conf.get(staging._CLEANUP, "false") == "false"
+
+
+def test_few_terms_are_sent_to_the_files(spark):
+    """Candidates of a query's words are not dealt again by request, and a changed file that nothing reaches keeps its rank."""
+    from weftline.config import ContextConfig
+    from weftline.operators import rank
+
+    files = spark.createDataFrame([(f"a/part_{i}.py", [{"name": f"f_{i}"}, {"name": "part"}], i, 10) for i in range(30)], "path string, symbols array<struct<name: string>>, file_ord long, line_count long")
+    asked = spark.createDataFrame([(i, "", "part 7", f"f {i}") for i in range(3)], "request_id long, diff_text string, commit_message string, query string")
+    scores = rank.keyword_scores(files, asked)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(path") == 1 and "hashpartitioning(request_id" not in plan
+    got = {(r.request_id, r.path): r.bm25 for r in scores.collect()}
+    hit = lambda tf: rank.IDF * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 5 / 20))  # noqa: E731  f, i, part, part, i
+    assert len(got) == 90 and abs(got[0, "a/part_9.py"] - (hit(2) + hit(1)) / 4) < 1e-12 and abs(got[2, "a/part_7.py"] - (2 * hit(2) + hit(1)) / 4) < 1e-12
+    graph = spark.createDataFrame([(0, "a/part_1.py", 0.9, 1, ["x"])], "request_id long, path string, score double, depth int, reasons array<string>")
+    changed = spark.createDataFrame([(0, "a/part_2.py"), (1, "a/part_1.py")], "request_id long, path string")
+    rows = rank.rank_files(files, graph, scores, changed, ContextConfig()).collect()
+    assert sorted((r.request_id, r.path, r.depth, r.reasons, r.changed, r.rank) for r in rows) == [(0, "a/part_1.py", 1, ["x"], False, 2), (0, "a/part_2.py", 0, ["directly changed"], True, 1), (1, "a/part_1.py", 0, ["directly changed"], True, 1)]
